@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, packing
 
-_MODULES = (bpe,)
+_MODULES = (bpe, packing)
 
 
 def queries() -> dict:
