@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, packing
+from . import bpe, fingerprints, packing
 
-_MODULES = (bpe, packing)
+_MODULES = (bpe, packing, fingerprints)
 
 
 def queries() -> dict:
