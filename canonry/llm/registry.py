@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, packing
+from . import bpe, chat, fingerprints, packing
 
-_MODULES = (bpe, packing, fingerprints)
+_MODULES = (chat, bpe, packing, fingerprints)
 
 
 def queries() -> dict:
