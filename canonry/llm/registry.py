@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, fingerprints, packing
+from . import bpe, chat, fingerprints, packing, urls
 
-_MODULES = (chat, bpe, packing, fingerprints)
+_MODULES = (urls, chat, bpe, packing, fingerprints)
 
 
 def queries() -> dict:
