@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, fingerprints, packing, urls
+from . import bpe, chat, fingerprints, packing, topk, urls
 
-_MODULES = (urls, chat, bpe, packing, fingerprints)
+_MODULES = (urls, chat, bpe, packing, topk, fingerprints)
 
 
 def queries() -> dict:
