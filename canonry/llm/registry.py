@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, fingerprints, packing, topk, urls
+from . import bpe, chat, fingerprints, html, packing, topk, urls
 
-_MODULES = (urls, chat, bpe, packing, topk, fingerprints)
+_MODULES = (urls, chat, bpe, packing, topk, html, fingerprints)
 
 
 def queries() -> dict:
