@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, fingerprints, html, packing, quality, topk, urls
+from . import bpe, chat, fingerprints, html, packing, quality, substrings, topk, urls
 
-_MODULES = (urls, chat, bpe, packing, quality, topk, html, fingerprints)
+_MODULES = (urls, chat, bpe, packing, quality, substrings, topk, html, fingerprints)
 
 
 def queries() -> dict:
