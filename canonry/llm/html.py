@@ -10,7 +10,7 @@ out, character references are decoded, and blocks are joined by line feeds.
 
 Labelled pages: pages whose markup names their content with one ``article`` or
 ``main`` element are labels for the weights; weights are fitted on the
-``SAMPLE_PAGES`` pages of least hash among those of at most
+at most ``SAMPLE_PAGES`` pages, chosen by hash among those of at most
 ``SAMPLE_PAGE_CHARS`` characters, a documented bound.  Pages without such markup are read by the same weights.
 
 Defined results: a null or empty html and a page without words give the empty
@@ -232,7 +232,8 @@ def learn(df: DataFrame, html: str = "html") -> Weights:
     """Weights from at most ``SAMPLE_PAGES`` pages, chosen by a hash so that the
     choice depends on nothing but the pages."""
     named = df.select(F.col(html).alias("html")).where(F.col("html").rlike("(?i)<(article|main)[\\s>]") & (F.length("html") <= SAMPLE_PAGE_CHARS))
-    return fit([r["html"] for r in named.orderBy(F.xxhash64("html"), "html").limit(SAMPLE_PAGES).collect()])
+    chosen = common.sampled(named, SAMPLE_PAGES, "html").collect()
+    return fit(sorted(r["html"] for r in chosen))
 
 
 def extract(df: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url"), weights: Weights | None = None) -> DataFrame:
