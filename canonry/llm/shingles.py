@@ -40,11 +40,19 @@ def split_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-def shingle_hashes(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray]:
+_TO_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+
+
+def lower_words(text: str | None) -> list[bytes]:
+    """Words with A-Z, and nothing else, in lower case."""
+    return text.encode("utf-8", "surrogatepass").translate(_TO_LOWER).split() if text else []
+
+
+def shingle_hashes(texts: list[str | None], width: int, split=split_words) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all shingles of all texts, one after another, repeated ones
     too, and the number of each text.  A text with fewer words than ``width``
     has one shingle, its whole word sequence; one without words has none."""
-    words = [split_words(t) for t in texts]
+    words = list(map(split, texts))
     n = np.fromiter(map(len, words), np.int64, len(words))
     flat = word_hashes([w for ws in words for w in ws])
     out = np.full(max(len(flat) - width + 1, 0), width, np.uint64)
