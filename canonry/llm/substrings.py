@@ -25,6 +25,7 @@ columns are not touched.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -188,6 +189,17 @@ def _search(distinct: DataFrame, window: int) -> DataFrame:
     return together.mapInArrow(run, "lead long, own long, mask long").where("mask <> 0")
 
 
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def _cut(text: str, keep: np.ndarray) -> str:
+    """What is left of a text, with its white space inside each run that stays;
+    runs are joined by one blank."""
+    spans = [m.span() for m in _WORD.finditer(text)]
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], keep.astype(np.int8), [0]])))
+    return " ".join(text[spans[a][0] : spans[z - 1][1]] for a, z in edges.reshape(-1, 2).tolist())
+
+
 def _removed(df: DataFrame, window: int, with_text: bool) -> DataFrame:
     """Texts without the words that their repeated windows cover."""
     names = ["id", "digest", "n_removed", "kept_sha256", "kept"]
@@ -210,7 +222,7 @@ def _removed(df: DataFrame, window: int, with_text: bool) -> DataFrame:
                             x += 1
                     keep = np.cumsum(change)[:-1] == 0
                     left = b" ".join([w for w, k in zip(words, keep.tolist(), strict=True) if k])
-                    values = (id_, digest, len(words) - int(keep.sum()), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "surrogatepass") if with_text else None)
+                    values = (id_, digest, len(words) - int(keep.sum()), hashlib.sha256(left).hexdigest(), _cut(text, keep) if with_text else None)
                     for column, value in zip(rows, values, strict=True):
                         column.append(value)
                 yield _arrow("lllss", list(rows), names)
@@ -218,30 +230,51 @@ def _removed(df: DataFrame, window: int, with_text: bool) -> DataFrame:
     return df.mapInArrow(run, "id long, digest long, n_removed long, kept_sha256 string, kept string")
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, with_text: bool = False) -> DataFrame:
-    """A row for each row of ``docs`` (doc_id, text): doc_id, n_words, n_removed,
-    kept_sha256 and, if asked for, ``kept`` (null where nothing was removed)."""
+def _find(docs: DataFrame, window: int, gram: int, hot: int, with_text: bool) -> tuple[DataFrame, DataFrame]:
+    """What is known of every row, and what is left of those that lose words."""
     common.ship(docs.sparkSession)
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.xxhash64("text"))
+    own = docs.select(*_key(), common.text_or_empty().alias("text"))
     first = common.written(_words_and_anchors(own.select("id", "digest", "text"), window, gram), "anchors")
     each = first.where("hashes is not null").select("id", "digest", F.explode(F.arrays_zip("hashes", "places")).alias("a")).select("id", "digest", F.col("a.hashes").alias("h"), F.col("a.places").alias("place"))
     counted = each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     places = each.join(counted, "h").groupBy("id", "digest").agg(F.collect_set("place").alias("known"), F.collect_set(F.when(F.col("n") > hot, F.col("place"))).alias("hot"))
-    texts = common.written(own.select("id", "digest", "text").join(places.hint("shuffle_hash"), ["id", "digest"]), "candidates")
+    texts = common.written(own.join(places.hint("shuffle_hash"), ["id", "digest"]), "candidates")
     distinct = _contexts(texts, window, gram, True).groupBy("lead", "own").agg(F.count("*").alias("n"), F.first("words").alias("words"))
     masks = _search(distinct, window)
     found = _contexts(texts, window, gram, False).join(masks, ["lead", "own"]).groupBy("id", "digest").agg(F.collect_set(F.struct("at", "mask")).alias("found"))
     gone = _removed(texts.select("id", "digest", "text").join(found.hint("shuffle_hash"), ["id", "digest"]), window, with_text).dropDuplicates(["id", "digest"])
+    return first, gone
+
+
+#: Rows are known by id and text; a null id has a number of its own.
+_NO_ID = -(1 << 63)
+
+
+def _key() -> tuple:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(common.text_or_empty()).alias("digest")
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """A row for each row of ``docs`` (doc_id, text): doc_id, n_words, n_removed
+    and kept_sha256."""
+    first, gone = _find(docs, window, gram, hot, False)
     joined = first.select("id", "digest", "n_words", "all_sha256").join(gone, ["id", "digest"], "left")
     return joined.select(
-        F.when(F.col("id") != -(1 << 63), F.col("id")).alias("doc_id"),
+        F.nullif(F.col("id"), F.lit(_NO_ID)).alias("doc_id"),
         "n_words",
         F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
         F.coalesce("kept_sha256", "all_sha256").alias("kept_sha256"),
-        *(["kept"] if with_text else []),
     )
 
 
+def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """``docs`` with their texts cut; texts that lose nothing stay as they are."""
+    _, gone = _find(docs, window, gram, hot, True)
+    keyed = docs.select("*", *_key())
+    cut = keyed.join(gone.select("id", "digest", "kept"), ["id", "digest"], "left")
+    return cut.withColumn("text", F.coalesce("kept", "text")).select(*docs.columns)
+
+
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(common.table(spark, sf_dir, "documents"))
 
