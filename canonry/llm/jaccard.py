@@ -38,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common, graph, shingles
@@ -49,7 +49,7 @@ PERCENT = 85
 #: l as a share of a set's size.
 EXTRA = 0.05
 #: Documents whose shingles set the order, and the least count of a frequent one.
-SAMPLE_ROWS, FREQUENT = 4000, 4
+SAMPLE_ROWS, FREQUENT = 10_000, 4
 #: Members of a region that are joined in one task.
 REGION = 4000
 #: Classes whose ids are broadcast at most to fetch their texts.
@@ -71,6 +71,12 @@ def extra(n: int, share: float = EXTRA) -> int:
     return max(1, int(n * share))
 
 
+def _need(n: Column, percent: int) -> Column:
+    """How many prefix shingles a set of n shares with any that it links with,
+    which may be smaller than it by the factor of the threshold."""
+    return F.greatest(F.lit(1), F.floor(n * (EXTRA * percent / 100)).cast("int"))
+
+
 def prefix(s: np.ndarray, common_: np.ndarray, percent: int) -> np.ndarray:
     """The first shingles of a set: rare ones by hash, then frequent ones."""
     n = len(s)
@@ -267,17 +273,28 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, limit: int
     common.ship(docs.sparkSession)
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), common.text_or_empty().alias("text"))
     first = common.written(_classes(own, width, percent, _frequent(own, width)), "classes")
-    each = first.where("c is not null").select("c", "n", F.explode("first").alias("h"))
+    classes = common.written(first.where("c is not null").groupBy("c").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.count("*").alias("copies")), "ids")
+    # Copies of a set speak once.
+    copied = classes.where("copies > 1").select("c", "least")
+    copied = F.broadcast(copied) if copied.count() <= BROADCAST_ROWS else copied
+    single = first.where("c is not null").join(copied, "c", "left").where("least is null or least = id")
+    each = single.select("c", F.explode("first").alias("h"))
     elect = (F.min("c").alias("p"), F.max("c").alias("q"))
-    met = each.groupBy("h").agg(*elect).where("p <> q").select("h")
+    met = common.written(each.groupBy("h").agg(*elect).where("p <> q").select("h"), "met")
     shared = common.written(each.join(met, "h"), "shared")
-    need = F.greatest(F.lit(1), F.floor(F.first("n") * EXTRA).cast("int"))
-    left = shared.groupBy("c").agg(F.count("*").alias("have"), need.alias("need")).where("have >= need").select("c")
-    kept = common.written(shared.join(left, "c").select("c", "h"), "kept")
-    pivots = kept.groupBy("h").agg(*elect).where("p <> q").select("h", "p")
-    placed = common.written(kept.join(pivots, "h").select("p", "c").distinct(), "regions")
-    members = first.join(placed.select("c").distinct(), "c").groupBy("c").agg(F.min("id").alias("id"))
-    members = common.written(members, "members")
+    left = shared.groupBy("c").agg(F.count("*").alias("have")).join(classes.select("c", _need(F.col("n"), percent).alias("need")), "c").where("have >= need")
+    left = common.written(left.select("c", "need"), "left")
+    kept = common.written(shared.join(left, "c").select("c", "h", "need"), "kept")
+    pivots = common.written(kept.groupBy("h").agg(*elect).where("p <> q").select("h", "p"), "pivots")
+    # Each side may leave its least pivots out while they lead fewer than half of
+    # the shingles that it must share: two that link keep one in common.
+    led = kept.join(pivots, "h").groupBy("c", "p", "need").agg(F.count("*").alias("m"))
+    small_first = Window.partitionBy("c").orderBy("m", F.desc("p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = led.withColumn("dropped", F.sum("m").over(small_first)).where(2 * F.col("dropped") > F.col("need") - 1).select("p", "c")
+    placed = common.written(placed, "regions")
+    # Pivots are members too: where they left their own region out, they come back.
+    placed = common.written(placed.unionByName(placed.select("p", F.col("p").alias("c"))).distinct(), "placed")
+    members = common.written(classes.join(placed.select("c").distinct(), "c").select("c", F.col("least").alias("id")), "members")
     wanted = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
     sets = common.written(_members(own.join(wanted, "id"), width), "sets")
     sizes = placed.groupBy("p").agg(F.count("*").alias("m"))
@@ -288,8 +305,7 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, limit: int
         dealt, inner = _blocks(large, sets, percent, limit)
         links = links.unionByName(_links(dealt, percent)).unionByName(inner)
     roots = graph.components(links)
-    classes = first.where("c is not null").groupBy("c").agg(F.min("id").alias("least"))
-    known = classes.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    known = classes.select("c", "least").join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = known.groupBy("root").agg(F.min("least").alias("component"))
     named = known.join(least, "root").select("c", "component")
     whole = first.select("id", "c", "n").join(named, "c", "left").withColumn("component", F.coalesce("component", "id"))
@@ -301,4 +317,13 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_jaccard": op2_jaccard}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op2_jaccard": rf"""
+with recursive own as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as words from documents),
+sets as (select distinct doc_id, md5(array_to_string(words[i:i + {WIDTH - 1}], ' ')) as s from (select doc_id, words, unnest(range(1, greatest(len(words) - {WIDTH - 2}, 2))) as i from own where len(words) > 0)),
+sizes as (select doc_id, count(*) as n from sets group by doc_id),
+common as (select a.doc_id as x, b.doc_id as y, count(*) as both_ from sets a join sets b on a.s = b.s and a.doc_id <> b.doc_id group by all),
+links as (select x, y from common join sizes p on p.doc_id = x join sizes q on q.doc_id = y where 100 * both_ >= {PERCENT} * (p.n + q.n - both_)),
+reach as (select doc_id as x, doc_id as y from documents union select r.x, l.y from reach r join links l on l.x = r.y)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, c as component_id from documents d left join sizes using (doc_id) join (select x as doc_id, min(y) as c from reach group by x) using (doc_id)"""
+}
