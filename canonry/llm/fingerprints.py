@@ -54,6 +54,7 @@ class Sketcher:
         #: Row i: the order in which bin i looks for a bin that is not empty.
         self.order = np.argsort(rng.random((bins, bins)), axis=1).astype(np.int32)
         self.place = np.argsort(self.order, axis=1).astype(np.int32)
+        self.bin = rng.integers(0, 1 << 63, bins, dtype=np.uint64)
 
     def least(self, texts: list[str | None]) -> np.ndarray:
         """Least hash of each bin, or the largest number where a bin is empty."""
@@ -84,8 +85,9 @@ class Sketcher:
         return least
 
     def pack(self, dense: np.ndarray) -> np.ndarray:
-        """Low-order bits, packed into bytes."""
-        low = (dense & np.uint64((1 << self.bits) - 1)).astype(np.uint8)
+        """Low-order bits, packed into bytes.  Each bin mixes in a number of its own,
+        so that two hashes that fill many bins are equal by chance in each anew."""
+        low = (shingles.mix(dense ^ self.bin) & np.uint64((1 << self.bits) - 1)).astype(np.uint8)
         per = 8 // self.bits
         out = np.zeros((len(low), self.bins // per), np.uint8)
         for k in range(per):
