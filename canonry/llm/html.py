@@ -9,9 +9,10 @@ scan finds the contiguous run with the largest sum.  Elements that are never tex
 out, character references are decoded, and blocks are joined by line feeds.
 
 Labelled pages: pages whose markup names their content with one ``article`` or
-``main`` element are labels for the weights; weights are fitted on the
-at most ``SAMPLE_PAGES`` pages, chosen by hash among those of at most
-``SAMPLE_PAGE_CHARS`` characters, a documented bound.  Pages without such markup are read by the same weights.
+``main`` element are labels for the weights.  The weights are fitted on at most
+``SAMPLE_PAGES`` of them, chosen by hash among those of at most
+``SAMPLE_PAGE_CHARS`` characters, a documented bound.  Pages without such markup
+are read by the same weights.
 
 Defined results: a null or empty html and a page without words give the empty
 text; markup cut off at the end is read as far as it goes; an unknown character
@@ -45,7 +46,7 @@ WORD = 1.0
 #: most labelled pages is kept, of equal ones the least.
 SCALES = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0)
 #: Cost of a tag when nothing is known.
-PLAIN_COST = 3.0
+PLAIN_COST = 1.0
 
 #: Elements whose content is no text (fixed values of HTML).
 RAW = frozenset({"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "xmp", "noembed", "noframes"})
@@ -105,12 +106,12 @@ def tokens(html: str) -> list[Token]:
             continue
         if m[1]:
             k = next((i for i in range(len(open_) - 1, max(-1, len(open_) - 200), -1) if open_[i][0] == name), None)
-            kind = "/" + name
+            kind, inside = "/" + name, boiler > 0
             if k is not None:
                 kind = "/" + open_[k][1]
                 boiler -= sum(o[2] for o in open_[k:])
                 del open_[k:]
-            out.append(Token(kind, name, True, "", 0, boiler > 0))
+            out.append(Token(kind, name, True, "", 0, inside))
             continue
         named = " ".join(a or b or c for a, b, c in _NAMED.findall(m[3])) if m[3] else ""
         kind = f"{name} {' '.join(sorted(set(named.lower().split())))}".strip()
@@ -145,9 +146,16 @@ def label(found: list[Token]) -> tuple[int, int] | None:
     return None
 
 
+def _kind(t: Token) -> str:
+    """Tags inside boilerplate are kinds of their own: a list in a menu says
+    nothing about lists."""
+    return "~" + t.kind if t.boiler else t.kind
+
+
 @dataclass
 class Weights:
-    """What each kind of tag costs; kinds not met cost what their name does."""
+    """What each kind of tag costs; kinds not met cost what their bare name does,
+    ``plain`` at most."""
 
     cost: dict[str, float] = field(default_factory=dict)
     plain: float = PLAIN_COST
@@ -155,9 +163,11 @@ class Weights:
     def of(self, t: Token) -> float:
         if not t.kind:
             return 0.0 if t.boiler else WORD * t.words
-        got = self.cost.get(t.kind)
+        got = self.cost.get(_kind(t))
         if got is None:
-            got = self.cost.get(("/" if t.end else "") + t.name, self.plain)
+            # What is left out anyway tells nothing about the text around it.
+            skipped = t.boiler or t.name in RAW
+            got = 0.0 if skipped else min(self.plain, self.cost.get(("/" if t.end else "") + t.name, self.plain))
         return -got
 
 
@@ -193,8 +203,7 @@ def fit(pages: Iterable[str]) -> Weights:
     for found, (a, b) in known:
         for i, t in enumerate(found):
             if t.kind:
-                kinds = {t.kind, ("/" if t.end else "") + t.name}
-                (inside if a <= i <= b else outside).update(kinds)
+                (inside if a <= i <= b else outside)[_kind(t)] += 1
     ratio = {k: math.log((outside[k] + 1) / (inside[k] + 1)) for k in [*inside, *outside]}
     trial: list[tuple[int, float, Weights]] = []
     for scale in SCALES:
