@@ -137,12 +137,13 @@ def reputation(outcomes: DataFrame) -> DataFrame:
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = THRESHOLD) -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule`` and ``verdict``."""
-    bad = common.persist_cut(reputation(outcomes).where(F.col("upper") < threshold).select("host", F.lit(True).alias("bad")))
+    bad = common.persist_cut(reputation(outcomes).where(F.col("upper") < threshold).select(F.col("host").alias("__host"), F.lit(True).alias("__bad")))
     if bad.count() <= BROADCAST_HOSTS:
         bad = F.broadcast(bad)
-    own = pages.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    fit = own.withColumn("fit", rule_for(F.col("host"), F.col("path"), rules)).join(bad, "host", "left")
-    return fit.withColumns({"rule": F.col("fit.rule"), "verdict": F.coalesce(F.col("fit.verdict"), F.when(F.col("bad"), F.lit("block")).otherwise(F.lit("allow")))}).drop("fit", "bad")
+    own = pages.withColumns({"__host": host_of(F.col("url")), "__path": path_of(F.col("url"))})
+    fit = own.withColumn("__fit", rule_for(F.col("__host"), F.col("__path"), rules)).join(bad, "__host", "left")
+    verdict = F.coalesce(F.col("__fit.verdict"), F.when(F.col("__bad"), F.lit("block")).otherwise(F.lit("allow")))
+    return fit.withColumns({"host": F.col("__host"), "path": F.col("__path"), "rule": F.col("__fit.rule"), "verdict": verdict}).drop("__fit", "__bad", "__host", "__path")
 
 
 def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
