@@ -236,11 +236,12 @@ def _find(docs: DataFrame, window: int, gram: int, hot: int, with_text: bool) ->
     own = docs.select(*_key(), common.text_or_empty().alias("text"))
     first = common.written(_words_and_anchors(own.select("id", "digest", "text"), window, gram), "anchors")
     each = first.where("hashes is not null").select("id", "digest", F.explode(F.arrays_zip("hashes", "places")).alias("a")).select("id", "digest", F.col("a.hashes").alias("h"), F.col("a.places").alias("place"))
-    counted = each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    # Kept by itself, so that the join's sides are plain shuffles, which Spark can split where one hash has many rows.
+    counted = common.written(each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "counted")
     places = each.join(counted, "h").groupBy("id", "digest").agg(F.collect_set("place").alias("known"), F.collect_set(F.when(F.col("n") > hot, F.col("place"))).alias("hot"))
     texts = common.written(own.join(places.hint("shuffle_hash"), ["id", "digest"]), "candidates")
     distinct = _contexts(texts, window, gram, True).groupBy("lead", "own").agg(F.count("*").alias("n"), F.first("words").alias("words"))
-    masks = _search(distinct, window)
+    masks = common.written(_search(distinct, window), "masks")
     found = _contexts(texts, window, gram, False).join(masks, ["lead", "own"]).groupBy("id", "digest").agg(F.collect_set(F.struct("at", "mask")).alias("found"))
     gone = _removed(texts.select("id", "digest", "text").join(found.hint("shuffle_hash"), ["id", "digest"]), window, with_text).dropDuplicates(["id", "digest"])
     return first, gone
@@ -270,9 +271,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
 def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """``docs`` with their texts cut; texts that lose nothing stay as they are."""
     _, gone = _find(docs, window, gram, hot, True)
-    keyed = docs.select("*", *_key())
-    cut = keyed.join(gone.select("id", "digest", "kept"), ["id", "digest"], "left")
-    return cut.withColumn("text", F.coalesce("kept", "text")).select(*docs.columns)
+    own = [f"__{c}" for c in ("id", "digest", "kept")]  # names that no input has
+    keyed = docs.select("*", *(k.alias(n) for k, n in zip(_key(), own, strict=False)))
+    cut = keyed.join(gone.select("id", "digest", "kept").toDF(*own), own[:2], "left")
+    return cut.withColumn("text", F.coalesce(own[2], "text")).select(*docs.columns)
 
 
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,4 +282,13 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_substrings": op7_substrings}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op7_substrings": rf"""
+with own as (select row_number() over () as r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as words from documents),
+starts as (select r, unnest(range(1, len(words) - {WINDOW - 2})) as i, words from own where len(words) >= {WINDOW}),
+windows as (select r, i, md5(array_to_string(words[i:i + {WINDOW - 1}], ' ')) as w from starts),
+again as (select w from windows group by w having count(*) > 1),
+gone as (select r, list(distinct p) as places from (select r, unnest(range(i, i + {WINDOW})) as p from windows join again using (w)) group by r),
+left_ as (select doc_id, len(words) as n, coalesce(len(places), 0) as removed, case when places is null then words else list_filter(words, lambda w, k: not list_contains(places, k)) end as kept from own left join gone using (r))
+select doc_id, n::bigint as n_words, removed::bigint as n_removed, sha256(array_to_string(kept, ' ')) as kept_sha256 from left_"""
+}
