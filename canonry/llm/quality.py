@@ -5,7 +5,7 @@ a conjunctive rule.  A lasso-penalised logistic regression gives the rules their
 weights, most of them zero, and what remains is compiled into one Spark column
 expression over the statistics.  Labels, language, source and id are no inputs.
 
-Learning is bounded: at most ``SAMPLE_ROWS`` labelled rows, those of least hashed
+Learning is bounded: about ``SAMPLE_ROWS`` labelled rows at most, chosen by hashed
 id, reach the driver, and only as statistics.  Everything is scored.
 
 Defined results: a null text counts as empty; the empty text has statistics of
@@ -83,8 +83,12 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
+#: A name that no input has.
+COLUMN = "__statistics"
+
+
 def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
-    """The other columns of ``df`` and an array column ``statistics``."""
+    """The other columns of ``df`` and an array column ``COLUMN``."""
     common.ship(df.sparkSession)
     keep = [c for c in df.columns if c != text]
 
@@ -93,9 +97,9 @@ def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
                 made = [statistics(t) for t in part.column(part.num_columns - 1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(made, pa.list_(pa.float64()))], [*keep, "statistics"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(made, pa.list_(pa.float64()))], [*keep, COLUMN])
 
-    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("statistics", T.ArrayType(T.DoubleType(), False), False)])
+    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(COLUMN, T.ArrayType(T.DoubleType(), False), False)])
     return df.select(*(df[c] for c in keep), df[text]).mapInArrow(run, schema)
 
 
@@ -245,17 +249,17 @@ def held_out(key: str = "doc_id") -> Column:
 def learn(docs: DataFrame, labels: DataFrame) -> Ensemble:
     """From a bounded sample of the labelled rows that are not held out."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "quality")
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(SAMPLE_ROWS)
+    chosen = common.sampled(known, SAMPLE_ROWS, "doc_id")
     # Two numbers for each of at most SAMPLE_ROWS rows are broadcast.
     texts = docs.select("doc_id", common.text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = with_statistics(texts).orderBy("doc_id", "quality").limit(4 * SAMPLE_ROWS).toPandas()
-    x = np.array(rows["statistics"].tolist(), float).reshape(len(rows), len(STATISTICS))
+    rows = with_statistics(texts).toPandas().sort_values(["doc_id", "quality"], kind="stable")
+    x = np.array(rows[COLUMN].tolist(), float).reshape(len(rows), len(STATISTICS))
     return fit(x, rows["quality"].to_numpy(float))
 
 
 def score(docs: DataFrame, model: Ensemble) -> DataFrame:
     """``docs`` with its text replaced by ``score``."""
-    return with_statistics(docs.withColumn("text", common.text_or_empty())).withColumn("score", model.column(F.col("statistics"))).drop("statistics")
+    return with_statistics(docs.withColumn("text", common.text_or_empty())).withColumn("score", model.column(F.col(COLUMN))).drop(COLUMN)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
