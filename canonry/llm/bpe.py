@@ -338,6 +338,11 @@ def encoder(path: str, kind: type[Encoder] = Encoder) -> Encoder:
     return _encoders[kind, path]
 
 
+def forget() -> None:
+    for e in _encoders.values():
+        e._reset()
+
+
 def texts_in_slices(column: pa.Array, rows: int = 256) -> Iterator[tuple[int, list[str | None]]]:
     """Few texts at a time, so that their pieces stay small."""
     for i in range(0, len(column), rows):
@@ -361,7 +366,7 @@ def encode_decode(df: DataFrame, key: str = "doc_id", text: str = "text", vocabu
 
     kind = df.schema[key].dataType
     schema = T.StructType([T.StructField("key", kind), *ENCODED.fields])
-    return df.select(df[key].alias("key"), df[text].alias("text")).mapInArrow(run, schema).withColumnRenamed("key", key)
+    return df.select(df[key].alias("key"), df[text].alias("text")).mapInArrow(common.task(run), schema).withColumnRenamed("key", key)
 
 
 def digests(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
@@ -384,7 +389,7 @@ def digests(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
 
     kind = df.schema[key].dataType
     schema = T.StructType([T.StructField("key", kind), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-    return df.select(df[key].alias("key"), df[text].alias("text")).mapInArrow(run, schema).withColumnRenamed("key", key)
+    return df.select(df[key].alias("key"), df[text].alias("text")).mapInArrow(common.task(run), schema).withColumnRenamed("key", key)
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

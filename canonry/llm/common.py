@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
+import sys
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,9 +26,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows, and bytes, of what passes to a Python worker at once; long texts make
+#: Spark's own default of 10,000 rows too much for one.
+BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that the
-    functions run there need no shared folder with the code."""
+    functions run there need no shared folder with the code; and keep batches
+    small, unless the session says how large they are to be."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -38,6 +50,29 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def release() -> None:
+    """Give back what a worker remembered, for the next task may be another kind's."""
+    if "canonry.llm.shingles" in sys.modules:
+        sys.modules["canonry.llm.shingles"].forget()
+    if "canonry.llm.bpe" in sys.modules:
+        sys.modules["canonry.llm.bpe"].forget()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def task(run):
+    """``run`` over a task's batches, then ``release``."""
+
+    def whole(batches):
+        yield from run(batches)
+        release()
+
+    return whole
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names; one of our own only if unset."""
     jsc = spark.sparkContext._jsc.sc()

@@ -133,7 +133,7 @@ def fingerprint(df: DataFrame, key: str = "doc_id", text: str = "text", width: i
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own.fingerprints(part.column(1).to_pylist()), pa.binary())], ["key", "fingerprint"])
 
     schema = T.StructType([T.StructField("key", df.schema[key].dataType), T.StructField("fingerprint", T.BinaryType())])
-    return df.select(df[key].alias("key"), df[text].alias("text")).mapInArrow(run, schema).withColumnRenamed("key", key)
+    return df.select(df[key].alias("key"), df[text].alias("text")).mapInArrow(common.task(run), schema).withColumnRenamed("key", key)
 
 
 def stretches(df: DataFrame) -> DataFrame:
@@ -214,7 +214,7 @@ def compare_with_edits(df: DataFrame, width: int = WIDTH, bins: int = BINS, bits
                     yield compared(rows)
                     del rows[:-1]
 
-    return stretches(df).mapInArrow(run, COMPARED)
+    return stretches(df).mapInArrow(common.task(run), COMPARED)
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -258,7 +258,7 @@ def extract(df: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], [*keep, "text"])
 
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("text", T.StringType(), False)])
-    return df.select(*(df[c] for c in keep), df[html]).mapInArrow(run, schema)
+    return df.select(*(df[c] for c in keep), df[html]).mapInArrow(common.task(run), schema)
 
 
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,7 +96,7 @@ def _frequent(docs: DataFrame, width: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], ["h"])
 
     some = common.sampled(docs, SAMPLE_ROWS, "id", "text").select("text")
-    often = some.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= FREQUENT).select("h").toPandas()
+    often = some.mapInArrow(common.task(run), "h long").groupBy("h").count().where(F.col("count") >= FREQUENT).select("h").toPandas()
     return np.sort(often["h"].to_numpy(np.int64).view(np.uint64))
 
 
@@ -114,7 +114,7 @@ def _classes(docs: DataFrame, width: int, percent: int, common_: np.ndarray) ->
                     ["id", "c", "n", "first"],
                 )
 
-    return docs.select("id", "text").mapInArrow(run, "id long, c long, n long, first array<long>")
+    return docs.select("id", "text").mapInArrow(common.task(run), "id long, c long, n long, first array<long>")
 
 
 def _members(texts: DataFrame, width: int) -> DataFrame:
@@ -129,7 +129,7 @@ def _members(texts: DataFrame, width: int) -> DataFrame:
                 own = [(c, s) for c, s in zip(wanted, sets, strict=True) if len(s) and _class_of(s) == c]
                 yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in own], pa.int64()), pa.array([s.view(np.int64) for _, s in own], pa.list_(pa.int64()))], ["c", "s"])
 
-    return texts.select("c", "text").mapInArrow(run, "c long, s array<long>").dropDuplicates(["c"])
+    return texts.select("c", "text").mapInArrow(common.task(run), "c long, s array<long>").dropDuplicates(["c"])
 
 
 class Region:
@@ -238,7 +238,7 @@ def _links(regions: DataFrame, percent: int) -> DataFrame:
             yield joined(rows)
 
     together = regions.select("key", "c", "inner", "s").repartition("key").sortWithinPartitions("key", "c")
-    return together.mapInArrow(run, "a long, b long")
+    return together.mapInArrow(common.task(run), "a long, b long")
 
 
 def _blocks(large: DataFrame, sets: DataFrame, percent: int, limit: int) -> tuple[DataFrame, DataFrame]:

@@ -58,7 +58,7 @@ def pieces(df: DataFrame, capacity: int = CAPACITY, closing: int = 0, vocabulary
             cols = np.array(rows, np.int64).T
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(cols[0])), *(pa.array(c) for c in cols[1:])], PIECES.names)
 
-    return df.select(df["doc_id"].cast("long").alias("doc_id"), df["text"].alias("text")).mapInArrow(run, PIECES)
+    return df.select(df["doc_id"].cast("long").alias("doc_id"), df["text"].alias("text")).mapInArrow(common.task(run), PIECES)
 
 
 @dataclass

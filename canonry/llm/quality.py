@@ -87,20 +87,21 @@ def statistics(text: str | None) -> list[float]:
 COLUMN = "__statistics"
 
 
-def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
-    """The other columns of ``df`` and an array column ``COLUMN``."""
+def with_statistics(df: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """The columns of ``df``, the text only if asked for, and an array ``COLUMN``."""
     common.ship(df.sparkSession)
-    keep = [c for c in df.columns if c != text]
+    keep = [c for c in df.columns if c != text] + [text] * keep_text
+    width = len(df.columns) - (not keep_text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
                 made = [statistics(t) for t in part.column(part.num_columns - 1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(made, pa.list_(pa.float64()))], [*keep, COLUMN])
+                yield pa.RecordBatch.from_arrays([*part.columns[:width], pa.array(made, pa.list_(pa.float64()))], [*keep, COLUMN])
 
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(COLUMN, T.ArrayType(T.DoubleType(), False), False)])
-    return df.select(*(df[c] for c in keep), df[text]).mapInArrow(run, schema)
+    return df.select(*(df[c] for c in keep), *([] if keep_text else [df[text]])).mapInArrow(common.task(run), schema)
 
 
 #: A rule holds where each (statistic, above, value) does: > value, or <= value.

@@ -29,6 +29,10 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
+def forget() -> None:
+    _hashes.clear()
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     if len(_hashes) > CACHE_WORDS:
         _hashes.clear()

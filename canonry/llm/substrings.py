@@ -134,7 +134,7 @@ def _words_and_anchors(df: DataFrame, window: int, gram: int) -> DataFrame:
                     places.append(led.astype(np.int32))
                 yield _arrow("lllsLI", [part.column(0), part.column(1), n, sha, hashes, places], names)
 
-    return df.mapInArrow(run, "id long, digest long, n_words long, all_sha256 string, hashes array<long>, places array<int>")
+    return df.mapInArrow(common.task(run), "id long, digest long, n_words long, all_sha256 string, hashes array<long>, places array<int>")
 
 
 def _contexts(df: DataFrame, window: int, gram: int, with_words: bool) -> DataFrame:
@@ -155,7 +155,7 @@ def _contexts(df: DataFrame, window: int, gram: int, with_words: bool) -> DataFr
                             column.append(value)
                 yield _arrow("llll" + ("b" if with_words else "i"), list(rows), ["id", "digest", "lead", "own", last.split()[0]])
 
-    return df.mapInArrow(run, f"id long, digest long, lead long, own long, {last}")
+    return df.mapInArrow(common.task(run), f"id long, digest long, lead long, own long, {last}")
 
 
 def _search(distinct: DataFrame, window: int) -> DataFrame:
@@ -186,7 +186,7 @@ def _search(distinct: DataFrame, window: int) -> DataFrame:
             yield shard(rows)
 
     together = distinct.select("lead", "own", "n", "words").repartition("lead").sortWithinPartitions("lead", "own")
-    return together.mapInArrow(run, "lead long, own long, mask long").where("mask <> 0")
+    return together.mapInArrow(common.task(run), "lead long, own long, mask long").where("mask <> 0")
 
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -227,7 +227,7 @@ def _removed(df: DataFrame, window: int, with_text: bool) -> DataFrame:
                         column.append(value)
                 yield _arrow("lllss", list(rows), names)
 
-    return df.mapInArrow(run, "id long, digest long, n_removed long, kept_sha256 string, kept string")
+    return df.mapInArrow(common.task(run), "id long, digest long, n_removed long, kept_sha256 string, kept string")
 
 
 def _find(docs: DataFrame, window: int, gram: int, hot: int, with_text: bool) -> tuple[DataFrame, DataFrame]:
