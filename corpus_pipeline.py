@@ -33,10 +33,8 @@ BROADCAST_ROWS = 500_000
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what the classifier does not reject; a null text counts as empty."""
     model = quality.learn(docs.select("doc_id", "text"), common.table(spark, sf_dir, "labels"))
-    text, judged = "__text", "__judged"  # names that no input has
-    scored = quality.with_statistics(docs.withColumns({judged: common.text_or_empty(), text: F.col("text")}).drop("text"), judged)
-    kept = scored.where(model.column(F.col(quality.COLUMN)) >= KEEP_FROM)
-    return kept.withColumnRenamed(text, "text").select(*docs.columns)
+    scored = quality.with_statistics(docs, keep_text=True)
+    return scored.where(model.column(F.col(quality.COLUMN)) >= KEEP_FROM).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
