@@ -45,27 +45,41 @@ def _matched(spark: SparkSession, d: str) -> DataFrame:
     return matching.max_weight_matching(persist_cut(_valid(spark, d)))
 
 
-def _pair_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Clusters of lone edges, known by their first node."""
-    node = lambda s, i: F.struct(F.col(s).alias("supplier"), F.col(i).alias("id"))
-    return _isolated(spark, d).select(F.col("a_id").alias("canonical_id"), F.array(node("supplier_a", "a_id"), node("supplier_b", "b_id")).alias("nodes"), "confidence", matching.method_of(F.col("is_rescue")).alias("method"), F.lit(None).cast("string").alias("note"))
+def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """All edges, and the matched ones."""
+    edges = persist_cut(_edges(spark, d))
+    return edges, persist_cut(matching.max_weight_matching(candidates.valid_edges(edges)))
+
+
+def _clusters_of(spark: SparkSession, d: str, matched: DataFrame) -> DataFrame:
+    """Clusters of all records, known by their first node."""
+    made = matching.clusters(synthetic.feeds(spark, d).select("supplier", "id"), matched)
+    return made.withColumn("canonical_id", F.col("nodes")[0]["id"])
+
 
+def _clusters(spark: SparkSession, d: str) -> DataFrame:
+    return _clusters_of(spark, d, persist_cut(_matched(spark, d)))
 
-def _canonical_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return merge.canonical_properties(_pair_clusters(spark, d), _records(spark, d))
+
+def _canonical(spark: SparkSession, d: str) -> DataFrame:
+    return merge.canonical_properties(_clusters(spark, d), _records(spark, d))
+
+
+def _near_of(edges: DataFrame, matched: DataFrame) -> DataFrame:
+    """Edges but the matched ones, rounded as they are kept."""
+    return matching.near_misses(edges, matched).withColumns({c: F.round(c, 4) for c in ("confidence", "geo_score", "name_score", "stars_score", "dist_km")})
 
 
 def _near(spark: SparkSession, d: str) -> DataFrame:
-    """Edges but the lone valid ones, rounded as they are kept."""
-    edges = persist_cut(_edges(spark, d))
-    lone = matching.isolated_edges(candidates.valid_edges(edges))[0]
-    return matching.near_misses(edges, lone).withColumns({c: F.round(c, 4) for c in ("confidence", "geo_score", "name_score", "stars_score", "dist_km")})
+    return _near_of(*_graph(spark, d))
+
+
+def _hard_of(edges: DataFrame, matched: DataFrame) -> DataFrame:
+    return adjudicate.hard_cases(_near_of(edges, matched), matching._ends(matched).distinct())
 
 
 def _hard(spark: SparkSession, d: str) -> DataFrame:
-    near = _near(spark, d)
-    claimed = matching._ends(_isolated(spark, d)).distinct()
-    return adjudicate.hard_cases(near, claimed)
+    return _hard_of(*_graph(spark, d))
 
 
 def _verdicts(cases: DataFrame) -> DataFrame:
@@ -74,11 +88,15 @@ def _verdicts(cases: DataFrame) -> DataFrame:
     return cases.select(key.alias("key"), (F.crc32(key) % 3 == 0).alias("same_hotel"), (F.crc32(key) % 100 / 100.0).alias("confidence"), F.lit("by key").alias("reason"))
 
 
-def _judged(spark: SparkSession, d: str) -> DataFrame:
-    cases = persist_cut(_hard(spark, d))
+def _judged_of(edges: DataFrame, matched: DataFrame) -> DataFrame:
+    cases = persist_cut(_hard_of(edges, matched))
     return adjudicate.with_cached(cases, _verdicts(cases))
 
 
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    return _judged_of(*_graph(spark, d))
+
+
 def _layers(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     raw_rooms = _room_rows(spark, d)
     return build.layers(_records(spark, d), raw_rooms)
@@ -89,7 +107,7 @@ def _room_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _placed_rooms(spark: SparkSession, d: str) -> DataFrame:
-    return rooms.of_clusters(_room_rows(spark, d), _pair_clusters(spark, d))
+    return rooms.of_clusters(_room_rows(spark, d), _clusters(spark, d))
 
 
 def _joined(c: str):
@@ -189,7 +207,7 @@ def clusters(spark, d):
 
 
 def singletons(spark, d):
-    return matching.unmatched(synthetic.feeds(spark, d).select("supplier", "id"), _isolated(spark, d))
+    return matching.unmatched(synthetic.feeds(spark, d).select("supplier", "id"), _matched(spark, d))
 
 
 def near_misses(spark, d):
@@ -222,8 +240,9 @@ def greedy_one_to_one(spark, d):
 
 def promote(spark, d):
     nodes = synthetic.feeds(spark, d).select("supplier", "id")
-    accepted = persist_cut(adjudicate.greedy_one_to_one(_judged(spark, d)))
-    made = adjudicate.promote(matching.clusters(nodes, _isolated(spark, d)), accepted)
+    edges, matched = _graph(spark, d)
+    accepted = persist_cut(adjudicate.greedy_one_to_one(_judged_of(edges, matched)))
+    made = adjudicate.promote(matching.clusters(nodes, matched), accepted)
     return made.select(F.array_join(F.transform("nodes", lambda n: n["id"]), "|").alias("nodes"), F.round("confidence", 4).alias("confidence"), "method", "note")
 
 
@@ -233,30 +252,31 @@ def spend_summary(spark, d):
 
 
 def merge_name_longest(spark, d):
-    return _canonical_pairs(spark, d).select("id", "name", "address")
+    return _canonical(spark, d).select("id", "name", "address")
 
 
 def merge_avg(spark, d):
-    return _canonical_pairs(spark, d).select("id", "lat", "lon", "stars")
+    return _canonical(spark, d).select("id", "lat", "lon", "stars")
 
 
 def merge_list_union(spark, d):
-    return _canonical_pairs(spark, d).select("id", _joined("amenities"))
+    return _canonical(spark, d).select("id", _joined("amenities"))
 
 
 def source_map(spark, d):
     entries = F.array_join(F.transform(F.array_sort(F.map_entries("source_ids")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
-    return _canonical_pairs(spark, d).select("id", entries.alias("source_ids"), "match_status", "match_method")
+    return _canonical(spark, d).select("id", entries.alias("source_ids"), "match_status", "match_method")
 
 
 def canonical_ids(spark, d):
     nodes = synthetic.feeds(spark, d).select("supplier", "id")
-    made = merge.with_ids(matching.clusters(nodes, _isolated(spark, d)))
+    made = merge.with_ids(matching.clusters(nodes, persist_cut(_matched(spark, d))))
     return made.select("canonical_id", F.array_min(F.transform("nodes", lambda n: n["id"])).alias("first_id"), "method")
 
 
 def near_miss_attach(spark, d):
-    return merge.attach_near_misses(_near(spark, d), _pair_clusters(spark, d))
+    edges, matched = _graph(spark, d)
+    return merge.attach_near_misses(_near_of(edges, matched), _clusters_of(spark, d, matched))
 
 
 def image_dedupe(spark, d):
@@ -308,11 +328,11 @@ def fts_rank(spark, d):
 
 
 def like_fallback(spark, d):
-    return search.like(_canonical_pairs(spark, d), "road", 50, 5).select("id", "name")
+    return search.like(_canonical(spark, d), "road", 50, 5).select("id", "name")
 
 
 def list_page(spark, d):
-    return search.search(_canonical_pairs(spark, d), "", 20, 40, "matched")[1].select("id", "name")
+    return search.search(_canonical(spark, d), "", 20, 40, "matched")[1].select("id", "name")
 
 
 def near_miss_top10(spark, d):
@@ -326,25 +346,23 @@ def hotel_detail(spark, d):
 
 
 def stats_by_status(spark, d):
-    return search.counts(_clusters_of_lone(spark, d), "match_status")
+    return search.counts(_cluster_stats(spark, d), "match_status")
 
 
 def stats_by_method(spark, d):
-    return search.counts(_clusters_of_lone(spark, d), "match_method")
+    return search.counts(_cluster_stats(spark, d), "match_method")
 
 
-def _clusters_of_lone(spark, d):
-    nodes = synthetic.feeds(spark, d).select("supplier", "id")
-    made = matching.clusters(nodes, _isolated(spark, d))
-    return made.select(F.when(F.size("nodes") > 1, "matched").otherwise("singleton").alias("match_status"), F.col("method").alias("match_method"), "confidence")
+def _cluster_stats(spark, d):
+    return _clusters(spark, d).select(F.when(F.size("nodes") > 1, "matched").otherwise("singleton").alias("match_status"), F.col("method").alias("match_method"), "confidence")
 
 
 def confidence_bands(spark, d):
-    return search.counts(_clusters_of_lone(spark, d).where("match_status = 'matched'").select(search.confidence_band(F.round("confidence", 4)).alias("band")), "band")
+    return search.counts(_cluster_stats(spark, d).where("match_status = 'matched'").select(search.confidence_band(F.round("confidence", 4)).alias("band")), "band")
 
 
 def match_rate(spark, d):
-    return search.match_rate(_clusters_of_lone(spark, d))
+    return search.match_rate(_cluster_stats(spark, d))
 
 
 def rate_limit_offered(spark, d):
