@@ -308,7 +308,7 @@ def canonical_hotels(spark, d):
 
 
 def _documents_as_records(spark, d):
-    return _table(spark, d, "documents").select(F.format_string("DOC-%09d", "doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("name"), F.coalesce("source", F.lit("")).alias("address"), F.when(F.col("lang") == "en", "matched").otherwise("singleton").alias("match_status"))
+    return _table(spark, d, "documents").select(F.format_string("DOC-%09d", "doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("name"), F.coalesce("source", F.lit("")).alias("address"))
 
 
 QUERY = "the ofth"
@@ -316,13 +316,13 @@ QUERY = "the ofth"
 
 def fts_search(spark, d):
     """Rows that hold every term of a query, the last letters free."""
-    own = _documents_as_records(spark, d).where("match_status = 'matched'")
+    own = _documents_as_records(spark, d)
     terms = search.index_terms(own, "id", ("id", "name", "address"))
     return search.ranked(terms, own, "id", search.query_phrases(QUERY, spark)).select("key")
 
 
 def fts_rank(spark, d):
-    own = _documents_as_records(spark, d).where("match_status = 'matched'")
+    own = _documents_as_records(spark, d)
     terms = persist_cut(search.index_terms(own, "id", ("id", "name", "address")))
     return search.ranked(terms, own, "id", search.query_phrases(QUERY, spark)).select("key", F.round("score", 6).alias("score"))
 

@@ -1,5 +1,9 @@
 """Registered queries against brute force, on tables small enough for it."""
 
+import math
+import random
+import re
+import unicodedata
 from collections import Counter
 from itertools import combinations
 
@@ -73,3 +77,33 @@ def test_rooms_of_all_records(spark, contested, rows, pairs):
     assert sum(2 if r["match_status"] == "matched" else 1 for r in made) == every
     # Of the contested pairs at least the first has rooms of like names.
     assert "A-000001" in {r["canonical_id"] for r in rows("room_matching")} <= {a for a, _ in pairs}
+
+
+WORDS = "the often Often café of the tree house ofthe offthe".split()
+
+
+@pytest.fixture(scope="module")
+def documents(spark, tmp_path_factory):
+    """Documents of every language, and of none."""
+    rng = random.Random(3)
+    d = str(tmp_path_factory.mktemp("documents"))
+    made = [(i, " ".join(rng.choices(WORDS, k=rng.randint(1, 9))), lang, "web") for i, lang in enumerate(["en", "fr", "de", "es", None] * 8)]
+    made += [(90, None, "en", None), (91, "the ofthé", "fr", "web")]
+    spark.createDataFrame(made, "doc_id long, text string, lang string, source string").write.parquet(f"{d}/documents.parquet")
+    return d, made
+
+
+def test_search_ranks_over_all_documents(spark, documents):
+    d, made = documents
+    fold = lambda s: re.findall(r"[^\W_]+", "".join(c for c in unicodedata.normalize("NFKD", s or "").lower() if not unicodedata.combining(c)))
+    terms = {f"DOC-{i:09d}": [*fold(f"DOC-{i:09d}"), *fold(t), *fold(s)] for i, t, _, s in made}
+    mean = sum(map(len, terms.values())) / len(terms)
+    want: dict[str, float] = {}
+    hits = [{k: n for k, ts in terms.items() if (n := sum(t.startswith(w) for t in ts))} for w in ("the", "ofth")]
+    for k in hits[0].keys() & hits[1].keys():
+        idf = [max(1e-6, math.log((len(terms) - len(h) + 0.5) / (len(h) + 0.5))) for h in hits]
+        want[k] = sum(i * h[k] * 2.2 / (h[k] + 1.2 * (0.25 + 0.75 * len(terms[k]) / mean)) for i, h in zip(idf, hits, strict=True))
+    assert "DOC-000000091" in want and len({made[int(k[4:])][2] for k in want if k < "DOC-000000090"}) == 5
+    got = {r["key"]: r["score"] for r in queries()["fts_rank"](spark, d).collect()}
+    assert got == pytest.approx(want, abs=2e-6)
+    assert {r["key"] for r in queries()["fts_search"](spark, d).collect()} == want.keys()
