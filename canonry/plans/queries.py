@@ -174,14 +174,13 @@ def valid_edges(spark, d):
 
 
 def vector_topk(spark, d):
-    """Per vector of even id its five most similar of odd id."""
+    """Per vector its five most similar of the other supplier, the parity of the id."""
     v = _table(spark, d, "embeddings")
     norm = v.withColumn("unit", F.transform("embedding", lambda x: x.cast("double") / F.sqrt(scores.dot(F.col("embedding"), F.col("embedding"))))).select("vec_id", "unit")
-    norm = norm.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(16)))
-    # The even vectors meet the odd ones in blocks.
-    a = norm.where("vec_id % 2 = 0").select(F.col("vec_id").alias("query_id"), F.col("unit").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("block"))
-    b = norm.where("vec_id % 2 = 1")
-    pairs = a.join(b, "block").withColumn("similarity", F.round(scores.dot(F.col("q"), F.col("unit")), 6))
+    norm = norm.withColumns({"block": F.pmod(F.xxhash64("vec_id"), F.lit(16)), "supplier": F.pmod("vec_id", F.lit(2))})
+    # Each vector meets those of the other supplier in blocks.
+    a = norm.select(F.col("vec_id").alias("query_id"), F.col("unit").alias("q"), (1 - F.col("supplier")).alias("supplier"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("block"))
+    pairs = a.join(norm, ["block", "supplier"]).withColumn("similarity", F.round(scores.dot(F.col("q"), F.col("unit")), 6))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
     return pairs.select("query_id", "vec_id", "similarity").withColumn("rank", rank).where("rank <= 5")
 

@@ -107,3 +107,18 @@ def test_search_ranks_over_all_documents(spark, documents):
     got = {r["key"]: r["score"] for r in queries()["fts_rank"](spark, d).collect()}
     assert got == pytest.approx(want, abs=2e-6)
     assert {r["key"] for r in queries()["fts_search"](spark, d).collect()} == want.keys()
+
+
+def test_every_vector_is_asked(spark, tmp_path):
+    rng = random.Random(5)
+    v = {i: [rng.gauss(0, 1) for _ in range(4)] for i in range(31)}
+    spark.createDataFrame(list(v.items()), "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    stored = {r["vec_id"]: r["embedding"] for r in spark.read.parquet(f"{tmp_path}/embeddings.parquet").collect()}
+    dot = lambda x, y: sum(a * b for a, b in zip(x, y, strict=True))
+    cosine = lambda x, y: dot(x, y) / math.sqrt(dot(x, x) * dot(y, y))
+    want = {}
+    for i, x in stored.items():
+        best = sorted((-round(cosine(x, y), 6), j) for j, y in stored.items() if (i - j) % 2)[:5]
+        want |= {(i, k + 1): j for k, (_, j) in enumerate(best)}
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in queries()["vector_topk"](spark, str(tmp_path)).collect()}
+    assert got == want and {i for i, _ in got} == set(v)
