@@ -56,6 +56,13 @@ VOID = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "l
 INLINE = frozenset(
     {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 )
+#: Elements that a list item, term or choice may leave open when its next sibling
+#: begins (fixed values of HTML, with the inline ones).
+LOOSE = INLINE | {"p", "div", "address"}
+#: Elements whose end may be left out, and the open siblings that they end.
+SIBLINGS = {"li": ("li",), "option": ("option",), "dt": ("dt", "dd"), "dd": ("dt", "dd")}
+#: Parts of tables, the open ones that they end, and within what.
+CELLS = {"td": (("td", "th"), ("table",)), "th": (("td", "th"), ("table",)), "tr": (("tr",), ("table", "thead", "tbody", "tfoot"))}
 #: Elements that are boilerplate wherever they stand.
 BOILERPLATE = frozenset({"nav", "header", "footer", "aside", "form", "button", "select", "menu", "dialog", "head"})
 #: Parts of class names and ids that mark boilerplate.
@@ -88,8 +95,26 @@ def tokens(html: str) -> list[Token]:
     out: list[Token] = []
     at, n = 0, len(html)
     open_: list[tuple[str, str, bool]] = []
+    # Where in open_ each name stands, and what is not inline, or not loose.
+    places: dict[str, list[int]] = {}
+    blocks: list[int] = []
+    walls: list[int] = []
     boiler = 0
 
+    def last(*names: str) -> int:
+        return max((places[x][-1] for x in names if places.get(x)), default=-1)
+
+    def end(k: int) -> None:
+        """Close open_[k] and all in it; each element is closed once."""
+        nonlocal boiler
+        for o in open_[k:]:
+            boiler -= o[2]
+            places[o[0]].pop()
+        del open_[k:]
+        for some in (blocks, walls):
+            while some and some[-1] >= k:
+                some.pop()
+
     def text(piece: str) -> None:
         if piece:
             out.append(Token("", "", False, piece, 0 if piece.isspace() else len(piece.split()), boiler > 0))
@@ -105,12 +130,11 @@ def tokens(html: str) -> list[Token]:
         if not name:
             continue
         if m[1]:
-            k = next((i for i in range(len(open_) - 1, max(-1, len(open_) - 200), -1) if open_[i][0] == name), None)
+            k = last(name)
             kind, inside = "/" + name, boiler > 0
-            if k is not None:
+            if k >= 0:
                 kind = "/" + open_[k][1]
-                boiler -= sum(o[2] for o in open_[k:])
-                del open_[k:]
+                end(k)
             out.append(Token(kind, name, True, "", 0, inside))
             continue
         named = " ".join(a or b or c for a, b, c in _NAMED.findall(m[3])) if m[3] else ""
@@ -122,14 +146,19 @@ def tokens(html: str) -> list[Token]:
             at = n if stop is None else stop.end()
             continue
         if name not in VOID:
-            if name == "p" and open_:  # a paragraph ends an open one
-                for i in range(len(open_) - 1, -1, -1):
-                    if open_[i][0] == "p":
-                        boiler -= sum(o[2] for o in open_[i:])
-                        del open_[i:]
-                        break
-                    if open_[i][0] not in INLINE:
-                        break
+            if name == "p":  # a paragraph ends an open one
+                if blocks and open_[blocks[-1]][0] == "p":
+                    end(blocks[-1])
+            elif name in SIBLINGS:
+                if walls and open_[walls[-1]][0] in SIBLINGS[name]:
+                    end(walls[-1])
+            elif name in CELLS and (k := last(*CELLS[name][0])) > last(*CELLS[name][1]):
+                end(k)
+            if name not in INLINE:
+                blocks.append(len(open_))
+            if name not in LOOSE:
+                walls.append(len(open_))
+            places.setdefault(name, []).append(len(open_))
             open_.append((name, kind, bad))
             boiler += bad
         out.append(Token(kind, name, False, "", 0, boiler > 0))

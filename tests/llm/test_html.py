@@ -49,3 +49,20 @@ def test_table(spark):
     got = html.extract(df).collect()
     assert len(got) == len(rows) and {r["text"] for r in got if r["page_id"] == 99} == {""} and {r["text"] for r in got if r["page_id"] == 1} == {"Title 1 here\nSome words & more words 0."}
     assert html.extract(df.where(F.lit(False))).count() == 0
+
+
+def test_many_unclosed_items_before_the_article():
+    options = "<form><select>" + "".join(f"<option>Land {i}" for i in range(300)) + "</select></form>"
+    items = '<div class="menu"><ul>' + "".join(f"<li>Item {i}<div>" for i in range(300)) + "</ul></div>"
+    cells = "<nav><table>" + "<tr><td>a<th>b" * 300 + "</table></nav>"
+    for before in (options, items, cells):
+        assert html.main_text(FRAME.format(f"{before}<article><p>The words of the page.</p></article>"), W) == "The words of the page."
+
+
+def test_siblings_end_each_other():
+    # The item of the class ends where the next begins, not so across lists.
+    for a, b, c in (("<ul>", "li", "</ul>"), ("<dl>", "dt", "</dl>"), ("<table><tr>", "td", "</table>"), ("<table>", "tr", "</table>"), ("<select>", "option", "</select>")):
+        found = html.tokens(f'{a}<{b} class="ad">not this<{b}>but this{c}')
+        assert {t.text: t.boiler for t in found if t.text} == {"not this": True, "but this": b == "option"}
+    found = html.tokens('<ul><li class="ad">x<ul><li>inner</ul>y<li>z</ul>')
+    assert {t.text: t.boiler for t in found if t.text} == {"x": True, "inner": True, "y": True, "z": False}
