@@ -10,9 +10,10 @@ out, character references are decoded, and blocks are joined by line feeds.
 
 Labelled pages: pages whose markup names their content with one ``article`` or
 ``main`` element are labels for the weights.  The weights are fitted on at most
-``SAMPLE_PAGES`` of them, chosen by hash among those of at most
-``SAMPLE_PAGE_CHARS`` characters, a documented bound.  Pages without such markup
-are read by the same weights.
+``SAMPLE_PAGES`` of them, of any length, chosen by hash, a documented bound.  They
+are read on the executors; only how often each kind of tag stands inside and
+outside, and how many pages each trial finds, reach the driver.  Pages without
+such markup are read by the same weights.
 
 Defined results: a null or empty html and a page without words give the empty
 text; markup cut off at the end is read as far as it goes; an unknown character
@@ -36,10 +37,8 @@ from pyspark.sql import types as T
 
 from . import common
 
-#: Labelled pages the weights are fitted on, at most, and the most characters of
-#: the html of one of them.
+#: Labelled pages the weights are fitted on, at most.
 SAMPLE_PAGES = 2000
-SAMPLE_PAGE_CHARS = 20_000
 #: What a word scores; words in elements that are boilerplate score nothing.
 WORD = 1.0
 #: Multiples of the log ratio that are tried; the one that finds the content of
@@ -223,23 +222,49 @@ def _spread(found: list[Token], span: tuple[int, int]) -> tuple[int, int]:
     return a, b
 
 
-def fit(pages: Iterable[str]) -> Weights:
-    """Weights from the labelled ones among ``pages``."""
-    known = [(t, s) for t in map(tokens, pages) if (s := label(t)) is not None and s[0] <= s[1]]
-    if not known:
-        return Weights()
+def _known(pages: Iterable[str]) -> Iterator[tuple[list[Token], tuple[int, int]]]:
+    """The labelled ones among ``pages``, with their labels."""
+    return ((t, s) for t in map(tokens, pages) if (s := label(t)) is not None and s[0] <= s[1])
+
+
+def _count(pages: Iterable[str]) -> tuple[Counter, Counter]:
+    """How often each kind of tag stands inside and outside the labels."""
     inside, outside = Counter(), Counter()
-    for found, (a, b) in known:
+    for found, (a, b) in _known(pages):
         for i, t in enumerate(found):
             if t.kind:
                 (inside if a <= i <= b else outside)[_kind(t)] += 1
+    return inside, outside
+
+
+def _trials(inside: Counter, outside: Counter) -> list[Weights]:
+    """Weights for each of ``SCALES``."""
     ratio = {k: math.log((outside[k] + 1) / (inside[k] + 1)) for k in [*inside, *outside]}
-    trial: list[tuple[int, float, Weights]] = []
-    for scale in SCALES:
-        w = Weights({k: 0.05 + scale * max(0.0, r) for k, r in ratio.items()}, PLAIN_COST)
-        right = sum(_spread(f, best_run(f, w)) == _spread(f, s) for f, s in known)
-        trial.append((-right, scale, w))
-    return min(trial, key=lambda x: x[:2])[2]
+    return [Weights({k: 0.05 + scale * max(0.0, r) for k, r in ratio.items()}, PLAIN_COST) for scale in SCALES]
+
+
+def _right(pages: Iterable[str], trials: list[Weights]) -> list[int]:
+    """Of how many labelled pages each trial finds the content."""
+    right = [0] * len(trials)
+    for f, s in _known(pages):
+        want = _spread(f, s)
+        for i, w in enumerate(trials):
+            right[i] += _spread(f, best_run(f, w)) == want
+    return right
+
+
+def _best(trials: list[Weights], right: list[int]) -> Weights:
+    return trials[max(range(len(trials)), key=lambda i: (right[i], -i))]
+
+
+def fit(pages: Iterable[str]) -> Weights:
+    """Weights from the labelled ones among ``pages``."""
+    pages = list(pages)
+    inside, outside = _count(pages)
+    if not outside and not inside:
+        return Weights()
+    trials = _trials(inside, outside)
+    return _best(trials, _right(pages, trials))
 
 
 def main_text(html: str | None, weights: Weights) -> str:
@@ -269,9 +294,30 @@ def main_text(html: str | None, weights: Weights) -> str:
 def learn(df: DataFrame, html: str = "html") -> Weights:
     """Weights from at most ``SAMPLE_PAGES`` pages, chosen by a hash so that the
     choice depends on nothing but the pages."""
-    named = df.select(F.col(html).alias("html")).where(F.col("html").rlike("(?i)<(article|main)[\\s>]") & (F.length("html") <= SAMPLE_PAGE_CHARS))
-    chosen = common.sampled(named, SAMPLE_PAGES, "html").collect()
-    return fit(sorted(r["html"] for r in chosen))
+    common.ship(df.sparkSession)
+    named = df.select(F.col(html).alias("html")).where(F.col("html").rlike("(?i)<(article|main)[\\s>]"))
+    chosen = common.sampled(named, SAMPLE_PAGES, "html")
+
+    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[str]:
+        return (h.as_py() for b in batches for h in b.column(0))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        inside, outside = _count(pages(batches))
+        kinds = list(inside | outside)
+        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array([inside[k] for k in kinds], pa.int64()), pa.array([outside[k] for k in kinds], pa.int64())], ["kind", "inside", "outside"])
+
+    counted = chosen.mapInArrow(common.task(count), "kind string, inside long, outside long")
+    rows = counted.groupBy("kind").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside")).collect()
+    if not rows:
+        return Weights()
+    trials = _trials(Counter({r["kind"]: r["inside"] for r in rows}), Counter({r["kind"]: r["outside"] for r in rows}))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(trials)), pa.int32()), pa.array(_right(pages(batches), trials), pa.int64())], ["trial", "right"])
+
+    scored = chosen.mapInArrow(common.task(score), "trial int, right long")
+    right = {r["trial"]: r["n"] for r in scored.groupBy("trial").agg(F.sum("right").alias("n")).collect()}
+    return _best(trials, [right[i] for i in range(len(trials))])
 
 
 def extract(df: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url"), weights: Weights | None = None) -> DataFrame:

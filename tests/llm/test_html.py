@@ -66,3 +66,12 @@ def test_siblings_end_each_other():
         assert {t.text: t.boiler for t in found if t.text} == {"not this": True, "but this": b == "option"}
     found = html.tokens('<ul><li class="ad">x<ul><li>inner</ul>y<li>z</ul>')
     assert {t.text: t.boiler for t in found if t.text} == {"x": True, "inner": True, "y": True, "z": False}
+
+
+def test_long_pages_are_labels_too(spark):
+    long = [page(f"<h1>Title {i} here</h1>" + "<p>Some words &amp; more words.</p>" * 800) for i in range(5)]
+    assert min(map(len, long)) > 20_000
+    df = spark.createDataFrame([(p,) for p in long + [None, "<main", "no label"]], "html string")
+    learnt, want = html.learn(df), html.fit(long)
+    assert learnt.cost == want.cost and learnt.cost
+    assert html.learn(spark.createDataFrame([(None,), ("no label",)], "html string")).cost == {}
