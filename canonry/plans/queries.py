@@ -283,7 +283,7 @@ def image_dedupe(spark, d):
     docs = _table(spark, d, "documents").where("text is not null")
     url = F.concat(F.lit("doc/"), F.lpad(F.col("doc_id").cast("string"), 9, "0"))
     lists = docs.groupBy("source").agg(F.sort_array(F.collect_list(url)).alias("urls"))
-    prints = docs.select(url.alias("url"), F.concat_ws(":", F.octet_length("text").cast("string"), F.md5(F.substring("text", 1, 4096))).alias("fingerprint"))
+    prints = docs.select(url.alias("url"), F.concat_ws(":", F.octet_length("text").cast("string"), F.md5("text")).alias("fingerprint"))
     return merge.dedupe_by_content(lists, "source", "urls", prints).select("source", F.size("urls").cast("long").alias("n"), F.md5(F.array_join("urls", "|")).alias("urls_md5"))
 
 

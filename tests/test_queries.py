@@ -1,5 +1,6 @@
 """Registered queries against brute force, on tables small enough for it."""
 
+import hashlib
 import math
 import random
 import re
@@ -122,3 +123,11 @@ def test_every_vector_is_asked(spark, tmp_path):
         want |= {(i, k + 1): j for k, (_, j) in enumerate(best)}
     got = {(r["query_id"], r["rank"]): r["vec_id"] for r in queries()["vector_topk"](spark, str(tmp_path)).collect()}
     assert got == want and {i for i, _ in got} == set(v)
+
+
+def test_contents_that_differ_late_are_two(spark, tmp_path):
+    same = "x" * 5000
+    rows = [(1, same + "a", "s"), (2, same + "b", "s"), (3, same + "a", "s"), (4, "y", "t")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["source"]: (r["n"], r["urls_md5"]) for r in queries()["image_dedupe"](spark, str(tmp_path)).collect()}
+    assert got == {"s": (2, hashlib.md5(b"doc/000000001|doc/000000002").hexdigest()), "t": (1, hashlib.md5(b"doc/000000004").hexdigest())}
