@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor
 kept, and returns a DataFrame that is written as Parquet and read again as the
 next one's ``docs``.  All but the last return the columns of ``documents``.
 
-1. ``quality``: documents that the rule ensemble rejects (score below 0.5) go.
+1. ``quality``: documents that the rule ensemble rejects (score below 0.7, where
+   ``op6_quality`` predicts 0) go; where nothing could be learnt, all stay.
    It is learnt from the labels of documents that are not held out.
 2. ``near_duplicates``: of each group of documents linked by five-word shingles
    at a Jaccard similarity of 0.8 or more, the one of smallest doc_id stays; of
@@ -23,7 +24,6 @@ from pyspark.sql import functions as F
 
 from canonry.llm import common, jaccard, packing, quality, substrings
 
-KEEP_FROM = 0.5
 SHINGLE, PERCENT = 5, 80
 PASSAGE = 50
 #: Ids that are broadcast at most.
@@ -33,8 +33,10 @@ BROADCAST_ROWS = 500_000
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what the classifier does not reject; a null text counts as empty."""
     model = quality.learn(docs.select("doc_id", "text"), common.table(spark, sf_dir, "labels"))
+    if not model.rules and model.intercept == 0:
+        return docs
     scored = quality.with_statistics(docs, keep_text=True)
-    return scored.where(model.column(F.col(quality.COLUMN)) >= KEEP_FROM).select(*docs.columns)
+    return scored.where(model.column(F.col(quality.COLUMN)) >= quality.THRESHOLD).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

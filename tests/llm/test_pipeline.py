@@ -52,3 +52,18 @@ def test_empty_tables(spark, tmp_path):
     for name, stage in pipeline.STAGES:
         odd = stage(spark, odd, str(tmp_path))
         assert odd.count() >= 2, name
+
+
+def test_quality_stage_rejects_what_the_operator_does(spark, tmp_path, monkeypatch):
+    import math
+
+    from canonry.llm import quality
+
+    spark.createDataFrame([(1, "Some words.", "en", "web", 11)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert pipeline.quality_stage(spark, docs, str(tmp_path)).count() == 1  # nothing to learn from
+    for p, kept in ((0.45, 0), (0.6, 0), (0.75, 1)):
+        monkeypatch.setattr(quality, "learn", lambda *a, p=p: quality.Ensemble(math.log(p / (1 - p)), []))
+        assert quality.op6_quality(spark, str(tmp_path)).first()["predicted"] == kept
+        assert pipeline.quality_stage(spark, docs, str(tmp_path)).count() == kept
