@@ -50,6 +50,7 @@ _DIGIT = (_BYTES >= 48) & (_BYTES <= 57)
 _SPACE = (_BYTES == 32) | ((_BYTES >= 9) & (_BYTES <= 13))
 _PLAIN_MARK = np.isin(_BYTES, list(b".,;:'\"-()?"))
 _MARK = ~_LETTER & ~_DIGIT & ~_SPACE
+_MARKS = bytes(np.flatnonzero(_MARK).tolist())
 
 
 def statistics(text: str | None) -> list[float]:
@@ -70,7 +71,7 @@ def statistics(text: str | None) -> list[float]:
     ends = Counter(x[-1] for x in words)
     begins = Counter(x[0] for x in words)
     odd_ends = sum(c for b, c in ends.items() if _MARK[b] and not _PLAIN_MARK[b])
-    bare = sum(c for x, c in kinds.items() if not any(_LETTER[b] or _DIGIT[b] for b in x[:8]))
+    bare = sum(c for x, c in kinds.items() if not x.strip(_MARKS))
     upper = sum(c for x, c in kinds.items() if len(x) > 1 and x.isupper())
     same = sum(a == b for a, b in zip(words, words[1:], strict=False))
     pairs = len(set(zip(words, words[1:], strict=False)))

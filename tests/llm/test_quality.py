@@ -51,3 +51,8 @@ def test_lasso_drops_idle_rules():
     y = (rng.random(2000) < np.where(h[:, 3] > 0, 0.9, 0.1)).astype(float)
     _, w = quality.lasso(h, y, 0.03)
     assert np.argmax(np.abs(w)) == 3 and (np.abs(w) > 1e-6).sum() <= 3
+
+
+def test_words_are_bare_as_a_whole():
+    share = lambda t: quality.statistics(t)[quality.STATISTICS.index("bare_marks")]
+    assert abs(share("========Heading --------1 ========é ======== --- a") - 2 / 6) < 1e-9
