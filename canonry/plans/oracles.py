@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from canonry.config import DEFAULT as C
 from canonry.functions import text as X
+from canonry.operators import adjudicate as A
 from canonry.operators import search as S
 from canonry.plans.queries import QUERY
 from canonry.plans.synthetic import WITH_FEEDS, WITH_ROOMS
@@ -23,7 +24,24 @@ near as (select u.supplier as us, u.id as ui, v.supplier as vs, v.id as vi, {_KM
 ranked as (select *, row_number() over (partition by us, ui order by name_score desc, vs, vi) as rank from near),
 best as (select * from ranked where rank <= {C.candidates} and us <> vs)"""
 
-_EDGES = f"""{_NEAR},
+
+
+def _matching(edges: str, u: str, v: str) -> str:
+    """``matched``: of each component of ``edges`` the set without common ends whose
+    weight is greatest, by trying all; for tables with small components."""
+    return f"""named as (select *, {u} as u, {v} as v, round(confidence * 1e10)::bigint as w from {edges}),
+links as (select u as x, v as y from named union select v, u from named),
+reach as (select x, x as y from links union select r.x, l.y from reach r join links l on l.x = r.y),
+root as (select x, min(y) as root from reach group by x),
+lined as (select n.*, root, row_number() over (partition by root order by u, v) as k, count(*) over (partition by root) as m from named n join root on x = u),
+tries as (select distinct root, 0::bigint as k, m, []::varchar[] as used, []::bigint[] as taken, 0::bigint as total from lined
+  union all select t.root, l.k, t.m, case when take then list_concat(used, [u, v]) else used end, case when take then list_append(taken, l.k) else taken end, total + case when take then w else 0 end
+  from tries t join lined l on l.root = t.root and l.k = t.k + 1, (values (true), (false)) as choice(take) where not take or not list_has_any(used, [u, v])),
+best_of as (select root, arg_max(taken, total) as taken from tries where k = m group by root),
+matched as (select l.* exclude (u, v, w, root, k, m) from lined l join best_of using (root) where list_contains(taken, k))"""
+
+
+_EDGES = f"""{_NEAR.replace("with b as", "with recursive b as", 1)},
 pairs as (select distinct on (supplier_a, a_id, supplier_b, b_id) * from (
   select least(us, vs) as supplier_a, case when us < vs then ui else vi end as a_id, greatest(us, vs) as supplier_b, case when us < vs then vi else ui end as b_id, dist_km, name_score, stars_score, apart from best)),
 tiers as (select *, dist_km > {C.max_km} as is_rescue from pairs where dist_km <= {C.max_km} or (name_score >= {C.rescue_name} and not apart)),
@@ -36,17 +54,22 @@ valid as (select * from kept where eligible and confidence >= {C.accept}),
 ends as (select supplier_a as supplier, a_id as id from valid union all select supplier_b, b_id from valid),
 degree as (select supplier, id, count(*) as n from ends group by all),
 lone as (select v.* from valid v join degree x on x.supplier = v.supplier_a and x.id = v.a_id join degree y on y.supplier = v.supplier_b and y.id = v.b_id where x.n = 1 and y.n = 1),
-claimed as (select supplier_a as supplier, a_id as id from lone union all select supplier_b, b_id from lone),
+{_matching("valid", "concat_ws('::', supplier_a, a_id)", "concat_ws('::', supplier_b, b_id)")},
+claimed as (select supplier_a as supplier, a_id as id from matched union all select supplier_b, b_id from matched),
 misses as (select supplier_a, a_id, supplier_b, b_id, round(confidence, 4) as confidence, round(geo_score, 4) as geo_score, round(name_score, 4) as name_score, round(stars_score, 4) as stars_score, round(dist_km, 4) as dist_km, eligible, is_rescue
-  from kept k where not exists (select 1 from lone l where (l.supplier_a, l.a_id, l.supplier_b, l.b_id) = (k.supplier_a, k.a_id, k.supplier_b, k.b_id))),
+  from kept k where not exists (select 1 from matched l where (l.supplier_a, l.a_id, l.supplier_b, l.b_id) = (k.supplier_a, k.a_id, k.supplier_b, k.b_id))),
 hard as (select *, geo_score - abs(name_score - 0.5) as priority from misses m where geo_score >= {C.hard_geo} and name_score >= {C.hard_name_low} and name_score < {C.hard_name_high}
   and not exists (select 1 from claimed c where c.supplier = m.supplier_a and c.id = m.a_id) and not exists (select 1 from claimed c where c.supplier = m.supplier_b and c.id = m.b_id)
   order by priority desc, supplier_a, a_id, supplier_b, b_id limit {C.hard_pairs}),
-numbered as (select *, row_number() over (order by priority desc, supplier_a, a_id, supplier_b, b_id) - 1 as i from hard),
-member as (select a_id as cid, 0 as place, 'a' as supplier, a_id as id, confidence, is_rescue from lone union all select a_id, 1, supplier_b, b_id, confidence, is_rescue from lone),
+numbered as (select *, row_number() over (order by priority desc, supplier_a, a_id, supplier_b, b_id) - 1 as i, concat_ws('::', supplier_a, a_id, supplier_b, b_id) as key from hard),
+judged as (select *, ('0x' || left(md5(key), 4))::int as x, x % 3 = 0 as same_hotel, x % 100 / 100.0e0 as verdict_confidence from numbered),
+single as (select supplier, id from feeds f where not exists (select 1 from claimed c where c.supplier = f.supplier and c.id = f.id)),
+member as (select a_id as cid, 0 as place, supplier_a as supplier, a_id as id, confidence, case when is_rescue then 'rescue' else 'geo_fuzzy' end as method from matched
+  union all select a_id, 1, supplier_b, b_id, confidence, case when is_rescue then 'rescue' else 'geo_fuzzy' end from matched
+  union all select id, 0, supplier, id, 1.0e0, 'singleton' from single),
 record as (select m.*, f.name, f.address, f.lat, f.lon, f.stars from member m join feeds f using (supplier, id)),
-node as (select case when is_rescue then 'rescue' else 'geo_fuzzy' end as method, a_id as first_id, confidence, 2 as size from lone
-  union all select 'singleton', id, 1.0, 1 from feeds f where not exists (select 1 from claimed c where c.supplier = f.supplier and c.id = f.id))"""
+node as (select cid as first_id, any_value(method) as method, any_value(confidence) as confidence, count(*) as size, string_agg(id, '|' order by place) as nodes from member group by cid),
+called as (select *, printf('CAN-%05d', row_number() over (order by method = 'singleton', first_id)) as canonical_id from node)"""
 
 _SIX = "round(dist_km, 6) as dist_km, round(geo_score, 6) as geo_score, round(name_score, 6) as name_score, round(stars_score, 6) as stars_score, round(confidence, 6) as confidence"
 _PAIR = "supplier_a, a_id, supplier_b, b_id"
@@ -78,11 +101,33 @@ def _room_normal(c: str) -> str:
 
 
 _FOUND = rf"coalesce(nullif(regexp_extract(t, '{X.GUESTS}', 1), ''), nullif(regexp_extract(t, '{X.SLEEPS}', 1), ''))"
-_RECORDS = f"{_EDGES}, own as (select cid as id, {_longest('name')} as name, {_longest('address')} as address from record group by cid)"
+_RECORDS = f"{_EDGES}, own as (select cid as id, {_longest('name')} as name, {_longest('address')} as address, count(*) as size from record group by cid)"
+_SIDE = "concat('{letter}=\"', {x}.name, '\" (', {x}.address, ', ', coalesce({x}.stars::varchar, 'unknown'), ' stars)')"
+_LINES = f"""{_EDGES}, lines as (select i // {C.batch_pairs} as batch, i % {C.batch_pairs} as index,
+  concat(i % {C.batch_pairs}, '. ', {_SIDE.format(letter="A", x="x")}, ' vs ', {_SIDE.format(letter="B", x="y")}, '; ', round(dist_km * 1000)::bigint, 'm apart.') as line
+  from numbered n join feeds x on (x.supplier, x.id) = (supplier_a, a_id) join feeds y on (y.supplier, y.id) = (supplier_b, b_id))"""
+_GREEDY = f"""{_EDGES}, turns as (select *, row_number() over (order by verdict_confidence desc, priority desc, supplier_a, a_id, supplier_b, b_id) as turn from judged where same_hotel),
+walk as (select 0::bigint as turn, []::varchar[] as used_a, []::varchar[] as used_b, false as taken
+  union all select t.turn, case when free then list_append(used_a, t.a) else used_a end, case when free then list_append(used_b, t.b) else used_b end, free
+  from (select w.used_a, w.used_b, t.turn, concat_ws('::', supplier_a, a_id) as a, concat_ws('::', supplier_b, b_id) as b, not list_contains(w.used_a, a) and not list_contains(w.used_b, b) as free from walk w join turns t on t.turn = w.turn + 1) t),
+accepted as (select t.* from turns t join walk w using (turn) where taken)"""
+_ATTACHED = f"""{_EDGES}, attached as (select c.cid as canonical_hotel_id, s.cs as candidate_supplier, s.ci as candidate_id, confidence, geo_score, name_score from (
+  select supplier_a as supplier, a_id as id, supplier_b as cs, b_id as ci, confidence, geo_score, name_score from misses
+  union all select supplier_b, b_id, supplier_a, a_id, confidence, geo_score, name_score from misses) s join (select cid, supplier, id from member) c using (supplier, id))"""
+
+
+def _once(items: str) -> str:
+    """A list's items, each once whatever its case, between bars."""
+    return f"array_to_string(list_filter({items}, lambda t, i: list_position(list_transform({items}, lambda y: lower(y)), lower(t)) = i), '|')"
+
+
+_WORDS_OF = "list_filter(string_split(name, ' '), lambda t: t <> '')"
+_IMAGES = f"list_transform({_WORDS_OF}, lambda t: concat('img/', lower(t)))"
+
 
-#: Terms of an English document, as the search cuts them.
+#: Terms of a document, as the search cuts them.
 _TERMS = r"""
-with own as (select printf('DOC-%09d', doc_id) as id, coalesce(text, '') as name, coalesce(source, '') as address from documents where lang = 'en'),
+with own as (select printf('DOC-%09d', doc_id) as id, coalesce(text, '') as name, coalesce(source, '') as address from documents),
 cut as (select id, c, list_filter(regexp_split_to_array(strip_accents(lower(x)), '[^\p{L}\p{N}]+'), lambda t: t <> '') as terms
   from (select id, unnest([0, 1, 2]) as c, unnest([id, name, address]) as x from own)),
 terms as (select id, unnest(terms) as term from cut)"""
@@ -110,28 +155,42 @@ ORACLES = {
     "scored_edges": f"{_EDGES} select {_PAIR}, {_SIX}, eligible, is_rescue from kept",
     "valid_edges": f"{_EDGES} select {_PAIR}, {_SIX}, eligible, is_rescue from valid",
     "isolated_edge_matching": f"{_EDGES} select {_PAIR}, {_SIX}, eligible, is_rescue from lone",
-    "singletons": f"{_EDGES} select supplier, id from feeds f where not exists (select 1 from claimed c where c.supplier = f.supplier and c.id = f.id)",
+    "max_weight_matching": f"{_EDGES} select {_PAIR}, {_SIX}, eligible, is_rescue from matched",
+    "clusters": f"{_EDGES} select canonical_id, nodes, round(confidence, 4) as confidence, method from called",
+    "singletons": f"{_EDGES} select supplier, id from single",
     "near_misses": f"{_EDGES} select * from misses",
     "hard_cases": f"{_EDGES} select {_PAIR}, geo_score, name_score from hard",
+    "verdict_cache_join": f"{_EDGES} select key, same_hotel, verdict_confidence from judged",
     "llm_batches": f"{_EDGES} select a_id, b_id, (i // {C.batch_pairs})::int as batch, (i % {C.batch_pairs})::int as index from numbered",
+    "prompt_lines": f"{_LINES} select batch::int as batch, index::int as index, line from lines",
+    "prompts": f"{_LINES} select batch::int as batch, concat('{A.PREAMBLE.replace("'", "''")}', string_agg(line, '\n' order by index)) as prompt from lines group by batch",
+    "greedy_one_to_one": f"{_GREEDY} select {_PAIR}, verdict_confidence from accepted",
+    "promote": f"""{_GREEDY} select nodes, round(confidence, 4) as confidence, method, null::varchar as note from node
+      where first_id not in (select a_id from accepted) and first_id not in (select b_id from accepted)
+      union all select concat(a_id, '|', b_id), round(verdict_confidence, 4), 'llm', 'by key' from accepted""",
     "vector_topk": """
 with v as (select vec_id, embedding::double[] as e from embeddings),
-s as (select q.vec_id as query_id, c.vec_id, round(list_cosine_similarity(q.e, c.e), 6) as similarity from v q join v c on q.vec_id % 2 = 0 and c.vec_id % 2 = 1),
+s as (select q.vec_id as query_id, c.vec_id, round(list_cosine_similarity(q.e, c.e), 6) as similarity from v q join v c on q.vec_id % 2 <> c.vec_id % 2),
 r as (select *, row_number() over (partition by query_id order by similarity desc, vec_id) as rank from s)
 select query_id, vec_id, similarity, rank::int as rank from r where rank <= 5""",
     "similarity_stretch": f"""
 with v as (select vec_id, embedding::double[] as e from embeddings)
 select b.vec_id, round(greatest(0e0, ((list_cosine_similarity(a.e, b.e) + 1) / 2 - {C.similarity_floor}) / {C.similarity_span}), 5) as stretched from v a join v b on b.vec_id = a.vec_id + 1""",
     "spend_summary": "select sum(o_orderkey % 1000)::bigint as lifetime_prompt_tokens, sum(o_custkey % 100)::bigint as lifetime_completion_tokens, (20 * count(*))::bigint as lifetime_pairs_adjudicated, 0.0::double as lifetime_cost_usd from orders",
-    "merge_name_longest": f"{_RECORDS} select * from own",
+    "merge_name_longest": f"{_RECORDS} select id, name, address from own",
     "merge_avg": f"{_EDGES} select cid as id, round(avg(lat), 6) as lat, round(avg(lon), 6) as lon, round(avg(stars), 6) as stars from record group by cid",
-    "source_map": f"{_EDGES} select a_id as id, concat(supplier_a, '=', a_id, ',', supplier_b, '=', b_id) as source_ids, 'matched' as match_status, case when is_rescue then 'rescue' else 'geo_fuzzy' end as match_method from lone",
-    "canonical_ids": f"{_EDGES} select printf('CAN-%05d', row_number() over (order by method = 'singleton', first_id)) as canonical_id, first_id, method from node",
-    "near_miss_attach": f"""{_EDGES} select c.cid as canonical_hotel_id, s.cs as candidate_supplier, s.ci as candidate_id, confidence, geo_score, name_score from (
-      select supplier_a as supplier, a_id as id, supplier_b as cs, b_id as ci, confidence, geo_score, name_score from misses
-      union all select supplier_b, b_id, supplier_a, a_id, confidence, geo_score, name_score from misses) s join (select cid, supplier, id from member) c using (supplier, id)""",
+    "merge_list_union": f"{_EDGES} select id, {_once('words')} as amenities from (select cid as id, flatten(list({_WORDS_OF} order by place)) as words from record group by cid)",
+    "canonical_hotels": f"""{_EDGES} select * replace ({_once("amenities")} as amenities, {_once("image_urls")} as image_urls) from (
+      select c.canonical_id as id, {_longest("name")} as name, {_longest("address")} as address, round(avg(lat), 6) as lat, round(avg(lon), 6) as lon, round(avg(stars), 6) as stars,
+      flatten(list({_WORDS_OF} order by place)) as amenities, flatten(list({_IMAGES} order by place)) as image_urls, case when count(*) > 1 then 'matched' else 'singleton' end as match_status, round(any_value(c.confidence), 4) as match_confidence, any_value(c.method) as match_method, null::varchar as match_note
+      from record r join called c on c.first_id = r.cid group by c.canonical_id)""",
+    "source_map": f"{_EDGES} select cid as id, string_agg(concat(supplier, '=', id), ',' order by supplier) as source_ids, case when count(*) > 1 then 'matched' else 'singleton' end as match_status, any_value(method) as match_method from member group by cid",
+    "canonical_ids": f"{_EDGES} select canonical_id, first_id, method from called",
+    "near_miss_attach": f"{_ATTACHED} select * from attached",
+    "near_miss_top10": f"""{_ATTACHED}, ranked_ as (select *, row_number() over (partition by canonical_hotel_id order by confidence desc, candidate_supplier, candidate_id) as rank from attached)
+      select canonical_hotel_id, rank::int as rank, candidate_supplier, candidate_id, confidence, geo_score, name_score, name as candidate_name, address as candidate_address from ranked_ join feeds on (supplier, id) = (candidate_supplier, candidate_id) where rank <= {C.near_misses_shown}""",
     "image_dedupe": """
-with d as (select doc_id, source, 'doc/' || lpad(doc_id::varchar, 9, '0') as url, strlen(text)::varchar || ':' || md5(text[1:4096]) as fp from documents where text is not null),
+with d as (select doc_id, source, 'doc/' || lpad(doc_id::varchar, 9, '0') as url, strlen(text)::varchar || ':' || md5(text) as fp from documents where text is not null),
 r as (select *, row_number() over (partition by source, fp order by url) as k, count(*) over (partition by source) as n from d)
 select source, count(*)::bigint as n, md5(string_agg(url, '|' order by url)) as urls_md5 from r where k = 1 or n < 2 group by source""",
     "room_pairs_scored": f"""{_EDGES}, rooms as ({WITH_ROOMS.split("rooms as (", 1)[1]},
@@ -142,12 +201,18 @@ select source, count(*)::bigint as n, md5(string_agg(url, '|' order by url)) as
     "fts_search": f"{_TERMS}, {_HITS} select id as key from {_JOIN}",
     "fts_rank": f"{_TERMS}, {_HITS}, s as (select id, count(*) as len from terms group by id) select id as key, round({_SCORE}, 6) as score from {_JOIN} join s using (id)",
     "like_fallback": f"{_RECORDS} select id, name from own where name ilike '%road%' or address ilike '%road%' order by name, id limit 50 offset 5",
-    "list_page": f"{_RECORDS} select id, name from own order by id limit 20 offset 40",
+    "list_page": f"{_RECORDS} select id, name from own where size > 1 order by id limit 20 offset 40",
     "stats_by_status": f"{_EDGES} select case when size > 1 then 'matched' else 'singleton' end as match_status, count(*)::bigint as n from node group by 1",
     "stats_by_method": f"{_EDGES} select method as match_method, count(*)::bigint as n from node group by 1",
     "confidence_bands": f"{_EDGES} select case when round(confidence, 4) >= 0.85 then 'high' when round(confidence, 4) >= 0.6 then 'medium' else 'low' end as band, count(*)::bigint as n from node where size > 1 group by 1",
     "match_rate": f"{_EDGES} select count(*)::bigint as total, sum((size > 1)::int)::bigint as matched, round(sum((size > 1)::int) / count(*)::double, 6) as match_rate from node",
     "rate_limit_offered": "select event_id, (count(*) over (partition by user_id order by ts range between interval 86400 seconds preceding and current row))::bigint as offered from events",
+    "rate_limit_admitted": """
+with recursive own as (select event_id, user_id, epoch(ts) as t, row_number() over (partition by user_id order by ts, event_id) as k from events),
+walk as (select user_id, 0::bigint as k, []::double[] as recent, null::bigint as event_id, false as admitted from (select distinct user_id from own)
+  union all select user_id, k, case when free then list_append(live, t) else live end, event_id, free from (
+    select o.user_id, o.k, o.t, o.event_id, list_filter(w.recent, lambda x: o.t - x <= 86400) as live, len(live) < 2 as free from walk w join own o on o.user_id = w.user_id and o.k = w.k + 1))
+select event_id, admitted from walk where k > 0""",
 }
 
 
