@@ -4,7 +4,8 @@ The Burrows-Wheeler transform of the concatenated sequences is kept in a wavelet
 matrix of packed bits with a count for every 64 of them, one and a half bits a
 symbol and level.  Backward search narrows the interval of suffixes that begin
 with a pattern while the pattern grows to the left; many patterns are searched
-at once.
+at once.  A sequence that stands for several equal ones has their number as its
+weight, and an interval counts the weights of the suffixes in it.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ class Bits:
 
 
 class FMIndex:
-    def __init__(self, sequences: list[np.ndarray]):
-        sizes = np.fromiter(map(len, sequences), np.int64, len(sequences))
+    def __init__(self, sequences: list[np.ndarray], weights: np.ndarray):
+        self.sizes = sizes = np.fromiter(map(len, sequences), np.int64, len(sequences))
         self.starts = np.cumsum(sizes + 1) - sizes - 1
         flat = np.concatenate(sequences) if sequences else np.zeros(0, np.uint32)
         self.alphabet, dense = np.unique(flat, return_inverse=True)
@@ -49,6 +50,8 @@ class FMIndex:
         rank = self.text + m - 1
         rank[~is_word] = np.arange(m)
         suffixes = self._suffixes(rank)
+        #: Weight of all suffixes before each place of their order.
+        self.weight = np.concatenate([[0], np.cumsum(np.repeat(weights, sizes + 1)[suffixes])])
         bwt = self.text[suffixes - 1]
         count = np.bincount(self.text, minlength=len(self.alphabet) + 1)
         #: Suffixes that begin with a smaller symbol.
@@ -93,7 +96,7 @@ class FMIndex:
 
     def repeated_back_to(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """For each stretch of the text, the least f so that text[f + 1 : end + 1]
-        occurs at least twice, where f >= begin - 1."""
+        weighs two at least, where f >= begin - 1."""
         at = end.copy()
         low, high = np.zeros(len(end), np.int64), np.full(len(end), self.n, np.int64)
         live = np.arange(len(end))
@@ -101,28 +104,28 @@ class FMIndex:
             s = self.text[at[live]]
             pair = self.rank(np.concatenate([s, s]), np.concatenate([low[live], high[live]]))
             lo, hi = self.smaller[s] + pair[: len(s)], self.smaller[s] + pair[len(s) :]
-            go = hi - lo >= 2
+            go = self.weight[hi] - self.weight[lo] >= 2
             live = live[go]
             low[live], high[live] = lo[go], hi[go]
             at[live] -= 1
             live = live[at[live] >= begin[live]]
         return at
 
-    def repeated_windows(self, which: np.ndarray, sizes: np.ndarray, width: int) -> np.ndarray:
-        """For each of the sequences ``which`` a bit mask of the windows of
-        ``width`` symbols that occur at least twice, by matching statistics from
-        the right: a stretch that fails at f rules out every window around it."""
-        begin = self.starts[which]
-        end = begin + sizes - 1
-        mask = np.zeros(len(which), np.int64)
-        live = np.flatnonzero(sizes >= width)
+    def repeated_windows(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Intervals of windows of ``width`` symbols that weigh two at least, as
+        sequence, first and last window, by matching statistics of every sequence
+        from the right: a stretch that fails at f rules out every window around it.
+        Intervals of one sequence may overlap."""
+        end = self.starts + self.sizes - 1
+        live = np.flatnonzero(self.sizes >= width)
+        found = []
         while len(live):
-            b, e = begin[live], end[live]
+            b, e = self.starts[live], end[live]
             f = self.repeated_back_to(b, e)
-            first, last = f + 1 - b, e - width + 1 - b
-            some = last >= first
-            run = np.where(some, (np.int64(1) << np.where(some, last - first + 1, 0)) - 1, 0) << np.where(some, first, 0)
-            mask[live] |= run
+            some = e - f >= width
+            found.append(np.stack([live, f + 1 - b, e - width + 1 - b])[:, some])
             end[live] = np.minimum(e - 1, f + width - 1)
             live = live[(f >= b) & (end[live] - b >= width - 1)]
-        return mask
+        which, first, last = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+        order = np.argsort(which, kind="stable")
+        return which[order], first[order], last[order]

@@ -38,12 +38,41 @@ def corpus(seed):
     return [(i, t) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("seed,hot,shard", [(1, 200_000, 400_000), (2, 3, 400_000), (3, 200_000, 200)])
-def test_agrees_with_brute_force(spark, monkeypatch, seed, hot, shard):
+@pytest.mark.parametrize("seed,limit,shard,width", [(1, 1000, 400_000, 35), (2, 3, 400_000, 35), (3, 1000, 200, 35), (4, 1, 100, 35), (5, 1000, 400_000, 90), (6, 2, 400_000, 8)])
+def test_agrees_with_brute_force(spark, monkeypatch, seed, limit, shard, width):
     monkeypatch.setattr(substrings, "SHARD_WORDS", shard)
     rows = corpus(seed)
     df = spark.createDataFrame([(k, t, "x", 1) for k, t in rows], "doc_id long, text string, digest string, id int")
-    assert sorted((tuple(r) for r in substrings.remove_repeats(df, hot=hot).collect()), key=str) == brute(rows, 35)
+    assert sorted((tuple(r) for r in substrings.remove_repeats(df, width, limit=limit).collect()), key=str) == brute(rows, width)
+
+
+def test_long_passage_of_a_third_of_all_documents(spark):
+    """A passage of 1,000 words in 40 of 120 documents, and one of 300 in two."""
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randint(0, 99999)}"
+    p, q = [word() for _ in range(1000)], [word() for _ in range(300)]
+    rows = []
+    for i in range(120):
+        own = [[word() for _ in range(rng.randint(5, 60))] for _ in range(2)]
+        rows.append((i % 7, " ".join(own[0] + (p if i < 40 else q if i < 42 else []) + own[1])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for width, limit in ((35, 5), (90, 1000)):
+        assert sorted((tuple(r) for r in substrings.remove_repeats(df, width, limit=limit).collect()), key=str) == brute(rows, width)
+
+
+def test_halves_keep_every_window():
+    for window in (8, 9, 35, 50):
+        for windows in range(1, window - 6):
+            for place in range(windows - 1, window - 7):
+                cuts = substrings.halves(place, 8, windows, window) if window > 8 else []
+                assert [w for a, z, _, _ in cuts for w in range(a, z + 1)] == (list(range(windows)) if cuts else [])
+                for a, z, at, size in cuts:
+                    assert size > 8 and at - (z - a) >= 0 and at + size <= window
+
+
+def test_narrow_window_is_refused(spark):
+    with pytest.raises(ValueError):
+        substrings.remove_repeats(spark.createDataFrame([(1, "a")], "doc_id long, text string"), 7)
 
 
 def test_texts_are_cut_in_place(spark):
@@ -67,7 +96,7 @@ def test_index_counts_and_windows():
     rng = np.random.default_rng(1)
     for _ in range(10):
         seqs = [rng.integers(0, 6, rng.integers(1, 60)).astype(np.uint32) for _ in range(12)]
-        index = fmindex.FMIndex(seqs)
+        index = fmindex.FMIndex(seqs, np.ones(12, np.int64))
         bwt_rank = lambda s, i: int(index.rank(np.array([s]), np.array([i]))[0])
         pattern = seqs[0][: rng.integers(1, 4)]
         lo, hi = 0, index.n
@@ -76,8 +105,12 @@ def test_index_counts_and_windows():
             lo, hi = int(index.smaller[s]) + bwt_rank(s, lo), int(index.smaller[s]) + bwt_rank(s, hi)
         k = len(pattern)
         assert hi - lo == sum((x[i : i + k] == pattern).all() for x in seqs for i in range(len(x) - k + 1))
-        sizes = np.array([len(x) for x in seqs])
-        mask = index.repeated_windows(np.arange(12), sizes, 5)
-        seen = Counter(tuple(x[i : i + 5]) for x in seqs for i in range(len(x) - 4))
-        for x, m in zip(seqs, mask.tolist(), strict=True):
-            assert [bool(m >> i & 1) for i in range(len(x) - 4)] == [seen[tuple(x[i : i + 5])] > 1 for i in range(len(x) - 4)]
+        for weights in (np.ones(12, np.int64), rng.integers(1, 3, 12)):
+            which, first, last = fmindex.FMIndex(seqs, weights).repeated_windows(5)
+            seen = Counter()
+            for x, w in zip(seqs, weights.tolist(), strict=True):
+                for i in range(len(x) - 4):
+                    seen[tuple(x[i : i + 5])] += w
+            for n, x in enumerate(seqs):
+                got = {i for k, a, z in zip(which, first, last, strict=True) if k == n for i in range(a, z + 1)}
+                assert got == {i for i in range(len(x) - 4) if seen[tuple(x[i : i + 5])] > 1}
