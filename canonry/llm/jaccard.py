@@ -12,22 +12,27 @@ in the regions of all pivots its prefix elects; classes that link share a prefix
 shingle and so lie in a common region.  Shingles that are frequent in a sample
 come last in the order, so common passages elect no regions.
 
-Windows.  Within a region the distances to the pivot p bound all others: |d(x, p)
-- d(y, p)| <= d(x, y).  A region that is too large is cut into rings of width r
-around its pivot and the rings into blocks; a ring only meets itself and the next
-one, and members of the inner ring, all linked to the pivot, needn't meet each
-other.  So documents are replicated only to the blocks across a ring's boundary.
-
-Recursion.  A region or pair of blocks is joined by taking a new pivot, linking
-what lies within r, comparing those with the ones in (r, 2r] inside their windows,
-and going on with all that did not link.  Every pair that may link and isn't
-connected already is compared, so components are exact.  They are found from the
-links between classes by alternating stars.
-
-Shingles are compared by 64-bit hashes.  Defined results: a null text or one
-without words has the empty set and links with nothing; with fewer words than a
-shingle the whole sequence is one; repeated rows share a component; a null id
-counts as larger than any other; an empty table gives no rows.
+Voronoi regions.  A region with too many members or shingles is divided: ``PIVOTS``
+of its members become pivots, every member's distance to each is measured, and it
+goes to the nearest.  By the triangle inequality a document that links with one of
+another pivot's region lies at most 2r further from that pivot than from its own,
+so it is replicated to every pivot in that window and to no other.  What lies within
+r of its pivot is linked to it, and needn't meet others that are.  Regions are
+divided again, by new pivots, in rounds over all tasks.  Where distances are so even
+that division doesn't help, ``ROUNDS`` end it, and the region is cut into blocks of
+which each pair is joined, but those of members that are linked to one pivot.
+
+Recursion.  A region that fits is joined in one task by the same means: a new pivot,
+links to what lies within r, which is compared with what lies in (r, 2r] inside the
+windows of the triangle inequality, and on with all that did not link.  Every pair
+that may link and isn't connected already is compared, so components are exact.
+They are found from the links between classes by alternating stars.
+
+Shingles are compared by 64-bit hashes, texts that stand for a set by 128 bits.
+Defined results: a null text or one without words has the empty set and links with
+nothing; with fewer words than a shingle the whole sequence is one; repeated rows
+share a component; rows without an id are members like others, but name a component
+only if no member has an id (then it is null); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -50,14 +55,13 @@ PERCENT = 85
 EXTRA = 0.05
 #: Documents whose shingles set the order, and the least count of a frequent one.
 SAMPLE_ROWS, FREQUENT = 10_000, 4
-#: Members of a region that are joined in one task.
-REGION = 4000
+#: Members, and shingles, of a region that are joined in one task.
+REGION, SHINGLES = 1000, 2_000_000
+#: Pivots that divide a larger one, and how often one is divided.
+PIVOTS, ROUNDS = 8, 3
 #: Classes whose ids are broadcast at most to fetch their texts.
 BROADCAST_ROWS = 500_000
 
-_LAST = (1 << 63) - 1
-
-
 def _sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     h, n = shingles.shingle_hashes(texts, width, shingles.lower_words)
     return [np.unique(x) for x in np.split(h, np.cumsum(n)[:-1])] if texts else []
@@ -101,20 +105,21 @@ def _frequent(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def _classes(docs: DataFrame, width: int, percent: int, common_: np.ndarray) -> DataFrame:
-    """Of every row: its class, set size and prefix."""
+    """Of every row: its number, text digest, class, set size and prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
-                sets = _sets(part.column(1).to_pylist(), width)
+                sets = _sets(part.column(3).to_pylist(), width)
                 first = [prefix(s, common_, percent).view(np.int64) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([_class_of(s) if len(s) else None for s in sets], pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array(first, pa.list_(pa.int64()))],
-                    ["id", "c", "n", "first"],
+                    [*part.columns[:3], pa.array([_class_of(s) if len(s) else None for s in sets], pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array(first, pa.list_(pa.int64()))],
+                    ["id", "d1", "d2", "c", "n", "first"],
                 )
 
-    return docs.select("id", "text").mapInArrow(common.task(run), "id long, c long, n long, first array<long>")
+    made = docs.select("id", "d1", "d2", "text").mapInArrow(common.task(run), "id long, d1 long, d2 long, c long, n long, first array<long>")
+    return made.withColumn("row", F.monotonically_increasing_id())
 
 
 def _members(texts: DataFrame, width: int) -> DataFrame:
@@ -124,11 +129,10 @@ def _members(texts: DataFrame, width: int) -> DataFrame:
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
-                wanted, sets = part.column(0).to_pylist(), _sets(part.column(1).to_pylist(), width)
-                # An id may stand on several rows; only the text of this class counts.
-                own = [(c, s) for c, s in zip(wanted, sets, strict=True) if len(s) and _class_of(s) == c]
-                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in own], pa.int64()), pa.array([s.view(np.int64) for _, s in own], pa.list_(pa.int64()))], ["c", "s"])
+                sets = _sets(part.column(1).to_pylist(), width)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["c", "s"])
 
+    # Rows that share id and text are one set.
     return texts.select("c", "text").mapInArrow(common.task(run), "c long, s array<long>").dropDuplicates(["c"])
 
 
@@ -170,15 +174,19 @@ class Region:
         a, b = self.size[i], self.size[others]
         return others[100 * np.minimum(a, b) >= self.percent * np.maximum(a, b)]
 
-    def join(self, inner: np.ndarray | None = None) -> None:
-        """Unite all members that link, given that those marked ``inner`` are
-        linked to one pivot outside already."""
+    def join(self, label: np.ndarray | None = None) -> None:
+        """Unite all members that link, given that those of one ``label`` are linked
+        to one pivot outside already; 0 is no label."""
         r = 1 - self.percent / 100
         rest = np.arange(len(self.size))
-        if inner is not None:
-            known, rest = np.flatnonzero(inner), np.flatnonzero(~inner)
-            for i in known[1:]:
-                self.unite(int(known[0]), int(i))
+        if label is not None and label.any():
+            names, own, times = np.unique(label, return_inverse=True, return_counts=True)
+            for k in np.flatnonzero(names):
+                some = np.flatnonzero(own == k)
+                for i in some[1:]:
+                    self.unite(int(some[0]), int(i))
+            largest = int(np.argmax(np.where(names != 0, times, 0)))
+            known, rest = np.flatnonzero(own == largest), np.flatnonzero(own != largest)
             for y in rest:
                 self._meet(int(y), known)
         while len(rest) > 1:
@@ -212,13 +220,21 @@ class Region:
             self.unite(y, int(x))
 
 
+#: A member of a region: the pivot that it is linked to already (0: none), its set.
+_REGION = "key string, c long, label long, s array<long>"
+
+
+def _arrays(column: pa.ListArray) -> list[np.ndarray]:
+    flat, cut = column.values.to_numpy(), column.offsets.to_numpy()
+    return [flat[a:z].copy() for a, z in zip(cut, cut[1:], strict=False)]
+
+
 def _links(regions: DataFrame, percent: int) -> DataFrame:
-    """``regions``: key, c, inner, s.  Links of every region as stars."""
+    """``regions``: key, c, label, s.  Links of every region as stars."""
 
     def joined(rows: list[tuple]) -> pa.RecordBatch:
-        region = Region([np.asarray(r[3], np.int64) for r in rows], percent)
-        inner = np.fromiter((r[2] for r in rows), bool, len(rows))
-        region.join(inner if inner.any() else None)
+        region = Region([r[3] for r in rows], percent)
+        region.join(np.fromiter((r[2] for r in rows), np.int64, len(rows)))
         c = [r[1] for r in rows]
         pairs = [(c[i], c[k]) for i in range(len(rows)) if (k := region.root(i)) != i]
         return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], ["a", "b"])
@@ -226,58 +242,145 @@ def _links(regions: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for b in batches:
-            sets = b.column(3)
-            flat, cut = sets.values.to_numpy(), sets.offsets.to_numpy()
-            for k, row in enumerate(zip(*(b.column(j).to_pylist() for j in range(3)), strict=True)):
+            for row in zip(*(b.column(j).to_pylist() for j in range(3)), _arrays(b.column(3)), strict=True):
                 if rows and row[0] != rows[-1][0]:
                     if len(rows) > 1:
                         yield joined(rows)
                     rows = []
-                rows.append((*row, flat[cut[k] : cut[k + 1]].copy()))
+                rows.append(row)
         if len(rows) > 1:
             yield joined(rows)
 
-    together = regions.select("key", "c", "inner", "s").repartition("key").sortWithinPartitions("key", "c")
+    together = regions.select("key", "c", "label", "s").repartition("key").sortWithinPartitions("key", "c")
     return together.mapInArrow(common.task(run), "a long, b long")
 
 
-def _blocks(large: DataFrame, sets: DataFrame, percent: int, limit: int) -> tuple[DataFrame, DataFrame]:
-    """Members of large regions by pairs of blocks, and the inner rings' links."""
+def nearest(sets: list[np.ndarray], pivots: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each set and pivot: do they link, is it the set's nearest, is it in the
+    window of 2r beyond the nearest."""
     r = 1 - percent / 100
-    pivots = sets.select(F.col("c").alias("p"), F.col("s").alias("ps"))
-    own = large.join(sets, "c").join(pivots, "p")
-    both = F.size(F.array_intersect("s", "ps"))
-    union = F.size("s") + F.size("ps") - both
-    measured = own.withColumn("both", both).withColumn("union", union).drop("ps")
-    inner = F.lit(100) * F.col("both") >= F.lit(percent) * F.col("union")
-    ring = F.when(inner, F.lit(0)).otherwise(F.greatest(F.lit(1), F.floor((1 - F.col("both") / F.col("union")) / r - 1e-9).cast("int")))
-    ringed = common.written(measured.withColumn("ring", ring).select("p", "c", "ring", "s"), "rings")
-    sizes = ringed.groupBy("p", "ring").agg(F.ceil(F.count("*") / (limit / 2)).cast("int").alias("k"))
-    table = sizes.groupBy("p").agg(F.map_from_entries(F.collect_list(F.struct("ring", "k"))).alias("k"))
-    b = ringed.join(table, "p").withColumn("k0", F.element_at("k", F.col("ring"))).withColumn("i", F.pmod(F.xxhash64("c"), F.col("k0")).cast("int"))
-    name = lambda za, ia, zb, ib: F.concat_ws("/", F.col("p").cast("string"), za.cast("string"), ia.cast("string"), zb.cast("string"), ib.cast("string"))
-    z, i = F.col("ring"), F.col("i")
+    both = np.array([[np.isin(p, s, assume_unique=True).sum() for p in pivots] for s in sets], np.int64).reshape(len(sets), len(pivots))
+    union = np.array(list(map(len, sets)), np.int64)[:, None] + np.array(list(map(len, pivots)), np.int64) - both
+    d = 1 - both / union
+    home = d.argmin(axis=1)
+    return 100 * both >= percent * union, np.arange(len(pivots)) == home[:, None], d <= d.min(axis=1)[:, None] + 2 * r + 1e-9
+
+
+def _divided(large: DataFrame, percent: int, limit: int) -> DataFrame:
+    """Each member of ``large`` with ``linked``, the pivots that it links with, and
+    ``to``, the numbers of the pivots whose regions it is in; its label is the
+    pivot that it is nearest to, if it links with it."""
+    sizes = large.groupBy("key").agg(F.ceil(F.count("*") / limit).cast("int").alias("shares"))
+    # The least hash of each of PIVOTS kinds, of members without a label if there are any.
+    h = F.xxhash64("key", "c")
+    picked = large.groupBy("key", F.pmod(h, F.lit(PIVOTS)).alias("j")).agg(F.min(F.struct((F.col("label") != 0).alias("known"), h.alias("h"), "c")).alias("p")).select("key", "j", F.col("p.c").alias("c"))
+    dealt = large.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes, "key")
+    pivots = dealt.join(picked, ["key", "c"]).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    rows = dealt.withColumn("share", F.pmod(F.xxhash64("c"), F.col("shares")).cast("int")).withColumn("j", F.lit(None).cast("long"))
+    columns = ["key", "share", "j", "c", "label", "s"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, pivots, names, sets = None, [], np.zeros(0, np.int64), []
+        for b in batches:
+            key, share, j, c, label = (b.column(i).to_pylist() for i in range(5))
+            s = _arrays(b.column(5))
+            out: list[list] = [[] for _ in range(6)]
+
+            def measure(rows: list[int]) -> None:
+                if not rows:
+                    return
+                links, home, window = nearest([s[i] for i in rows], sets, percent)
+                for i, l, h, w in zip(rows, links, home, window, strict=True):
+                    own = names[l & h]
+                    values = (key[i], c[i], int(own[0]) if len(own) else label[i], names[l].tolist(), np.flatnonzero(w).tolist(), s[i])
+                    for column, value in zip(out, values, strict=True):
+                        column.append(value)
+
+            open_: list[int] = []
+            for i in range(b.num_rows):
+                if (key[i], share[i]) != at:
+                    measure(open_)
+                    open_, at, pivots = [], (key[i], share[i]), []
+                if j[i] is not None:
+                    pivots.append((c[i], s[i]))
+                    names, sets = np.array([p for p, _ in pivots], np.int64), [p for _, p in pivots]
+                else:
+                    open_.append(i)
+            measure(open_)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())), strict=True)], ["key", "c", "label", "linked", "to", "s"])
+
+    # A share's pivots come before its members.
+    together = pivots.select(*columns).unionByName(rows.select(*columns)).repartition("key", "share").sortWithinPartitions("key", "share", F.asc_nulls_last("j"), "c")
+    return together.mapInArrow(common.task(run), "key string, c long, label long, linked array<long>, to array<int>, s array<long>")
+
+
+def _blocks(large: DataFrame, limit: int) -> DataFrame:
+    """Members of regions by pairs of blocks.  Blocks of members of the commonest
+    label only meet those of others, all others meet all."""
+    label = large.where("label <> 0").groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("most"))
+    kind = F.when(F.col("label") == F.col("most"), 0).otherwise(1)
+    kinds = common.written(large.join(label, "key", "left").select("key", "c", "label", "s", kind.alias("kind")), "kinds")
+    need = F.greatest(F.ceil(F.count("*") / (limit / 2)), F.ceil(F.sum(F.size("s")) / (SHINGLES / 2))).cast("int")
+    table = kinds.groupBy("key", "kind").agg(need.alias("k")).groupBy("key").agg(F.coalesce(F.max(F.when(F.col("kind") == 0, F.col("k"))), F.lit(0)).alias("k0"), F.coalesce(F.max(F.when(F.col("kind") == 1, F.col("k"))), F.lit(0)).alias("k1"))
+    placed = kinds.join(table, "key").withColumn("i", F.pmod(F.xxhash64("c"), F.when(F.col("kind") == 0, F.col("k0")).otherwise(F.col("k1"))).cast("int"))
+    i = F.col("i")
 
     def upto(n):
         return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
-    own_ring = F.transform(upto(F.when(z > 0, F.col("k0")).otherwise(F.lit(0))), lambda j: name(z, F.least(i, j), z, F.greatest(i, j)))
-    above = F.transform(upto(F.coalesce(F.try_element_at("k", z + 1), F.lit(0))), lambda j: name(z, i, z + 1, j))
-    below = F.transform(upto(F.coalesce(F.try_element_at("k", z - 1), F.lit(0))), lambda j: name(z - 1, j, z, i))
-    dealt = b.withColumn("key", F.explode(F.concat(own_ring, above, below))).select("key", "c", (z == 0).alias("inner"), "s")
-    return dealt, ringed.where("ring = 0").select(F.col("p").alias("a"), F.col("c").alias("b"))
-
-
-def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, limit: int = REGION) -> DataFrame:
-    """``docs`` (doc_id, text) with ``n_shingles`` and ``component_id``."""
+    def name(kind: str, a, b):
+        return F.concat_ws("/", F.col("key"), F.lit(kind), a.cast("string"), b.cast("string"))
+
+    outer = F.concat(F.transform(upto(F.col("k1")), lambda j: name("b", F.least(i, j), F.greatest(i, j))), F.transform(upto(F.col("k0")), lambda j: name("a", j, i)))
+    inner = F.transform(upto(F.col("k1")), lambda j: name("a", i, j))
+    return placed.withColumn("key", F.explode(F.when(F.col("kind") == 0, inner).otherwise(outer))).select("key", "c", "label", "s")
+
+
+def _sorted_out(regions: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Regions that fit a task, and those that don't; those whose members are all
+    linked to one pivot are done."""
+    sizes = regions.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.size("s")).alias("w"), F.min("label").alias("a"), F.max("label").alias("z")).where("m > 1 and not (a = z and a <> 0)")
+    fits = (F.col("m") <= limit) & (F.col("w") <= SHINGLES)
+    both = common.written(sizes.select("key", fits.alias("fits")), "sizes")
+    return regions.join(both.where("fits"), "key").drop("fits"), regions.join(both.where("not fits"), "key").drop("fits")
+
+
+def _region_links(placed: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, limit: int) -> DataFrame:
+    """Links of all members of all regions; ``placed``: p, c."""
+    sizes = placed.join(classes.select("c", "n"), "c").groupBy("p").agg(F.count("*").alias("m"), F.sum("n").alias("w")).where("m > 1")
+    both = common.written(sizes.select("p", ((F.col("m") <= limit) & (F.col("w") <= SHINGLES)).alias("fits")), "sizes")
+    region = (F.col("p").cast("string").alias("key"), "c", F.lit(0).cast("long").alias("label"), "s")
+    links = _links(placed.join(both.where("fits"), "p").join(sets, "c").select(*region), percent)
+    large = both.where("not fits")
+    if large.isEmpty():
+        return links
+    left = common.written(placed.join(large, "p").join(sets, "c").select(*region), "large")
+    for _ in range(ROUNDS):
+        cut = common.written(_divided(left, percent, limit), "divided")
+        links = links.unionByName(cut.select(F.col("c").alias("a"), F.explode("linked").alias("b")))
+        small, left = _sorted_out(cut.withColumn("to", F.explode("to")).select(F.concat_ws("/", "key", "to").alias("key"), "c", "label", "s"), limit)
+        links = links.unionByName(_links(small, percent))
+        left = common.written(left, "large")
+        if left.isEmpty():
+            return links
+    return links.unionByName(_links(_blocks(left, limit), percent))
+
+
+def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, limit: int = REGION, with_texts: bool = False) -> DataFrame:
+    """``docs`` (doc_id, text) with ``n_shingles`` and ``component_id``; with
+    ``with_texts`` also ``d1`` and ``d2``, a digest of the row's text, and ``class``,
+    which names the component whatever the ids in it (null: in none)."""
     common.ship(docs.sparkSession)
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), common.text_or_empty().alias("text"))
+    text = common.text_or_empty()
+    own = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("d1"), F.xxhash64(F.lit(1), text).alias("d2"), text.alias("text"))
     first = common.written(_classes(own, width, percent, _frequent(own, width)), "classes")
-    classes = common.written(first.where("c is not null").groupBy("c").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.count("*").alias("copies")), "ids")
+    # The row that speaks for a set, known by its number, id and text.
+    speaker = F.min(F.struct(F.isnull("id").alias("none"), "id", "row", "d1", "d2")).alias("speaker")
+    classes = common.written(first.where("c is not null").groupBy("c").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.count("*").alias("copies"), speaker), "ids")
     # Copies of a set speak once.
-    copied = classes.where("copies > 1").select("c", "least")
+    copied = classes.where("copies > 1").select("c", F.col("speaker.row").alias("speaks"))
     copied = F.broadcast(copied) if copied.count() <= BROADCAST_ROWS else copied
-    single = first.where("c is not null").join(copied, "c", "left").where("least is null or least = id")
+    single = first.where("c is not null").join(copied, "c", "left").where("speaks is null or speaks = row")
     each = single.select("c", F.explode("first").alias("h"))
     elect = (F.min("c").alias("p"), F.max("c").alias("q"))
     met = common.written(each.groupBy("h").agg(*elect).where("p <> q").select("h"), "met")
@@ -294,22 +397,17 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, limit: int
     placed = common.written(placed, "regions")
     # Pivots are members too: where they left their own region out, they come back.
     placed = common.written(placed.unionByName(placed.select("p", F.col("p").alias("c"))).distinct(), "placed")
-    members = common.written(classes.join(placed.select("c").distinct(), "c").select("c", F.col("least").alias("id")), "members")
+    key = (F.coalesce(F.col("speaker.id"), F.lit(0)).alias("k"), F.col("speaker.d1").alias("d1"), F.col("speaker.d2").alias("d2"))
+    members = common.written(classes.join(placed.select("c").distinct(), "c").select("c", *key), "members")
     wanted = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
-    sets = common.written(_members(own.join(wanted, "id"), width), "sets")
-    sizes = placed.groupBy("p").agg(F.count("*").alias("m"))
-    small = placed.join(sizes.where(F.col("m") <= limit), "p").join(sets, "c").select(F.col("p").cast("string").alias("key"), "c", F.lit(False).alias("inner"), "s")
-    links = _links(small, percent)
-    large = common.written(placed.join(sizes.where(F.col("m") > limit), "p").select("p", "c"), "large")
-    if not large.isEmpty():
-        dealt, inner = _blocks(large, sets, percent, limit)
-        links = links.unionByName(_links(dealt, percent)).unionByName(inner)
-    roots = graph.components(links)
+    sets = common.written(_members(own.withColumn("k", F.coalesce("id", F.lit(0))).join(wanted, ["k", "d1", "d2"]), width), "sets")
+    roots = graph.components(_region_links(placed, classes, sets, percent, limit))
     known = classes.select("c", "least").join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = known.groupBy("root").agg(F.min("least").alias("component"))
-    named = known.join(least, "root").select("c", "component")
-    whole = first.select("id", "c", "n").join(named, "c", "left").withColumn("component", F.coalesce("component", "id"))
-    return whole.select(F.nullif(F.col("id"), F.lit(_LAST)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.col("component"), F.lit(_LAST)).alias("component_id"))
+    named = known.join(least, "root").select("c", "root", "component")
+    whole = first.select("id", "d1", "d2", "c", "n").join(named, "c", "left")
+    more = ("d1", "d2", F.col("root").alias("class")) if with_texts else ()
+    return whole.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), *more)
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
