@@ -11,7 +11,8 @@ that are equal by chance.
 Defined results: a null text counts as empty; a text without words has the
 fingerprint "" and likeness 1 to another such text, 0 to all others; a text of
 fewer than five words has one shingle, its whole word sequence; equal texts have
-equal fingerprints; repeated rows get a row each.
+equal fingerprints; repeated rows get a row each; rows of one id, and rows without
+any (which come last), follow each other in the order of their texts' hashes.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,10 +35,12 @@ BINS = 512
 BITS = 4
 #: Texts whose shingles are held at once.
 BATCH = 64
-#: Rows of one stretch of neighbouring documents, and the most stretches; a
-#: stretch is streamed, so longer ones need no more memory.
+#: Rows of one stretch of neighbouring documents, about; sampled rows for each cut
+#: between two; and the most cuts, which are broadcast (16 bytes each).  A stretch is
+#: streamed, so that longer ones, from 67 million documents on, need no more memory.
 STRETCH_ROWS = 1024
-MOST_STRETCHES = 8192
+ROWS_A_CUT = 20
+MOST_CUTS = 1 << 16
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -136,31 +139,69 @@ def fingerprint(df: DataFrame, key: str = "doc_id", text: str = "text", width: i
     return df.select(df[key].alias("key"), df[text].alias("text")).mapInArrow(common.task(run), schema).withColumnRenamed("key", key)
 
 
+def _order() -> tuple:
+    """Descending doc_id, nulls last, ties by a hash of the text, then by the text."""
+    return F.desc_nulls_last("doc_id"), F.asc("h"), F.asc("text")
+
+
+def _cuts(keys: DataFrame, want: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """About ``want`` keys (ids rising, their hashes; hashes of rows without an id)
+    that cut the order of ``doc_id`` and ``h`` into even stretches, so that rows of
+    one id and rows without any are cut too.  They come from a bounded sample."""
+    if want < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    share = min(1.0, ROWS_A_CUT * want / n)
+    sample = keys.where(F.pmod(F.xxhash64("doc_id", "h", F.lit(5)), F.lit(1 << 40)) < int(share * (1 << 40))).distinct()
+    place = F.row_number().over(Window.orderBy(F.asc_nulls_first("doc_id"), "h"))  # ROWS_A_CUT * MOST_CUTS rows at most
+    rows = sample.withColumn("place", place).where(F.col("place") % ROWS_A_CUT == 0).select("doc_id", "h").collect()
+    some = sorted((r["doc_id"], r["h"]) for r in rows if r["doc_id"] is not None)
+    none = sorted(r["h"] for r in rows if r["doc_id"] is None)
+    return np.array([i for i, _ in some], np.int64), np.array([h for _, h in some], np.int64), np.array(none, np.int64)
+
+
+def stretch_of(ids: np.ndarray, is_null: np.ndarray, h: np.ndarray, cuts: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Number of the stretch of each row, in order: each cut begins one."""
+    cut_ids, cut_h, cut_null = cuts
+    first, last = np.searchsorted(cut_ids, ids, "left"), np.searchsorted(cut_ids, ids, "right")
+    # Cuts with greater ids come before, of those with this id the ones up to the hash.
+    out = len(cut_ids) - last
+    for i in np.unique(ids[(last > first) & ~is_null]):
+        a, z = np.searchsorted(cut_ids, [i, i + 1]) if i < np.iinfo(np.int64).max else (np.searchsorted(cut_ids, i), len(cut_ids))
+        own = (ids == i) & ~is_null
+        out[own] += np.searchsorted(cut_h[a:z], h[own], "right")
+    out[is_null] = len(cut_ids) + np.searchsorted(cut_null, h[is_null], "right")
+    return out.astype(np.int32)
+
+
 def stretches(df: DataFrame) -> DataFrame:
     """``stretch``, ``guest``, ``doc_id`` and ``text``: the rows in stretches of
-    descending doc_id (nulls last, ties by text).  Each stretch also holds, as a
-    guest, the first row of the next one; the last stretch that of the first.
-    The cuts are placed by ids alone and one shuffle brings the texts together."""
+    descending doc_id (nulls last, ties by a hash of the text).  Each stretch also
+    holds, as a guest, the first row of the next one; the last stretch that of the
+    first.  The cuts are placed by ids and hashes alone and one shuffle brings the
+    texts together."""
     spark = df.sparkSession
-    docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text"))
-    want = min(MOST_STRETCHES, max(1, docs.count() // STRETCH_ROWS))
-    shares = [k / want for k in range(1, want)]
-    cuts = np.array(sorted({int(c) for c in docs.approxQuantile("doc_id", shares, 0.2 / want)} if shares else ()), np.int64)
+    docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text")).withColumn("h", F.xxhash64("text"))
+    keys = docs.select("doc_id", "h")
+    n = df.count()
+    cuts = _cuts(keys, min(MOST_CUTS, n // STRETCH_ROWS), n)
 
     @F.pandas_udf("int")
-    def stretch(ids: pd.Series) -> pd.Series:
-        own = len(cuts) - np.searchsorted(cuts, ids.fillna(0).to_numpy(np.int64), "right")
-        return pd.Series(np.where(ids.isna(), len(cuts), own).astype(np.int32))
-
-    # At most MOST_STRETCHES rows, each a number and an id.
-    ids = docs.select("doc_id").withColumn("stretch", stretch("doc_id"))
-    heads = [tuple(r) for r in ids.groupBy("stretch").agg(F.max("doc_id")).orderBy("stretch").collect()]
-    placed = docs.withColumn("stretch", stretch("doc_id"))
-    schema = "head long, before int"
-    before = spark.createDataFrame([(h, heads[i - 1][0]) for i, (_, h) in enumerate(heads)], schema) if heads else spark.createDataFrame([], schema)
-    guests = docs.join(F.broadcast(before), docs["doc_id"].eqNullSafe(before["head"])).groupBy("before", "doc_id").agg(F.min("text").alias("text"))
-    both = placed.select("stretch", F.lit(False).alias("guest"), "doc_id", "text").unionByName(guests.select(F.col("before").alias("stretch"), F.lit(True).alias("guest"), "doc_id", "text"))
-    return both.repartition("stretch").sortWithinPartitions("stretch", "guest", F.desc_nulls_last("doc_id"), "text")
+    def numbered(ids: pd.Series, is_null: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(stretch_of(ids.to_numpy(np.int64), is_null.to_numpy(bool), h.to_numpy(np.int64), cuts))
+
+    # Without nulls, which pandas knows only as floats.
+    stretch = numbered(F.coalesce("doc_id", F.lit(0)), F.isnull("doc_id"), F.col("h"))
+
+    # One row for each cut at most: a number and a key.
+    own = keys.withColumn("stretch", stretch)
+    least = F.min(F.struct(F.isnull("doc_id").alias("none"), (-1 - F.col("doc_id")).alias("id"), "h")).alias("k")
+    heads = own.groupBy("stretch").agg(least).orderBy("stretch").collect()
+    before = [(None if r["k"]["none"] else -1 - r["k"]["id"], r["k"]["h"], heads[i - 1]["stretch"]) for i, r in enumerate(heads)]
+    named = spark.createDataFrame(before, "head long, head_h long, before int")
+    guests = docs.join(F.broadcast(named), docs["doc_id"].eqNullSafe(named["head"]) & (docs["h"] == named["head_h"])).groupBy("before", "doc_id", "h").agg(F.min("text").alias("text"))
+    placed = docs.select(stretch.alias("stretch"), F.lit(False).alias("guest"), "doc_id", "h", "text")
+    both = placed.unionByName(guests.select(F.col("before").alias("stretch"), F.lit(True).alias("guest"), "doc_id", "h", "text"))
+    return both.repartition("stretch").sortWithinPartitions("stretch", "guest", *_order()).select("stretch", "guest", "doc_id", "text")
 
 
 def edited(text: str, following: str) -> str:

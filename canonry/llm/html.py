@@ -8,6 +8,12 @@ scan finds the contiguous run with the largest sum.  Elements that are never tex
 (scripts, styles, forms and the like) and boilerplate nested in the run are left
 out, character references are decoded, and blocks are joined by line feeds.
 
+An element is boilerplate by its tag, by its role, or by its class or id: names
+that labelled pages show outside of their content only are learnt, and
+``BOILERPLATE_NAMES`` stand for what no labelled page may show.  A name never makes
+``html``, ``body``, ``main`` or ``article`` boilerplate, nor an element that holds
+one of the latter two, or all of the page's words in elements of its own.
+
 Labelled pages: pages whose markup names their content with one ``article`` or
 ``main`` element are labels for the weights.  The weights are fitted on at most
 ``SAMPLE_PAGES`` of them, of any length, chosen by hash, a documented bound.  They
@@ -64,18 +70,31 @@ SIBLINGS = {"li": ("li",), "option": ("option",), "dt": ("dt", "dd"), "dd": ("dt
 CELLS = {"td": (("td", "th"), ("table",)), "th": (("td", "th"), ("table",)), "tr": (("tr",), ("table", "thead", "tbody", "tfoot"))}
 #: Elements that are boilerplate wherever they stand.
 BOILERPLATE = frozenset({"nav", "header", "footer", "aside", "form", "button", "select", "menu", "dialog", "head"})
-#: Parts of class names and ids that mark boilerplate.
+#: Roles that mark boilerplate (fixed values of the accessibility standard).
+ROLES = frozenset({"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alertdialog", "alert", "toolbar"})
+#: Class names and ids that mark boilerplate: by themselves, as the last part of a
+#: name ("site-footer"), or before a part that names a container ("comment-list").
 BOILERPLATE_NAMES = frozenset(
     {"ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "header", "menu", "nav", "navbar", "navigation", "newsletter", "notice", "popup", "promo", "promoted", "related", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "widget"}
 )
-
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_NAMED = re.compile(r"\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+CONTAINERS = frozenset({"area", "bar", "block", "body", "box", "button", "buttons", "container", "content", "form", "icons", "inner", "item", "items", "link", "links", "list", "panel", "post", "posts", "reply", "section", "slot", "text", "thread", "unit", "wrap", "wrapper"})
+#: Before the last part of a name these say how a page is laid out ("has-sidebar").
+LAYOUT = frozenset({"has", "with", "no", "without", "is", "hide", "show", "full", "left", "right"})
+#: Elements that no name makes boilerplate.
+CONTENT = frozenset({"html", "body", "main", "article"})
+#: A learnt name stands on so many elements outside of labels, and on so many times
+#: more than inside.
+LEAST_MET, TIMES_OUTSIDE = 5, 8
+
+_ATTRIBUTE = r"[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+|(?=>)))?+"
+_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:{_ATTRIBUTE})*+)(?:>|\Z)", re.S)
+_NAMED = re.compile(r"(?:^|[\s/\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*))", re.I)
 _PART = re.compile(r"[a-z]+|[0-9]+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _RAW_END = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I) for name in RAW}
 
 
-@dataclass
+@dataclass(slots=True)
 class Token:
     """A tag (``kind`` set) or a run of text between tags."""
 
@@ -84,30 +103,55 @@ class Token:
     end: bool
     text: str
     words: int
+    #: The innermost open element, as a place in ``Page.elements``; -1 for none.
+    inside: int
     boiler: bool = False
-    labelled: bool = False
+    #: Class names and ids of a tag that begins.
+    names: tuple[str, ...] = ()
+
+
+@dataclass(slots=True)
+class Element:
+    within: int
+    tag: str
+    names: tuple[str, ...]
+    roles: tuple[str, ...]
+    words: int = 0
+    own_words: int = 0
+    holds_content: bool = False
 
 
-def tokens(html: str) -> list[Token]:
+def is_boilerplate_name(name: str) -> bool:
+    parts = _PART.findall(name)
+    if not parts:
+        return False
+    *before, last = parts
+    if last in BOILERPLATE_NAMES:
+        return not (before and before[-1] in LAYOUT)
+    return last in CONTAINERS and any(p in BOILERPLATE_NAMES for p in before)
+
+
+def tokens(html: str, learnt: frozenset[str] = frozenset()) -> list[Token]:
     """Tags and texts in page order.  ``kind`` of a tag is its name, with its
     class and id if it has any, and "/" before it if it closes."""
     out: list[Token] = []
+    elements: list[Element] = []
     at, n = 0, len(html)
-    open_: list[tuple[str, str, bool]] = []
+    open_: list[tuple[str, str, int]] = []
     # Where in open_ each name stands, and what is not inline, or not loose.
     places: dict[str, list[int]] = {}
     blocks: list[int] = []
     walls: list[int] = []
-    boiler = 0
 
     def last(*names: str) -> int:
         return max((places[x][-1] for x in names if places.get(x)), default=-1)
 
+    def inside() -> int:
+        return open_[-1][2] if open_ else -1
+
     def end(k: int) -> None:
         """Close open_[k] and all in it; each element is closed once."""
-        nonlocal boiler
         for o in open_[k:]:
-            boiler -= o[2]
             places[o[0]].pop()
         del open_[k:]
         for some in (blocks, walls):
@@ -116,7 +160,7 @@ def tokens(html: str) -> list[Token]:
 
     def text(piece: str) -> None:
         if piece:
-            out.append(Token("", "", False, piece, 0 if piece.isspace() else len(piece.split()), boiler > 0))
+            out.append(Token("", "", False, piece, 0 if piece.isspace() else len(piece.split()), inside()))
 
     while at < n:
         m = _TAG.search(html, at)
@@ -130,18 +174,18 @@ def tokens(html: str) -> list[Token]:
             continue
         if m[1]:
             k = last(name)
-            kind, inside = "/" + name, boiler > 0
+            kind, where = "/" + name, inside()
             if k >= 0:
                 kind = "/" + open_[k][1]
                 end(k)
-            out.append(Token(kind, name, True, "", 0, inside))
+            out.append(Token(kind, name, True, "", 0, where))
             continue
-        named = " ".join(a or b or c for a, b, c in _NAMED.findall(m[3])) if m[3] else ""
-        kind = f"{name} {' '.join(sorted(set(named.lower().split())))}".strip()
-        bad = name in BOILERPLATE or any(p in BOILERPLATE_NAMES for p in _PART.findall(named.lower()))
+        found = [(a.lower(), _CAMEL.sub("-", b or c or d).lower().split()) for a, b, c, d in _NAMED.findall(m[3])] if m[3] else []
+        names = tuple(sorted({x for a, b in found if a != "role" for x in b}))
+        kind = " ".join((name, *names))
         if name in RAW:
             stop = _RAW_END[name].search(html, at)
-            out.append(Token(kind, name, False, "", 0, boiler > 0))
+            out.append(Token(kind, name, False, "", 0, inside()))
             at = n if stop is None else stop.end()
             continue
         if name not in VOID:
@@ -158,12 +202,37 @@ def tokens(html: str) -> list[Token]:
             if name not in LOOSE:
                 walls.append(len(open_))
             places.setdefault(name, []).append(len(open_))
-            open_.append((name, kind, bad))
-            boiler += bad
-        out.append(Token(kind, name, False, "", 0, boiler > 0))
+            elements.append(Element(inside(), name, names, tuple(x for a, b in found if a == "role" for x in b)))
+            open_.append((name, kind, len(elements) - 1))
+        out.append(Token(kind, name, False, "", 0, inside(), names=names))
+    _mark(out, elements, learnt)
     return out
 
 
+def _mark(found: list[Token], elements: list[Element], learnt: frozenset[str]) -> None:
+    """Which tokens are in boilerplate.  An element stands after what holds it."""
+    for t in found:
+        if t.words and t.inside >= 0:
+            elements[t.inside].words += t.words
+            elements[t.inside].own_words += t.words
+    plain = [False] * len(elements)
+    for i, e in enumerate(elements):
+        plain[i] = e.tag in BOILERPLATE or (e.within >= 0 and plain[e.within])
+    whole = sum(t.words for t in found if t.inside < 0 or not plain[t.inside])
+    for e in reversed(elements):
+        if e.within >= 0:
+            elements[e.within].words += e.words
+            elements[e.within].holds_content |= e.holds_content or e.tag in ("main", "article")
+    boiler = plain
+    for i, e in enumerate(elements):
+        if e.within >= 0 and boiler[e.within]:
+            boiler[i] = True
+        elif not boiler[i] and e.tag not in CONTENT and not e.holds_content and (e.words < whole or e.own_words):
+            boiler[i] = any(r in ROLES for r in e.roles) or any(x in learnt or is_boilerplate_name(x) for x in e.names)
+    for t in found:
+        t.boiler = t.inside >= 0 and boiler[t.inside]
+
+
 def label(found: list[Token]) -> tuple[int, int] | None:
     """Where the one article (or main) element lies: first and last token in it."""
     for name in ("article", "main"):
@@ -187,6 +256,8 @@ class Weights:
 
     cost: dict[str, float] = field(default_factory=dict)
     plain: float = PLAIN_COST
+    #: Class names and ids that are boilerplate, as labelled pages show.
+    names: frozenset[str] = frozenset()
 
     def of(self, t: Token) -> float:
         if not t.kind:
@@ -222,31 +293,35 @@ def _spread(found: list[Token], span: tuple[int, int]) -> tuple[int, int]:
     return a, b
 
 
-def _known(pages: Iterable[str]) -> Iterator[tuple[list[Token], tuple[int, int]]]:
+def _known(pages: Iterable[str], learnt: frozenset[str] = frozenset()) -> Iterator[tuple[list[Token], tuple[int, int]]]:
     """The labelled ones among ``pages``, with their labels."""
-    return ((t, s) for t in map(tokens, pages) if (s := label(t)) is not None and s[0] <= s[1])
+    return ((t, s) for p in pages if (s := label(t := tokens(p, learnt))) is not None and s[0] <= s[1])
 
 
 def _count(pages: Iterable[str]) -> tuple[Counter, Counter]:
-    """How often each kind of tag stands inside and outside the labels."""
+    """How often each kind of tag, and "." and each class name or id, stands inside
+    and outside the labels."""
     inside, outside = Counter(), Counter()
     for found, (a, b) in _known(pages):
         for i, t in enumerate(found):
             if t.kind:
-                (inside if a <= i <= b else outside)[_kind(t)] += 1
+                where = inside if a <= i <= b else outside
+                where[_kind(t)] += 1
+                where.update(f".{x}" for x in t.names if t.name not in CONTENT)
     return inside, outside
 
 
 def _trials(inside: Counter, outside: Counter) -> list[Weights]:
     """Weights for each of ``SCALES``."""
-    ratio = {k: math.log((outside[k] + 1) / (inside[k] + 1)) for k in [*inside, *outside]}
-    return [Weights({k: 0.05 + scale * max(0.0, r) for k, r in ratio.items()}, PLAIN_COST) for scale in SCALES]
+    names = frozenset(k[1:] for k, n in outside.items() if k[0] == "." and n >= max(LEAST_MET, TIMES_OUTSIDE * inside[k]))
+    ratio = {k: math.log((outside[k] + 1) / (inside[k] + 1)) for k in [*inside, *outside] if k[0] != "."}
+    return [Weights({k: 0.05 + scale * max(0.0, r) for k, r in ratio.items()}, PLAIN_COST, names) for scale in SCALES]
 
 
 def _right(pages: Iterable[str], trials: list[Weights]) -> list[int]:
     """Of how many labelled pages each trial finds the content."""
     right = [0] * len(trials)
-    for f, s in _known(pages):
+    for f, s in _known(pages, trials[0].names):
         want = _spread(f, s)
         for i, w in enumerate(trials):
             right[i] += _spread(f, best_run(f, w)) == want
@@ -269,7 +344,7 @@ def fit(pages: Iterable[str]) -> Weights:
 
 def main_text(html: str | None, weights: Weights) -> str:
     """Blocks of the best run, joined by line feeds."""
-    found = tokens(html or "")
+    found = tokens(html or "", weights.names)
     a, b = best_run(found, weights)
     blocks: list[str] = []
     run: list[str] = []

@@ -5,12 +5,14 @@ a conjunctive rule.  A lasso-penalised logistic regression gives the rules their
 weights, most of them zero, and what remains is compiled into one Spark column
 expression over the statistics.  Labels, language, source and id are no inputs.
 
-Learning is bounded: about ``SAMPLE_ROWS`` labelled rows at most, chosen by hashed
-id, reach the driver, and only as statistics.  Everything is scored.
+Learning is bounded: about ``SAMPLE_ROWS`` labels at most, chosen by hashed id and
+label, reach the driver, and only as statistics; an id with several labels counts
+with each of them, one with several texts by the least.  Everything is scored.
 
 Defined results: a null text counts as empty; the empty text has statistics of
 zero and a score like any other; equal texts have equal scores; repeated rows
-get a row each; an empty table gives no rows; without labels of both kinds every
+get a row each; a null id is not held out (``held_out`` false) and never learnt
+from; an empty table gives no rows; without labels of both kinds every
 score is the share of good labels, one half if there are none.
 """
 
@@ -245,16 +247,18 @@ def fit(x: np.ndarray, y: np.ndarray) -> Ensemble:
 
 
 def held_out(key: str = "doc_id") -> Column:
-    return F.crc32(F.col(key).cast("string")) % 4 == 2
+    return F.coalesce(F.crc32(F.col(key).cast("string")) % 4 == 2, F.lit(False))
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Ensemble:
     """From a bounded sample of the labelled rows that are not held out."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "quality")
-    chosen = common.sampled(known, SAMPLE_ROWS, "doc_id")
+    chosen = common.sampled(known, SAMPLE_ROWS, "doc_id", "quality")
     # Two numbers for each of at most SAMPLE_ROWS rows are broadcast.
     texts = docs.select("doc_id", common.text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = with_statistics(texts).toPandas().sort_values(["doc_id", "quality"], kind="stable")
+    # An id that stands on many rows has one text here, the least.
+    one = texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    rows = with_statistics(one).toPandas().sort_values(["doc_id", "quality"], kind="stable")
     x = np.array(rows[COLUMN].tolist(), float).reshape(len(rows), len(STATISTICS))
     return fit(x, rows["quality"].to_numpy(float))
 

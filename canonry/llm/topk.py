@@ -1,13 +1,18 @@
 """Exact top-k by inner product with no-random-access aggregation.
 
 Vectors lie in blocks.  A block keeps, for every dimension, its vectors sorted by
-that component.  For a query the lists are read in step, from the end where the
-query's component makes the largest products.  What has been read of a vector
-gives its lower bound (unread components count as their list's worst value) and
-its upper bound (as the value the list has come to).  Reading stops when no
-vector outside the candidates, read in part or not at all, can reach the k-th
-best lower bound; then the candidates' scores are resolved exactly.  Blocks of
-queries meet blocks of vectors, and the best of every block are merged.
+that component.  For a query the lists are read in step and in chunks, from the end
+where the query's component makes the largest products.  What has been read of a
+vector gives its lower bound (unread components count as their list's worst value);
+where the lists have come to gives the upper bound, of a vector that no list has
+shown yet and of each that some have.  Reading stops when neither an unseen vector
+nor more than a few of the seen ones can reach the bar, the k-th best lower bound;
+the final scores of those few are resolved.  A query first meets its own block, and
+carries the k-th best score from there to all other blocks as their least bar.
+
+A block's lists are built once and the queries stream past them: a vector is copied
+once for every ``QUERIES`` of them, a query once a block.  The work is queries times
+vectors in the worst case, as in any exact search.
 
 Defined results: vectors that are null, or hold a null or non-finite component,
 and rows without an id take no part; vectors of unequal length are padded with
@@ -24,81 +29,93 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import common
 
 K = 5
 SCALE = 256
-QUERY_BLOCK = 1024
 VECTOR_BLOCK = 4096
-#: Shares of each list that have been read when the bounds are looked at.
-DEPTHS = (0.4, 0.55, 0.7, 0.85, 1.0)
-#: Candidates that are resolved rather than read further for, as a share of a block.
-RESOLVE = 1 / 4
+#: Queries that one task sends past a block.
+QUERIES = 65_536
+#: Chunks that a list is read in, and how many of them are read before the bounds
+#: are looked at.
+CHUNKS, FIRST_CHUNKS = 16, 8
+#: Seen vectors for each of the k best whose scores are resolved at last.
+FEW = 8
 
 
 class SortedLists:
-    """The sorted lists of one block of vectors.  A list is kept as each vector's
-    place in it: what has been read down to a depth are the places above it."""
+    """The sorted lists of one block of vectors."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         by_id = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[by_id], vectors[by_id]
         n, dims = self.vectors.shape
-        order = np.argsort(-self.vectors, axis=0, kind="stable")
-        #: Row d: the values of dimension d, from the largest down, and the
-        #: place of each vector among them.
-        self.sorted = np.ascontiguousarray(np.take_along_axis(self.vectors, order, axis=0).T).astype(np.float64)
+        #: Row d: the vectors in falling order of component d, and their components.
+        self.order = np.ascontiguousarray(np.argsort(-self.vectors, axis=0, kind="stable").T)
+        self.value = np.take_along_axis(self.vectors.T, self.order, axis=1).astype(np.float64)
         self.place = np.empty((dims, n), np.int32)
-        np.put_along_axis(self.place, order.T, np.broadcast_to(np.arange(n, dtype=np.int32), (dims, n)), axis=1)
-        self.value = np.ascontiguousarray(self.vectors.T).astype(np.float64)
-        #: Where the bounds are looked at first: where the last query ended.
-        self.first = 0
+        np.put_along_axis(self.place, self.order, np.broadcast_to(np.arange(n, dtype=np.int32), (dims, n)), axis=1)
         self.read_share: list[float] = []
 
-    def top(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best vectors whose id isn't ``own``."""
-        n, weight = len(self.ids), query.astype(np.float64)
-        up, down = weight > 0, weight < 0
-        others = self.ids != own
-        alive = np.flatnonzero(others)
-        if len(alive) > k and (up | down).any():
-            # Lists of positive weights are read from the top, the others from the bottom.
-            worst = np.where(up, self.sorted[:, -1], self.sorted[:, 0]) * weight
-            for step in range(self.first, len(DEPTHS)):
-                to = min(n, int(np.ceil(n * DEPTHS[step])))
-                read = self.place < to
-                read[down] = self.place[down] >= n - to
-                come_to = np.where(up, self.sorted[:, to - 1], self.sorted[:, n - to]) * weight
-                known = weight @ (self.value * read)
-                unread_worst, unread_best = np.stack([worst, come_to]) @ (~read).astype(np.float64)
-                lower, upper = known + unread_worst, known + unread_best
-                bar = np.partition(lower[others], -k)[-k]
-                slack = 1e-9 * (abs(bar) + np.abs(worst).sum() + 1)
-                # A vector that no list has shown has come_to.sum() as its upper bound.
-                alive = np.flatnonzero(others & (upper >= bar - slack))
-                if len(alive) <= max(k, n * RESOLVE):
+    def _read(self, up: np.ndarray, down: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """Entries a to b of each list, as vectors and components; the lists of
+        negative weights are read from the other end."""
+        n = len(self.ids)
+        ends = (up, slice(a, b)), (down, slice(n - b, n - a))
+        return np.concatenate([self.order[d, s] for d, s in ends]), np.concatenate([self.value[d, s] for d, s in ends])
+
+    def top(self, own: int, query: np.ndarray, k: int, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best vectors whose id isn't ``own`` among those
+        that score ``least`` or more."""
+        n = len(self.ids)
+        query = np.pad(query, (0, self.vectors.shape[1] - len(query)))
+        up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
+        weight = query[np.concatenate([up, down])].astype(np.float64)
+        mine = self.ids == own
+        alive = np.flatnonzero(~mine)
+        if len(alive) > k and len(weight):
+            worst = np.concatenate([self.value[up, -1], self.value[down, 0]]) * weight
+            # What is known of each vector, had it the worst of all that is unread.
+            lower = np.full(n, worst.sum())
+            lower[mine] = -np.inf
+            slack = 1e-9 * (np.abs(lower[alive[0]]) + np.abs(worst).sum() + 1)
+            place = np.concatenate([self.place[up], n - 1 - self.place[down]])
+            ends = [-(-n * c // CHUNKS) for c in range(FIRST_CHUNKS, CHUNKS + 1)]
+            for a, b in zip([0, *ends], ends, strict=False):
+                which, value = self._read(up, down, a, b)
+                lower += np.bincount(which.ravel(), (value * weight[:, None] - worst[:, None]).ravel(), n)
+                come_to = value[:, -1] * weight
+                come_to[len(up) :] = value[len(up) :, 0] * weight[len(up) :]
+                bar = max(least, float(np.partition(lower, -k)[-k])) - slack
+                if come_to.sum() >= bar and b < n:
+                    continue
+                # Unseen vectors are out.  A seen one has at most the largest gains
+                # that are left, for as many lists as haven't shown it.
+                left = come_to - worst
+                most = np.concatenate([[0.0], np.cumsum(np.sort(left)[::-1])])
+                alive = np.flatnonzero(lower + most[(place >= b).sum(0, dtype=np.int32)] >= bar)
+                if len(alive) <= n // 8:
+                    alive = alive[lower[alive] + left @ (place[:, alive] >= b) >= bar]
+                if len(alive) <= FEW * k:
                     break
-            self.first = max(0, step - (step == self.first))
-            self.read_share.append(to / n)
+            self.read_share.append(b / n)
         scores = self.vectors[alive] @ query
+        alive, scores = alive[scores >= least], scores[scores >= least]
         best = np.lexsort((self.ids[alive], -scores))[:k]
         return self.ids[alive][best], scores[best]
 
 
-def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
-    lists = column.combine_chunks()
-    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
-    sizes = np.diff(lists.offsets.to_numpy())
-    flat = lists.flatten().to_numpy()
-    out = np.zeros((len(sizes), dims), np.int64)
-    out[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Lists as rows, padded with zeros."""
+    sizes = np.diff(column.offsets.to_numpy())
+    out = np.zeros((len(sizes), int(sizes.max(initial=0))), np.int64)
+    out[np.repeat(np.arange(len(sizes)), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = column.flatten().to_numpy()
     return out
 
 
-def _dims(column: pa.ChunkedArray) -> int:
-    return max((len(x) for x in column.combine_chunks()), default=0) if len(column) else 0
+def _joined(parts: list[np.ndarray], width: int) -> np.ndarray:
+    return np.concatenate([np.pad(p, ((0, 0), (0, width - p.shape[1]))) for p in parts])
 
 
 def whole_numbers(embedding, scale: int = SCALE):
@@ -108,37 +125,64 @@ def whole_numbers(embedding, scale: int = SCALE):
     return F.when(fine, x)
 
 
-PARTIAL = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
-
-
-def top_k(df: DataFrame, is_query, k: int = K, scale: int = SCALE, query_block: int = QUERY_BLOCK, vector_block: int = VECTOR_BLOCK) -> DataFrame:
+def _search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``vectors`` (vb, qb, vec_id, v) and ``queries`` (also row and least): the best
+    of each block for each query.  A block comes first, then what is asked of it."""
+    columns = ["vb", "qb", "asks", "row", "vec_id", "v", "least"]
+    both = vectors.select("vb", "qb", F.lit(False).alias("asks"), F.lit(0).cast("long").alias("row"), "vec_id", "v", F.lit(None).cast("long").alias("least"))
+    both = both.unionByName(queries.select("vb", "qb", F.lit(True).alias("asks"), "row", "vec_id", "v", "least"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, parts, lists = None, [], [], None
+        for b in batches:
+            vb, qb, asks = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            edges = [0, *(np.flatnonzero((np.diff(vb) != 0) | (np.diff(qb) != 0) | (asks[1:] != asks[:-1])) + 1), len(vb)]
+            for i, j in zip(edges, edges[1:], strict=False):
+                some, m = b.slice(i, j - i), _matrix(b.column(5).slice(i, j - i))
+                if (vb[i], qb[i]) != at:
+                    at, ids, parts, lists = (vb[i], qb[i]), [], [], None
+                if not asks[i]:
+                    ids.append(some.column(4).to_numpy())
+                    parts.append(m)
+                    continue
+                if not parts:
+                    continue
+                width = max(m.shape[1], *(p.shape[1] for p in parts))
+                if lists is None or lists.vectors.shape[1] < width:
+                    lists = SortedLists(np.concatenate(ids), _joined(parts, width))
+                out: list[list] = [[], [], [], []]
+                for row, own, least, q in zip(some.column(3).to_pylist(), some.column(4).to_pylist(), some.column(6).to_pylist(), m, strict=True):
+                    got, scores = lists.top(own, q, k, -np.inf if least is None else least)
+                    for column, values in zip(out, ([row] * len(got), [own] * len(got), got, scores), strict=True):
+                        column.extend(values)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["row", "query_id", "vec_id", "score"])
+
+    together = both.select(*columns).repartition("vb", "qb").sortWithinPartitions("vb", "qb", "asks")
+    return together.mapInArrow(common.task(run), "row long, query_id long, vec_id long, score long")
+
+
+def top_k(df: DataFrame, is_query, k: int = K, scale: int = SCALE, queries: int = QUERIES, vector_block: int = VECTOR_BLOCK) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score`` for each row of ``df``
     (vec_id, embedding) that ``is_query`` holds for."""
     common.ship(df.sparkSession)
-    rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), whole_numbers(F.col("embedding"), scale).alias("v")).where("vec_id is not null and v is not null")
-    rows = common.persist_cut(rows)
-    n, m = rows.count(), rows.where(is_query).count()
-    blocks, query_blocks = max(1, -(-n // vector_block)), max(1, -(-m // query_block))
-    # Each row has one block of its own kind and meets all blocks of the other.
-    numbered = rows.withColumn("row", F.monotonically_increasing_id())
-    vectors = numbered.withColumn("vb", F.pmod("row", F.lit(blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).drop("row")
-    asked = numbered.where(is_query).withColumn("qb", F.pmod(F.xxhash64("row"), F.lit(query_blocks)).cast("int")).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).drop("row")
-
-    def search(queries: pa.Table, block: pa.Table) -> pa.Table:
-        if not queries.num_rows or not block.num_rows:
-            return pa.Table.from_arrays([pa.array([], pa.int64())] * 3, PARTIAL.names)
-        dims = max(_dims(queries["v"]), _dims(block["v"]))
-        lists = SortedLists(block["vec_id"].to_numpy(), _matrix(block["v"], dims))
-        out = []
-        for own, q in zip(queries["vec_id"].to_pylist(), _matrix(queries["v"], dims), strict=True):
-            ids, scores = lists.top(own, q, k)
-            out.append(np.stack([np.full(len(ids), own), ids, scores]))
-        made = np.concatenate(out, axis=1)
-        return pa.Table.from_arrays([pa.array(c) for c in made], PARTIAL.names)
-
-    best = asked.groupBy("qb", "vb").cogroup(vectors.groupBy("qb", "vb")).applyInArrow(search, PARTIAL)
+    whole = df.select(F.col("vec_id").cast("long").alias("vec_id"), whole_numbers(F.col("embedding"), scale).alias("v")).where("vec_id is not null and v is not null")
+    rows = common.written(whole.withColumn("row", F.monotonically_increasing_id()), "vectors")
+    blocks = max(1, -(-rows.count() // vector_block))
+    placed = rows.withColumn("vb", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
+    asked = placed.where(is_query)
+    none = F.lit(None).cast("long")
+    # Each query in its own block, then with the bar from there in all others.
+    first = common.written(_search(placed.withColumn("qb", F.lit(0)), asked.withColumn("qb", F.lit(0)).withColumn("least", none), k), "own")
+    found = first
+    if blocks > 1:
+        groups = max(1, -(-asked.count() // queries))
+        bars = first.groupBy("row").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
+        away = asked.join(bars, "row", "left").withColumnRenamed("vb", "home").withColumn("qb", F.pmod(F.xxhash64("row", F.lit(3)), F.lit(groups)).cast("int"))
+        away = away.withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).where("vb <> home")
+        copies = placed.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))) if groups > 1 else placed.withColumn("qb", F.lit(0))
+        found = found.unionByName(_search(copies, away, k))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,6 +53,20 @@ def test_neighbours_and_edits(spark, monkeypatch):
         assert got[k]["near_edited"] == own.likeness(a, b) and got[k]["near_next"] == own.likeness(a, c)
 
 
+def test_rows_of_one_id_and_without_any_are_cut(spark, monkeypatch):
+    """A third of all rows has one id, a third has none; every row meets its next."""
+    monkeypatch.setattr(fp, "STRETCH_ROWS", 4)
+    monkeypatch.setattr(fp, "ROWS_A_CUT", 2)
+    rng = random.Random(6)
+    rows = [((7, None, i)[i % 3], words(rng, rng.randint(1, 9))) for i in range(150)] + [(9223372036854775807, "top"), (-9223372036854775808, "low")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.xxhash64("text"))
+    ordered = df.orderBy(*fp._order()).collect()
+    counts = [r["count"] for r in fp.stretches(df).where("not guest").groupBy("stretch").count().collect()]
+    assert sum(counts) == len(rows) and len(counts) > 12 and max(counts) < 40
+    want = sorted((r["doc_id"] or 0, hashlib.sha256(fp.edited(r["text"], ordered[(i + 1) % len(ordered)]["text"]).encode()).hexdigest()) for i, r in enumerate(ordered))
+    assert sorted((r["doc_id"] or 0, r["edited_sha256"]) for r in fp.compare_with_edits(df).collect()) == want
+
+
 def test_empty_table_one_row_and_repeats(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "x")], "doc_id long, text string")
     assert fp.compare_with_edits(df.where(F.lit(False))).count() == 0

@@ -68,6 +68,71 @@ def test_siblings_end_each_other():
     assert {t.text: t.boiler for t in found if t.text} == {"x": True, "inner": True, "y": True, "z": False}
 
 
+ARTICLE = "<article><h1>Head line</h1><p>The words of the page go on and on here.</p></article>"
+TEXT = "Head line\nThe words of the page go on and on here."
+
+
+def test_names_on_what_holds_the_article():
+    for before, after in (
+        ('<body class="home has-sidebar"><div>x</div>', "</body>"),
+        ('<div id="widget"><div class="header">Top</div><section class="sidebar">', "</section></div>"),
+        ("<nav>" + "<li>a" * 250 + "</nav>", ""),
+        ('<div role="banner">Our name</div><div class="siteFooter">us</div>', '<div class="comment-list"><p>First of all replies, and longer than the page is itself, it goes on</p></div>'),
+    ):
+        assert html.main_text(f"<html>{before}{ARTICLE}{after}</html>", W) == TEXT
+    assert html.main_text('<body><article class="post widget"><p>The words of the page.</p></article></body>', W) == "The words of the page."
+
+
+def test_attributes_are_read_as_browsers_do():
+    assert html.main_text(page('<p class=x">Hello "world" and more</p><p>Then on</p>'), W) == 'Hello "world" and more\nThen on'
+    assert html.main_text(page("<p a=b c=\"x>y\" d='z>' e = f/>Here it is</p>"), W) == "Here it is"
+    assert html.main_text(page('<p title="never closed>words'), W) == ""
+    for odd in ("<p " + "a " * 100_000 + ">", "<p a" + "=" * 100_000, "<" * 50_000, "<a " * 20_000, "<p \"" + "'" * 50_000):
+        html.tokens(odd)  # in no time
+
+
+def test_parts_of_names():
+    yes = ("ad", "site-footer", "comment-list", "cookie-banner", "share-buttons", "related-posts", "nav", "top_menu")
+    no = ("share-price", "has-sidebar", "with-sidebar", "header-image", "download", "adventure", "", "...", "no-ads")
+    assert all(map(html.is_boilerplate_name, yes)) and not any(map(html.is_boilerplate_name, no))
+
+
+FRAMES = (
+    '<body class="single no-sidebar"><div class="mast"><a href=/>Home</a> <a href=/x>News of it</a></div><main>{}</main><div class="mast"><p>All rights are ours, and so on</p></div></body>',
+    '<body><header><h2>Name of the site</h2></header><div id=wrap class="layout"><article>{}</article><aside><p>Other things to read</p></aside></div><footer>Ours</footer>',
+    '<div class="mast">Top of it</div><article class="post widget">{}</article><section class="comments"><p>I do not agree with a word of it at all</p></section>',
+)
+BLOCKS = ("<p>{}</p>", "<h2>{}</h2>", "<ul><li>{}</ul>", '<div class="share-price">{}</div>', "<table><tr><td>{}</table>", "<blockquote>{}</blockquote>")
+
+
+def test_whole_query_on_frames_not_fitted_on(spark, tmp_path):
+    """Weights come from two frames; the third has other boilerplate.  What was put
+    in is what must come out."""
+    import random
+
+    rng = random.Random(8)
+    rows, want = [], {}
+    for i in range(120):
+        texts = [" ".join(f"w{rng.randint(0, 999)}" for _ in range(rng.randint(3, 40))) for _ in range(rng.randint(1, 8))]
+        inner = "".join(rng.choice(BLOCKS).format(t) for t in texts)
+        if i % 17 == 0:
+            inner += '<div class="mast">Follow us there</div><script>var x = "<p>no</p>"</script>'
+        rows.append((i, f"http://a/{i}", FRAMES[i % 3 if i >= 80 else i % 2].format(inner)))
+        want[i] = "\n".join(texts)
+    spark.createDataFrame([*rows, (500, None, None)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html.op9_html(spark, str(tmp_path)).collect()}
+    assert got == {i: (t, len(t)) for i, t in want.items()} | {500: ("", 0)}
+
+
+def test_sample_has_one_of_equal_rows(spark):
+    from canonry.llm import common
+
+    df = spark.createDataFrame([("same",)] * 1000 + [(f"p{i}",) for i in range(2000)], "html string")
+    assert common.sampled(df.where("html = 'same'"), 100, "html").count() == 1
+    assert 40 <= common.sampled(df, 100, "html").count() <= 120
+    assert common.sampled(df, 5000, "html").count() == 2001
+
+
 def test_long_pages_are_labels_too(spark):
     long = [page(f"<h1>Title {i} here</h1>" + "<p>Some words &amp; more words.</p>" * 800) for i in range(5)]
     assert min(map(len, long)) > 20_000

@@ -22,7 +22,7 @@ def test_search_in_blocks_agrees_with_brute_force(spark):
     rows += [(300 + i, rows[0][1]) for i in range(40)]  # ties
     rows += [(400, None), (401, [1.0, None] + [0.0] * 6), (402, [float("nan")] * 8), (403, [float("inf")] * 8), (404, [0.0] * 8), (405, []), (406, [1.0, 2.0]), (None, [1.0] * 8)]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, score int")
-    got = {tuple(r) for r in topk.top_k(df, F.col("vec_id") % 10 == 0, query_block=7, vector_block=64).collect()}
+    got = {tuple(r) for r in topk.top_k(df, F.col("vec_id") % 10 == 0, queries=7, vector_block=64).collect()}
     assert got == brute(rows, 5, lambda i: i % 10 == 0)
 
 
