@@ -8,8 +8,8 @@ next one's ``docs``.  All but the last return the columns of ``documents``.
    ``op6_quality`` predicts 0) go; where nothing could be learnt, all stay.
    It is learnt from the labels of documents that are not held out.
 2. ``near_duplicates``: of each group of documents linked by five-word shingles
-   at a Jaccard similarity of 0.8 or more, the one of smallest doc_id stays; of
-   equal rows with one doc_id one stays.
+   at a Jaccard similarity of 0.8 or more, the one of smallest doc_id stays, whatever
+   else has that id; of equal rows one stays.
 3. ``substrings``: words inside windows of 50 words that also start elsewhere
    go, wherever they stand; a document that loses all its words stays, empty.
 4. ``packing``: what is left is packed into sequences of 1024 tokens.
@@ -40,18 +40,28 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group; texts without words, and rows without an
-    id, are in no group."""
-    found = jaccard.join(docs.select("doc_id", "text"), SHINGLE, PERCENT)
-    gone = common.written(found.where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct(), "gone")
-    small = gone.count() <= BROADCAST_ROWS
-    left = docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*docs.columns)
-    # Ids that stand on several rows: only these rows are looked at again.
-    twice = common.written(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
-    if twice.isEmpty():
-        return left
-    once = left.join(twice, "doc_id", "left_anti").select(*docs.columns)
-    return once.unionByName(left.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+    """Keep one document of each group, known by its id and text: the smallest id, of
+    several texts with that id the least digest, of equal rows one.  A missing id
+    counts as larger than any.  Texts without words are in no group and stay."""
+    found = common.written(jaccard.join(docs.select("doc_id", "text"), SHINGLE, PERCENT, with_texts=True).where("class is not null"), "grouped")
+    row = F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id").alias("id"), "d1", "d2")
+    groups = found.groupBy("class").agg(F.min(row).alias("k"), F.count("*").alias("n"))
+    kept = groups.where("n > 1").select("class", "k")
+    # Rows of groups of several, and which of them stays.
+    known = found.select("class", row.alias("row")).join(kept, "class")
+    gone = common.written(known.where(F.col("row") != F.col("k")).select("row.*").distinct(), "gone")
+    stay = common.written(known.where(F.col("row") == F.col("k")).groupBy("row").count().where("count > 1").select("row.*"), "twice")
+    own = ["__none", "__id", "__d1", "__d2"]  # names that no input has
+    text = common.text_or_empty()
+    keyed = docs.withColumns(dict(zip(own, (F.isnull("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.xxhash64(text), F.xxhash64(F.lit(1), text)), strict=True)))
+    key = lambda df: df.select("none", F.coalesce("id", F.lit(0)), "d1", "d2").toDF(*own)
+    gone = F.broadcast(key(gone)) if gone.count() <= BROADCAST_ROWS else key(gone)
+    left = keyed.join(gone, own, "left_anti")
+    # Equal rows: only these are looked at again.
+    if stay.isEmpty():
+        return left.select(*docs.columns)
+    once = left.join(key(stay), own, "left_anti").select(*docs.columns)
+    return once.unionByName(left.join(key(stay), own, "left_semi").dropDuplicates(own).select(*docs.columns))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
