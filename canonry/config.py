@@ -32,6 +32,9 @@ class MatchConfig:
     batch_pairs: int = 20
     reason_chars: int = 200
     near_misses_shown: int = 10
+    # Of a million tokens, in dollars.
+    prompt_price: float = 0.0
+    completion_price: float = 0.0
     # Cosine of embeddings is stretched from [floor, floor + span] to [0, 1].
     similarity_floor: float = 0.75
     similarity_span: float = 0.25

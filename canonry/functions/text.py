@@ -86,18 +86,23 @@ OCCUPANCY = (
 _U = "(?U)"
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at its ends, of any kind that Unicode has."""
+    return F.regexp_replace(text, _U + r"^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
+
+
 def distinct_ignoring_case(items: Column) -> Column:
-    """The first of items that differ in case or surrounding blanks only."""
+    """The first of items that differ in case or surrounding white space only."""
     return F.aggregate(
         items,
         F.array().cast("array<string>"),
-        lambda kept, x: F.when(F.exists(kept, lambda k: F.lower(F.trim(k)) == F.lower(F.trim(x))), kept).otherwise(F.array_append(kept, x)),
+        lambda kept, x: F.when(F.exists(kept, lambda k: F.lower(stripped(k)) == F.lower(stripped(x))), kept).otherwise(F.array_append(kept, x)),
     )
 
 
 def pipe_list(text: Column) -> Column:
     """Items between bars, trimmed, without blank and repeated ones."""
-    parts = F.transform(F.split(F.coalesce(text, F.lit("")), r"\|"), lambda x: F.trim(x))
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), r"\|"), stripped)
     return distinct_ignoring_case(F.filter(parts, lambda x: x != ""))
 
 
@@ -109,14 +114,14 @@ def unescape_html(texts: pd.Series) -> pd.Series:
 
 def number(text: Column) -> Column:
     """A double, or null for what isn't one."""
-    x = F.trim(text).try_cast("double")
+    x = stripped(text).try_cast("double")
     return F.when(~F.isnan(x), x)
 
 
 def property_name(name: Column) -> Column:
     """Lower case without the first brand prefix that fits."""
     prefixes = "|".join(BRAND_PREFIXES)
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.coalesce(name, F.lit("")))), f"^(?:{prefixes})", ""), _U + r"\s+", " ")
+    return F.regexp_replace(F.regexp_replace(stripped(F.lower(F.coalesce(name, F.lit("")))), f"^(?:{prefixes})", ""), _U + r"\s+", " ")
 
 
 def property_numbers(name: Column) -> Column:
@@ -129,7 +134,7 @@ def name_tokens(normal: Column) -> Column:
 
 def room_name(name: Column) -> Column:
     text = reduce(lambda c, r: F.regexp_replace(c, _U + r[0], r[1]), ROOM_EXPANSIONS, F.lower(F.coalesce(name, F.lit(""))))
-    return F.trim(F.regexp_replace(F.regexp_replace(text, _U + r"[^\w\s]", " "), _U + r"\s+", " "))
+    return stripped(F.regexp_replace(F.regexp_replace(text, _U + r"[^\w\s]", " "), _U + r"\s+", " "))
 
 
 def room_text(name: Column, amenities: Column) -> Column:

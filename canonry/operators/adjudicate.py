@@ -51,7 +51,8 @@ def batches(cases: DataFrame, cfg: MatchConfig = DEFAULT) -> DataFrame:
 
 
 def prompt_lines(numbered: DataFrame, records: DataFrame) -> DataFrame:
-    """One line for each pair, with both names, addresses and stars."""
+    """One line for each pair, with both names, addresses and stars; the line's format
+    is a fixed value."""
     stars = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
     a = records.select(*(F.col(c).alias(f"{c}_x") for c in ("supplier", "id", "name", "address", "stars")))
     b = records.select(*(F.col(c).alias(f"{c}_y") for c in ("supplier", "id", "name", "address", "stars")))
@@ -65,20 +66,26 @@ def prompts(lines: DataFrame) -> DataFrame:
     return lines.groupBy("batch").agg(F.concat(F.lit(PREAMBLE), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("index", "line"))), lambda x: x["line"]), "\n")).alias("prompt"))
 
 
-def ask(requests: DataFrame, adjudicator: Callable[[str], str | None] | None) -> DataFrame:
-    """``batch`` and ``answer``; without an adjudicator, or where it fails, null."""
+def ask(requests: DataFrame, adjudicator: Callable[[str], str | tuple[str, int, int] | None] | None) -> DataFrame:
+    """``batch``, ``answer``, ``prompt_tokens`` and ``completion_tokens``.  The
+    adjudicator returns an answer, or an answer with both counts; without one, or
+    where it fails, the answer is null."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            answers = []
+            answers, asked, told = [], [], []
             for prompt in p["prompt"]:
                 try:
-                    answers.append(adjudicator(prompt) if adjudicator else None)
+                    got = adjudicator(prompt) if adjudicator else None
                 except Exception:  # a failed request leaves its pairs near misses
-                    answers.append(None)
-            yield pd.DataFrame({"batch": p["batch"], "answer": pd.Series(answers, dtype="object")})
+                    got = None
+                answer, a, t = got if isinstance(got, tuple) else (got, 0, 0)
+                answers.append(answer)
+                asked.append(a)
+                told.append(t)
+            yield pd.DataFrame({"batch": p["batch"], "answer": pd.Series(answers, dtype="object"), "prompt_tokens": pd.Series(asked, dtype="int64"), "completion_tokens": pd.Series(told, dtype="int64")})
 
-    return requests.select("batch", "prompt").mapInPandas(run, "batch int, answer string")
+    return requests.select("batch", "prompt").mapInPandas(run, "batch int, answer string, prompt_tokens long, completion_tokens long")
 
 
 def read_answers(answers: DataFrame, numbered: DataFrame, cfg: MatchConfig = DEFAULT) -> DataFrame:
@@ -127,6 +134,18 @@ def promote(clusters: DataFrame, accepted: DataFrame) -> DataFrame:
     return kept.unionByName(merged.select("nodes", F.col("v.verdict_confidence").alias("confidence"), F.lit("llm").alias("method"), F.col("v.reason").alias("note")))
 
 
+RUN = "prompt_tokens long, completion_tokens long, pairs_called long, cost_usd double"
+
+
+def run_report(cases: DataFrame, cached: DataFrame, answers: DataFrame | None, accepted: DataFrame, cfg: MatchConfig = DEFAULT) -> dict:
+    """What a run considered, had in its cache, asked for, found and paid.  ``answers``
+    is null where nobody was asked."""
+    considered, hits = cases.count(), cached.count()
+    asked = answers.agg(F.coalesce(F.sum("prompt_tokens"), F.lit(0)).alias("p"), F.coalesce(F.sum("completion_tokens"), F.lit(0)).alias("c")).first() if answers is not None else {"p": 0, "c": 0}
+    cost = round(asked["p"] / 1e6 * cfg.prompt_price + asked["c"] / 1e6 * cfg.completion_price, 6)
+    return {"enabled": answers is not None, "pairs_considered": considered, "cached_hit": hits, "called": considered - hits if answers is not None else 0, "new_matches": accepted.count(), "prompt_tokens": asked["p"], "completion_tokens": asked["c"], "cost_usd": cost}
+
+
 def spend_summary(runs: DataFrame) -> DataFrame:
     """Totals of a log of runs."""
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canonry.config import DEFAULT, MatchConfig
@@ -12,41 +15,62 @@ from canonry.functions import scores, text
 CELL_DEGREES_PER_KM = 0.0136 / 1.5
 
 
-def prepared(feeds: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class NameScorer:
+    """How names are compared: the column that a record's name becomes, and the score
+    of two such columns."""
+
+    form: Callable[[], Column]
+    score: Callable[[Column, Column], Column]
+
+
+#: Token sets of cleaned names, by Dice similarity.
+DICE = NameScorer(lambda: text.name_tokens(text.property_name(F.col("name"))), scores.dice)
+
+
+def cosine_scorer(vector: str, cfg: MatchConfig = DEFAULT) -> NameScorer:
+    """Vectors that the feeds bring in a column, by cosine, stretched; records
+    without one score nothing."""
+    return NameScorer(lambda: F.col(vector), lambda a, b: F.coalesce(scores.stretch(scores.cosine(a, b), cfg), F.lit(0.0)))
+
+
+def prepared(feeds: DataFrame, scorer: NameScorer = DICE) -> DataFrame:
     """Name forms of each record; only what scoring needs."""
-    normal = text.property_name(F.col("name"))
-    return feeds.select("supplier", "id", "lat", "lon", "stars", text.name_tokens(normal).alias("tokens"), text.property_numbers(F.col("name")).alias("numbers"))
+    return feeds.select("supplier", "id", "lat", "lon", "stars", scorer.form().alias("form"), text.property_numbers(F.col("name")).alias("numbers"))
 
 
 def within(records: DataFrame, km: float) -> DataFrame:
     """Ordered pairs (u, v) of records at most ``km`` apart, u with itself too.
-    The plane is cut into cells no smaller than the radius; one side is dealt to
-    its cell and the eight around it, so the join is on equality of cells.  Dense
-    cells are split at run time where a join side is skewed.  Poles and the
-    antimeridian are out of scope."""
+    Bands of latitude are cut into cells no smaller than the radius, each band by its
+    own width; one side is dealt to its cell and the eight around it, so the join is
+    on equality of cells.  Dense cells are split at run time where a join side is
+    skewed.  Poles and the antimeridian are out of scope."""
     step = CELL_DEGREES_PER_KM * km
-    widest = records.agg(F.coalesce(F.max(F.abs("lat")), F.lit(0.0)).alias("m"))  # one row
-    cell = F.broadcast(widest.select((step / F.cos(F.radians(F.least("m", F.lit(85.0))))).alias("step_lon")))
-    placed = records.crossJoin(cell).withColumns({"cy": F.floor(F.col("lat") / step), "cx": F.floor(F.col("lon") / F.col("step_lon"))}).drop("step_lon")
-    around = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)))
+    band = F.floor(F.col("lat") / step)
+
+    def cell(cy: Column) -> Column:
+        """Of a longitude in a band; wide enough for the bands beside it too."""
+        return F.floor(F.col("lon") * F.cos(F.radians(F.least((F.abs(cy) + 2) * step, F.lit(85.0)))) / step)
+
     names = [c for c in records.columns]
-    u = placed.withColumn("o", F.explode(around)).select(*(F.col(c).alias(f"u_{c}") for c in names), (F.col("cy") + F.col("o.dy")).alias("cy"), (F.col("cx") + F.col("o.dx")).alias("cx"))
-    v = placed.select(*(F.col(c).alias(f"v_{c}") for c in names), "cy", "cx")
+    around = F.array(*(F.struct((band + dy).alias("cy"), (cell(band + dy) + dx).alias("cx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)))
+    u = records.select(*(F.col(c).alias(f"u_{c}") for c in names), F.explode(around).alias("o")).select("*", "o.cy", "o.cx").drop("o")
+    v = records.select(*(F.col(c).alias(f"v_{c}") for c in names), band.alias("cy"), cell(band).alias("cx"))
     far = scores.haversine_km(F.col("u_lat"), F.col("u_lon"), F.col("v_lat"), F.col("v_lon"))
     return u.join(v, ["cy", "cx"]).withColumn("dist_km", far).where(F.col("dist_km") <= km).drop("cy", "cx")
 
 
-def best_candidates(records: DataFrame, cfg: MatchConfig = DEFAULT) -> DataFrame:
+def best_candidates(records: DataFrame, cfg: MatchConfig = DEFAULT, scorer: NameScorer = DICE) -> DataFrame:
     """Per record the ``cfg.candidates`` best names in reach, itself and records of
     its own supplier among them; these leave only afterwards."""
-    scored = within(records, cfg.rescue_km).withColumn("name_score", scores.dice(F.col("u_tokens"), F.col("v_tokens")))
+    scored = within(records, cfg.rescue_km).withColumn("name_score", scorer.score(F.col("u_form"), F.col("v_form"))).drop("u_form", "v_form")
     rank = F.row_number().over(Window.partitionBy("u_supplier", "u_id").orderBy(F.desc("name_score"), "v_supplier", "v_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= cfg.candidates).where(F.col("u_supplier") != F.col("v_supplier"))
 
 
-def scored_edges(feeds: DataFrame, cfg: MatchConfig = DEFAULT) -> DataFrame:
+def scored_edges(feeds: DataFrame, cfg: MatchConfig = DEFAULT, scorer: NameScorer = DICE) -> DataFrame:
     """One row for each unordered pair that either side ranks and that scores."""
-    best = best_candidates(prepared(feeds), cfg)
+    best = best_candidates(prepared(feeds, scorer), cfg, scorer)
     first = F.struct("u_supplier", "u_id") < F.struct("v_supplier", "v_id")
     pick = lambda c: F.when(first, F.col(f"u_{c}")).otherwise(F.col(f"v_{c}"))
     other = lambda c: F.when(first, F.col(f"v_{c}")).otherwise(F.col(f"u_{c}"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from canonry.operators.components import components
 from canonry.operators.solver import matching
+from canonry.session import persist_cut
 
 PAIR = ["supplier_a", "a_id", "supplier_b", "b_id"]
 
@@ -18,11 +19,12 @@ def _ends(edges: DataFrame) -> DataFrame:
 
 def isolated_edges(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges that share no end with another, and all others."""
-    degree = _ends(edges).groupBy("supplier", "id").count()
+    degree = _ends(edges).groupBy("supplier", "id").count().where("count > 1")
     a = degree.select(F.col("supplier").alias("supplier_a"), F.col("id").alias("a_id"), F.col("count").alias("deg_a"))
     b = degree.select(F.col("supplier").alias("supplier_b"), F.col("id").alias("b_id"), F.col("count").alias("deg_b"))
-    both = edges.join(a, ["supplier_a", "a_id"]).join(b, ["supplier_b", "b_id"])
-    lone = (F.col("deg_a") == 1) & (F.col("deg_b") == 1)
+    # Cut once; both results read it.
+    both = persist_cut(edges.join(a, ["supplier_a", "a_id"], "left").join(b, ["supplier_b", "b_id"], "left"))
+    lone = F.col("deg_a").isNull() & F.col("deg_b").isNull()
     return both.where(lone).select(edges.columns), both.where(~lone).select(edges.columns)
 
 

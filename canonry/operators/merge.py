@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +14,7 @@ from canonry.session import persist_cut
 
 def longest(value: Column, place: Column) -> Column:
     """Aggregate: the longest trimmed string, the first of equal ones, else ''."""
-    trimmed = F.trim(value)
+    trimmed = text.stripped(value)
     kept = F.when(F.length(trimmed) > 0, trimmed)
     return F.coalesce(F.max_by(kept, F.when(kept.isNotNull(), F.struct(F.length(kept), -place))), F.lit(""))
 
@@ -24,7 +27,7 @@ def mean(value: Column) -> Column:
 def united(items: Column, place: Column) -> Column:
     """Aggregate: all items in order of place, each once whatever its case."""
     lists = F.transform(F.array_sort(F.collect_list(F.struct(place.alias("place"), items.alias("items")))), lambda x: F.coalesce(x["items"], F.array().cast("array<string>")))
-    return text.distinct_ignoring_case(F.filter(F.flatten(lists), lambda x: F.trim(x) != ""))
+    return text.distinct_ignoring_case(F.filter(F.flatten(lists), lambda x: text.stripped(x) != ""))
 
 
 def last_by_key(df: DataFrame, keys: list[str], place: str) -> DataFrame:
@@ -97,6 +100,29 @@ def attach_near_misses(near: DataFrame, clusters: DataFrame) -> DataFrame:
     return forth.unionByName(back).join(owner, ["supplier", "id"]).select(F.col("canonical_id").alias("canonical_hotel_id"), "candidate_supplier", "candidate_id", "confidence", "geo_score", "name_score")
 
 
+def fetched_fingerprints(urls: DataFrame, fetch: Callable[[str], str | None], known: DataFrame | None = None) -> DataFrame:
+    """``url`` and ``fingerprint`` of every distinct url: from ``known`` where it is
+    there, else what ``fetch`` returns on the executors, null where it returns nothing
+    or fails.  The result, written, is the next build's ``known``."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            got = []
+            for url in p["url"]:
+                try:
+                    got.append(fetch(url))
+                except Exception:  # what can't be fetched is kept, as not known
+                    got.append(None)
+            yield pd.DataFrame({"url": p["url"], "fingerprint": pd.Series(got, dtype="object")})
+
+    schema = "url string, fingerprint string"
+    wanted = urls.select("url").where("url is not null").distinct()
+    if known is None:
+        return wanted.mapInPandas(run, schema)
+    own = known.select("url", "fingerprint").dropDuplicates(["url"])
+    return wanted.join(own, "url").select("url", "fingerprint").unionByName(wanted.join(own, "url", "left_anti").mapInPandas(run, schema))
+
+
 def dedupe_by_content(df: DataFrame, key: str, urls: str, fingerprints: DataFrame) -> DataFrame:
     """``urls`` without later ones of equal fingerprint; those without one stay.
     Lists of fewer than two are not looked up."""

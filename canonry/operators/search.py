@@ -11,6 +11,8 @@ from canonry.functions import text
 # Fixed values of the ranking.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 STATUSES = ("matched", "singleton")
+#: What is searched.
+COLUMNS = ("id", "name", "address")
 MOST_ROWS = 200
 
 
@@ -20,6 +22,11 @@ def index_terms(docs: DataFrame, key: str, columns: tuple[str, ...]) -> DataFram
     return docs.select(F.col(key).alias("key"), F.explode(each).alias("c")).select("key", F.col("c.col").alias("col"), F.posexplode("c.terms").alias("pos", "term")).select("key", "term", "col", "pos")
 
 
+def index_lengths(docs: DataFrame, key: str, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
+    """``key`` and ``len``, the number of its terms, of every row."""
+    return docs.select(F.col(key).alias("key"), sum((F.size(text.search_terms(F.col(c))) for c in columns), F.lit(0)).cast("long").alias("len"))
+
+
 def query_phrases(query: str, spark) -> list[list[str]]:
     """Phrases of a query: its words, each cut into terms; words without any are
     left out.  The last term of a phrase is a prefix."""
@@ -42,13 +49,14 @@ def phrase_hits(terms: DataFrame, phrase: list[str]) -> DataFrame:
     return hits.groupBy("key").agg(F.count("*").alias("f"))
 
 
-def ranked(terms: DataFrame, docs: DataFrame, key: str, phrases: list[list[str]]) -> DataFrame:
-    """``key`` and ``score`` (greater is better) of rows that hold all phrases."""
+def ranked(terms: DataFrame, docs: DataFrame, key: str, phrases: list[list[str]], lengths: DataFrame | None = None) -> DataFrame:
+    """``key`` and ``score`` (greater is better) of rows that hold all phrases;
+    ``lengths`` as a build has kept them, else counted."""
     if not phrases:
         return docs.select(F.col(key).alias("key"), F.lit(0.0).alias("score")).where(F.lit(False))
     # Two scalars describe the whole collection.
-    lengths = terms.groupBy("key").agg(F.count("*").alias("len"))
-    whole = docs.agg(F.count("*").alias("docs")).crossJoin(terms.agg(F.count("*").alias("total")))
+    lengths = index_lengths(docs, key) if lengths is None else lengths
+    whole = lengths.agg(F.count("*").alias("docs"), F.coalesce(F.sum("len"), F.lit(0)).alias("total"))
     out = None
     for p in phrases:
         hits = phrase_hits(terms, p)
@@ -75,24 +83,31 @@ def of_status(df: DataFrame, status: str | None) -> DataFrame:
     return df if status is None else df.where(F.col("match_status") == status)
 
 
-def search(canonical: DataFrame, query: str, limit: int = 20, offset: int = 0, status: str | None = None, terms: DataFrame | None = None) -> tuple[int, DataFrame]:
+def search(canonical: DataFrame, query: str, limit: int = 20, offset: int = 0, status: str | None = None, terms: DataFrame | None = None, lengths: DataFrame | None = None) -> tuple[int, DataFrame]:
     """Total and one page: best matches first, ties by id; all rows by id where
     the query is blank."""
     checked(limit, offset, status)
     if not query.strip():
         own = of_status(canonical, status)
         return own.count(), own.orderBy("id").offset(offset).limit(limit)
-    index = terms if terms is not None else index_terms(canonical, "id", ("id", "name", "address"))
-    hits = ranked(index, canonical, "id", query_phrases(query, canonical.sparkSession))
+    index = terms if terms is not None else index_terms(canonical, "id", COLUMNS)
+    hits = ranked(index, canonical, "id", query_phrases(query, canonical.sparkSession), lengths)
     own = of_status(canonical.join(hits, canonical["id"] == hits["key"]).drop("key"), status)
     return own.count(), own.orderBy(F.desc("score"), "id").offset(offset).limit(limit).drop("score")
 
 
 def like(canonical: DataFrame, query: str, limit: int = 20, offset: int = 0, status: str | None = None) -> DataFrame:
-    """Substring search without an index, by name."""
+    """One page of ``like_total``."""
+    return like_total(canonical, query, limit, offset, status)[1]
+
+
+def like_total(canonical: DataFrame, query: str, limit: int = 20, offset: int = 0, status: str | None = None) -> tuple[int, DataFrame]:
+    """Total and one page of a substring search without an index, by name; ``%`` and
+    ``_`` stand for anything, as in patterns, a backslash for itself."""
     checked(limit, offset, status)
-    own = of_status(canonical, status).where(F.col("name").ilike(f"%{query}%") | F.col("address").ilike(f"%{query}%"))
-    return own.orderBy("name", "id").offset(offset).limit(limit)
+    pattern = "%" + query.replace("\\", "\\\\") + "%"
+    own = of_status(canonical, status).where(F.col("name").ilike(pattern) | F.col("address").ilike(pattern))
+    return own.count(), own.orderBy("name", "id").offset(offset).limit(limit)
 
 
 def has_more(total: int, offset: int, returned: int) -> bool:

@@ -24,11 +24,16 @@ class BuildReport:
     skipped: bool = False
     counts: dict = field(default_factory=dict)
     seconds: dict = field(default_factory=dict)
+    #: Rows without coordinates, by supplier.
+    dropped: dict = field(default_factory=dict)
+    #: As adjudicate.run_report has it.
+    adjudication: dict = field(default_factory=dict)
 
 
-def layers(records: DataFrame, room_rows: DataFrame, cfg: MatchConfig = DEFAULT, verdicts: DataFrame | None = None, adjudicator: Callable[[str], str | None] | None = None, fingerprints: DataFrame | None = None) -> dict[str, DataFrame]:
+def layers(records: DataFrame, room_rows: DataFrame, cfg: MatchConfig = DEFAULT, verdicts: DataFrame | None = None, adjudicator: Callable[[str], str | tuple | None] | None = None, fingerprints: DataFrame | None = None, told: dict | None = None) -> dict[str, DataFrame]:
     """All tables of the canonical layer.  ``records`` and ``room_rows`` are clean
-    and unique by (supplier, id) and (supplier, room_id)."""
+    and unique by (supplier, id) and (supplier, room_id).  ``told`` is filled with the
+    adjudication's report and its new verdicts."""
     edges = persist_cut(candidates.scored_edges(records, cfg))
     matched = persist_cut(matching.max_weight_matching(candidates.valid_edges(edges, cfg)))
     nodes = records.select("supplier", "id")
@@ -36,7 +41,10 @@ def layers(records: DataFrame, room_rows: DataFrame, cfg: MatchConfig = DEFAULT,
     near = persist_cut(matching.near_misses(edges, matched).withColumns({c: F.round(c, 4) for c in ("confidence", "geo_score", "name_score", "stars_score", "dist_km")}))
     judged = adjudication(near, matched, records, cfg, verdicts, adjudicator)
     if judged is not None:
+        judged, cases, cached, answers, new = judged
         accepted = persist_cut(adjudicate.greedy_one_to_one(judged))
+        if told is not None:
+            told |= {"report": adjudicate.run_report(cases, cached, answers, accepted, cfg), "verdicts": new}
         groups = adjudicate.promote(groups, accepted)
         near = near.join(accepted.select(matching.PAIR), matching.PAIR, "left_anti")
     ided = persist_cut(merge.with_ids(groups))
@@ -54,24 +62,34 @@ def layers(records: DataFrame, room_rows: DataFrame, cfg: MatchConfig = DEFAULT,
     }
 
 
-def adjudication(near: DataFrame, matched: DataFrame, records: DataFrame, cfg: MatchConfig, verdicts: DataFrame | None, adjudicator: Callable[[str], str | None] | None) -> DataFrame | None:
-    """Hard cases with their verdicts; None if there is nothing to ask."""
+def adjudication(near: DataFrame, matched: DataFrame, records: DataFrame, cfg: MatchConfig, verdicts: DataFrame | None, adjudicator: Callable[[str], str | tuple | None] | None) -> tuple | None:
+    """Hard cases with their verdicts, all cases, those that the cache knew, what was
+    answered and the new verdicts; None if there is nothing to ask."""
     if verdicts is None and adjudicator is None:
         return None
     spark = near.sparkSession
     claimed = matching._ends(matched).distinct()
     cases = persist_cut(adjudicate.hard_cases(near, claimed, cfg))
     known = verdicts if verdicts is not None else spark.createDataFrame([], adjudicate.VERDICT)
+    known = known.dropDuplicates(["key"])
+    cached = persist_cut(adjudicate.with_cached(cases, known).where("same_hotel is not null"))
+    answers = new = None
     if adjudicator is not None:
         open_ = adjudicate.with_cached(cases, known).where("same_hotel is null").select(cases.columns)
         numbered = adjudicate.batches(open_, cfg)
         answers = persist_cut(adjudicate.ask(adjudicate.prompts(adjudicate.prompt_lines(numbered, records)), adjudicator))
-        known = known.unionByName(adjudicate.read_answers(answers, numbered, cfg))
-    return adjudicate.with_cached(cases, known).where("same_hotel is not null")
+        new = persist_cut(adjudicate.read_answers(answers, numbered, cfg).dropDuplicates(["key"]))
+        known = known.unionByName(new)
+    return adjudicate.with_cached(cases, known).where("same_hotel is not null"), cases, cached, answers, new
 
 
-def build(spark: SparkSession, folder: str, path: str, force: bool = False, cfg: MatchConfig = DEFAULT, **options) -> BuildReport:
-    """Build all tables and the nested documents from a folder of feeds."""
+def build(
+    spark: SparkSession, folder: str, path: str, force: bool = False, cfg: MatchConfig = DEFAULT, adjudicator: Callable[[str], str | tuple | None] | None = None, verdicts: str | None = None, spend: str | None = None,
+    fetch: Callable[[str], str | None] | None = None, fingerprints: str | None = None,
+) -> BuildReport:
+    """Build all tables and the nested documents from a folder of feeds.  ``verdicts``,
+    ``spend`` and ``fingerprints`` are paths of side tables that are read and added to:
+    what a model has answered, what runs have cost, and what ``fetch`` has returned."""
     if not force and artifact.exists(spark, path):
         return BuildReport(skipped=True)
     if not _one_build.acquire(blocking=False):
@@ -79,10 +97,27 @@ def build(spark: SparkSession, folder: str, path: str, force: bool = False, cfg:
     report, began = BuildReport(), time.monotonic()
     try:
         _status.update(state="running", error=None)
-        records = persist_cut(merge.last_by_key(feeds.clean_properties(feeds.scan(spark, folder, "hotels")), ["supplier", "id"], "line"))
+        raw = feeds.scan(spark, folder, "hotels")
+        report.dropped = {r["supplier"]: r["n"] for r in feeds.dropped_rows(raw).collect()}
+        records = persist_cut(merge.last_by_key(feeds.clean_properties(raw), ["supplier", "id"], "line"))
         room_rows = persist_cut(merge.last_by_key(feeds.clean_rooms(feeds.scan(spark, folder, "rooms")), ["supplier", "room_id"], "line"))
         report.seconds["load"] = time.monotonic() - began
-        tables = layers(records, room_rows, cfg, **options)
+        known = feeds.side_table(spark, verdicts, adjudicate.VERDICT) if verdicts else None
+        prints = None
+        if fetch is not None or fingerprints is not None:
+            old = persist_cut(feeds.side_table(spark, fingerprints, "url string, fingerprint string")) if fingerprints else None
+            prints = persist_cut(merge.fetched_fingerprints(records.select(F.explode("image_urls").alias("url")), fetch or (lambda url: None), old))
+            if fetch is not None and fingerprints:
+                feeds.keep(prints.join(old.select("url"), "url", "left_anti"), fingerprints)
+        told: dict = {}
+        tables = layers(records, room_rows, cfg, known, adjudicator, prints, told)
+        report.adjudication = told.get("report", {})
+        if told.get("verdicts") is not None:
+            if verdicts:
+                feeds.keep(told["verdicts"], verdicts)
+            if spend:
+                r = report.adjudication
+                feeds.keep(spark.createDataFrame([(r["prompt_tokens"], r["completion_tokens"], r["called"], r["cost_usd"])], adjudicate.RUN), spend)
         artifact.write(path, tables)
         catalog = artifact.Catalog(spark, path)
         artifact.nested(catalog.table("canonical_hotels"), catalog.table("canonical_rooms"), catalog.table("near_misses")).write.mode("overwrite").json(f"{path}/documents")

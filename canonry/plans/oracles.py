@@ -7,7 +7,7 @@ from canonry.functions import text as X
 from canonry.operators import adjudicate as A
 from canonry.operators import search as S
 from canonry.plans.queries import QUERY
-from canonry.plans.synthetic import WITH_FEEDS, WITH_ROOMS
+from canonry.plans.synthetic import VECTORS, WITH_FEEDS, WITH_ROOMS
 
 _PREFIXES = "|".join(X.BRAND_PREFIXES)
 _NORMAL = rf"regexp_replace(regexp_replace(lower(trim(name)), '^(?:{_PREFIXES})', ''), '\s+', ' ', 'g')"
@@ -26,19 +26,20 @@ best as (select * from ranked where rank <= {C.candidates} and us <> vs)"""
 
 
 
-def _matching(edges: str, u: str, v: str) -> str:
+def _matching(edges: str, u: str, v: str, x: str = "") -> str:
     """``matched``: of each component of ``edges`` the set without common ends whose
-    weight is greatest, by trying all; for tables with small components."""
-    return f"""named as (select *, {u} as u, {v} as v, round(confidence * 1e10)::bigint as w from {edges}),
-links as (select u as x, v as y from named union select v, u from named),
-reach as (select x, x as y from links union select r.x, l.y from reach r join links l on l.x = r.y),
-root as (select x, min(y) as root from reach group by x),
-lined as (select n.*, root, row_number() over (partition by root order by u, v) as k, count(*) over (partition by root) as m from named n join root on x = u),
-tries as (select distinct root, 0::bigint as k, m, []::varchar[] as used, []::bigint[] as taken, 0::bigint as total from lined
+    weight is greatest, by trying all; for tables with small components.  ``x`` ends
+    all names."""
+    return f"""named{x} as (select *, {u} as u, {v} as v, round(confidence * 1e10)::bigint as w from {edges}),
+links{x} as (select u as x, v as y from named{x} union select v, u from named{x}),
+reach{x} as (select x, x as y from links{x} union select r.x, l.y from reach{x} r join links{x} l on l.x = r.y),
+root{x} as (select x, min(y) as root from reach{x} group by x),
+lined{x} as (select n.*, root, row_number() over (partition by root order by u, v) as k, count(*) over (partition by root) as m from named{x} n join root{x} on x = u),
+tries{x} as (select distinct root, 0::bigint as k, m, []::varchar[] as used, []::bigint[] as taken, 0::bigint as total from lined{x}
   union all select t.root, l.k, t.m, case when take then list_concat(used, [u, v]) else used end, case when take then list_append(taken, l.k) else taken end, total + case when take then w else 0 end
-  from tries t join lined l on l.root = t.root and l.k = t.k + 1, (values (true), (false)) as choice(take) where not take or not list_has_any(used, [u, v])),
-best_of as (select root, arg_max(taken, total) as taken from tries where k = m group by root),
-matched as (select l.* exclude (u, v, w, root, k, m) from lined l join best_of using (root) where list_contains(taken, k))"""
+  from tries{x} t join lined{x} l on l.root = t.root and l.k = t.k + 1, (values (true), (false)) as choice(take) where not take or not list_has_any(used, [u, v])),
+best_of{x} as (select root, arg_max(taken, total) as taken from tries{x} where k = m group by root),
+matched{x} as (select l.* exclude (u, v, w, root, k, m) from lined{x} l join best_of{x} using (root) where list_contains(taken, k))"""
 
 
 _EDGES = f"""{_NEAR.replace("with b as", "with recursive b as", 1)},
@@ -71,6 +72,15 @@ record as (select m.*, f.name, f.address, f.lat, f.lon, f.stars from member m jo
 node as (select cid as first_id, any_value(method) as method, any_value(confidence) as confidence, count(*) as size, string_agg(id, '|' order by place) as nodes from member group by cid),
 called as (select *, printf('CAN-%05d', row_number() over (order by method = 'singleton', first_id)) as canonical_id from node)"""
 
+_SCORE_OF_NAMES = "case when len(u.tokens) + len(v.tokens) > 0 then 2.0e0 * len(list_intersect(u.tokens, v.tokens)) / (len(u.tokens) + len(v.tokens)) else 0e0 end"
+_TOKENS = f"list_distinct(list_filter(string_split({_NORMAL}, ' '), lambda t: t <> '')) as tokens"
+#: The same with vectors of the feeds for names.
+_SEMANTIC = (
+    _EDGES.replace(_SCORE_OF_NAMES, f"greatest(0e0, (list_cosine_similarity(u.tokens, v.tokens) - {C.similarity_floor}) / {C.similarity_span})")
+    .replace(_TOKENS, "embedding::double[] as tokens")
+    .replace("as numbers from feeds)", f"as numbers from feeds join embeddings on vec_id = truth_key % {VECTORS})")
+)
+
 _SIX = "round(dist_km, 6) as dist_km, round(geo_score, 6) as geo_score, round(name_score, 6) as name_score, round(stars_score, 6) as stars_score, round(confidence, 6) as confidence"
 _PAIR = "supplier_a, a_id, supplier_b, b_id"
 
@@ -139,6 +149,13 @@ _SCORE = " + ".join(
 )
 _JOIN = "h0 " + " ".join(f"join h{i} using (id)" for i in range(1, len(_WORDS)))
 
+_ROOM_PAIRS = f"""{_EDGES}, rooms as ({WITH_ROOMS.split("rooms as (", 1)[1]},
+      placed as (select m.cid, l.supplier, l.room_id, list_distinct(list_filter(string_split({_room_normal("l.name")}, ' '), lambda t: t <> '')) as tokens, {_case("lower(concat_ws(' ', l.name, array_to_string(" + _pipe("l.amenities_raw") + ", ' ')))", X.BEDS)} as bed
+        from rooms l join member m on m.supplier = l.supplier and m.id = l.hotel_id),
+      both_ as (select a.cid as canonical_id, a.supplier as supplier_a, a.room_id as a_id, b.supplier as supplier_b, b.room_id as b_id, 2.0e0 * len(list_intersect(a.tokens, b.tokens)) / (len(a.tokens) + len(b.tokens)) as confidence, a.bed <> b.bed as conflict from placed a join placed b on a.cid = b.cid and a.supplier < b.supplier)"""
+_ALIKE = f"confidence >= {C.room_accept} and not coalesce(conflict, false)"
+_ROOM_SCORED = f"select canonical_id, {_PAIR}, confidence from both_ where {_ALIKE}"
+
 ORACLES = {
     "feed_union": f"{WITH_FEEDS} select supplier, id, name, address, round(lat, 6) as lat, round(lon, 6) as lon, stars from feeds",
     "name_normalize": f"{WITH_FEEDS} select id, {_NORMAL} as normal from feeds",
@@ -153,6 +170,7 @@ ORACLES = {
     "haversine_pairs": f"{_NEAR} select ui as a_id, vi as b_id, round(dist_km, 6) as dist_km from near where dist_km <= {C.max_km} and ui < vi",
     "topk_before_supplier_filter": f"{_NEAR} select ui as a_id, vi as b_id, rank::int as rank, round(name_score, 6) as name_score from best",
     "scored_edges": f"{_EDGES} select {_PAIR}, {_SIX}, eligible, is_rescue from kept",
+    "semantic_edges": f"{_SEMANTIC} select {_PAIR}, {_SIX}, eligible, is_rescue from kept",
     "valid_edges": f"{_EDGES} select {_PAIR}, {_SIX}, eligible, is_rescue from valid",
     "isolated_edge_matching": f"{_EDGES} select {_PAIR}, {_SIX}, eligible, is_rescue from lone",
     "max_weight_matching": f"{_EDGES} select {_PAIR}, {_SIX}, eligible, is_rescue from matched",
@@ -193,11 +211,10 @@ select b.vec_id, round(greatest(0e0, ((list_cosine_similarity(a.e, b.e) + 1) / 2
 with d as (select doc_id, source, 'doc/' || lpad(doc_id::varchar, 9, '0') as url, strlen(text)::varchar || ':' || md5(text) as fp from documents where text is not null),
 r as (select *, row_number() over (partition by source, fp order by url) as k, count(*) over (partition by source) as n from d)
 select source, count(*)::bigint as n, md5(string_agg(url, '|' order by url)) as urls_md5 from r where k = 1 or n < 2 group by source""",
-    "room_pairs_scored": f"""{_EDGES}, rooms as ({WITH_ROOMS.split("rooms as (", 1)[1]},
-      placed as (select m.cid, l.supplier, l.room_id, list_distinct(list_filter(string_split({_room_normal("l.name")}, ' '), lambda t: t <> '')) as tokens, {_case("lower(concat_ws(' ', l.name, array_to_string(" + _pipe("l.amenities_raw") + ", ' ')))", X.BEDS)} as bed
-        from rooms l join member m on m.supplier = l.supplier and m.id = l.hotel_id),
-      both_ as (select a.cid as canonical_id, a.supplier as supplier_a, a.room_id as a_id, b.supplier as supplier_b, b.room_id as b_id, 2.0e0 * len(list_intersect(a.tokens, b.tokens)) / (len(a.tokens) + len(b.tokens)) as confidence, a.bed <> b.bed as conflict from placed a join placed b on a.cid = b.cid and a.supplier < b.supplier)
-      select canonical_id, {_PAIR}, round(confidence, 6) as confidence from both_ where confidence >= {C.room_accept} and not coalesce(conflict, false)""",
+    "room_pairs_scored": f"{_ROOM_PAIRS} select canonical_id, {_PAIR}, round(confidence, 6) as confidence from both_ where {_ALIKE}",
+    "room_matching": f"""{_ROOM_PAIRS}, room_pairs as ({_ROOM_SCORED}),
+      {_matching("room_pairs", "concat_ws('::', canonical_id, supplier_a, a_id)", "concat_ws('::', canonical_id, supplier_b, b_id)", "_rooms")}
+      select canonical_id, {_PAIR}, round(confidence, 6) as confidence from matched_rooms""",
     "fts_search": f"{_TERMS}, {_HITS} select id as key from {_JOIN}",
     "fts_rank": f"{_TERMS}, {_HITS}, s as (select id, count(*) as len from terms group by id) select id as key, round({_SCORE}, 6) as score from {_JOIN} join s using (id)",
     "like_fallback": f"{_RECORDS} select id, name from own where name ilike '%road%' or address ilike '%road%' order by name, id limit 50 offset 5",

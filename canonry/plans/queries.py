@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from canonry.config import DEFAULT as CFG
 from canonry.functions import scores, text
-from canonry.operators import adjudicate, candidates, matching, merge, rooms, search
+from canonry.operators import adjudicate, candidates, matching, merge, rooms, search, vectors
 from canonry.plans import build, synthetic
 from canonry.session import persist_cut
 from canonry.streaming import ratelimit
@@ -170,20 +170,22 @@ def scored_edges(spark, d):
     return _rounded(_edges(spark, d))
 
 
+def semantic_edges(spark, d):
+    """Edges by embeddings that the feeds bring: records of one truth have one vector."""
+    v = _table(spark, d, "embeddings").where("embedding is not null").select(F.col("vec_id").alias("k"), "embedding")
+    n = synthetic.VECTORS
+    own = synthetic.feeds(spark, d).join(v, F.pmod("truth_key", F.lit(n)) == F.col("k"))
+    return _rounded(candidates.scored_edges(own, scorer=candidates.cosine_scorer("embedding")))
+
+
 def valid_edges(spark, d):
     return _rounded(_valid(spark, d))
 
 
 def vector_topk(spark, d):
     """Per vector its five most similar of the other supplier, the parity of the id."""
-    v = _table(spark, d, "embeddings")
-    norm = v.withColumn("unit", F.transform("embedding", lambda x: x.cast("double") / F.sqrt(scores.dot(F.col("embedding"), F.col("embedding"))))).select("vec_id", "unit")
-    norm = norm.withColumns({"block": F.pmod(F.xxhash64("vec_id"), F.lit(16)), "supplier": F.pmod("vec_id", F.lit(2))})
-    # Each vector meets those of the other supplier in blocks.
-    a = norm.select(F.col("vec_id").alias("query_id"), F.col("unit").alias("q"), (1 - F.col("supplier")).alias("supplier"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("block"))
-    pairs = a.join(norm, ["block", "supplier"]).withColumn("similarity", F.round(scores.dot(F.col("q"), F.col("unit")), 6))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
-    return pairs.select("query_id", "vec_id", "similarity").withColumn("rank", rank).where("rank <= 5")
+    v = _table(spark, d, "embeddings").where("embedding is not null").select("vec_id", "embedding", F.pmod("vec_id", F.lit(2)).alias("supplier"))
+    return vectors.nearest(v.withColumn("supplier", 1 - F.col("supplier")), v, 5, "supplier")
 
 
 def similarity_stretch(spark, d):
@@ -375,7 +377,7 @@ def rate_limit_admitted(spark, d):
 
 _OWN = (
     feed_union, name_normalize, property_numbers, pipe_list_dedupe, numeric_coerce_drop, html_unescape_titles, room_attributes, room_occupancy, room_name_normalize,
-    haversine_pairs, topk_before_supplier_filter, scored_edges, valid_edges, vector_topk, similarity_stretch, isolated_edge_matching, max_weight_matching, clusters, singletons, near_misses,
+    haversine_pairs, topk_before_supplier_filter, scored_edges, semantic_edges, valid_edges, vector_topk, similarity_stretch, isolated_edge_matching, max_weight_matching, clusters, singletons, near_misses,
     hard_cases, verdict_cache_join, llm_batches, prompt_lines, prompts, greedy_one_to_one, promote, spend_summary,
     merge_name_longest, merge_avg, merge_list_union, source_map, canonical_ids, near_miss_attach, image_dedupe,
     room_pairs_scored, room_matching, canonical_rooms, canonical_hotels, fts_search, fts_rank, like_fallback, list_page, near_miss_top10, hotel_detail,

@@ -37,6 +37,9 @@ ROOMS = """
   from (select supplier, hotel_id, k, i, k * 3 + i as j from (select supplier, id as hotel_id, truth_key as k from feeds) f
         cross join (select 0 as i union all select 1 union all select 2) r where i <= k % 3) x"""
 
+#: Embeddings that records share, by truth.
+VECTORS = 100
+
 WITH_FEEDS = f"with b as ({BASE}),\nfeeds as ({FEEDS})"
 WITH_ROOMS = f"{WITH_FEEDS},\nrooms as ({ROOMS})"
 

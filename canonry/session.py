@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one of our own only if unset."""
+    """The shared folder that the cluster names in spark.checkpoint.dir.  Only where
+    driver and executors are one machine it may be unset."""
     jsc = spark.sparkContext._jsc.sc()
     if not jsc.getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         spark.sparkContext.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "canonry-checkpoints"))
     return jsc.getCheckpointDir().get()
 

@@ -2,39 +2,57 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canonry.operators import merge, search
+from canonry.operators import adjudicate, merge, search
 
-TABLES = ("raw_hotels", "canonical_hotels", "raw_rooms", "canonical_rooms", "near_misses", "search_terms")
+TABLES = ("raw_hotels", "canonical_hotels", "raw_rooms", "canonical_rooms", "near_misses", "search_lengths", "search_terms")
 
 
 class ArtifactMissing(FileNotFoundError):
     """Nothing has been built at this path."""
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a finished build is there; its last table is written last."""
+def missing(e: Exception) -> bool:
+    return any(x in str(e) for x in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"))
+
+
+def current(spark: SparkSession, path: str) -> str | None:
+    """Folder of the build that was published last, if any."""
     try:
-        spark.read.parquet(f"{path}/{TABLES[-1]}")
+        rows = spark.read.schema("at long, build string").json(f"{path}/published").orderBy(F.desc("at"), F.desc("build")).limit(1).collect()
     except Exception as e:
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-            return False
+        if missing(e):
+            return None
         raise
-    return True
+    return f"{path}/{rows[0]['build']}" if rows else None
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a finished build is there."""
+    return current(spark, path) is not None
 
 
 def write(path: str, tables: dict[str, DataFrame]) -> None:
-    """All tables; of raw rows that share a key the last one stays."""
-    for name in TABLES[:-1]:
+    """All tables, in a folder of their own; of raw rows that share a key the last
+    one stays.  One row, written last, publishes them all at once, and readers of an
+    earlier build go on with that."""
+    spark = tables["canonical_hotels"].sparkSession
+    build = f"build-{uuid.uuid4().hex}"
+    for name in TABLES[:-2]:
         df = tables[name]
         if name.startswith("raw_"):
             df = merge.last_by_key(df, ["supplier", "id" if name == "raw_hotels" else "room_id"], "line").drop("line")
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-    spark = tables["canonical_hotels"].sparkSession
-    index = search.index_terms(spark.read.parquet(f"{path}/canonical_hotels"), "id", ("id", "name", "address"))
-    index.write.mode("overwrite").parquet(f"{path}/{TABLES[-1]}")
+        df.write.parquet(f"{path}/{build}/{name}")
+    hotels = spark.read.parquet(f"{path}/{build}/canonical_hotels")
+    search.index_lengths(hotels, "id").write.parquet(f"{path}/{build}/search_lengths")
+    # In order of terms, so that a search reads few row groups.
+    search.index_terms(hotels, "id", search.COLUMNS).sort("term").write.parquet(f"{path}/{build}/search_terms")
+    spark.createDataFrame([(time.time_ns(), build)], "at long, build string").coalesce(1).write.mode("append").json(f"{path}/published")
 
 
 def nested(canonical: DataFrame, rooms: DataFrame, near: DataFrame) -> DataFrame:
@@ -53,15 +71,22 @@ class Catalog:
     """Read-only access to a build."""
 
     def __init__(self, spark: SparkSession, path: str):
-        if not exists(spark, path):
+        folder = current(spark, path)
+        if folder is None:
             raise ArtifactMissing(path)
-        self.spark, self.path = spark, path
+        self.spark, self.path = spark, folder
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")
 
     def search(self, query: str = "", limit: int = 20, offset: int = 0, status: str | None = None) -> dict:
-        total, page = search.search(self.table("canonical_hotels"), query, limit, offset, status, self.table("search_terms"))
+        hotels = self.table("canonical_hotels")
+        try:
+            total, page = search.search(hotels, query, limit, offset, status, self.table("search_terms"), self.table("search_lengths"))
+        except Exception as e:  # without an index, by pattern
+            if not missing(e):
+                raise
+            total, page = search.like_total(hotels, query, limit, offset, status)
         rows = page.collect()  # at most the limit
         return {"total": total, "limit": limit, "offset": offset, "has_more": search.has_more(total, offset, len(rows)), "results": [r.asDict(recursive=True) for r in rows]}
 
@@ -74,10 +99,11 @@ class Catalog:
             raise KeyError(id_)
         return rows[0].asDict(recursive=True)
 
-    def stats(self) -> dict:
+    def stats(self, spend: DataFrame | None = None) -> dict:
+        """Counts by status and method; with the log of runs also what was spent."""
         canonical, rooms = self.table("canonical_hotels"), self.table("canonical_rooms")
         as_dict = lambda df, by: {r[by]: r["n"] for r in search.counts(df, by).collect()}
-        return {"hotels": as_dict(canonical, "match_status"), "hotels_by_match_method": as_dict(canonical, "match_method"), "rooms": as_dict(rooms, "match_status"), "near_misses": self.table("near_misses").count()}
+        return {"hotels": as_dict(canonical, "match_status"), "hotels_by_match_method": as_dict(canonical, "match_method"), "rooms": as_dict(rooms, "match_status"), "near_misses": self.table("near_misses").count()} | ({} if spend is None else {"llm_spend": adjudicate.spend_summary(spend).first().asDict()})
 
 
 def health(spark: SparkSession, path: str) -> dict:

@@ -61,11 +61,11 @@ def clean_properties(raw: DataFrame) -> DataFrame:
 
 
 def clean_rooms(raw: DataFrame) -> DataFrame:
-    return raw.withColumns({"name": F.trim("name"), "amenities": text.pipe_list(F.col("amenities"))})
+    return raw.withColumns({"name": text.stripped(F.col("name")), "amenities": text.pipe_list(F.col("amenities"))})
 
 
 def supplier_name(name: str) -> str:
-    clean = re.sub(r"[^a-z0-9_-]", "", name.strip().lower())
+    clean = "".join(c for c in name.strip().lower() if c.isalnum() or c in "_-")
     if not clean:
         raise FeedError("a supplier's name needs letters or digits")
     return clean
@@ -103,6 +103,17 @@ def remove(folder: str, filename: str) -> None:
     path.unlink()
 
 
+def dropped_rows(raw: DataFrame) -> DataFrame:
+    """``n`` of the rows of each supplier that have no coordinates."""
+    missing = text.number(F.col("lat")).isNull() | text.number(F.col("lon")).isNull()
+    return raw.where(missing).groupBy("supplier").agg(F.count("*").alias("n"))
+
+
+def keep(rows: DataFrame, path: str) -> None:
+    """Add rows to a cache or log that ``side_table`` reads."""
+    rows.write.mode("append").json(path)
+
+
 def side_table(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """A cache kept as JSON lines; empty if it is missing, without the lines that
     can't be read."""

@@ -54,6 +54,51 @@ def test_catalog(spark, built):
     assert len(nested) == 2 and len(nested[0]["rooms"]) == 2 and nested[1]["near_misses"] == []
 
 
+def test_adjudicated_build_keeps_what_it_paid_for(spark, tmp_path):
+    import json
+
+    folder, out = tmp_path / "feeds", str(tmp_path / "layer")
+    folder.mkdir()
+    (folder / "a_hotels.csv").write_text(HOTELS + "A1,Crystal Castle Lake,1 Rd,12.97,77.59,4,,u1|u2\nA2,Nowhere,1 Rd,,77.59,4,,\n")
+    (folder / "b_hotels.csv").write_text(HOTELS + "B1,Crystal Fort Hill,1 Rd,12.97,77.59,1,,u3\n")
+    for x in "ab":
+        (folder / f"{x}_rooms.csv").write_text("hotel_id,room_id,name,amenities\n")
+    asked = tmp_path / "asked"
+    asked.mkdir()
+
+    def adjudicator(prompt):
+        import uuid
+
+        (asked / uuid.uuid4().hex).write_text(prompt)
+        return json.dumps({"adjudications": [{"index": 0, "same_hotel": True, "confidence": 0.8, "reason": "same"}]}), 100, 7
+
+    side = {k: str(tmp_path / k) for k in ("verdicts", "spend", "fingerprints")}
+    fetch = lambda url: {"u1": "p", "u3": "p"}.get(url)
+    first = build.build(spark, str(folder), out, adjudicator=adjudicator, fetch=fetch, **side)
+    assert first.dropped == {"a": 1}
+    assert first.adjudication == {"enabled": True, "pairs_considered": 1, "cached_hit": 0, "called": 1, "new_matches": 1, "prompt_tokens": 100, "completion_tokens": 7, "cost_usd": 0.0}
+    old = artifact.Catalog(spark, out)
+    assert old.search("crystal")["results"][0]["match_method"] == "llm" and old.search("crystal")["results"][0]["image_urls"] == ["u1", "u2"]
+    again = build.build(spark, str(folder), out, force=True, adjudicator=adjudicator, fetch=fetch, **side)
+    assert again.adjudication["cached_hit"] == 1 and again.adjudication["called"] == 0 and len(list(asked.iterdir())) == 1
+    # Readers of the first build still have it; new ones get the second.
+    new = artifact.Catalog(spark, out)
+    assert new.path != old.path and old.search()["total"] == new.search()["total"] == 1
+    spend = feeds.side_table(spark, side["spend"], "prompt_tokens long, completion_tokens long, pairs_called long, cost_usd double")
+    assert new.stats(spend)["llm_spend"] == {"lifetime_prompt_tokens": 100, "lifetime_completion_tokens": 7, "lifetime_pairs_adjudicated": 1, "lifetime_cost_usd": 0.0}
+    # Without its index a build is searched by pattern.
+    import shutil
+
+    shutil.rmtree(f"{new.path}/search_terms")
+    assert new.search("castle")["total"] == 1 and new.search("nothing")["total"] == 0
+
+
+def test_patterns(spark):
+    df = spark.createDataFrame([("1", "a\\b", ""), ("2", "ab", "a_c"), ("3", "axc", "")], "id string, name string, address string").withColumn("match_status", F.lit("matched"))
+    ids = lambda q: [r["id"] for r in search.like(df, q).orderBy("id").collect()]
+    assert ids("a\\b") == ["1"] and ids("A_C") == ["2", "3"] and ids("\\") == ["1"] and ids("%") == ["1", "2", "3"]
+
+
 def test_feed_files(spark, tmp_path):
     (tmp_path / "x.csv").write_text("a\n1\n")
     target = feeds.register(str(tmp_path), " My Feed! ", "hotels", str(tmp_path / "x.csv"))
@@ -68,6 +113,7 @@ def test_feed_files(spark, tmp_path):
         feeds.remove(str(tmp_path), "myfeed_hotels.csv")
     with pytest.raises(feeds.FeedError):
         feeds.remove(str(tmp_path), "../x.csv")
+    assert feeds.supplier_name(" Café-Été_9! ") == "café-été_9"
     assert feeds.side_table(spark, str(tmp_path / "none.json"), "key string").count() == 0
 
 

@@ -80,3 +80,10 @@ def test_folding_and_html(spark):
     assert one(spark, text.search_terms(F.col("c")), c="Café St.Marks-Õ 12") == ["cafe", "st", "marks", "o", "12"]
     df = spark.createDataFrame([("  A &amp;#39; &eacute; ",), (None,)], "c string")
     assert [r[0] for r in df.select(text.unescape_html("c")).collect()] == ["A &#39; é", None]
+
+
+def test_white_space_of_any_kind_is_stripped(spark):
+    rows = [("\tOYO 123 Inn\n", "\u00a0x |\ty\u2003| X\n|\u2003", "\n 4.5\t")]
+    df = spark.createDataFrame(rows, "name string, items string, n string")
+    (r,) = df.select(text.property_name(F.col("name")).alias("p"), text.pipe_list(F.col("items")).alias("l"), text.number(F.col("n")).alias("n")).collect()
+    assert (r["p"], r["l"], r["n"]) == ("123 inn", ["x", "y"], 4.5)

@@ -45,6 +45,35 @@ def test_solver_is_exact(two_sided):
         assert solve(edges[::-1]) == found
 
 
+def test_solver_on_dense_odd_graphs():
+    """Against subsets by dynamic programming, with blossoms inside blossoms."""
+    rng = random.Random(11)
+    for _ in range(250):
+        n = rng.randint(3, 10)
+        edges = [(i, j, rng.choice([rng.randint(1, 6), rng.randint(40, 60)]) / 60) for i, j in combinations(range(n), 2) if rng.random() < rng.choice([0.4, 0.7, 1])]
+        weight = {(u, v): round(w * SCALE) for u, v, w in edges}
+        top = [0] * (1 << n)
+        for live in range(1, 1 << n):
+            u = live.bit_length() - 1
+            rest = live & ~(1 << u)
+            top[live] = max([top[rest]] + [top[rest & ~(1 << v)] + weight[v, u] for v in range(u) if rest >> v & 1 and (v, u) in weight])
+        found = solve(edges)
+        assert len({x for p in found for x in p}) == 2 * len(found) and sum(weight[p] for p in found) == top[-1]
+
+
+def test_solver_on_large_graphs():
+    import time
+
+    rng = random.Random(3)
+    began = time.perf_counter()
+    dense = [(u, v, rng.randint(550, 1000) / 1000) for u, v in combinations(range(500), 2) if u % 3 != v % 3 and rng.random() < 0.5]
+    assert len(solve(dense)) == 250
+    for weight in (lambda i: rng.random(), lambda i: 1.0, lambda i: 1 + i / 5000):
+        chain = [(i, i + 1, weight(i)) for i in range(5000)] + [(0, 2, 0.9)]
+        assert len(solve(chain)) > 2000
+    assert time.perf_counter() - began < 60  # seconds; exponential search would take years
+
+
 def test_greedy_would_be_wrong():
     assert solve([("a", "b", 2), ("b", "c", 3), ("c", "d", 2)]) == {("a", "b"), ("c", "d")}
 
@@ -150,6 +179,42 @@ def test_survivors(spark):
     assert (got[2]["n"], got[2]["u"], got[2]["m"]) == ("", [], None)
 
 
+def test_vectors_for_names(spark):
+    rows = [(*record("a", "A1", "Hilten"), [1.0, 0.0]), (*record("b", "B1", "Hilton"), [0.99, 0.14]), (*record("b", "B2", "Hilten"), [0.0, 1.0]), (*record("b", "B3", "Hilten"), None)]
+    df = spark.createDataFrame(rows, SCHEMA + ", v array<double>")
+    edges = {r["b_id"]: r["name_score"] for r in candidates.scored_edges(df, scorer=candidates.cosine_scorer("v")).collect()}
+    assert edges["B1"] > 0.9 and edges["B2"] == edges["B3"] == 0
+    assert {r["b_id"] for r in candidates.scored_edges(df.drop("v")).where("name_score = 1").collect()} == {"B2", "B3"}
+
+
+def test_radius_at_all_latitudes(spark):
+    from canonry.functions import scores
+
+    rng = random.Random(4)
+    rows = []
+    for i in range(300):
+        lat, lon = rng.choice([(0.0, 10.0), (45.0, -3.0), (-69.99, 150.0), (80.0, 77.0)])
+        rows.append(("ab"[i % 2], str(i), lat + rng.uniform(-0.03, 0.03), lon + rng.uniform(-0.03, 0.03) / max(0.17, 1 - abs(lat) / 90)))
+    df = spark.createDataFrame(rows, "supplier string, id string, lat double, lon double")
+    got = {(r["u_id"], r["v_id"]) for r in candidates.within(df, 1.5).collect()}
+    far = scores.haversine_km(F.col("x.lat"), F.col("x.lon"), F.col("y.lat"), F.col("y.lon"))
+    want = {(r[0], r[1]) for r in df.alias("x").join(df.alias("y"), far <= 1.5).select("x.id", "y.id").collect()}
+    assert got == want and len(got) > 600
+
+
+def test_fetched_fingerprints(spark):
+    urls = spark.createDataFrame([("x",), ("y",), ("y",), ("bad",), (None,)], "url string")
+    known = spark.createDataFrame([("x", "known")], "url string, fingerprint string")
+
+    def fetch(url):
+        if url == "bad":
+            raise OSError(url)
+        return f"of {url}"
+
+    got = {r["url"]: r["fingerprint"] for r in merge.fetched_fingerprints(urls, fetch, known).collect()}
+    assert got == {"x": "known", "y": "of y", "bad": None}
+
+
 def test_image_content(spark):
     df = spark.createDataFrame([(1, ["x", "y", "z", "w"]), (2, ["x"]), (3, []), (4, ["q", "q2"])], "id int, urls array<string>")
     prints = spark.createDataFrame([("x", "1"), ("y", "1"), ("z", "2"), ("w", None)], "url string, fingerprint string")
