@@ -154,7 +154,8 @@ _ROOM_PAIRS = f"""{_EDGES}, rooms as ({WITH_ROOMS.split("rooms as (", 1)[1]},
         from rooms l join member m on m.supplier = l.supplier and m.id = l.hotel_id),
       both_ as (select a.cid as canonical_id, a.supplier as supplier_a, a.room_id as a_id, b.supplier as supplier_b, b.room_id as b_id, 2.0e0 * len(list_intersect(a.tokens, b.tokens)) / (len(a.tokens) + len(b.tokens)) as confidence, a.bed <> b.bed as conflict from placed a join placed b on a.cid = b.cid and a.supplier < b.supplier)"""
 _ALIKE = f"confidence >= {C.room_accept} and not coalesce(conflict, false)"
-_ROOM_SCORED = f"select canonical_id, {_PAIR}, confidence from both_ where {_ALIKE}"
+_ROOM_MATCHED = f"""{_ROOM_PAIRS}, room_pairs as (select canonical_id, {_PAIR}, confidence from both_ where {_ALIKE}),
+      {_matching("room_pairs", "concat_ws('::', canonical_id, supplier_a, a_id)", "concat_ws('::', canonical_id, supplier_b, b_id)", "_rooms")}"""
 
 ORACLES = {
     "feed_union": f"{WITH_FEEDS} select supplier, id, name, address, round(lat, 6) as lat, round(lon, 6) as lon, stars from feeds",
@@ -212,9 +213,19 @@ with d as (select doc_id, source, 'doc/' || lpad(doc_id::varchar, 9, '0') as url
 r as (select *, row_number() over (partition by source, fp order by url) as k, count(*) over (partition by source) as n from d)
 select source, count(*)::bigint as n, md5(string_agg(url, '|' order by url)) as urls_md5 from r where k = 1 or n < 2 group by source""",
     "room_pairs_scored": f"{_ROOM_PAIRS} select canonical_id, {_PAIR}, round(confidence, 6) as confidence from both_ where {_ALIKE}",
-    "room_matching": f"""{_ROOM_PAIRS}, room_pairs as ({_ROOM_SCORED}),
-      {_matching("room_pairs", "concat_ws('::', canonical_id, supplier_a, a_id)", "concat_ws('::', canonical_id, supplier_b, b_id)", "_rooms")}
-      select canonical_id, {_PAIR}, round(confidence, 6) as confidence from matched_rooms""",
+    "room_matching": f"{_ROOM_MATCHED} select canonical_id, {_PAIR}, round(confidence, 6) as confidence from matched_rooms",
+    "canonical_rooms": f"""{_ROOM_MATCHED},
+      paired as (select canonical_id, supplier_a as supplier, a_id as room_id from matched_rooms union all select canonical_id, supplier_b, b_id from matched_rooms),
+      room_member as (select canonical_id, 0 as place, supplier_a as supplier, a_id as room_id, confidence, concat_ws('::', canonical_id, '0', supplier_a, a_id) as least from matched_rooms
+        union all select canonical_id, 1, supplier_b, b_id, confidence, concat_ws('::', canonical_id, '0', supplier_a, a_id) from matched_rooms
+        union all select cid, 0, supplier, room_id, 1.0e0, concat_ws('::', cid, '1', supplier, room_id) from placed p where not exists (select 1 from paired q where (q.supplier, q.room_id) = (p.supplier, p.room_id))),
+      made as (select least, canonical_id, {_longest("name")} as name, flatten(list({_pipe("amenities_raw")} order by place)) as items, count(*) as size, any_value(confidence) as confidence from room_member join rooms using (supplier, room_id) group by least, canonical_id),
+      told as (select *, {_once("items")} as amenities, lower(concat_ws(' ', name, replace(amenities, '|', ' '))) as t from made)
+      select printf('CAN-RM-%06d', row_number() over (order by least)) as id, canonical_id as canonical_hotel_id, name, {_case("t", X.BEDS)} as bed_type,
+        case when {_FOUND} is null then {_case("t", X.OCCUPANCY)} when {_FOUND}::int = 1 then 'Single' when {_FOUND}::int = 2 then 'Double' when {_FOUND}::int = 3 then 'Triple' else 'Family' end as occupancy,
+        {_case("t", X.MEALS, f"'{X.NO_MEAL}'")} as meal_plan, {_case("t", X.VIEWS)} as view, case when regexp_matches(t, '{X.NOT_SMOKING}') then false when regexp_matches(t, '{X.SMOKING}') then true end as is_smoking,
+        amenities, case when size > 1 then 'matched' else 'singleton' end as match_status, round(confidence, 4) as match_confidence from told""",
+
     "fts_search": f"{_TERMS}, {_HITS} select id as key from {_JOIN}",
     "fts_rank": f"{_TERMS}, {_HITS}, s as (select id, count(*) as len from terms group by id) select id as key, round({_SCORE}, 6) as score from {_JOIN} join s using (id)",
     "like_fallback": f"{_RECORDS} select id, name from own where name ilike '%road%' or address ilike '%road%' order by name, id limit 50 offset 5",
