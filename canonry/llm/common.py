@@ -32,10 +32,10 @@ BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that the
-    functions run there need no shared folder with the code; and keep batches
-    small, unless the session says how large they are to be."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+    """Send the package to the executors once per application, so that the functions
+    run there need no shared folder with the code; and keep batches small, unless the
+    session says how large they are to be."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "-1") == "-1":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     app = spark.sparkContext.applicationId
@@ -43,9 +43,8 @@ def ship(spark: SparkSession) -> None:
         return
     target = Path(tempfile.mkdtemp()) / "canonry_llm.zip"
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        z.write(_PACKAGE / "__init__.py", f"{_PACKAGE.name}/__init__.py")
-        for p in sorted((_PACKAGE / "llm").glob("*.py")):
-            z.write(p, f"{_PACKAGE.name}/llm/{p.name}")
+        for p in sorted(_PACKAGE.rglob("*.py")):
+            z.write(p, p.relative_to(_PACKAGE.parent))
     spark.sparkContext.addPyFile(str(target))
     _shipped.add(app)
 
@@ -74,11 +73,14 @@ def task(run):
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one of our own only if unset."""
+    """The shared folder that the cluster names in spark.checkpoint.dir.  Only where
+    driver and executors are one machine it may be unset."""
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return jsc.getCheckpointDir().get()
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
     if not named:
         named = os.path.join(tempfile.gettempdir(), "canonry-checkpoints")
     spark.sparkContext.setCheckpointDir(named)
@@ -98,7 +100,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    made = spark.read.parquet(path)
+    made._written = path
+    return made
+
+
+def discard(*written_: DataFrame) -> None:
+    """Delete what ``written`` has kept, once nothing reads it any more."""
+    for df in written_:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._written)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_or_empty(column: str = "text"):

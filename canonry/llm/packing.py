@@ -219,7 +219,7 @@ def ranked(df: DataFrame) -> DataFrame:
     before = salted.groupBy("length", "share").agg(F.count("*").alias("n"))
     before = before.select("length", "share", (F.sum("n").over(Window.partitionBy("length").orderBy("share")) - F.col("n")).alias("before"))
     local = salted.withColumn("local", F.row_number().over(Window.partitionBy("length", "share").orderBy("doc_id", "start")))
-    return local.join(before.hint("shuffle_hash"), ["length", "share"]).withColumn("rank", F.col("before") + F.col("local") - 1).drop("before", "local", "share")
+    return local.join(before, ["length", "share"]).withColumn("rank", F.col("before") + F.col("local") - 1).drop("before", "local", "share")
 
 
 def pack(df: DataFrame, capacity: int = CAPACITY, closing: int = 0, vocabulary: str | None = None) -> DataFrame:

@@ -12,7 +12,8 @@ threshold, else allowed.
 Defined results: a null url or one without "://" has empty host and path; hosts
 without labelled pages get their parents' posterior mean; without any labels the
 rate is one half and nothing is blocked; repeated rows are judged alike and
-counted each; an empty table gives no rows; other columns are not touched.
+counted each; an empty table gives no rows; columns of ``pages`` named host, path,
+rule or verdict are replaced, all others are not touched.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ THRESHOLD = 0.5
 BOUND_Z = 1.645
 #: Range of the estimated prior strengths, in labelled pages.
 LEAST_STRENGTH, MOST_STRENGTH = 1.0, 1000.0
-#: Blocked hosts that are broadcast at most; with more, the join is shuffled.
+#: Blocked hosts, or domains or suffixes, that are broadcast at most; with more, the
+#: join is shuffled.
 BROADCAST_HOSTS = 100_000
 #: Suffixes of two labels, under which domains are registered (fixed values).
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "ne.jp", "or.jp", "com.br", "com.cn", "com.mx", "com.tr", "co.in", "co.kr", "co.za")
@@ -112,7 +114,10 @@ def _strength(children: DataFrame, parent: str) -> DataFrame:
 
 
 def _shrunk(children: DataFrame, parent: str, means: DataFrame) -> DataFrame:
-    """``a`` and ``b`` of each child's posterior, given the parents' ``mean``."""
+    """``a`` and ``b`` of each child's posterior, given the parents' ``mean``.  Most
+    children may have one parent, so that few parents go to the children."""
+    means = common.written(means, "means")
+    means = F.broadcast(means) if means.count() <= BROADCAST_HOSTS else means
     return children.join(means, parent).crossJoin(_strength(children, parent)).withColumns({"a": F.col("s") * F.col("mean") + F.col("good"), "b": F.col("s") * (1 - F.col("mean")) + F.col("n") - F.col("good")}).drop("mean", "s")
 
 

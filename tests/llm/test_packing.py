@@ -47,7 +47,7 @@ def test_lengths_that_only_pair_up():
 
 
 def test_pieces_cover_all_documents(spark):
-    texts = ["word " * 900, None, "", "short one", "short one", "a longer text of some words " * 150, "x" * 9000]
+    texts = ["word " * 900, None, "", "short one", "short one", "a longer text of some words " * 150, "x" * 9000, "a very long text " * 20_000, "y" * 100_000]
     df = spark.createDataFrame([(i % 6, t, i) for i, t in enumerate(texts)], "doc_id long, text string, length int")
     rows = packing.pack(df, 256).collect()
     own = bpe.Encoder(bpe.default_vocabulary())

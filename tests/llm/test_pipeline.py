@@ -42,6 +42,15 @@ def test_stages_one_after_another(spark, tmp_path):
     assert ids["packing"] == ids["substrings"] and pipeline.run(spark, str(tmp_path)).count() == seen["packing"].count()
 
 
+def test_another_text_of_a_dropped_id_stays(spark, tmp_path):
+    rng = random.Random(5)
+    a, b, c = (" ".join(f"{x}{rng.randint(0, 9999)}" for _ in range(60)) for x in "abc")
+    rows = [(3, a), (7, a), (7, b), (7, c), (7, c), (None, c + " x"), (None, b), (9, None), (9, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, pipeline.near_duplicate_stage(spark, docs, str(tmp_path)).collect()), key=str)
+    assert got == sorted([(3, a), (7, b), (7, c), (9, None), (9, None), (None, None)], key=str)
+
+
 def test_empty_tables(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     docs = spark.createDataFrame([], schema)

@@ -29,6 +29,29 @@ def test_held_out_accuracy_and_whole_tables(spark):
     assert sum((r["score"] >= 0.7) == (truth[r["doc_id"]] == 1) for r in out) >= 0.97 * len(out) > 0
 
 
+def test_whole_query_against_plain_scoring(spark, tmp_path):
+    """Every row scored by rules that are read off the model one by one."""
+    import math
+    import zlib
+
+    docs, labels, _ = tables(spark, 240)
+    more = docs.unionByName(docs.where("doc_id = 7")).unionByName(spark.createDataFrame([(7, "other text of that id", "s")] * 3, docs.schema))
+    more.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.unionByName(labels.where("doc_id = 7")).write.parquet(f"{tmp_path}/labels.parquet")
+    read = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    model = quality.learn(read.select("doc_id", "text"), spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    assert model.rules
+    want = []
+    for r in read.collect():
+        x = quality.statistics(r["text"])
+        z = model.intercept + sum(w for rule, w in model.rules if all((x[f] > v) == above for f, above, v in rule))
+        score = 1 / (1 + math.exp(-z))
+        out = r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2
+        want.append((r["doc_id"], out, round(score, 9), int(score >= 0.7)))
+    got = [(r["doc_id"], r["held_out"], round(r["score"], 9), r["predicted"]) for r in quality.op6_quality(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_column_and_array_scores_agree(spark):
     docs, labels, _ = tables(spark, 150)
     model = quality.learn(docs, labels)

@@ -27,6 +27,12 @@ def test_rules(spark):
     assert got == {i: tuple(c[1:]) for i, c in enumerate(CASES)}
 
 
+def test_columns_of_the_same_names_are_replaced(spark):
+    df = spark.createDataFrame([(1, "http://b.net/es/1", "h", "p", "r", "v", "kept")], "page_id int, url string, host string, path string, rule string, verdict string, bad string")
+    (r,) = urls.judge(df, outcomes(spark, [("a.org", 1)])).collect()
+    assert (r["host"], r["path"], r["rule"], r["verdict"], r["bad"]) == ("b.net", "/es/1", "net/es/", "block", "kept")
+
+
 def test_reputation_shrinks(spark):
     rows = [("bad.x.org", 0)] * 60 + [("one.x.org", 0)] + [(f"h{i}.x.org", 1) for i in range(40) for _ in range(5)] + [("new.x.org", None), ("new.zz", None)]
     got = {r["host"]: r for r in urls.reputation(outcomes(spark, rows)).collect()}
