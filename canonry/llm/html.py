@@ -103,7 +103,7 @@ class Token:
     end: bool
     text: str
     words: int
-    #: The innermost open element, as a place in ``Page.elements``; -1 for none.
+    #: The innermost open element, as its number in page order; -1 for none.
     inside: int
     boiler: bool = False
     #: Class names and ids of a tag that begins.

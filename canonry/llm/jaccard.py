@@ -19,8 +19,9 @@ another pivot's region lies at most 2r further from that pivot than from its own
 so it is replicated to every pivot in that window and to no other.  What lies within
 r of its pivot is linked to it, and needn't meet others that are.  Regions are
 divided again, by new pivots, in rounds over all tasks.  Where distances are so even
-that division doesn't help, ``ROUNDS`` end it, and the region is cut into blocks of
-which each pair is joined, but those of members that are linked to one pivot.
+that a member would go to more than ``COPIES`` pivots on average, as among edited
+copies of one text, or after ``ROUNDS``, the region is cut into blocks, of which each
+pair is joined but those of members that are linked to one pivot.
 
 Recursion.  A region that fits is joined in one task by the same means: a new pivot,
 links to what lies within r, which is compared with what lies in (r, 2r] inside the
@@ -57,8 +58,9 @@ EXTRA = 0.05
 SAMPLE_ROWS, FREQUENT = 10_000, 4
 #: Members, and shingles, of a region that are joined in one task.
 REGION, SHINGLES = 1000, 2_000_000
-#: Pivots that divide a larger one, and how often one is divided.
-PIVOTS, ROUNDS = 8, 3
+#: Pivots that divide a larger one, how often one is divided, and how many of the
+#: pivots' regions a member may be in on average.
+PIVOTS, ROUNDS, COPIES = 8, 3, 2
 #: Classes whose ids are broadcast at most to fetch their texts.
 BROADCAST_ROWS = 500_000
 
@@ -358,7 +360,11 @@ def _region_links(placed: DataFrame, classes: DataFrame, sets: DataFrame, percen
     for _ in range(ROUNDS):
         cut = common.written(_divided(left, percent, limit), "divided")
         links = links.unionByName(cut.select(F.col("c").alias("a"), F.explode("linked").alias("b")))
-        small, left = _sorted_out(cut.withColumn("to", F.explode("to")).select(F.concat_ws("/", "key", "to").alias("key"), "c", "label", "s"), limit)
+        spread = common.written(cut.groupBy("key").agg((F.sum(F.size("to")) <= COPIES * F.count("*")).alias("helps")), "spread")
+        stuck = _relabelled(cut.join(spread.where("not helps").select("key"), "key"))
+        links = links.unionByName(_links(_blocks(stuck, limit), percent))
+        parts = cut.join(spread.where("helps").select("key"), "key").withColumn("to", F.explode("to"))
+        small, left = _sorted_out(parts.select(F.concat_ws("/", "key", "to").alias("key"), "c", "label", "s"), limit)
         links = links.unionByName(_links(small, percent))
         left = common.written(left, "large")
         if left.isEmpty():
@@ -366,6 +372,15 @@ def _region_links(placed: DataFrame, classes: DataFrame, sets: DataFrame, percen
     return links.unionByName(_links(_blocks(left, limit), percent))
 
 
+def _relabelled(cut: DataFrame) -> DataFrame:
+    """Members of regions that stay whole; what links with the pivot that most link
+    with has it as label."""
+    count = cut.select("key", F.explode("linked").alias("p")).groupBy("key", "p").count()
+    most = count.groupBy("key").agg(F.max_by("p", F.struct("count", "p")).alias("most"))
+    label = F.when(F.array_contains("linked", F.col("most")), F.col("most")).otherwise(F.col("label"))
+    return cut.join(most, "key", "left").select("key", "c", label.alias("label"), "s")
+
+
 def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, limit: int = REGION, with_texts: bool = False) -> DataFrame:
     """``docs`` (doc_id, text) with ``n_shingles`` and ``component_id``; with
     ``with_texts`` also ``d1`` and ``d2``, a digest of the row's text, and ``class``,
@@ -388,6 +403,7 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, limit: int
     left = shared.groupBy("c").agg(F.count("*").alias("have")).join(classes.select("c", _need(F.col("n"), percent).alias("need")), "c").where("have >= need")
     left = common.written(left.select("c", "need"), "left")
     kept = common.written(shared.join(left, "c").select("c", "h", "need"), "kept")
+    common.discard(met, shared, left)
     pivots = common.written(kept.groupBy("h").agg(*elect).where("p <> q").select("h", "p"), "pivots")
     # Each side may leave its least pivots out while they lead fewer than half of
     # the shingles that it must share: two that link keep one in common.
@@ -397,6 +413,7 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, limit: int
     placed = common.written(placed, "regions")
     # Pivots are members too: where they left their own region out, they come back.
     placed = common.written(placed.unionByName(placed.select("p", F.col("p").alias("c"))).distinct(), "placed")
+    common.discard(kept, pivots)
     key = (F.coalesce(F.col("speaker.id"), F.lit(0)).alias("k"), F.col("speaker.d1").alias("d1"), F.col("speaker.d2").alias("d2"))
     members = common.written(classes.join(placed.select("c").distinct(), "c").select("c", *key), "members")
     wanted = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members

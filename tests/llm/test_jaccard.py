@@ -108,6 +108,40 @@ def test_nulls_repeats_and_empty(spark):
     assert jaccard.join(df.where(F.lit(False))).count() == 0
 
 
+def test_many_texts_under_one_id(spark):
+    """A third of all rows has no id, a third has one; ids at both ends of long."""
+    rng = random.Random(12)
+    text = lambda: " ".join(f"w{rng.randint(0, 5000)}" for _ in range(40))
+    rows = [((None, 5, i)[i % 3], text()) for i in range(150)]
+    rows += [(None, rows[0][1]), (5, rows[1][1]), ((1 << 63) - 1, rows[3][1]), (-(1 << 63), rows[4][1] + " end"), (900, "long " * 3 + text() * 300), (901, "long " * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in jaccard.join(df).collect()), key=str) == brute(rows, 4, 85)
+
+
+def test_division_covers_every_link():
+    """Whatever links has a region in common."""
+    rng = np.random.default_rng(4)
+    sets = []
+    for _ in range(12):
+        base = rng.choice(2000, 60, replace=False)
+        for _ in range(10):
+            s = set(base.tolist())
+            for x in rng.choice(base, rng.integers(0, 12), replace=False):
+                s.discard(int(x))
+                s.add(int(rng.integers(2000, 9000)))
+            sets.append(np.array(sorted(s)))
+    pivots = [sets[i] for i in range(0, 120, 15)]
+    links, home, window = jaccard.nearest(sets, pivots, 85)
+    assert (home.sum(axis=1) == 1).all() and (window >= home).all() and window.sum() < window.size
+    for i, j in combinations(range(len(sets)), 2):
+        if 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j])):
+            a, b = home[i].argmax(), home[j].argmax()
+            assert window[j, a] and window[i, b]
+    for i in range(len(sets)):
+        for k, p in enumerate(pivots):
+            assert links[i, k] == (100 * len(np.intersect1d(sets[i], p)) >= 85 * len(np.union1d(sets[i], p)))
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 30)] + [(205, 203), (203, 201), (300, 300)]
     got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
