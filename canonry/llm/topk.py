@@ -37,73 +37,83 @@ SCALE = 256
 VECTOR_BLOCK = 4096
 #: Queries that one task sends past a block.
 QUERIES = 65_536
-#: Chunks that a list is read in, and how many of them are read before the bounds
-#: are looked at.
-CHUNKS, FIRST_CHUNKS = 16, 8
+#: Chunks that a list is read in, how many of them are read before the bounds are
+#: looked at, and the queries that read on at once.
+CHUNKS, FIRST_CHUNKS, AT_ONCE = 16, 8, 64
 #: Seen vectors for each of the k best whose scores are resolved at last.
 FEW = 8
 
 
 class SortedLists:
-    """The sorted lists of one block of vectors."""
+    """The sorted lists of one block of vectors.  For each depth that the lists are
+    read to, the entries above it (and, for negative weights, as many from the end)
+    are kept as matrices, so that many queries read on at once."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         by_id = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[by_id], vectors[by_id]
         n, dims = self.vectors.shape
-        #: Row d: the vectors in falling order of component d, and their components.
-        self.order = np.ascontiguousarray(np.argsort(-self.vectors, axis=0, kind="stable").T)
-        self.value = np.take_along_axis(self.vectors.T, self.order, axis=1).astype(np.float64)
+        #: Row d: component d of each vector, in the vectors' order and falling, and
+        #: the place of each vector in the falling order.
+        self.component = np.ascontiguousarray(self.vectors.T).astype(np.float64)
+        order = np.argsort(-self.component, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(self.component, order, axis=1)
         self.place = np.empty((dims, n), np.int32)
-        np.put_along_axis(self.place, self.order, np.broadcast_to(np.arange(n, dtype=np.int32), (dims, n)), axis=1)
+        np.put_along_axis(self.place, order, np.broadcast_to(np.arange(n, dtype=np.int32), (dims, n)), axis=1)
+        self.ends = [-(-n * c // CHUNKS) for c in range(FIRST_CHUNKS, CHUNKS + 1)]
+        self._read: dict[int, tuple[np.ndarray, ...]] = {}
         self.read_share: list[float] = []
 
-    def _read(self, up: np.ndarray, down: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
-        """Entries a to b of each list, as vectors and components; the lists of
-        negative weights are read from the other end."""
+    def read(self, b: int) -> tuple[np.ndarray, ...]:
+        """What the first b entries of each list add to the worst case, and take from
+        the best one; then the values that lists have come to from either end."""
+        if b not in self._read:
+            n = len(self.ids)
+            top, bottom = self.sorted[:, b - 1], self.sorted[:, n - b]
+            ends = ((self.place < b, self.sorted[:, -1], top), (self.place >= n - b, self.sorted[:, 0], bottom))
+            gain = np.concatenate([np.where(seen, self.component - worst[:, None], 0.0) for seen, worst, _ in ends])
+            loss = np.concatenate([np.where(seen, self.component - come_to[:, None], 0.0) for seen, _, come_to in ends])
+            self._read[b] = gain, loss, np.concatenate([top, bottom])
+        return self._read[b]
+
+    def top(self, own: np.ndarray, queries: np.ndarray, k: int, least: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the ids and scores of the k best vectors whose id isn't its
+        own among those that score ``least`` or more."""
         n = len(self.ids)
-        ends = (up, slice(a, b)), (down, slice(n - b, n - a))
-        return np.concatenate([self.order[d, s] for d, s in ends]), np.concatenate([self.value[d, s] for d, s in ends])
-
-    def top(self, own: int, query: np.ndarray, k: int, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best vectors whose id isn't ``own`` among those
-        that score ``least`` or more."""
-        n = len(self.ids)
-        query = np.pad(query, (0, self.vectors.shape[1] - len(query)))
-        up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
-        weight = query[np.concatenate([up, down])].astype(np.float64)
-        mine = self.ids == own
-        alive = np.flatnonzero(~mine)
-        if len(alive) > k and len(weight):
-            worst = np.concatenate([self.value[up, -1], self.value[down, 0]]) * weight
-            # What is known of each vector, had it the worst of all that is unread.
-            lower = np.full(n, worst.sum())
-            lower[mine] = -np.inf
-            slack = 1e-9 * (np.abs(lower[alive[0]]) + np.abs(worst).sum() + 1)
-            place = np.concatenate([self.place[up], n - 1 - self.place[down]])
-            ends = [-(-n * c // CHUNKS) for c in range(FIRST_CHUNKS, CHUNKS + 1)]
-            for a, b in zip([0, *ends], ends, strict=False):
-                which, value = self._read(up, down, a, b)
-                lower += np.bincount(which.ravel(), (value * weight[:, None] - worst[:, None]).ravel(), n)
-                come_to = value[:, -1] * weight
-                come_to[len(up) :] = value[len(up) :, 0] * weight[len(up) :]
-                bar = max(least, float(np.partition(lower, -k)[-k])) - slack
-                if come_to.sum() >= bar and b < n:
-                    continue
-                # Unseen vectors are out.  A seen one has at most the largest gains
-                # that are left, for as many lists as haven't shown it.
-                left = come_to - worst
-                most = np.concatenate([[0.0], np.cumsum(np.sort(left)[::-1])])
-                alive = np.flatnonzero(lower + most[(place >= b).sum(0, dtype=np.int32)] >= bar)
-                if len(alive) <= n // 8:
-                    alive = alive[lower[alive] + left @ (place[:, alive] >= b) >= bar]
-                if len(alive) <= FEW * k:
-                    break
-            self.read_share.append(b / n)
-        scores = self.vectors[alive] @ query
-        alive, scores = alive[scores >= least], scores[scores >= least]
-        best = np.lexsort((self.ids[alive], -scores))[:k]
-        return self.ids[alive][best], scores[best]
+        queries = np.pad(queries, ((0, 0), (0, self.vectors.shape[1] - queries.shape[1])))
+        first, last = np.searchsorted(self.ids, own, "left"), np.searchsorted(self.ids, own, "right")
+        # Positive weights read lists from the top, negative ones from the bottom.
+        weight = np.concatenate([np.maximum(queries, 0), np.minimum(queries, 0)], axis=1).astype(np.float64)
+        ends = np.concatenate([self.sorted[:, -1], self.sorted[:, 0]])
+        base = weight @ ends
+        slack = 1e-9 * (np.abs(weight) @ np.abs(ends) + np.abs(base) + 1)
+        alive: list[np.ndarray] = [np.concatenate([np.arange(a), np.arange(z, n)]) for a, z in zip(first, last, strict=True)]
+        live = np.array([i for i in range(len(queries)) if len(alive[i]) > k], np.int64)
+        for b in self.ends if len(live) else ():
+            gain, loss, come_to = self.read(b)
+            w = weight[live]
+            lower, outside = base[live, None] + w @ gain, w @ come_to
+            upper = outside[:, None] + w @ loss
+            for j, i in enumerate(live):
+                lower[j, first[i] : last[i]] = -np.inf
+                upper[j, first[i] : last[i]] = -np.inf
+            bar = np.maximum(least[live], np.partition(lower, -k, axis=1)[:, -k]) - slack[live]
+            may = upper >= bar[:, None]
+            # Reading ends when no unseen vector, and few of the seen ones, may win.
+            done = ((outside < bar) & (may.sum(axis=1) <= FEW * k)) | (b == n)
+            for j in np.flatnonzero(done):
+                alive[live[j]] = np.flatnonzero(may[j])
+                self.read_share.append(b / n)
+            live = live[~done]
+            if not len(live):
+                break
+        out = []
+        for q, some, bar in zip(queries, alive, least, strict=True):
+            scores = self.vectors[some] @ q
+            some, scores = some[scores >= bar], scores[scores >= bar]
+            best = np.lexsort((self.ids[some], -scores))[:k]
+            out.append((self.ids[some][best], scores[best]))
+        return out
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -150,11 +160,14 @@ def _search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 width = max(m.shape[1], *(p.shape[1] for p in parts))
                 if lists is None or lists.vectors.shape[1] < width:
                     lists = SortedLists(np.concatenate(ids), _joined(parts, width))
+                rows, own = some.column(3).to_numpy(), some.column(4).to_numpy()
+                least = np.array([-np.inf if x is None else x for x in some.column(6).to_pylist()], np.float64)
                 out: list[list] = [[], [], [], []]
-                for row, own, least, q in zip(some.column(3).to_pylist(), some.column(4).to_pylist(), some.column(6).to_pylist(), m, strict=True):
-                    got, scores = lists.top(own, q, k, -np.inf if least is None else least)
-                    for column, values in zip(out, ([row] * len(got), [own] * len(got), got, scores), strict=True):
-                        column.extend(values)
+                for c in range(0, len(m), AT_ONCE):
+                    part = slice(c, c + AT_ONCE)
+                    for row, name, (got, scores) in zip(rows[part], own[part], lists.top(own[part], m[part], k, least[part]), strict=True):
+                        for column, values in zip(out, ([row] * len(got), [name] * len(got), got, scores), strict=True):
+                            column.extend(values)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["row", "query_id", "vec_id", "score"])
 
     together = both.select(*columns).repartition("vb", "qb").sortWithinPartitions("vb", "qb", "asks")

@@ -30,12 +30,16 @@ def test_reading_stops_before_the_end():
     rng = np.random.default_rng(5)
     v = np.floor(256 * rng.normal(0, 0.3, (2000, 4))).astype(np.int64)
     lists = topk.SortedLists(np.arange(2000), v)
-    for i in range(50):
-        ids, scores = lists.top(i, v[i], 5)
+    found = lists.top(np.arange(50), v[:50], 5, np.full(50, -np.inf))
+    for i, (ids, scores) in enumerate(found):
         s = v @ v[i]
         s[i] = -(1 << 60)
         want = np.lexsort((np.arange(2000), -s))[:5]
         assert ids.tolist() == want.tolist() and scores.tolist() == s[want].tolist()
+        # With the true bar carried from elsewhere, or a higher one.
+        for bar, n in ((scores[-1], 5), (scores[1], 2), (scores[0] + 1, 0)):
+            ((some, few),) = lists.top(np.array([i]), v[i : i + 1], 5, np.array([bar], float))
+            assert some.tolist()[:n] == ids.tolist()[:n] and all(few >= bar)
     assert min(lists.read_share) < 1
 
 
