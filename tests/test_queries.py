@@ -125,6 +125,16 @@ def test_every_vector_is_asked(spark, tmp_path):
     assert got == want and {i for i, _ in got} == set(v)
 
 
+def test_vectors_of_zeros_and_with_nulls(spark):
+    from canonry.operators import vectors
+
+    rows = [(1, [1.0, 0.0], 0), (2, [0.0, 0.0], 0), (3, None, 0), (4, [1.0, None], 0), (5, [2.0, 0.0], 0), (6, [1.0, 1.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, side int")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["similarity"]) for r in vectors.nearest(df.where("vec_id = 1"), df, 2, "side", block=2).collect()}
+    assert got == {(1, 1): (1, 1.0), (1, 2): (5, 1.0)}
+    assert vectors.nearest(df.where("false"), df, 2, "side").count() == 0
+
+
 def test_contents_that_differ_late_are_two(spark, tmp_path):
     same = "x" * 5000
     rows = [(1, same + "a", "s"), (2, same + "b", "s"), (3, same + "a", "s"), (4, "y", "t")]
