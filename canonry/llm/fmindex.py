@@ -35,7 +35,8 @@ class Bits:
 
 
 class FMIndex:
-    def __init__(self, sequences: list[np.ndarray], weights: np.ndarray):
+    def __init__(self, sequences: list[np.ndarray], weights: np.ndarray, width: int = 1):
+        """``width``: what ``repeated_windows`` will be asked for, at least."""
         self.sizes = sizes = np.fromiter(map(len, sequences), np.int64, len(sequences))
         self.starts = np.cumsum(sizes + 1) - sizes - 1
         flat = np.concatenate(sequences) if sequences else np.zeros(0, np.uint32)
@@ -49,9 +50,10 @@ class FMIndex:
         # As suffixes, separators are told apart by their place.
         rank = self.text + m - 1
         rank[~is_word] = np.arange(m)
-        suffixes = self._suffixes(rank)
+        each = np.repeat(weights, sizes + 1)
+        suffixes = self._suffixes(rank, each, width)
         #: Weight of all suffixes before each place of their order.
-        self.weight = np.concatenate([[0], np.cumsum(np.repeat(weights, sizes + 1)[suffixes])])
+        self.weight = np.concatenate([[0], np.cumsum(each[suffixes])])
         bwt = self.text[suffixes - 1]
         count = np.bincount(self.text, minlength=len(self.alphabet) + 1)
         #: Suffixes that begin with a smaller symbol.
@@ -66,22 +68,25 @@ class FMIndex:
         symbols = np.arange(len(self.alphabet) + 1)
         self.origin = self._descend(symbols, np.zeros(len(symbols), np.int64))
 
-    @staticmethod
-    def _suffixes(rank: np.ndarray) -> np.ndarray:
-        """Suffix array by prefix doubling."""
+    def _suffixes(self, rank: np.ndarray, weights: np.ndarray, width: int) -> np.ndarray:
+        """Suffix array by prefix doubling.  On the way, ``some`` tells the sequences
+        that hold a repeated stretch of the greatest power of two up to ``width``."""
         n, size = len(rank), 1
-        order = np.argsort(rank, kind="stable")
+        may = np.ones(n, bool)
         while True:
             second = np.zeros(n, np.int64)
             second[:-size] = rank[size:] + 1
             key = rank * (n + 2) + second
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             key = key[order]
             new = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
             rank = np.empty(n, np.int64)
             rank[order] = new
             size *= 2
-            if new[-1] == n - 1 or size >= n:
+            if size <= width:
+                may = np.bincount(rank, weights)[rank] >= 2
+            if new[-1] == n - 1:
+                self.some = np.logical_or.reduceat(may, self.starts)
                 return order
 
     def _descend(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
@@ -113,11 +118,12 @@ class FMIndex:
 
     def repeated_windows(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Intervals of windows of ``width`` symbols that weigh two at least, as
-        sequence, first and last window, by matching statistics of every sequence
-        from the right: a stretch that fails at f rules out every window around it.
+        sequence, first and last window, by matching statistics of every sequence that
+        may hold one, from the right: a stretch that fails at f rules out every window
+        around it.
         Intervals of one sequence may overlap."""
         end = self.starts + self.sizes - 1
-        live = np.flatnonzero(self.sizes >= width)
+        live = np.flatnonzero((self.sizes >= width) & self.some)
         found = []
         while len(live):
             b, e = self.starts[live], end[live]

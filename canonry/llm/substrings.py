@@ -180,7 +180,7 @@ def _search(level: DataFrame, window: int) -> DataFrame:
     """Intervals of windows of each context that weigh two, first and last by turns."""
 
     def shard(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-        index = fmindex.FMIndex([np.frombuffer(r[3], np.uint64) for r in rows], np.fromiter((r[2] for r in rows), np.int64, len(rows)))
+        index = fmindex.FMIndex([np.frombuffer(r[3], np.uint64) for r in rows], np.fromiter((r[2] for r in rows), np.int64, len(rows)), window)
         which, first, last = index.repeated_windows(window)
         own, begin = np.unique(which, return_index=True)
         runs = pa.ListArray.from_arrays(pa.array(2 * np.append(begin, len(which)), pa.int32()), pa.array(np.stack([first, last], axis=1).ravel(), pa.int32()))
@@ -245,7 +245,9 @@ def _runs(level: DataFrame, window: int, limit: int) -> DataFrame:
     if many.isEmpty():
         return _search(level, window)
     parts = common.written(_divided(level.join(many, "lead"), window), "parts")
-    inner = _runs(_distinct(parts, "lead", "own"), window, limit)
+    longer = _distinct(parts, "lead", "own")
+    inner = common.written(_runs(longer, window, limit), "inner")
+    common.discard(longer)
     back = parts.select("lead0", "own0", "shift", "lead", "own").join(inner, ["lead", "own"])
     moved = back.select(F.col("lead0").alias("lead"), F.col("own0").alias("own"), F.transform("runs", lambda x: x + F.col("shift")).alias("runs"))
     whole = moved.groupBy("lead", "own").agg(F.flatten(F.collect_list("runs")).alias("runs"))  # one list a half
@@ -309,7 +311,9 @@ def _find(docs: DataFrame, window: int, gram: int, limit: int, with_text: bool)
     texts = common.written(one.join(known, ["d1", "d2"]), "candidates")
     placed = common.written(_contexts(texts, window, gram), "placed")
     distinct = _distinct(placed.withColumn("n", F.least("copies", F.lit(2)) * F.size("at")), "lead", "own")
+    common.discard(counted)
     runs = common.written(_runs(distinct, window, limit), "runs")
+    common.discard(distinct)
     # All windows of a text with copies repeat.
     found = placed.where("copies = 1").select("d1", "d2", "lead", "own", "at").join(runs, ["lead", "own"]).groupBy("d1", "d2").agg(F.collect_list(F.struct("at", "runs")).alias("found"))
     gone = _removed(texts.where("copies = 1").select("d1", "d2", "text").join(found, ["d1", "d2"]), window, with_text)

@@ -106,7 +106,7 @@ def test_index_counts_and_windows():
         k = len(pattern)
         assert hi - lo == sum((x[i : i + k] == pattern).all() for x in seqs for i in range(len(x) - k + 1))
         for weights in (np.ones(12, np.int64), rng.integers(1, 3, 12)):
-            which, first, last = fmindex.FMIndex(seqs, weights).repeated_windows(5)
+            which, first, last = fmindex.FMIndex(seqs, weights, 5).repeated_windows(5)
             seen = Counter()
             for x, w in zip(seqs, weights.tolist(), strict=True):
                 for i in range(len(x) - 4):
