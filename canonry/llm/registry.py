@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, fingerprints, html, jaccard, packing, quality, substrings, topk, urls
+from . import bpe, chat, fingerprints, html, jaccard, packing, quality, runs, substrings, topk, urls
 
-_MODULES = (urls, jaccard, chat, bpe, packing, quality, substrings, topk, html, fingerprints)
+_MODULES = (urls, jaccard, chat, bpe, packing, quality, substrings, topk, html, fingerprints, runs)
 
 
 def queries() -> dict:
