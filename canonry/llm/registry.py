@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, fingerprints, html, jaccard, packing, quality, rules, runs, substrings, topk, urls
+from . import bpe, chat, fingerprints, html, jaccard, packing, phrases, quality, rules, runs, substrings, topk, urls
 
-_MODULES = (urls, jaccard, chat, bpe, packing, quality, substrings, topk, html, fingerprints, rules, runs)
+_MODULES = (urls, jaccard, chat, bpe, packing, phrases, quality, substrings, topk, html, fingerprints, phrases, rules, runs)
 
 
 def queries() -> dict:
