@@ -2,41 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canonry.config import DEFAULT, MatchConfig
 from canonry.functions import scores, text
+from canonry.operators.names import DICE, NameScorer, cosine_scorer, ngram_scorer
+from canonry.operators.nearby import DEGREES_PER_KM, best_within
 
-#: Degrees of latitude that cover the widest radius (1.5 km) with room to spare.
-CELL_DEGREES_PER_KM = 0.0136 / 1.5
-
-
-@dataclass(frozen=True)
-class NameScorer:
-    """How names are compared: the column that a record's name becomes, and the score
-    of two such columns."""
-
-    form: Callable[[], Column]
-    score: Callable[[Column, Column], Column]
-
-
-#: Token sets of cleaned names, by Dice similarity.
-DICE = NameScorer(lambda: text.name_tokens(text.property_name(F.col("name"))), scores.dice)
-
-
-def cosine_scorer(vector: str, cfg: MatchConfig = DEFAULT) -> NameScorer:
-    """Vectors that the feeds bring in a column, by cosine, stretched; records
-    without one score nothing."""
-    return NameScorer(lambda: F.col(vector), lambda a, b: F.coalesce(scores.stretch(scores.cosine(a, b), cfg), F.lit(0.0)))
+__all__ = ["DEFAULT", "DICE", "NameScorer", "best_candidates", "cosine_scorer", "ngram_scorer", "prepared", "scored_edges", "valid_edges", "within"]
 
 
 def prepared(feeds: DataFrame, scorer: NameScorer = DICE) -> DataFrame:
     """Name forms of each record; only what scoring needs."""
-    return feeds.select("supplier", "id", "lat", "lon", "stars", scorer.form().alias("form"), text.property_numbers(F.col("name")).alias("numbers"))
+    return scorer.attach(feeds).select("supplier", "id", "lat", "lon", "stars", "form", text.property_numbers(F.col("name")).alias("numbers"))
 
 
 def within(records: DataFrame, km: float) -> DataFrame:
@@ -45,7 +24,7 @@ def within(records: DataFrame, km: float) -> DataFrame:
     own width; one side is dealt to its cell and the eight around it, so the join is
     on equality of cells.  Dense cells are split at run time where a join side is
     skewed.  Poles and the antimeridian are out of scope."""
-    step = CELL_DEGREES_PER_KM * km
+    step = DEGREES_PER_KM * km
     band = F.floor(F.col("lat") / step)
 
     def cell(cy: Column) -> Column:
@@ -63,9 +42,7 @@ def within(records: DataFrame, km: float) -> DataFrame:
 def best_candidates(records: DataFrame, cfg: MatchConfig = DEFAULT, scorer: NameScorer = DICE) -> DataFrame:
     """Per record the ``cfg.candidates`` best names in reach, itself and records of
     its own supplier among them; these leave only afterwards."""
-    scored = within(records, cfg.rescue_km).withColumn("name_score", scorer.score(F.col("u_form"), F.col("v_form"))).drop("u_form", "v_form")
-    rank = F.row_number().over(Window.partitionBy("u_supplier", "u_id").orderBy(F.desc("name_score"), "v_supplier", "v_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= cfg.candidates).where(F.col("u_supplier") != F.col("v_supplier"))
+    return best_within(records, cfg.rescue_km, cfg.candidates, scorer)
 
 
 def scored_edges(feeds: DataFrame, cfg: MatchConfig = DEFAULT, scorer: NameScorer = DICE) -> DataFrame:
@@ -76,9 +53,7 @@ def scored_edges(feeds: DataFrame, cfg: MatchConfig = DEFAULT, scorer: NameScore
     other = lambda c: F.when(first, F.col(f"v_{c}")).otherwise(F.col(f"u_{c}"))
     pairs = best.select(
         pick("supplier").alias("supplier_a"), pick("id").alias("a_id"), other("supplier").alias("supplier_b"), other("id").alias("b_id"),
-        "dist_km", "name_score",
-        scores.stars_score(F.col("u_stars"), F.col("v_stars")).alias("stars_score"),
-        scores.disjoint(F.col("u_numbers"), F.col("v_numbers")).alias("apart"),
+        "dist_km", "name_score", "stars_score", "apart",
     )
     main = F.col("dist_km") <= cfg.max_km
     rescue = ~main & (F.col("name_score") >= cfg.rescue_name) & ~F.col("apart")

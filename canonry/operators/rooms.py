@@ -6,26 +6,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canonry.config import DEFAULT, MatchConfig
-from canonry.functions import scores, text
+from canonry.functions import text
 from canonry.operators import merge
 from canonry.operators.matching import max_weight_matching, unmatched
+from canonry.operators.names import ROOM_DICE, NameScorer
 
 
-def of_clusters(rooms: DataFrame, clusters: DataFrame) -> DataFrame:
+def of_clusters(rooms: DataFrame, clusters: DataFrame, scorer: NameScorer = ROOM_DICE) -> DataFrame:
     """Rooms (supplier, hotel_id, room_id, name, amenities) of clustered
-    properties, with what pairs are scored by."""
+    properties, with what pairs are scored by: the forms of names and the beds."""
     owner = merge.members(clusters).select("canonical_id", "supplier", F.col("id").alias("hotel_id"), F.col("place").alias("hotel_place"))
     own = rooms.join(owner, ["supplier", "hotel_id"])
-    return own.withColumns({"tokens": text.name_tokens(text.room_name(F.col("name"))), "bed": text.bed_type(text.room_text(F.col("name"), F.col("amenities")))})
+    return scorer.attach(own).withColumn("bed", text.bed_type(text.room_text(F.col("name"), F.col("amenities"))))
 
 
-def scored_pairs(placed: DataFrame, cfg: MatchConfig = DEFAULT) -> DataFrame:
+def scored_pairs(placed: DataFrame, cfg: MatchConfig = DEFAULT, scorer: NameScorer = ROOM_DICE) -> DataFrame:
     """All pairs of a cluster's rooms of different suppliers whose names are alike
     enough and whose beds don't conflict.  A cluster has the rooms of few
     properties, so its pairs are few."""
-    side = lambda x: placed.select("canonical_id", F.col("supplier").alias(f"supplier_{x}"), F.col("room_id").alias(f"{x}_id"), F.col("tokens").alias(f"tokens_{x}"), F.col("bed").alias(f"bed_{x}"))
+    side = lambda x: placed.select("canonical_id", F.col("supplier").alias(f"supplier_{x}"), F.col("room_id").alias(f"{x}_id"), F.col("form").alias(f"form_{x}"), F.col("bed").alias(f"bed_{x}"))
     pairs = side("a").join(side("b"), "canonical_id").where("supplier_a < supplier_b")
-    scored = pairs.withColumn("confidence", scores.dice(F.col("tokens_a"), F.col("tokens_b")))
+    scored = pairs.withColumn("confidence", scorer.score(F.col("form_a"), F.col("form_b")))
     conflict = F.coalesce(F.col("bed_a") != F.col("bed_b"), F.lit(False))
     return scored.where((F.col("confidence") >= cfg.room_accept) & ~conflict).select("canonical_id", "supplier_a", "a_id", "supplier_b", "b_id", "confidence")
 

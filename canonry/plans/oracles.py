@@ -5,9 +5,10 @@ from __future__ import annotations
 from canonry.config import DEFAULT as C
 from canonry.functions import text as X
 from canonry.operators import adjudicate as A
+from canonry.operators import names as N
 from canonry.operators import search as S
 from canonry.plans.queries import QUERY
-from canonry.plans.synthetic import VECTORS, WITH_FEEDS, WITH_ROOMS
+from canonry.plans.synthetic import MISSPELT, WITH_FEEDS, WITH_ROOMS
 
 _PREFIXES = "|".join(X.BRAND_PREFIXES)
 _NORMAL = rf"regexp_replace(regexp_replace(lower(trim(name)), '^(?:{_PREFIXES})', ''), '\s+', ' ', 'g')"
@@ -78,7 +79,29 @@ _TOKENS = f"list_distinct(list_filter(string_split({_NORMAL}, ' '), lambda t: t
 _SEMANTIC = (
     _EDGES.replace(_SCORE_OF_NAMES, f"greatest(0e0, (list_cosine_similarity(u.tokens, v.tokens) - {C.similarity_floor}) / {C.similarity_span})")
     .replace(_TOKENS, "embedding::double[] as tokens")
-    .replace("as numbers from feeds)", f"as numbers from feeds join embeddings on vec_id = truth_key % {VECTORS})")
+    .replace("as numbers from feeds)", f"as numbers from feeds join embeddings on vec_id = truth_key % (select count(*) from embeddings))")
+)
+
+
+def _grams(rows: str, normal: str) -> str:
+    """Sparse vectors (``e``, a map) of the names of ``rows``, by supplier and id."""
+    return f"""marked as (select supplier, id, concat('^', {normal}, '$') as m from {rows}),
+grams as (select supplier, id, unnest(list_transform(range(1, greatest(length(m) - {N.GRAM - 1}, 1) + 1), lambda i: ('0x' || left(md5(substr(m, i, {N.GRAM})), 8))::bigint % {N.BINS})) as g from marked),
+weights as (select g, ln((1 + (select count(*) from marked)) / (1 + count(*))) + 1 as idf from (select distinct supplier, id, g from grams) group by g),
+weighed as (select supplier, id, g, count(*) * any_value(idf) as w from grams join weights using (g) group by supplier, id, g),
+vectors as (select supplier, id, map(list(g), list(w / norm)) as e from (select *, sqrt(sum(w * w) over (partition by supplier, id)) as norm from weighed) group by supplier, id)"""
+
+
+def _sparse(u: str, v: str) -> str:
+    return f"least(1e0, coalesce(list_sum(list_transform(map_keys({u}), lambda g: {u}[g] * coalesce({v}[g], 0e0))), 0e0))"
+
+
+#: The same with weighted n-grams of misspelt names.
+_NGRAMS = (
+    _EDGES.replace(_SCORE_OF_NAMES, _sparse("u.tokens", "v.tokens"))
+    .replace(_TOKENS, "e as tokens")
+    .replace("prep as (", f"plain as (select * replace ({MISSPELT} as name) from feeds),\n{_grams('plain', _NORMAL)},\nprep as (")
+    .replace("as numbers from feeds)", "as numbers from plain join vectors using (supplier, id))")
 )
 
 _SIX = "round(dist_km, 6) as dist_km, round(geo_score, 6) as geo_score, round(name_score, 6) as name_score, round(stars_score, 6) as stars_score, round(confidence, 6) as confidence"
@@ -172,6 +195,10 @@ ORACLES = {
     "topk_before_supplier_filter": f"{_NEAR} select ui as a_id, vi as b_id, rank::int as rank, round(name_score, 6) as name_score from best",
     "scored_edges": f"{_EDGES} select {_PAIR}, {_SIX}, eligible, is_rescue from kept",
     "semantic_edges": f"{_SEMANTIC} select {_PAIR}, {_SIX}, eligible, is_rescue from kept",
+    "ngram_edges": f"{_NGRAMS} select {_PAIR}, {_SIX}, eligible, is_rescue from kept",
+    "ngram_room_pairs": f"""{_ROOM_PAIRS}, room_names as (select supplier, room_id as id, name from rooms), {_grams("room_names", _room_normal("name"))},
+      alike as (select b.*, {_sparse("u.e", "v.e")} as likeness from both_ b join vectors u on (u.supplier, u.id) = (b.supplier_a, b.a_id) join vectors v on (v.supplier, v.id) = (b.supplier_b, b.b_id))
+      select canonical_id, {_PAIR}, round(likeness, 6) as confidence from alike where likeness >= {C.room_accept} and not coalesce(conflict, false)""",
     "valid_edges": f"{_EDGES} select {_PAIR}, {_SIX}, eligible, is_rescue from valid",
     "isolated_edge_matching": f"{_EDGES} select {_PAIR}, {_SIX}, eligible, is_rescue from lone",
     "max_weight_matching": f"{_EDGES} select {_PAIR}, {_SIX}, eligible, is_rescue from matched",

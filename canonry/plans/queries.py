@@ -172,12 +172,26 @@ def scored_edges(spark, d):
 
 def semantic_edges(spark, d):
     """Edges by embeddings that the feeds bring: records of one truth have one vector."""
-    v = _table(spark, d, "embeddings").where("embedding is not null").select(F.col("vec_id").alias("k"), "embedding")
-    n = synthetic.VECTORS
+    v = _table(spark, d, "embeddings").select(F.col("vec_id").alias("k"), "embedding")
+    n = v.count()
     own = synthetic.feeds(spark, d).join(v, F.pmod("truth_key", F.lit(n)) == F.col("k"))
     return _rounded(candidates.scored_edges(own, scorer=candidates.cosine_scorer("embedding")))
 
 
+def ngram_edges(spark, d):
+    """Edges of feeds with misspelt names, by weighted n-grams."""
+    own = synthetic.misspelt(spark, d)
+    return _rounded(candidates.scored_edges(own, scorer=candidates.ngram_scorer(own)))
+
+
+def ngram_room_pairs(spark, d):
+    """Pairs of a cluster's rooms by weighted n-grams of their names."""
+    own = _room_rows(spark, d)
+    scorer = candidates.ngram_scorer(own, text.room_name)
+    placed = rooms.of_clusters(own, _clusters(spark, d), scorer)
+    return rooms.scored_pairs(placed, scorer=scorer).withColumn("confidence", F.round("confidence", 6))
+
+
 def valid_edges(spark, d):
     return _rounded(_valid(spark, d))
 
@@ -377,7 +391,7 @@ def rate_limit_admitted(spark, d):
 
 _OWN = (
     feed_union, name_normalize, property_numbers, pipe_list_dedupe, numeric_coerce_drop, html_unescape_titles, room_attributes, room_occupancy, room_name_normalize,
-    haversine_pairs, topk_before_supplier_filter, scored_edges, semantic_edges, valid_edges, vector_topk, similarity_stretch, isolated_edge_matching, max_weight_matching, clusters, singletons, near_misses,
+    haversine_pairs, topk_before_supplier_filter, scored_edges, semantic_edges, ngram_edges, ngram_room_pairs, valid_edges, vector_topk, similarity_stretch, isolated_edge_matching, max_weight_matching, clusters, singletons, near_misses,
     hard_cases, verdict_cache_join, llm_batches, prompt_lines, prompts, greedy_one_to_one, promote, spend_summary,
     merge_name_longest, merge_avg, merge_list_union, source_map, canonical_ids, near_miss_attach, image_dedupe,
     room_pairs_scored, room_matching, canonical_rooms, canonical_hotels, fts_search, fts_rank, like_fallback, list_page, near_miss_top10, hotel_detail,

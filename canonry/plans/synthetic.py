@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 FEEDS = """
   select 'a' as supplier, concat('A-', lpad(cast(k as string), 6, '0')) as id,
@@ -37,8 +38,8 @@ ROOMS = """
   from (select supplier, hotel_id, k, i, k * 3 + i as j from (select supplier, id as hotel_id, truth_key as k from feeds) f
         cross join (select 0 as i union all select 1 union all select 2) r where i <= k % 3) x"""
 
-#: Embeddings that records share, by truth.
-VECTORS = 100
+#: The feeds, where supplier b writes every third of its names another way.
+MISSPELT = "case when supplier = 'b' and truth_key % 3 = 1 then translate(concat(substr(name, 1, 2), substr(name, 4, 1), substr(name, 3, 1), substr(name, 5)), 'e', 'a') else name end"
 
 WITH_FEEDS = f"with b as ({BASE}),\nfeeds as ({FEEDS})"
 WITH_ROOMS = f"{WITH_FEEDS},\nrooms as ({ROOMS})"
@@ -53,5 +54,9 @@ def feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, f"{WITH_FEEDS} select * from feeds")
 
 
+def misspelt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feeds(spark, sf_dir).withColumn("name", F.expr(MISSPELT))
+
+
 def rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, f"{WITH_ROOMS} select * from rooms")
