@@ -10,7 +10,7 @@ from canonry.functions import scores, text
 from canonry.operators.names import DICE, NameScorer, cosine_scorer, ngram_scorer
 from canonry.operators.nearby import DEGREES_PER_KM, best_within
 
-__all__ = ["DEFAULT", "DICE", "NameScorer", "best_candidates", "cosine_scorer", "ngram_scorer", "prepared", "scored_edges", "valid_edges", "within"]
+__all__ = ["DEFAULT", "DICE", "NameScorer", "best_candidates", "cosine_scorer", "edges_of", "ngram_scorer", "prepared", "scored_edges", "valid_edges", "within"]
 
 
 def prepared(feeds: DataFrame, scorer: NameScorer = DICE) -> DataFrame:
@@ -47,7 +47,11 @@ def best_candidates(records: DataFrame, cfg: MatchConfig = DEFAULT, scorer: Name
 
 def scored_edges(feeds: DataFrame, cfg: MatchConfig = DEFAULT, scorer: NameScorer = DICE) -> DataFrame:
     """One row for each unordered pair that either side ranks and that scores."""
-    best = best_candidates(prepared(feeds, scorer), cfg, scorer)
+    return edges_of(best_candidates(prepared(feeds, scorer), cfg, scorer), cfg)
+
+
+def edges_of(best: DataFrame, cfg: MatchConfig = DEFAULT) -> DataFrame:
+    """The edges of candidates as ``best_candidates`` has them."""
     first = F.struct("u_supplier", "u_id") < F.struct("v_supplier", "v_id")
     pick = lambda c: F.when(first, F.col(f"u_{c}")).otherwise(F.col(f"v_{c}"))
     other = lambda c: F.when(first, F.col(f"v_{c}")).otherwise(F.col(f"u_{c}"))

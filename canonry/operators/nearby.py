@@ -26,25 +26,43 @@ BROADCAST_CELLS = 100_000
 _OUT = "u_supplier string, u_id string, v_supplier string, v_id string, dist_km double, name_score double, stars_score double, apart boolean, rank int"
 
 
-def dealt(records: DataFrame, km: float, asked: int = ASKED) -> DataFrame:
-    """Every record in its own cell to ask (``role`` 0) and, to be found (1), in each cell
-    that its circle's box touches.  Cells are twice the radius wide, so that is about
-    four.  Cells with more than ``asked`` records are asked for in parts, by hash."""
-    reach = DEGREES_PER_KM * km
-    step = 2 * reach
+def _shrink(lat: Column) -> Column:
+    return F.cos(F.radians(F.least(F.abs(lat), F.lit(85.0))))
 
-    def shrink(lat: Column) -> Column:
-        return F.cos(F.radians(F.least(F.abs(lat), F.lit(85.0))))
 
-    def column(lon: Column, cy: Column) -> Column:
-        return F.floor(lon * shrink((F.abs(cy) + 1) * step) / step)
+def _column(lon: Column, cy: Column, step: float) -> Column:
+    return F.floor(lon * _shrink((F.abs(cy) + 1) * step) / step)
 
-    own = records.where("lat is not null and lon is not null")
+
+def at_home(records: DataFrame, km: float) -> DataFrame:
+    """Records with their own cell, ``cy`` and ``cx``; cells are twice ``km`` wide."""
+    step = 2 * DEGREES_PER_KM * km
     band = F.floor(F.col("lat") / step)
-    home = own.withColumns({"cy": band, "cx": column(F.col("lon"), band)})
-    wide = reach / shrink(F.abs("lat") + reach)
-    bands = F.sequence(F.floor((F.col("lat") - reach) / step), F.floor((F.col("lat") + reach) / step))
-    found = own.withColumn("cy", F.explode(bands)).withColumn("cx", F.explode(F.sequence(column(F.col("lon") - wide, F.col("cy")), column(F.col("lon") + wide, F.col("cy")))))
+    return records.where("lat is not null and lon is not null").withColumns({"cy": band, "cx": _column(F.col("lon"), band, step)})
+
+
+def box(km: float) -> tuple[Column, Column]:
+    """Degrees of latitude and longitude that a circle around a record may reach."""
+    reach = DEGREES_PER_KM * km
+    return F.lit(reach), reach / _shrink(F.abs("lat") + reach)
+
+
+def reached(records: DataFrame, km: float) -> DataFrame:
+    """Records in every cell that the box of their circle touches, about four."""
+    step = 2 * DEGREES_PER_KM * km
+    high, wide = box(km)
+    bands = F.sequence(F.floor((F.col("lat") - high) / step), F.floor((F.col("lat") + high) / step))
+    own = records.where("lat is not null and lon is not null")
+    return own.withColumn("cy", F.explode(bands)).withColumn("cx", F.explode(F.sequence(_column(F.col("lon") - wide, F.col("cy"), step), _column(F.col("lon") + wide, F.col("cy"), step))))
+
+
+def dealt(records: DataFrame, km: float, asked: int = ASKED, only: DataFrame | None = None) -> DataFrame:
+    """Every record in its own cell to ask (``role`` 0) and, to be found (1), in each cell
+    that it reaches.  Cells with more than ``asked`` records are asked for in parts, by
+    hash; with ``only`` (cy, cx) no others are asked for."""
+    home, found = at_home(records, km), reached(records, km)
+    if only is not None:
+        home, found = (df.join(only, ["cy", "cx"], "left_semi") for df in (home, found))
     # Cells with more than a task's share: one of ``asked`` records at most.
     dense = persist_cut(home.groupBy("cy", "cx").count().where(F.col("count") > asked).select("cy", "cx", F.ceil(F.col("count") / asked).cast("int").alias("parts")))
     cells = dense.count()
@@ -138,7 +156,7 @@ class Best:
         return made.to_batches()[0] if len(made) else None
 
 
-def best_within(records: DataFrame, km: float, k: int, scorer: NameScorer, asked: int = ASKED) -> DataFrame:
+def best_within(records: DataFrame, km: float, k: int, scorer: NameScorer, asked: int = ASKED, only: DataFrame | None = None) -> DataFrame:
     """Per record the ``k`` best names at most ``km`` away, itself and its own supplier's
     among them, which leave only afterwards: ``u_`` and ``v_`` supplier and id, distance,
     name and stars scores, whether their numbers are ``apart``, and ``rank``.  ``records``:
@@ -183,5 +201,5 @@ def best_within(records: DataFrame, km: float, k: int, scorer: NameScorer, asked
                     best.add(rows.slice(s, AT_ONCE))
         yield from done()
 
-    spread = dealt(own, km, asked).withColumn("size", by_size)
+    spread = dealt(own, km, asked, only).withColumn("size", by_size)
     return spread.repartition("cy", "cx", "part").sortWithinPartitions("cy", "cx", "part", "role", "size").mapInArrow(run, _OUT)

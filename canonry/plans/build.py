@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canonry.config import DEFAULT, MatchConfig
-from canonry.operators import adjudicate, candidates, matching, merge, rooms
+from canonry.operators import adjudicate, candidates, lasting, matching, merge, rooms
+from canonry.plans import incremental
 from canonry.session import persist_cut
 from canonry.sources import artifact, feeds
 
@@ -28,14 +29,29 @@ class BuildReport:
     dropped: dict = field(default_factory=dict)
     #: As adjudicate.run_report has it.
     adjudication: dict = field(default_factory=dict)
+    #: What was re-scored and re-solved, where the build went on from the last one.
+    update: incremental.UpdateReport | None = None
+    #: Ids by what happened to them.
+    ids: dict = field(default_factory=dict)
 
+#: What happened to ids, build by build.
+ID_HISTORY = "canonical_id string, event string, other_id string, n long, at long"
 
-def layers(records: DataFrame, room_rows: DataFrame, cfg: MatchConfig = DEFAULT, verdicts: DataFrame | None = None, adjudicator: Callable[[str], str | tuple | None] | None = None, fingerprints: DataFrame | None = None, told: dict | None = None) -> dict[str, DataFrame]:
+
+def layers(records: DataFrame, room_rows: DataFrame, cfg: MatchConfig = DEFAULT, verdicts: DataFrame | None = None, adjudicator: Callable[[str], str | tuple | None] | None = None, fingerprints: DataFrame | None = None, told: dict | None = None, state: str | None = None, known: DataFrame | None = None, highest: int = 0) -> dict[str, DataFrame]:
     """All tables of the canonical layer.  ``records`` and ``room_rows`` are clean
     and unique by (supplier, id) and (supplier, room_id).  ``told`` is filled with the
-    adjudication's report and its new verdicts."""
-    edges = persist_cut(candidates.scored_edges(records, cfg))
-    matched = persist_cut(matching.max_weight_matching(candidates.valid_edges(edges, cfg)))
+    adjudication's report and its new verdicts.  With ``state``, a path, matching goes on
+    from what is there; with ``known`` (supplier, id, canonical_id) ids do."""
+    if state is None:
+        edges = persist_cut(candidates.scored_edges(records, cfg))
+        matched = persist_cut(matching.max_weight_matching(candidates.valid_edges(edges, cfg)))
+    else:
+        kept, update = incremental.update(records.sparkSession, records, state, cfg)
+        edges = persist_cut(candidates.edges_of(kept.read("directed"), cfg))
+        matched = persist_cut(kept.read("matched").drop("tile"))
+        if told is not None:
+            told["update"] = update
     nodes = records.select("supplier", "id")
     groups = matching.clusters(nodes, matched)
     near = persist_cut(matching.near_misses(edges, matched).withColumns({c: F.round(c, 4) for c in ("confidence", "geo_score", "name_score", "stars_score", "dist_km")}))
@@ -47,7 +63,12 @@ def layers(records: DataFrame, room_rows: DataFrame, cfg: MatchConfig = DEFAULT,
             told |= {"report": adjudicate.run_report(cases, cached, answers, accepted, cfg), "verdicts": new}
         groups = adjudicate.promote(groups, accepted)
         near = near.join(accepted.select(matching.PAIR), matching.PAIR, "left_anti")
-    ided = persist_cut(merge.with_ids(groups))
+    if known is None:
+        ided = persist_cut(merge.with_ids(groups))
+    else:
+        ided, history = lasting.lasting_ids(groups, known, highest)
+        if told is not None:
+            told["history"] = persist_cut(history)
     canonical = merge.canonical_properties(ided, records)
     if fingerprints is not None:
         canonical = merge.dedupe_by_content(canonical, "id", "image_urls", fingerprints)
@@ -85,11 +106,13 @@ def adjudication(near: DataFrame, matched: DataFrame, records: DataFrame, cfg: M
 
 def build(
     spark: SparkSession, folder: str, path: str, force: bool = False, cfg: MatchConfig = DEFAULT, adjudicator: Callable[[str], str | tuple | None] | None = None, verdicts: str | None = None, spend: str | None = None,
-    fetch: Callable[[str], str | None] | None = None, fingerprints: str | None = None,
+    fetch: Callable[[str], str | None] | None = None, fingerprints: str | None = None, goes_on: bool = False,
 ) -> BuildReport:
     """Build all tables and the nested documents from a folder of feeds.  ``verdicts``,
     ``spend`` and ``fingerprints`` are paths of side tables that are read and added to:
-    what a model has answered, what runs have cost, and what ``fetch`` has returned."""
+    what a model has answered, what runs have cost, and what ``fetch`` has returned.
+    With ``goes_on``, matching starts from the state of the last such build (under
+    ``state``), clusters keep their ids, and what happened to ids is added to ``ids``."""
     if not force and artifact.exists(spark, path):
         return BuildReport(skipped=True)
     if not _one_build.acquire(blocking=False):
@@ -110,7 +133,14 @@ def build(
             if fetch is not None and fingerprints:
                 feeds.keep(prints.join(old.select("url"), "url", "left_anti"), fingerprints)
         told: dict = {}
-        tables = layers(records, room_rows, cfg, known, adjudicator, prints, told)
+        last, highest = None, 0
+        if goes_on:
+            past = feeds.side_table(spark, f"{path}/ids", ID_HISTORY)
+            highest = past.agg(F.max(lasting._number("canonical_id"))).first()[0] or 0
+            if artifact.exists(spark, path):
+                last = artifact.Catalog(spark, path).table("canonical_hotels").select(F.col("id").alias("canonical_id"), F.explode("source_ids").alias("supplier", "id"))
+        tables = layers(records, room_rows, cfg, known, adjudicator, prints, told, f"{path}/state" if goes_on else None, last, highest)
+        report.update = told.get("update")
         report.adjudication = told.get("report", {})
         if told.get("verdicts") is not None:
             if verdicts:
@@ -119,6 +149,9 @@ def build(
                 r = report.adjudication
                 feeds.keep(spark.createDataFrame([(r["prompt_tokens"], r["completion_tokens"], r["called"], r["cost_usd"])], adjudicate.RUN), spend)
         artifact.write(path, tables)
+        if told.get("history") is not None:
+            report.ids = {r["event"]: r["count"] for r in told["history"].groupBy("event").count().collect()}
+            feeds.keep(told["history"].withColumn("at", F.lit(time.time_ns())), f"{path}/ids")
         catalog = artifact.Catalog(spark, path)
         artifact.nested(catalog.table("canonical_hotels"), catalog.table("canonical_rooms"), catalog.table("near_misses")).write.mode("overwrite").json(f"{path}/documents")
         report.seconds["total"] = time.monotonic() - began

@@ -8,7 +8,7 @@ from canonry.operators import adjudicate as A
 from canonry.operators import names as N
 from canonry.operators import search as S
 from canonry.plans.queries import QUERY
-from canonry.plans.synthetic import MISSPELT, WITH_FEEDS, WITH_ROOMS
+from canonry.plans.synthetic import EARLIER, MISSPELT, WITH_FEEDS, WITH_ROOMS
 
 _PREFIXES = "|".join(X.BRAND_PREFIXES)
 _NORMAL = rf"regexp_replace(regexp_replace(lower(trim(name)), '^(?:{_PREFIXES})', ''), '\s+', ' ', 'g')"
@@ -104,6 +104,22 @@ _NGRAMS = (
     .replace("as numbers from feeds)", "as numbers from plain join vectors using (supplier, id))")
 )
 
+_EARLIER = _EDGES.replace("\nfeeds as (", "\npresent as (", 1).replace(",\nprep as (", f",\nfeeds as ({EARLIER.format(feeds='present')}),\nprep as (", 1)
+#: Ids of ``called``'s clusters that go on from those of the earlier feeds.
+_LASTING = f"""with recursive known as ({_EARLIER} select m.id, c.canonical_id as old from member m join called c on c.first_id = m.cid),
+{_EDGES.removeprefix("with recursive ")},
+overlap as (select cid as key, old, count(*) as n from member join known using (id) group by cid, old),
+rivals as (select *, count(*) over (partition by key) as of_key, count(*) over (partition by old) as of_old from overlap),
+turn_of as (select *, row_number() over (order by n desc, old, key) as turn from rivals where of_key > 1 or of_old > 1),
+chosen as (select 0::bigint as turn, []::varchar[] as keys, []::varchar[] as olds, false as taken
+  union all select turn, case when free then list_append(keys, key) else keys end, case when free then list_append(olds, old) else olds end, free
+  from (select t.*, c.keys, c.olds, not list_contains(c.keys, t.key) and not list_contains(c.olds, t.old) as free from chosen c join turn_of t on t.turn = c.turn + 1)),
+kept_ids as (select key, old from rivals where of_key = 1 and of_old = 1 union all select key, old from turn_of join chosen using (turn) where taken),
+lasting as (select first_id as key, nodes, old as canonical_id from node join kept_ids on key = first_id
+  union all select first_id, nodes, printf('CAN-%05d', (select max(substr(old, 5)::bigint) from known) + row_number() over (order by method = 'singleton', first_id)) from node where first_id not in (select key from kept_ids)),
+moved as (select o.old as canonical_id, case when exists (select 1 from kept_ids k where k.old = o.old) then 'split' else 'merged' end as event, l.canonical_id as other_id, n from overlap o join lasting l using (key)
+  where not exists (select 1 from kept_ids k where (k.key, k.old) = (o.key, o.old)))"""
+
 _SIX = "round(dist_km, 6) as dist_km, round(geo_score, 6) as geo_score, round(name_score, 6) as name_score, round(stars_score, 6) as stars_score, round(confidence, 6) as confidence"
 _PAIR = "supplier_a, a_id, supplier_b, b_id"
 
@@ -232,6 +248,11 @@ select b.vec_id, round(greatest(0e0, ((list_cosine_similarity(a.e, b.e) + 1) / 2
       from record r join called c on c.first_id = r.cid group by c.canonical_id)""",
     "source_map": f"{_EDGES} select cid as id, string_agg(concat(supplier, '=', id), ',' order by supplier) as source_ids, case when count(*) > 1 then 'matched' else 'singleton' end as match_status, any_value(method) as match_method from member group by cid",
     "canonical_ids": f"{_EDGES} select canonical_id, first_id, method from called",
+    "incremental_matching": f"{_EDGES} select {_PAIR}, {_SIX}, eligible, is_rescue from matched",
+    "lasting_ids": f"{_LASTING} select canonical_id, nodes from lasting",
+    "id_history": f"""{_LASTING} select canonical_id, event, other_id, n from moved
+      union all select old, 'retired', null, count(*) from known where old not in (select old from overlap) group by old
+      union all select canonical_id, 'new', null, len(string_split(nodes, '|')) from lasting where key not in (select key from overlap)""",
     "near_miss_attach": f"{_ATTACHED} select * from attached",
     "near_miss_top10": f"""{_ATTACHED}, ranked_ as (select *, row_number() over (partition by canonical_hotel_id order by confidence desc, candidate_supplier, candidate_id) as rank from attached)
       select canonical_hotel_id, rank::int as rank, candidate_supplier, candidate_id, confidence, geo_score, name_score, name as candidate_name, address as candidate_address from ranked_ join feeds on (supplier, id) = (candidate_supplier, candidate_id) where rank <= {C.near_misses_shown}""",

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from canonry.config import DEFAULT as CFG
 from canonry.functions import scores, text
-from canonry.operators import adjudicate, candidates, matching, merge, rooms, search, vectors
-from canonry.plans import build, synthetic
-from canonry.session import persist_cut
+from canonry.operators import adjudicate, candidates, lasting, matching, merge, rooms, search, vectors
+from canonry.plans import build, incremental, synthetic
+from canonry.session import persist_cut, scratch
 from canonry.streaming import ratelimit
 
 
@@ -290,6 +290,31 @@ def canonical_ids(spark, d):
     return made.select("canonical_id", F.array_min(F.transform("nodes", lambda n: n["id"])).alias("first_id"), "method")
 
 
+def incremental_matching(spark, d):
+    """The matching of a build that went on from one of earlier feeds."""
+    with scratch(spark) as path:
+        incremental.full(spark, synthetic.earlier(spark, d), path, degrees=0.05)
+        state, _ = incremental.update(spark, synthetic.feeds(spark, d), path, degrees=0.05)
+        return persist_cut(_rounded(state.read("matched").drop("tile")))
+
+
+def _lasting(spark, d):
+    """Clusters with ids that go on from those of earlier feeds, and what changed."""
+    before = synthetic.earlier(spark, d)
+    matched = matching.max_weight_matching(persist_cut(candidates.valid_edges(candidates.scored_edges(before))))
+    known = merge.members(merge.with_ids(matching.clusters(before.select("supplier", "id"), persist_cut(matched)))).select("supplier", "id", "canonical_id")
+    now = matching.clusters(synthetic.feeds(spark, d).select("supplier", "id"), persist_cut(_matched(spark, d)))
+    return lasting.lasting_ids(now, known)
+
+
+def lasting_ids(spark, d):
+    return _lasting(spark, d)[0].select("canonical_id", F.array_join(F.transform("nodes", lambda n: n["id"]), "|").alias("nodes"))
+
+
+def id_history(spark, d):
+    return _lasting(spark, d)[1]
+
+
 def near_miss_attach(spark, d):
     edges, matched = _graph(spark, d)
     return merge.attach_near_misses(_near_of(edges, matched), _clusters_of(spark, d, matched))
@@ -393,7 +418,7 @@ _OWN = (
     feed_union, name_normalize, property_numbers, pipe_list_dedupe, numeric_coerce_drop, html_unescape_titles, room_attributes, room_occupancy, room_name_normalize,
     haversine_pairs, topk_before_supplier_filter, scored_edges, semantic_edges, ngram_edges, ngram_room_pairs, valid_edges, vector_topk, similarity_stretch, isolated_edge_matching, max_weight_matching, clusters, singletons, near_misses,
     hard_cases, verdict_cache_join, llm_batches, prompt_lines, prompts, greedy_one_to_one, promote, spend_summary,
-    merge_name_longest, merge_avg, merge_list_union, source_map, canonical_ids, near_miss_attach, image_dedupe,
+    merge_name_longest, merge_avg, merge_list_union, source_map, canonical_ids, incremental_matching, lasting_ids, id_history, near_miss_attach, image_dedupe,
     room_pairs_scored, room_matching, canonical_rooms, canonical_hotels, fts_search, fts_rank, like_fallback, list_page, near_miss_top10, hotel_detail,
     stats_by_status, stats_by_method, confidence_bands, match_rate, rate_limit_offered, rate_limit_admitted,
 )

@@ -41,6 +41,11 @@ ROOMS = """
 #: The feeds, where supplier b writes every third of its names another way.
 MISSPELT = "case when supplier = 'b' and truth_key % 3 = 1 then translate(concat(substr(name, 1, 2), substr(name, 4, 1), substr(name, 3, 1), substr(name, 5)), 'e', 'a') else name end"
 
+#: The feeds as they were before: records that had not come, other names and places.
+EARLIER = """select supplier, id, case when truth_key % 29 = 5 then concat(name, ' x') else name end as name, address,
+    case when supplier = 'b' and truth_key % 11 = 4 then lat + 0.02e0 when supplier = 'b' and truth_key % 5 = 2 then lat - ((truth_key * 31) % 13) * 0.0005e0 else lat end as lat, lon, stars, truth_key
+  from {feeds} where supplier = 'a' or truth_key % 7 <> 3"""
+
 WITH_FEEDS = f"with b as ({BASE}),\nfeeds as ({FEEDS})"
 WITH_ROOMS = f"{WITH_FEEDS},\nrooms as ({ROOMS})"
 
@@ -54,6 +59,10 @@ def feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, f"{WITH_FEEDS} select * from feeds")
 
 
+def earlier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(EARLIER, feeds=feeds(spark, sf_dir))
+
+
 def misspelt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds(spark, sf_dir).withColumn("name", F.expr(MISSPELT))
 

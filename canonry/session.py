@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +23,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get()
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder of its own in the shared folder, which goes afterwards."""
+    path = f"{checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def persist_cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder once; what follows reads it back, also
     after executors are lost."""
