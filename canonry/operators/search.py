@@ -101,10 +101,12 @@ def like(canonical: DataFrame, query: str, limit: int = 20, offset: int = 0, sta
     return like_total(canonical, query, limit, offset, status)[1]
 
 
-def like_total(canonical: DataFrame, query: str, limit: int = 20, offset: int = 0, status: str | None = None) -> tuple[int, DataFrame]:
-    """Total and one page of a substring search without an index, by name; ``%`` and
-    ``_`` stand for anything, as in patterns, a backslash for itself."""
+def like_total(canonical: DataFrame, query: str, limit: int = 20, offset: int = 0, status: str | None = None, among: DataFrame | None = None) -> tuple[int, DataFrame]:
+    """Total and one page of a substring search, by name; ``%`` and ``_`` stand for
+    anything, as in patterns, a backslash for itself.  Only rows of ``among`` (key, as
+    ``postings.may_match`` finds them by trigrams) are looked at, if it is given."""
     checked(limit, offset, status)
+    canonical = canonical if among is None else canonical.join(among, canonical["id"] == among["key"], "left_semi")
     pattern = "%" + query.replace("\\", "\\\\") + "%"
     own = of_status(canonical, status).where(F.col("name").ilike(pattern) | F.col("address").ilike(pattern))
     return own.count(), own.orderBy("name", "id").offset(offset).limit(limit)

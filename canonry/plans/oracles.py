@@ -276,6 +276,8 @@ select source, count(*)::bigint as n, md5(string_agg(url, '|' order by url)) as
 
     "fts_search": f"{_TERMS}, {_HITS} select id as key from {_JOIN}",
     "fts_rank": f"{_TERMS}, {_HITS}, s as (select id, count(*) as len from terms group by id) select id as key, round({_SCORE}, 6) as score from {_JOIN} join s using (id)",
+    "fts_top20": f"{_TERMS}, {_HITS}, s as (select id, count(*) as len from terms group by id) select id as key, round({_SCORE}, 6) as score from {_JOIN} join s using (id) order by {_SCORE} desc, id limit 20",
+    "like_trigrams": f"{_RECORDS} select id, name from own where name ilike '%road%' or address ilike '%road%' order by name, id limit 50 offset 5",
     "like_fallback": f"{_RECORDS} select id, name from own where name ilike '%road%' or address ilike '%road%' order by name, id limit 50 offset 5",
     "list_page": f"{_RECORDS} select id, name from own where size > 1 order by id limit 20 offset 40",
     "stats_by_status": f"{_EDGES} select case when size > 1 then 'matched' else 'singleton' end as match_status, count(*)::bigint as n from node group by 1",

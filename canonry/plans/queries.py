@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from canonry.config import DEFAULT as CFG
 from canonry.functions import scores, text
-from canonry.operators import adjudicate, candidates, lasting, matching, merge, rooms, search, vectors
+from canonry.operators import adjudicate, candidates, lasting, matching, merge, postings, rooms, search, vectors
 from canonry.plans import build, incremental, synthetic
 from canonry.session import persist_cut, scratch
 from canonry.streaming import ratelimit
@@ -368,6 +368,23 @@ def fts_rank(spark, d):
     return search.ranked(terms, own, "id", search.query_phrases(QUERY, spark)).select("key", F.round("score", 6).alias("score"))
 
 
+def fts_top20(spark, d):
+    """The first page of ``fts_rank`` from blocks, most of which are never scored."""
+    own = _documents_as_records(spark, d)
+    size = 64
+    numbered = persist_cut(postings.numbers(own, "id"))
+    blocks = persist_cut(postings.term_blocks(own, numbered, "id", size=size))
+    return postings.top(blocks, numbered, search.query_phrases(QUERY, spark), 20, size, 2).select("key", F.round("score", 6).alias("score"))
+
+
+def like_trigrams(spark, d):
+    """``like_fallback`` by a trigram index."""
+    own = persist_cut(_canonical(spark, d))
+    numbered = persist_cut(postings.numbers(own, "id"))
+    grams = persist_cut(postings.gram_blocks(own, numbered, "id"))
+    return search.like_total(own, "road", 50, 5, None, postings.may_match(grams, numbered, "road"))[1].select("id", "name")
+
+
 def like_fallback(spark, d):
     return search.like(_canonical(spark, d), "road", 50, 5).select("id", "name")
 
@@ -419,7 +436,7 @@ _OWN = (
     haversine_pairs, topk_before_supplier_filter, scored_edges, semantic_edges, ngram_edges, ngram_room_pairs, valid_edges, vector_topk, similarity_stretch, isolated_edge_matching, max_weight_matching, clusters, singletons, near_misses,
     hard_cases, verdict_cache_join, llm_batches, prompt_lines, prompts, greedy_one_to_one, promote, spend_summary,
     merge_name_longest, merge_avg, merge_list_union, source_map, canonical_ids, incremental_matching, lasting_ids, id_history, near_miss_attach, image_dedupe,
-    room_pairs_scored, room_matching, canonical_rooms, canonical_hotels, fts_search, fts_rank, like_fallback, list_page, near_miss_top10, hotel_detail,
+    room_pairs_scored, room_matching, canonical_rooms, canonical_hotels, fts_search, fts_rank, fts_top20, like_trigrams, like_fallback, list_page, near_miss_top10, hotel_detail,
     stats_by_status, stats_by_method, confidence_bands, match_rate, rate_limit_offered, rate_limit_admitted,
 )
 

@@ -8,9 +8,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canonry.operators import adjudicate, merge, search
+from canonry.operators import adjudicate, merge, postings, search
 
 TABLES = ("raw_hotels", "canonical_hotels", "raw_rooms", "canonical_rooms", "near_misses", "search_lengths", "search_terms")
+#: Postings in blocks, beside the plain index: numbers of rows, blocks of terms, of trigrams.
+BLOCKS = ("search_numbers", "search_blocks", "search_grams")
 
 
 class ArtifactMissing(FileNotFoundError):
@@ -52,6 +54,10 @@ def write(path: str, tables: dict[str, DataFrame]) -> None:
     search.index_lengths(hotels, "id").write.parquet(f"{path}/{build}/search_lengths")
     # In order of terms, so that a search reads few row groups.
     search.index_terms(hotels, "id", search.COLUMNS).sort("term").write.parquet(f"{path}/{build}/search_terms")
+    postings.numbers(hotels, "id").write.parquet(f"{path}/{build}/search_numbers")
+    numbered = spark.read.parquet(f"{path}/{build}/search_numbers")
+    postings.term_blocks(hotels, numbered, "id").write.parquet(f"{path}/{build}/search_blocks")
+    postings.gram_blocks(hotels, numbered, "id").write.parquet(f"{path}/{build}/search_grams")
     spark.createDataFrame([(time.time_ns(), build)], "at long, build string").coalesce(1).write.mode("append").json(f"{path}/published")
 
 
@@ -82,14 +88,37 @@ class Catalog:
     def search(self, query: str = "", limit: int = 20, offset: int = 0, status: str | None = None) -> dict:
         hotels = self.table("canonical_hotels")
         try:
-            total, page = search.search(hotels, query, limit, offset, status, self.table("search_terms"), self.table("search_lengths"))
+            total, page = self._from_blocks(hotels, query, limit, offset) if status is None and query.strip() else (None, None)
+            if page is None:
+                total, page = search.search(hotels, query, limit, offset, status, self.table("search_terms"), self.table("search_lengths"))
         except Exception as e:  # without an index, by pattern
             if not missing(e):
                 raise
-            total, page = search.like_total(hotels, query, limit, offset, status)
+            total, page = self.like(query, limit, offset, status)
         rows = page.collect()  # at most the limit
         return {"total": total, "limit": limit, "offset": offset, "has_more": search.has_more(total, offset, len(rows)), "results": [r.asDict(recursive=True) for r in rows]}
 
+    def _from_blocks(self, hotels: DataFrame, query: str, limit: int, offset: int) -> tuple[int | None, DataFrame | None]:
+        """Total and page of single words; None for phrases, which need positions."""
+        search.checked(limit, offset, None)
+        phrases = search.query_phrases(query, self.spark)
+        if not phrases or any(len(p) > 1 for p in phrases):
+            return None, None
+        blocks = self.table("search_blocks")
+        best = postings.top(blocks, self.table("search_numbers"), phrases, offset + limit)
+        page = hotels.join(F.broadcast(best), hotels["id"] == best["key"]).orderBy(F.desc("score"), "id").offset(offset).limit(limit)
+        return postings.total(blocks, phrases), page.drop("key", "score")
+
+    def like(self, query: str, limit: int = 20, offset: int = 0, status: str | None = None) -> tuple[int, DataFrame]:
+        """Substring search, by trigrams where the build has them."""
+        among = None
+        try:
+            among = postings.may_match(self.table("search_grams"), self.table("search_numbers"), query)
+        except Exception as e:
+            if not missing(e):
+                raise
+        return search.like_total(self.table("canonical_hotels"), query, limit, offset, status, among)
+
     def detail(self, id_: str) -> dict:
         own = self.table("canonical_hotels").where(F.col("id") == id_)
         rooms = self.table("canonical_rooms").where(F.col("canonical_hotel_id") == id_)
