@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canonry.operators.components import components
-from canonry.operators.solver import matching
+from canonry.operators.solver import SCALE, matching
 from canonry.session import persist_cut
 
+#: Rounds of reductions at most; what they leave the solver takes.
+ROUNDS = 4
 PAIR = ["supplier_a", "a_id", "supplier_b", "b_id"]
 
 
@@ -33,14 +37,64 @@ def _solve(part: pd.DataFrame) -> pd.DataFrame:
     return part[[(min(p), max(p)) in found for p in zip(part["u"], part["v"], strict=True)]]
 
 
-def max_weight_matching(edges: DataFrame, within: list[str] | None = None) -> DataFrame:
+def dominant(edges: DataFrame) -> DataFrame:
+    """Those of ``edges`` (u, v, weight) that weigh more than the best other edges of both
+    their ends together.  Exchanging these for such an edge gains, so every best matching
+    has it; edges without neighbours are among them.  No two have an end in common."""
+    edge = F.struct("u", "v")
+    ends = edges.select(F.col("u").alias("node"), edge.alias("e"), "weight").unionByName(edges.select(F.col("v").alias("node"), edge.alias("e"), "weight"))
+    best = ends.groupBy("node").agg(F.max(F.struct("weight", "e")).alias("top")).select("node", F.col("top.e").alias("own"), F.col("top.weight").alias("weight"))
+    mutual = best.groupBy("own").agg(F.count("*").alias("n"), F.first("weight").alias("weight")).where("n = 2").select("own", "weight")
+    at = mutual.select(F.col("own.u").alias("node"), "own").unionByName(mutual.select(F.col("own.v").alias("node"), "own"))
+    rivals = ends.join(at, "node").where(F.col("e") != F.col("own")).groupBy("own", "node").agg(F.max("weight").alias("most"))
+    both = rivals.groupBy("own").agg(F.sum("most").alias("rivals"))
+    return mutual.join(both, "own", "left").where(F.col("weight") > F.coalesce("rivals", F.lit(0))).select("own.u", "own.v")
+
+
+@dataclass
+class Reduction:
+    """Edges taken in each round, and those left for the solver."""
+
+    taken: list = field(default_factory=list)
+    left: int = 0
+
+
+def reduced(edges: DataFrame, rounds: int = ROUNDS, told: Reduction | None = None) -> tuple[DataFrame, DataFrame]:
+    """Edges (u, v, confidence, ...) that every best matching has, and those among the ends
+    that they leave: dominant edges go with all edges at their ends, which makes others
+    dominant, until nothing changes or the rounds are over; the solver gets the rest."""
+    rest = persist_cut(edges.withColumn("weight", F.round(F.col("confidence") * SCALE).cast("long")))
+    left, out = rest.count(), None
+    for _ in range(rounds):
+        if not left:
+            break
+        took = persist_cut(dominant(rest))
+        some = rest.join(took, ["u", "v"], "left_semi").select(edges.columns)
+        out = some if out is None else out.unionByName(some)
+        ends = took.select(F.col("u").alias("node")).unionByName(took.select(F.col("v").alias("node")))
+        fewer = persist_cut(rest.join(ends, rest["u"] == ends["node"], "left_anti").join(ends, rest["v"] == ends["node"], "left_anti"))
+        now, n = fewer.count(), took.count()
+        if told is not None:
+            told.taken.append(n)
+        if not n:
+            break
+        rest, left = fewer, now
+    if told is not None:
+        told.left = left
+    rest = rest.select(edges.columns)
+    return (rest.limit(0) if out is None else out), rest
+
+
+def max_weight_matching(edges: DataFrame, within: list[str] | None = None, told: Reduction | None = None) -> DataFrame:
     """The rows of ``edges`` in a matching of greatest total ``confidence``.
-    Lone edges need no solver; the rest are solved exactly one connected component
-    at a time (inside each group of ``within``, if given)."""
+    Edges that every best matching has need no solver; the rest are solved exactly one
+    connected component at a time (inside each group of ``within``, if given)."""
     keys = within or []
-    lone, rest = isolated_edges(edges)
     node = lambda s, i: F.concat_ws("\u0001", *keys, s, i)
-    named = rest.withColumns({"u": node("supplier_a", "a_id"), "v": node("supplier_b", "b_id")})
+    lone, named = reduced(edges.withColumns({"u": node("supplier_a", "a_id"), "v": node("supplier_b", "b_id")}), told=told)
+    lone = lone.select(edges.columns)
+    if named.isEmpty():
+        return lone
     roots = components(named.select(F.col("u").alias("a"), F.col("v").alias("b")))
     placed = named.join(roots, named["u"] == roots["node"]).drop("node")
     solved = placed.groupBy("root").applyInPandas(_solve, placed.schema)

@@ -217,6 +217,9 @@ ORACLES = {
       select canonical_id, {_PAIR}, round(likeness, 6) as confidence from alike where likeness >= {C.room_accept} and not coalesce(conflict, false)""",
     "valid_edges": f"{_EDGES} select {_PAIR}, {_SIX}, eligible, is_rescue from valid",
     "isolated_edge_matching": f"{_EDGES} select {_PAIR}, {_SIX}, eligible, is_rescue from lone",
+    "dominant_edges": f"""{_EDGES}, weighed as (select concat_ws('::', supplier_a, a_id) as u, concat_ws('::', supplier_b, b_id) as v, round(confidence * 1e10)::bigint as w from valid),
+      either as (select u as node, u, v, w from weighed union all select v, u, v, w from weighed)
+      select u, v from weighed e where w > coalesce((select max(w) from either x where x.node = e.u and x.v <> e.v), 0) + coalesce((select max(w) from either y where y.node = e.v and y.u <> e.u), 0)""",
     "max_weight_matching": f"{_EDGES} select {_PAIR}, {_SIX}, eligible, is_rescue from matched",
     "clusters": f"{_EDGES} select canonical_id, nodes, round(confidence, 4) as confidence, method from called",
     "singletons": f"{_EDGES} select supplier, id from single",

@@ -212,6 +212,12 @@ def isolated_edge_matching(spark, d):
     return _rounded(_isolated(spark, d))
 
 
+def dominant_edges(spark, d):
+    """Edges that every best matching has, by the first round of reductions."""
+    own = _valid(spark, d).withColumns({"u": F.concat_ws("::", "supplier_a", "a_id"), "v": F.concat_ws("::", "supplier_b", "b_id")})
+    return matching.dominant(persist_cut(own.withColumn("weight", F.round(F.col("confidence") * matching.SCALE).cast("long"))))
+
+
 def max_weight_matching(spark, d):
     return _rounded(_matched(spark, d))
 
@@ -433,7 +439,7 @@ def rate_limit_admitted(spark, d):
 
 _OWN = (
     feed_union, name_normalize, property_numbers, pipe_list_dedupe, numeric_coerce_drop, html_unescape_titles, room_attributes, room_occupancy, room_name_normalize,
-    haversine_pairs, topk_before_supplier_filter, scored_edges, semantic_edges, ngram_edges, ngram_room_pairs, valid_edges, vector_topk, similarity_stretch, isolated_edge_matching, max_weight_matching, clusters, singletons, near_misses,
+    haversine_pairs, topk_before_supplier_filter, scored_edges, semantic_edges, ngram_edges, ngram_room_pairs, valid_edges, vector_topk, similarity_stretch, isolated_edge_matching, dominant_edges, max_weight_matching, clusters, singletons, near_misses,
     hard_cases, verdict_cache_join, llm_batches, prompt_lines, prompts, greedy_one_to_one, promote, spend_summary,
     merge_name_longest, merge_avg, merge_list_union, source_map, canonical_ids, incremental_matching, lasting_ids, id_history, near_miss_attach, image_dedupe,
     room_pairs_scored, room_matching, canonical_rooms, canonical_hotels, fts_search, fts_rank, fts_top20, like_trigrams, like_fallback, list_page, near_miss_top10, hotel_detail,
