@@ -132,12 +132,3 @@ def test_rate_limits(spark):
     assert got == {0: True, 1: True, 2: False, 3: False, 4: True, 9: True}
     assert all(r["admitted"] for r in ratelimit.admitted(df, limit=0).collect())
     assert {r["event_id"]: r["offered"] for r in ratelimit.offered(df).collect()} == {0: 1, 1: 2, 2: 3, 3: 4, 4: 4, 9: 1}
-
-
-def test_rate_limit_stream(spark, tmp_path):
-    rows = [(i, 1, f"2024-01-01 00:00:0{i}") for i in range(4)]
-    spark.createDataFrame(rows, "event_id int, user_id int, t string").select("event_id", "user_id", F.to_timestamp("t").alias("ts")).write.parquet(f"{tmp_path}/in")
-    stream = ratelimit.admitted_stream(spark.readStream.schema("event_id int, user_id int, ts timestamp").parquet(f"{tmp_path}/in"), limit=2)
-    query = stream.writeStream.format("memory").queryName("limited").option("checkpointLocation", f"{tmp_path}/cp").trigger(once=True).start()
-    assert query.awaitTermination(200)
-    assert sorted((r["ts"].second, r["admitted"]) for r in spark.table("limited").collect()) == [(0, True), (1, True), (2, False), (3, False)]
