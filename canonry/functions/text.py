@@ -113,8 +113,10 @@ def unescape_html(texts: pd.Series) -> pd.Series:
 
 
 def number(text: Column) -> Column:
-    """A double, or null for what isn't one."""
-    x = stripped(text).try_cast("double")
+    """A double, or null for what isn't one; letters that Java allows after a number
+    aren't one's."""
+    plain = stripped(text)
+    x = F.when(plain.rlike(r"^[+-]?(?:[0-9.]+(?:[eE][+-]?[0-9]+)?|(?i:inf(?:inity)?))$"), plain).try_cast("double")
     return F.when(~F.isnan(x), x)
 
 

@@ -14,12 +14,12 @@ BLOCK = 4096
 def nearest(queries: DataFrame, candidates: DataFrame, k: int, within: str, block: int = BLOCK) -> DataFrame:
     """``query_id``, ``vec_id``, ``similarity`` (six places) and ``rank`` of each query's
     k most similar candidates of equal ``within``; ties to the smaller id.  Both have
-    vec_id, embedding and that column.  Vectors that are null or hold a null take no
-    part; one of zeros is like nothing (0).  A pair of blocks is one matrix product, of
+    vec_id, embedding and that column.  Vectors that are null or hold a null, NaN or infinite
+    component take no part; one of zeros is like nothing (0).  A pair of blocks is one matrix product, of
     which k rows a query are kept; the work is queries times candidates."""
 
     def dealt(df: DataFrame, own: str, other: str, mine: int, others: int) -> DataFrame:
-        placed = df.where(F.forall("embedding", lambda x: x.isNotNull())).select("vec_id", "embedding", within, F.pmod(F.xxhash64("vec_id"), F.lit(mine)).cast("int").alias(own))
+        placed = df.where(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))).select("vec_id", "embedding", within, F.pmod(F.xxhash64("vec_id"), F.lit(mine)).cast("int").alias(own))
         return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
 
     n, m = (max(1, -(-df.count() // block)) for df in (queries, candidates))

@@ -371,7 +371,8 @@ def fts_search(spark, d):
 def fts_rank(spark, d):
     own = _documents_as_records(spark, d)
     terms = persist_cut(search.index_terms(own, "id", ("id", "name", "address")))
-    return search.ranked(terms, own, "id", search.query_phrases(QUERY, spark)).select("key", F.round("score", 6).alias("score"))
+    lengths = persist_cut(search.index_lengths(own, "id"))
+    return search.ranked(terms, own, "id", search.query_phrases(QUERY, spark), lengths).select("key", F.round("score", 6).alias("score"))
 
 
 def fts_top20(spark, d):

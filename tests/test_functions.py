@@ -31,7 +31,7 @@ def test_property_numbers(spark):
     assert one(spark, text.property_numbers(F.col("c")), c="OYO 123 at 7 and 45, 123 or 1234567") == ["123", "45"]
 
 
-@pytest.mark.parametrize("raw,want", [(" 4.5 ", 4.5), ("n/a", None), ("NaN", None), ("", None), (None, None)])
+@pytest.mark.parametrize("raw,want", [(" 4.5 ", 4.5), ("n/a", None), ("NaN", None), ("", None), (None, None), ("1d", None), ("12.5f", None), ("0x1p3", None), ("1e3", 1000.0), ("+.5", 0.5), ("1.2.3", None), ("-Infinity", float("-inf"))])
 def test_number(spark, raw, want):
     assert one(spark, text.number(F.col("c").cast("string")), c=raw) == want
 

@@ -128,7 +128,7 @@ def test_every_vector_is_asked(spark, tmp_path):
 def test_vectors_of_zeros_and_with_nulls(spark):
     from canonry.operators import vectors
 
-    rows = [(1, [1.0, 0.0], 0), (2, [0.0, 0.0], 0), (3, None, 0), (4, [1.0, None], 0), (5, [2.0, 0.0], 0), (6, [1.0, 1.0], 1)]
+    rows = [(1, [1.0, 0.0], 0), (2, [0.0, 0.0], 0), (3, None, 0), (4, [1.0, None], 0), (5, [2.0, 0.0], 0), (6, [1.0, 1.0], 1), (7, [float("nan"), 0.0], 0), (8, [float("inf"), 0.0], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, side int")
     got = {(r["query_id"], r["rank"]): (r["vec_id"], r["similarity"]) for r in vectors.nearest(df.where("vec_id = 1"), df, 2, "side", block=2).collect()}
     assert got == {(1, 1): (1, 1.0), (1, 2): (5, 1.0)}
