@@ -10,9 +10,18 @@ out, character references are decoded, and blocks are joined by line feeds.
 
 An element is boilerplate by its tag, by its role, or by its class or id: names
 that labelled pages show outside of their content only are learnt, and
-``BOILERPLATE_NAMES`` stand for what no labelled page may show.  A name never makes
-``html``, ``body``, ``main`` or ``article`` boilerplate, nor an element that holds
-one of the latter two, or all of the page's words in elements of its own.
+``BOILERPLATE_NAMES`` stand for what no labelled page may show.  Structure comes before
+names: neither tag nor name makes an element boilerplate that holds all of the page's
+``main`` and ``article`` elements, nor a form with ``WORDS_PER_CONTROL`` words or more
+for each control.  A name never makes ``html``, ``body``, ``main`` or ``article``
+boilerplate, nor an element that holds all of the page's words in elements of its own,
+nor, where there is no ``main`` or ``article``, more than three quarters of them
+(replies, and what consists of links, excepted).
+
+A page whose markup names one ``article``, or else one ``main``, outside of boilerplate
+is read by that: tags in it cost nothing, so that lists, tables and short blocks at its
+ends stay, and words outside of it score nothing.  Where more than twice as many words
+stand outside, the markup is not believed, and the learnt weights decide alone.
 
 Labelled pages: pages whose markup names their content with one ``article`` or
 ``main`` element are labels for the weights.  The weights are fitted on at most
@@ -82,6 +91,16 @@ CONTAINERS = frozenset({"area", "bar", "block", "body", "box", "button", "button
 LAYOUT = frozenset({"has", "with", "no", "without", "is", "hide", "show", "full", "left", "right"})
 #: Elements that no name makes boilerplate.
 CONTENT = frozenset({"html", "body", "main", "article"})
+#: What a reader fills in or presses (fixed values of HTML).
+CONTROLS = frozenset({"input", "select", "textarea", "button"})
+#: A form of so many words for each control is no form but what a page is written in.
+WORDS_PER_CONTROL = 50
+#: Names of what may well be longer than the article.
+REPLIES = frozenset({"comment", "comments", "disqus"})
+#: Elements that give a text its shape; where labelled pages don't show one outside of
+#: boilerplate, it costs this.
+SHAPE = frozenset({"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "table", "caption", "thead", "tbody", "tfoot", "tr", "td", "th", "blockquote", "pre", "figure", "figcaption"})
+SHAPE_COST = 0.25
 #: A learnt name stands on so many elements outside of labels, and on so many times
 #: more than inside.
 LEAST_MET, TIMES_OUTSIDE = 5, 8
@@ -89,6 +108,7 @@ LEAST_MET, TIMES_OUTSIDE = 5, 8
 _ATTRIBUTE = r"[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+|(?=>)))?+"
 _TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:{_ATTRIBUTE})*+)(?:>|\Z)", re.S)
 _NAMED = re.compile(r"(?:^|[\s/\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*))", re.I)
+_HIDDEN = re.compile(r"(?:^|[\s/\"'])type\s*=\s*[\"']?hidden", re.I)
 _PART = re.compile(r"[a-z]+|[0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _RAW_END = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I) for name in RAW}
@@ -108,6 +128,8 @@ class Token:
     boiler: bool = False
     #: Class names and ids of a tag that begins.
     names: tuple[str, ...] = ()
+    #: Whether it is something to fill in or press.
+    control: bool = False
 
 
 @dataclass(slots=True)
@@ -118,7 +140,11 @@ class Element:
     roles: tuple[str, ...]
     words: int = 0
     own_words: int = 0
-    holds_content: bool = False
+    #: Words in links, things to fill in, ``main`` and ``article`` elements, words in those.
+    links: int = 0
+    controls: int = 0
+    contents: int = 0
+    held: int = 0
 
 
 def is_boilerplate_name(name: str) -> bool:
@@ -176,7 +202,7 @@ def tokens(html: str, learnt: frozenset[str] = frozenset()) -> list[Token]:
             k = last(name)
             kind, where = "/" + name, inside()
             if k >= 0:
-                kind = "/" + open_[k][1]
+                kind, where = "/" + open_[k][1], open_[k][2]
                 end(k)
             out.append(Token(kind, name, True, "", 0, where))
             continue
@@ -185,7 +211,7 @@ def tokens(html: str, learnt: frozenset[str] = frozenset()) -> list[Token]:
         kind = " ".join((name, *names))
         if name in RAW:
             stop = _RAW_END[name].search(html, at)
-            out.append(Token(kind, name, False, "", 0, inside()))
+            out.append(Token(kind, name, False, "", 0, inside(), control=name == "textarea"))
             at = n if stop is None else stop.end()
             continue
         if name not in VOID:
@@ -204,7 +230,8 @@ def tokens(html: str, learnt: frozenset[str] = frozenset()) -> list[Token]:
             places.setdefault(name, []).append(len(open_))
             elements.append(Element(inside(), name, names, tuple(x for a, b in found if a == "role" for x in b)))
             open_.append((name, kind, len(elements) - 1))
-        out.append(Token(kind, name, False, "", 0, inside(), names=names))
+        control = name in CONTROLS and not (name == "input" and _HIDDEN.search(m[3] or ""))
+        out.append(Token(kind, name, False, "", 0, inside(), names=names, control=control))
     _mark(out, elements, learnt)
     return out
 
@@ -212,37 +239,84 @@ def tokens(html: str, learnt: frozenset[str] = frozenset()) -> list[Token]:
 def _mark(found: list[Token], elements: list[Element], learnt: frozenset[str]) -> None:
     """Which tokens are in boilerplate.  An element stands after what holds it."""
     for t in found:
-        if t.words and t.inside >= 0:
+        if t.inside >= 0:
+            elements[t.inside].controls += t.control
             elements[t.inside].words += t.words
             elements[t.inside].own_words += t.words
-    plain = [False] * len(elements)
-    for i, e in enumerate(elements):
-        plain[i] = e.tag in BOILERPLATE or (e.within >= 0 and plain[e.within])
-    whole = sum(t.words for t in found if t.inside < 0 or not plain[t.inside])
     for e in reversed(elements):
+        if e.tag == "a":
+            e.links = e.words
+        if e.tag in ("main", "article"):
+            e.contents += 1
+            e.held = e.words
         if e.within >= 0:
-            elements[e.within].words += e.words
-            elements[e.within].holds_content |= e.holds_content or e.tag in ("main", "article")
-    boiler = plain
+            up = elements[e.within]
+            up.words += e.words
+            up.links += e.links
+            up.controls += e.controls
+            up.contents += e.contents
+            up.held += e.held
+    top = [e for e in elements if e.within < 0]
+    contents, held = sum(e.contents for e in top), sum(e.held for e in top)
+
+    def down(own) -> list[bool]:
+        """What an element or one that holds it is."""
+        out = [False] * len(elements)
+        for i, e in enumerate(elements):
+            out[i] = (e.within >= 0 and out[e.within]) or own(e)
+        return out
+
+    def count(*but: list[bool]) -> int:
+        return sum(t.words for t in found if t.words and not any(t.inside >= 0 and b[t.inside] for b in but))
+
+    # The page's articles count if what else the page has to say isn't far longer.
+    there = contents and 2 * held >= count(down(lambda e: e.tag in BOILERPLATE), down(lambda e: e.tag in ("main", "article")))
+
+    def wraps(e: Element) -> bool:
+        return bool(there) and e.contents == contents or e.tag == "form" and e.words >= WORDS_PER_CONTROL * max(1, e.controls)
+
+    tagged = down(lambda e: e.tag in BOILERPLATE and not wraps(e))
+    whole = count(tagged)
+
+    def named(e: Element) -> bool:
+        if e.tag in CONTENT or wraps(e) or (e.words >= whole and not e.own_words):
+            return False
+        if any(r in ROLES for r in e.roles) or any(x in learnt for x in e.names):
+            return True
+        said = [x for x in e.names if is_boilerplate_name(x)]
+        # A name doesn't make most of a page boilerplate, but for replies and menus.
+        most = not contents and 4 * e.words > 3 * whole and 2 * e.links < e.words
+        return any(not most or not REPLIES.isdisjoint(_PART.findall(x)) for x in said)
+
+    boiler = [False] * len(elements)
     for i, e in enumerate(elements):
-        if e.within >= 0 and boiler[e.within]:
-            boiler[i] = True
-        elif not boiler[i] and e.tag not in CONTENT and not e.holds_content and (e.words < whole or e.own_words):
-            boiler[i] = any(r in ROLES for r in e.roles) or any(x in learnt or is_boilerplate_name(x) for x in e.names)
+        boiler[i] = tagged[i] or (e.within >= 0 and boiler[e.within]) or named(e)
     for t in found:
         t.boiler = t.inside >= 0 and boiler[t.inside]
 
 
 def label(found: list[Token]) -> tuple[int, int] | None:
-    """Where the one article (or main) element lies: first and last token in it."""
+    """Where the one article (or main) element outside of boilerplate lies: first and
+    last token in it."""
     for name in ("article", "main"):
-        begins = [i for i, t in enumerate(found) if t.name == name and not t.end]
+        begins = [i for i, t in enumerate(found) if t.name == name and not t.end and not t.boiler]
         if len(begins) == 1:
-            ends = [i for i, t in enumerate(found) if t.name == name and t.end and i > begins[0]]
+            own = found[begins[0]].inside
+            ends = [i for i, t in enumerate(found) if t.end and t.name == name and t.inside == own]
             return begins[0] + 1, (ends[0] if ends else len(found)) - 1
     return None
 
 
+def marked(found: list[Token]) -> tuple[int, int] | None:
+    """The label, unless far more is said outside of it."""
+    span = label(found)
+    if span is None:
+        return None
+    inside = sum(t.words for t in found[span[0] : span[1] + 1] if not t.boiler)
+    outside = sum(t.words for t in found if not t.boiler) - inside
+    return span if inside and 2 * inside >= outside else None
+
+
 def _kind(t: Token) -> str:
     """Tags inside boilerplate are kinds of their own: a list in a menu says
     nothing about lists."""
@@ -266,18 +340,21 @@ class Weights:
         if got is None:
             # What is left out anyway tells nothing about the text around it.
             skipped = t.boiler or t.name in RAW
-            got = 0.0 if skipped else min(self.plain, self.cost.get(("/" if t.end else "") + t.name, self.plain))
+            plain = min(self.plain, SHAPE_COST) if self.cost and t.name in SHAPE else self.plain
+            got = 0.0 if skipped else min(plain, self.cost.get(("/" if t.end else "") + t.name, plain))
         return -got
 
 
-def best_run(found: list[Token], weights: Weights) -> tuple[int, int]:
+def best_run(found: list[Token], weights: Weights, within: tuple[int, int] | None = None) -> tuple[int, int]:
     """First and last token of the contiguous run with the largest sum, the
-    earliest of equal ones; (0, -1) if no run is positive."""
+    earliest of equal ones; (0, -1) if no run is positive.  Where a page marks its
+    content (``within``), tags in there cost nothing and words elsewhere score nothing."""
     best, span, total, begin = 0.0, (0, -1), 0.0, 0
     for i, t in enumerate(found):
         if total <= 0:
             total, begin = 0.0, i
-        total += weights.of(t)
+        score = weights.of(t)
+        total += score if within is None else max(score, 0.0) if within[0] <= i <= within[1] else min(score, 0.0)
         if total > best:
             best, span = total, (begin, i)
     return span
@@ -345,7 +422,7 @@ def fit(pages: Iterable[str]) -> Weights:
 def main_text(html: str | None, weights: Weights) -> str:
     """Blocks of the best run, joined by line feeds."""
     found = tokens(html or "", weights.names)
-    a, b = best_run(found, weights)
+    a, b = best_run(found, weights, marked(found))
     blocks: list[str] = []
     run: list[str] = []
 

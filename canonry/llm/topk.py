@@ -194,7 +194,7 @@ def top_k(df: DataFrame, is_query, k: int = K, scale: int = SCALE, queries: int
         away = away.withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).where("vb <> home")
         copies = placed.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))) if groups > 1 else placed.withColumn("qb", F.lit(0))
         found = found.unionByName(_search(copies, away, k))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

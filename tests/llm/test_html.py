@@ -140,3 +140,78 @@ def test_long_pages_are_labels_too(spark):
     learnt, want = html.learn(df), html.fit(long)
     assert learnt.cost == want.cost and learnt.cost
     assert html.learn(spark.createDataFrame([(None,), ("no label",)], "html string")).cost == {}
+
+
+LONG = " ".join(f"word{i}" for i in range(60))
+
+
+def body(inner):
+    return f"<html><body>{inner}</body></html>"
+
+
+def test_what_wraps_the_page_is_no_boilerplate():
+    nav = "<nav><ul><li><a href=/>Home</a></ul></nav>"
+    for tag in ("form id=f", "header", "nav", "aside", "dialog"):
+        name = tag.split()[0]
+        assert html.main_text(body(f"<{tag}>{nav}{ARTICLE}</{name}>"), W) == TEXT
+        assert html.main_text(body(f"<{tag}><ul><li>Home<li>About</ul>{ARTICLE}"), W) == TEXT
+    assert html.main_text(body(f'<form><input type="hidden" name=a><input type=hidden>{nav}<p>{LONG}</p><input></form>'), W) == LONG
+    # A form stays a form, and an article in a sidebar what it is.
+    assert html.main_text(body(f"<p>{LONG}</p><form><p>Write to us</p><input><input><button>Send it</button></form>"), W) == LONG
+    assert html.main_text(body(f"<div><p>{LONG}</p></div><aside><article><p>Read this too</p></article></aside>"), W) == LONG
+    cards = "<article><p>Read this too</p></article>" * 3
+    assert html.main_text(body(f"{ARTICLE}<aside>{cards}</aside><footer>{cards}</footer>"), W) == TEXT
+    replies = f'<section class="comments"><article class="comment"><p>{LONG}</p></article></section>'
+    assert html.main_text(body(ARTICLE + replies), W) == TEXT
+    assert html.main_text(body(ARTICLE.replace("</article>", replies + "<p>Then on</p></article>")), W) == TEXT + "\nThen on"
+
+
+def test_lists_tables_and_short_blocks_stay():
+    items = [f"one{i}" for i in range(400)]
+    listed = "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>"
+    assert html.main_text(body(f"<article><p>{LONG}</p>{listed}<p>{LONG}</p></article>"), W) == "\n".join([LONG, *items, LONG])
+    for short, want in (
+        ("<ul><li>a</li><li>b</li></ul>", "a\nb"),
+        ("<h2>One</h2>", "One"),
+        ("<table><caption>Cap</caption><tr><td>a</td><th>b</th></tr></table>", "Cap\na\nb"),
+        ("<dl><dt>t0</dt><dd>d0</dd><dt>t1</dt><dd>d1</dd></dl>", "t0\nd0\nt1\nd1"),
+        ("<figure><img><figcaption>It</figcaption></figure>", "It"),
+    ):
+        assert html.main_text(body(f"<article>{short}<p>{LONG}</p>{short}</article>"), W) == f"{want}\n{LONG}\n{want}"
+        assert html.main_text(body(f"<main>{short}</main><p>Sign up for our newsletter</p>"[: None if "t0" in want else 13 + len(short)]), W) == want
+    assert html.main_text(body(f"{ARTICLE}<p>Sign up for our newsletter and get all of it</p>"), W) == TEXT
+
+
+def test_a_name_does_not_hide_most_of_a_page():
+    for name in ("content-widget", "social", "promo"):
+        assert html.main_text(body(f'<div class="{name}"><p>{LONG}</p></div><div class="x"><p>one two</p></div>'), W).startswith(LONG)
+    assert html.main_text(body(f'<p>The text of it</p><div class="comments"><p>{LONG}</p></div>'), W) == "The text of it"
+    links = "".join(f"<li><a href=/{i}>Item number {i}</a>" for i in range(100))
+    assert html.main_text(body(f'<div class="menu"><ul>{links}</ul></div><p>The text of it</p>'), W) == "The text of it"
+
+
+def test_frames_that_share_nothing_with_the_fitted_ones():
+    """What is put in comes out, whatever stands around it."""
+    import random
+
+    rng = random.Random(5)
+    word = lambda: "w" + str(rng.randint(0, 9999))
+    say = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b)))
+    for _ in range(200):
+        want, inner = [], ""
+        for _ in range(rng.randint(1, 8)):
+            kind = rng.choice(("p", "ul", "dl", "table", "h4", "pre", "section"))
+            texts = [say(1, 30) for _ in range(1 if kind in ("p", "h4", "pre", "section") else rng.randint(1, 5))]
+            want += texts
+            cell = {"ul": "<li>{}", "dl": "<dd>{}</dd>", "table": "<tr><td>{}</td></tr>"}.get(kind, "{}")
+            inner += f"<{kind}>" + "".join(cell.format(t) for t in texts) + f"</{kind}>"
+        tag = rng.choice(("article", "main"))
+        made = f"<{tag}>{inner}</{tag}>"
+        for _ in range(rng.randint(0, 3)):
+            wrap = rng.choice(("center", "form", "section class=s", "td", "header", "div id=app"))
+            made = f"<{wrap}>{made}</{wrap.split()[0]}>"
+        made = rng.choice(("", "<menu><li>File<li>Edit</menu>", "<font>x1</font>")) + made + rng.choice(("", "<small>x2</small>", "<footer><p>x3 x4</footer>"))
+        got = html.main_text(body(made), W)
+        inside = sum(len(t.split()) for t in want)
+        if inside >= 2:
+            assert got == "\n".join(want)

@@ -48,3 +48,18 @@ def test_few_and_none(spark):
     assert [tuple(r) for r in topk.top_k(df, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 256 * 512)]
     assert topk.top_k(df.where(F.lit(False)), F.col("vec_id") == 0).count() == 0
     assert topk.top_k(df.where("vec_id = 0"), F.col("vec_id") == 0).count() == 0
+
+
+def test_repeated_queries_count_each(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(0, 0.3, 8).tolist()) for i in range(100)] + [(0, rng.normal(0, 0.3, 8).tolist())]
+    rows += [rows[50]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, queries=2, vector_block=16).collect())
+    whole = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    want = []
+    for q, v in whole:
+        if q % 50 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in whole if i != q)[:5]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
+    assert got == sorted(want) and len(got) == 20
