@@ -7,13 +7,13 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from canonry.config import DEFAULT, MatchConfig
 from canonry.operators import adjudicate, candidates, lasting, matching, merge, rooms
 from canonry.plans import incremental
-from canonry.session import persist_cut
+from canonry.session import counted, persist_cut
 from canonry.sources import artifact, feeds
 
 _one_build = threading.Lock()
@@ -27,6 +27,8 @@ class BuildReport:
     seconds: dict = field(default_factory=dict)
     #: Rows without coordinates, by supplier.
     dropped: dict = field(default_factory=dict)
+    #: Rows whose key a later row of the same supplier has too, by kind.
+    replaced: dict = field(default_factory=dict)
     #: As adjudicate.run_report has it.
     adjudication: dict = field(default_factory=dict)
     #: What was re-scored and re-solved, where the build went on from the last one.
@@ -120,10 +122,17 @@ def build(
     report, began = BuildReport(), time.monotonic()
     try:
         _status.update(state="running", error=None)
-        raw = feeds.scan(spark, folder, "hotels")
-        report.dropped = {r["supplier"]: r["n"] for r in feeds.dropped_rows(raw).collect()}
-        records = persist_cut(merge.last_by_key(feeds.clean_properties(raw), ["supplier", "id"], "line"))
-        room_rows = persist_cut(merge.last_by_key(feeds.clean_rooms(feeds.scan(spark, folder, "rooms")), ["supplier", "room_id"], "line"))
+        loaded = Observation()
+        raw = persist_cut(feeds.scan(spark, folder, "hotels").observe(loaded, F.count(F.lit(1)).alias("rows"), F.count_if(feeds.without_place()).alias("dropped")))
+        if loaded.get["dropped"]:
+            report.dropped = {r["supplier"]: r["n"] for r in feeds.dropped_rows(raw).collect()}
+        records, own = counted(merge.last_by_key(feeds.clean_properties(raw), ["supplier", "id"], "line"))
+        records = persist_cut(records)
+        raw_rooms, room_lines = counted(feeds.scan(spark, folder, "rooms"))
+        raw_rooms = persist_cut(raw_rooms)
+        room_rows, own_rooms = counted(merge.last_by_key(feeds.clean_rooms(raw_rooms), ["supplier", "room_id"], "line"))
+        room_rows = persist_cut(room_rows)
+        report.replaced = {"hotels": loaded.get["rows"] - loaded.get["dropped"] - own.get["rows"], "rooms": room_lines.get["rows"] - own_rooms.get["rows"]}
         report.seconds["load"] = time.monotonic() - began
         known = feeds.side_table(spark, verdicts, adjudicate.VERDICT) if verdicts else None
         prints = None
@@ -148,14 +157,13 @@ def build(
             if spend:
                 r = report.adjudication
                 feeds.keep(spark.createDataFrame([(r["prompt_tokens"], r["completion_tokens"], r["called"], r["cost_usd"])], adjudicate.RUN), spend)
-        artifact.write(path, tables)
+        report.counts = artifact.write(path, tables)
         if told.get("history") is not None:
             report.ids = {r["event"]: r["count"] for r in told["history"].groupBy("event").count().collect()}
             feeds.keep(told["history"].withColumn("at", F.lit(time.time_ns())), f"{path}/ids")
         catalog = artifact.Catalog(spark, path)
         artifact.nested(catalog.table("canonical_hotels"), catalog.table("canonical_rooms"), catalog.table("near_misses")).write.mode("overwrite").json(f"{path}/documents")
         report.seconds["total"] = time.monotonic() - began
-        report.counts = {name: catalog.table(name).count() for name in artifact.TABLES}
         _status.update(state="completed")
         return report
     except BaseException as e:

@@ -8,7 +8,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -23,6 +24,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get()
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder, in whatever store Spark reads it from."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, Observation]:
+    """``df``, and the number ``rows`` of its rows, known as soon as it is written or
+    cut.  Counted by the tasks that write, each of which counts once, however often it
+    is tried; so nothing is read again to be counted."""
+    seen = Observation()
+    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[str]:
     """A folder of its own in the shared folder, which goes afterwards."""
@@ -30,8 +45,7 @@ def scratch(spark: SparkSession) -> Iterator[str]:
     try:
         yield path
     finally:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        delete(spark, path)
 
 
 def persist_cut(df: DataFrame) -> DataFrame:

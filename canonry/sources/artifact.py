@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import itertools
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from canonry.operators import adjudicate, merge, postings, search
+from canonry.session import counted, delete
 
 TABLES = ("raw_hotels", "canonical_hotels", "raw_rooms", "canonical_rooms", "near_misses", "search_lengths", "search_terms")
 #: Postings in blocks, beside the plain index: numbers of rows, blocks of terms, of trigrams.
 BLOCKS = ("search_numbers", "search_blocks", "search_grams")
 
 
+#: Rows of what was published, and of leases.
+PUBLISHED, HELD = "at long, build string", "build string, until long"
+
+
 class ArtifactMissing(FileNotFoundError):
     """Nothing has been built at this path."""
 
@@ -25,13 +31,8 @@ def missing(e: Exception) -> bool:
 
 def current(spark: SparkSession, path: str) -> str | None:
     """Folder of the build that was published last, if any."""
-    try:
-        rows = spark.read.schema("at long, build string").json(f"{path}/published").orderBy(F.desc("at"), F.desc("build")).limit(1).collect()
-    except Exception as e:
-        if missing(e):
-            return None
-        raise
-    return f"{path}/{rows[0]['build']}" if rows else None
+    rows = _rows(spark, f"{path}/published", PUBLISHED, "at", "build")
+    return f"{path}/{rows[-1]['build']}" if rows else None
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -39,26 +40,98 @@ def exists(spark: SparkSession, path: str) -> bool:
     return current(spark, path) is not None
 
 
-def write(path: str, tables: dict[str, DataFrame]) -> None:
+def write(path: str, tables: dict[str, DataFrame]) -> dict[str, int]:
     """All tables, in a folder of their own; of raw rows that share a key the last
     one stays.  One row, written last, publishes them all at once, and readers of an
-    earlier build go on with that."""
+    earlier build go on with that.  Returns how many rows each of ``TABLES`` has, as
+    counted while they were written."""
     spark = tables["canonical_hotels"].sparkSession
     build = f"build-{uuid.uuid4().hex}"
+    counts: dict[str, Observation] = {}
+
+    def keep(name: str, df: DataFrame) -> DataFrame:
+        df, counts[name] = counted(df)
+        df.write.parquet(f"{path}/{build}/{name}")
+        return spark.read.parquet(f"{path}/{build}/{name}")
+
     for name in TABLES[:-2]:
         df = tables[name]
         if name.startswith("raw_"):
             df = merge.last_by_key(df, ["supplier", "id" if name == "raw_hotels" else "room_id"], "line").drop("line")
-        df.write.parquet(f"{path}/{build}/{name}")
+        keep(name, df)
     hotels = spark.read.parquet(f"{path}/{build}/canonical_hotels")
-    search.index_lengths(hotels, "id").write.parquet(f"{path}/{build}/search_lengths")
+    keep("search_lengths", search.index_lengths(hotels, "id"))
     # In order of terms, so that a search reads few row groups.
-    search.index_terms(hotels, "id", search.COLUMNS).sort("term").write.parquet(f"{path}/{build}/search_terms")
-    postings.numbers(hotels, "id").write.parquet(f"{path}/{build}/search_numbers")
-    numbered = spark.read.parquet(f"{path}/{build}/search_numbers")
-    postings.term_blocks(hotels, numbered, "id").write.parquet(f"{path}/{build}/search_blocks")
-    postings.gram_blocks(hotels, numbered, "id").write.parquet(f"{path}/{build}/search_grams")
-    spark.createDataFrame([(time.time_ns(), build)], "at long, build string").coalesce(1).write.mode("append").json(f"{path}/published")
+    keep("search_terms", search.index_terms(hotels, "id", search.COLUMNS).sort("term"))
+    numbered = keep("search_numbers", postings.numbers(hotels, "id"))
+    keep("search_blocks", postings.term_blocks(hotels, numbered, "id"))
+    keep("search_grams", postings.gram_blocks(hotels, numbered, "id"))
+    spark.createDataFrame([(time.time_ns(), build)], PUBLISHED).coalesce(1).write.mode("append").json(f"{path}/published")
+    return {name: counts[name].get["rows"] for name in TABLES}
+
+
+class Lease:
+    """A catalog whose build is not removed for so many seconds, or until ``renew``
+    has been called no more.  A context: at its end the build may go.
+
+    The lease is written before the build is seen to be the current one still; so
+    whoever finds that build superseded later on finds the lease too, and machines'
+    clocks decide nothing but when a lease runs out."""
+
+    def __init__(self, spark: SparkSession, path: str, seconds: float = 3600):
+        self.spark, self.path, self.seconds, self.id = spark, path, seconds, uuid.uuid4().hex
+        while True:
+            self.catalog = Catalog(spark, path)
+            self.renew()
+            if current(spark, path) == self.catalog.path:
+                return
+            self.release()  # superseded meanwhile
+
+    def renew(self) -> None:
+        until = time.time_ns() + int(self.seconds * 1e9)
+        self.spark.createDataFrame([(self.catalog.path.rsplit("/", 1)[1], until)], HELD).coalesce(1).write.mode("append").json(f"{self.path}/leases/{self.id}")
+
+    def release(self) -> None:
+        delete(self.spark, f"{self.path}/leases/{self.id}")
+
+    def __enter__(self) -> Catalog:
+        return self.catalog
+
+    def __exit__(self, *_) -> None:
+        self.release()
+
+
+def remove_old(spark: SparkSession, path: str, grace: float = 3600, abandoned: float = 7 * 86400) -> list[str]:
+    """Delete builds that were superseded more than ``grace`` seconds ago and that
+    nobody leases, and folders of builds that were begun ``abandoned`` seconds ago and
+    never published.  ``grace`` is for catalogs without a lease.  The current build
+    always stays.  Returns the names of what went; stopped half-way, it goes on when
+    called again.  At most one row for each build and lease reaches the driver."""
+    published = _rows(spark, f"{path}/published", PUBLISHED, "at", "build")
+    if not published:
+        return []
+    now = time.time_ns()
+    since = {own["build"]: after["at"] for own, after in itertools.pairwise(published)}
+    held = {r["build"] for r in _rows(spark, f"{path}/leases", HELD, "until") if r["until"] > now}
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    gone = []
+    for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at):
+        name = f.getPath().getName()
+        if not name.startswith("build-") or name in held or name == published[-1]["build"]:
+            continue
+        if now - since[name] > grace * 1e9 if name in since else now - f.getModificationTime() * 10**6 > abandoned * 1e9:
+            delete(spark, f"{path}/{name}")
+            gone.append(name)
+    return sorted(gone)
+
+
+def _rows(spark: SparkSession, path: str, schema: str, *order: str) -> list:
+    try:
+        return spark.read.schema(schema).option("recursiveFileLookup", True).option("ignoreMissingFiles", True).json(path).orderBy(*order).collect()
+    except Exception as e:
+        if missing(e):
+            return []
+        raise
 
 
 def nested(canonical: DataFrame, rooms: DataFrame, near: DataFrame) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import csv
 import os
-import re
 import shutil
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,28 +22,46 @@ class FeedError(ValueError):
     """A feed that can't be taken or read."""
 
 
-def scan(spark: SparkSession, folder: str, kind: str) -> DataFrame:
-    """All feeds of a kind in one frame of strings, with ``supplier`` from the
-    file's name and ``line``, its place in the file.  Feeds are data, not code:
-    their number doesn't change the plan.  Headers may differ in order."""
+def headers(spark: SparkSession, folder: str, kind: str) -> list[tuple[str, str, list[int]]]:
+    """Path, supplier and places of the kind's columns, of each file.  The driver gets
+    the first line of each file, no more."""
     suffix = f"_{kind}.csv"
-    lines = spark.read.option("pathGlobFilter", f"*{suffix}").option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).option("enforceSchema", False)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(folder).select("path").orderBy("path").collect()
-    if not files:
+    named = spark.read.option("pathGlobFilter", f"*{suffix}")
+    files = named.format("binaryFile").load(folder).select("_metadata.file_path", "_metadata.file_name")
+    lines = named.text(folder).select("_metadata.file_path", "_metadata.file_block_start", "value", F.monotonically_increasing_id().alias("at"))
+    first = lines.where("file_block_start = 0 and value <> ''").groupBy("file_path").agg(F.min_by("value", "at").alias("header"))
+    out = []
+    for f in files.join(first, "file_path", "left").orderBy("file_path").collect():
+        header = (f["header"] or "").lstrip("\ufeff")
+        if header.count('"') % 2:
+            raise FeedError(f"{f['file_path']} has a header of several lines")
+        cells = [c.strip() for c in next(csv.reader([header]), [])]
+        for problem, columns in (("no", [c for c in KINDS[kind] if c not in cells]), ("more than one", [c for c in KINDS[kind] if cells.count(c) > 1])):
+            if columns:
+                raise FeedError(f"{f['file_path']} has {problem} column {', '.join(columns)}")
+        out.append((f["file_path"], f["file_name"][: -len(suffix)], [cells.index(c) for c in KINDS[kind]]))
+    if not out:
         raise FeedError(f"no *{suffix} in {folder}")
-    out = None
-    for f in files:
-        raw = lines.csv(f["path"])
-        found = {c.strip(): c for c in raw.columns}
-        missing = [c for c in KINDS[kind] if c not in found]
-        if missing:
-            raise FeedError(f"{f['path']} has no column {', '.join(missing)}")
-        supplier = re.sub(f"{re.escape(suffix)}$", "", f["path"].rsplit("/", 1)[1])
-        one = raw.select(F.lit(supplier).alias("supplier"), F.monotonically_increasing_id().alias("line"), *(F.coalesce(F.col(f"`{found[c]}`"), F.lit("")).alias(c) for c in KINDS[kind]))
-        out = one if out is None else out.unionByName(one)
     return out
 
 
+def scan(spark: SparkSession, folder: str, kind: str) -> DataFrame:
+    """All feeds of a kind in one frame of strings, with ``supplier`` from the
+    file's name and ``line``, its place in the file.  One scan reads all files by
+    place; where a file has which column is looked up in a broadcast row for each
+    file, so the plan is the same for any number of feeds.  Headers may differ in
+    order and have other columns; what a short row leaves out is empty, and a file
+    without a byte has no rows."""
+    found = headers(spark, folder, kind)
+    cells = [f"c{i}" for i in range(1 + max(max(places) for _, _, places in found))]
+    # The schema goes by place, and each file's own header is passed over.
+    lines = spark.read.schema(", ".join(f"{c} string" for c in cells)).option("pathGlobFilter", f"*_{kind}.csv").option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True)
+    rows = lines.csv(folder).select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("line"), F.array(*cells).alias("cells"))
+    known = spark.createDataFrame(found, "path string, supplier string, places array<int>")
+    values = (F.coalesce(F.get("cells", F.get("places", F.lit(i))), F.lit("")).alias(c) for i, c in enumerate(KINDS[kind]))
+    return rows.join(F.broadcast(known), "path").select("supplier", "line", *values)
+
+
 def clean_properties(raw: DataFrame) -> DataFrame:
     """Typed records; those without coordinates go."""
     made = raw.withColumns(
@@ -103,10 +121,14 @@ def remove(folder: str, filename: str) -> None:
     path.unlink()
 
 
+def without_place() -> Column:
+    """Whether a raw row has no coordinates."""
+    return text.number(F.col("lat")).isNull() | text.number(F.col("lon")).isNull()
+
+
 def dropped_rows(raw: DataFrame) -> DataFrame:
     """``n`` of the rows of each supplier that have no coordinates."""
-    missing = text.number(F.col("lat")).isNull() | text.number(F.col("lon")).isNull()
-    return raw.where(missing).groupBy("supplier").agg(F.count("*").alias("n"))
+    return raw.where(without_place()).groupBy("supplier").agg(F.count("*").alias("n"))
 
 
 def keep(rows: DataFrame, path: str) -> None:
