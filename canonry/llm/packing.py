@@ -4,9 +4,9 @@ Every document is cut into full pieces of the sequence length and one rest.  The
 histogram of the rests (one number for each length, whatever the corpus' size)
 is the demand of a cutting-stock problem: a linear program over patterns of
 lengths that share a sequence.  Its columns are priced by a knapsack dynamic
-program over the dual values.  The fractional pattern counts are rounded down,
-what is left over is filled greedily, and the resulting patterns are dealt to
-the documents by their rank within their length.
+program over the dual values.  The fractional pattern counts are rounded in several
+ways, what is left over is filled greedily, the way with the fewest sequences is kept,
+and its patterns are dealt to the documents by their rank within their length.
 
 Defined results: a null or empty text is one piece that holds only the closing
 id; equal rows are packed as separate documents; an empty table gives no rows;
@@ -29,9 +29,13 @@ from pyspark.sql import types as T
 from . import bpe, common
 
 CAPACITY = 1024
-#: The linear program stops at this share of padding, or after so many columns.
+#: The linear program stops at this share of padding if that is no more than filling
+#: alone has, when no column is worth its price, or after so many columns.
 GAP = 0.001
 MAX_COLUMNS = 2500
+#: Fractions from which a pattern's count is rounded up; the last one uses no pattern
+#: of the linear program.
+ROUNDING = (1.0, 0.9, 0.75, 0.6, 0.5, 0.3, float("inf"))
 #: Rows of one length that share one ranking task; groups of a hot length are
 #: dealt over as many tasks as that takes.
 RANK_ROWS = 100_000
@@ -119,9 +123,12 @@ def fractional(demand: np.ndarray, capacity: int, gap: float = GAP, most: int =
     inverse = np.diag([1.0 / len(p) for p in start])
     basis, x = start, demand[widths] / np.array([len(p) for p in start], float)
     bound = float((widths * demand[widths]).sum()) / capacity
-    waiting = first_columns(demand, capacity)
+    # Offered from the end: what filling would use most, before all others.
+    filled = fill(demand, capacity)
+    waiting = first_columns(demand, capacity) + [p for p, _ in sorted(filled, key=lambda p: p[1])]
+    goal = min(bound * (1 + gap), sum(n for _, n in filled))
     for _ in range(most):
-        if x.sum() <= bound * (1 + gap):
+        if x.sum() <= goal:
             break
         dual = inverse.sum(axis=0)
         new = None
@@ -149,46 +156,64 @@ def fractional(demand: np.ndarray, capacity: int, gap: float = GAP, most: int =
     return list(zip(basis, x.tolist(), strict=True))
 
 
-def fill(left: np.ndarray, capacity: int) -> list[list[int]]:
-    """Patterns for the few pieces that rounding leaves: the longest first, then
-    one or two lengths that close the sequence exactly, else the longest that fits."""
+def fill(left: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
+    """Patterns and how often each is used, for what rounding leaves: the longest
+    first, then one or two lengths that close the sequence exactly, else the longest
+    that fits.  A pattern is used as often as its lengths last, so the work grows with
+    the number of lengths and not of pieces."""
     left, out = left.copy(), []
     while left.any():
+        now = left.copy()
         pattern, free = [], capacity
         while free:
-            there = np.flatnonzero(left[: free + 1])
+            there = np.flatnonzero(now[: free + 1])
             if not len(there):
                 break
-            if pattern and not left[free]:
+            if pattern and not now[free]:
                 mate = free - there
-                pair = np.flatnonzero((mate > 0) & (left[mate] > (mate == there)))
+                pair = np.flatnonzero((mate > 0) & (now[mate] > (mate == there)))
                 take = int(there[pair[-1]]) if len(pair) else int(there[-1])
             else:
                 take = int(there[-1])
             pattern.append(take)
-            left[take] -= 1
+            now[take] -= 1
             free -= take
-        out.append(pattern)
+        need = left - now
+        used = need > 0
+        n = int((left[used] // need[used]).min())
+        left -= n * need
+        out.append((pattern, n))
     return out
 
 
-def plan(demand: np.ndarray, capacity: int = CAPACITY) -> Plan:
-    """``demand[w]`` pieces of each length w below the capacity."""
+def rounded(demand: np.ndarray, solution: list[tuple[list[int], float]], up: float, capacity: int) -> Plan:
+    """Each pattern of the fractional solution as often as it says, a fraction of
+    ``up`` or more once more, if the pieces are there; the rest is filled."""
     left = demand.astype(np.int64).copy()
-    patterns, counts = [], []
-    if left.any():
-        for pattern, x in sorted(fractional(left, capacity), key=lambda p: -p[1]):
-            need = np.bincount(pattern, minlength=len(left))
-            used = need > 0
-            n = min(int(np.floor(x + 1e-9)), int((left[used] // need[used]).min()))
-            if n > 0:
-                patterns.append(pattern)
-                counts.append(n)
-                left -= n * need
-        for pattern in fill(left, capacity):
-            patterns.append(pattern)
-            counts.append(1)
-    return Plan(patterns, counts)
+    out = Plan([], [])
+    for pattern, x in sorted(solution, key=lambda p: -p[1]):
+        need = np.bincount(pattern, minlength=len(left))
+        used = need > 0
+        n = min(int(np.floor(max(0.0, x + 1 - up) + 1e-9)), int((left[used] // need[used]).min()))
+        if n > 0:
+            out.patterns.append(pattern)
+            out.counts.append(n)
+            left -= n * need
+    for pattern, n in fill(left, capacity):
+        out.patterns.append(pattern)
+        out.counts.append(n)
+    return out
+
+
+def plan(demand: np.ndarray, capacity: int = CAPACITY) -> Plan:
+    """``demand[w]`` pieces of each length w below the capacity.  Of the ways to round,
+    ``ROUNDING``, the one with the fewest sequences, the first of equal ones.  Never more
+    sequences than ``fill`` alone, whose patterns are the first columns offered: above 1
+    nothing is rounded at all."""
+    if not demand.any():
+        return Plan([], [])
+    solution = fractional(demand, capacity)
+    return min((rounded(demand, solution, up, capacity) for up in ROUNDING), key=lambda p: sum(p.counts))
 
 
 def slots(p: Plan, capacity: int) -> dict[int, tuple[np.ndarray, ...]]:

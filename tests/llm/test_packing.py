@@ -66,3 +66,26 @@ def test_pieces_cover_all_documents(spark):
             end += length
         assert end <= 256
     assert packing.pack(df.where(F.lit(False)), 256).count() == 0
+
+
+def test_as_few_sequences_as_can_be():
+    """Best fit of the longest first, piece by piece, is never better, and what the
+    linear program allows at least is reached."""
+    import bisect
+
+    rng = np.random.default_rng(12)
+    for n, draw in ((1000, lambda n: rng.integers(1, 1024, n)), (20_000, lambda n: rng.integers(1, 1024, n)), (3000, lambda n: np.minimum(1023, 1 + rng.geometric(0.01, n))), (700, lambda n: rng.integers(340, 520, n)), (1, lambda n: np.array([5]))):
+        lengths = draw(n)
+        demand = np.bincount(lengths, minlength=1024)
+        made = packing.plan(demand)
+        assert sum(k * np.bincount(p, minlength=1024) for p, k in zip(made.patterns, made.counts, strict=True)).tolist() == demand.tolist()
+        assert all(sum(p) <= 1024 for p in made.patterns)
+        room: list[int] = []
+        for w in sorted(lengths.tolist(), reverse=True):
+            i = bisect.bisect_left(room, w)
+            rest = (room.pop(i) if i < len(room) else 1024) - w
+            bisect.insort(room, rest)
+        least = sum(x for _, x in packing.fractional(demand, 1024, gap=0))
+        assert sum(made.counts) <= len(room) and sum(made.counts) <= min(len(room), np.ceil(least - 1e-6) + 2)
+        assert sum(made.counts) <= sum(k for _, k in packing.fill(demand, 1024))
+    assert packing.plan(np.zeros(1024, np.int64)) == packing.Plan([], [])
