@@ -12,7 +12,7 @@ threshold, else allowed.
 Defined results: a null url or one without "://" has empty host and path; hosts
 without labelled pages get their parents' posterior mean; without any labels the
 rate is one half and nothing is blocked; repeated rows are judged alike and
-counted each; an empty table gives no rows; columns of ``pages`` named host, path,
+counted each; labels of a document that many pages show count for each of them; an empty table gives no rows; columns of ``pages`` named host, path,
 rule or verdict are replaced, all others are not touched.
 """
 
@@ -34,7 +34,8 @@ LEAST_STRENGTH, MOST_STRENGTH = 1.0, 1000.0
 #: Blocked hosts, or domains or suffixes, that are broadcast at most; with more, the
 #: join is shuffled.
 BROADCAST_HOSTS = 100_000
-#: Suffixes of two labels, under which domains are registered (fixed values).
+#: Suffixes of two labels, under which domains are registered (fixed values); every
+#: function takes another list, as the public one of suffixes is.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "ne.jp", "or.jp", "com.br", "com.cn", "com.mx", "com.tr", "co.in", "co.kr", "co.za")
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -71,13 +72,13 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def suffix_of(host: Column) -> Column:
+def suffix_of(host: Column, suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> Column:
     two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+    return F.when(two.isin(*suffixes), two).otherwise(F.substring_index(host, ".", -1))
 
 
-def domain_of(host: Column) -> Column:
-    return F.when(F.substring_index(host, ".", -2).isin(*TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+def domain_of(host: Column, suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> Column:
+    return F.when(F.substring_index(host, ".", -2).isin(*suffixes), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
 
 
 def rule_for(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -121,11 +122,13 @@ def _shrunk(children: DataFrame, parent: str, means: DataFrame) -> DataFrame:
     return children.join(means, parent).crossJoin(_strength(children, parent)).withColumns({"a": F.col("s") * F.col("mean") + F.col("good"), "b": F.col("s") * (1 - F.col("mean")) + F.col("n") - F.col("good")}).drop("mean", "s")
 
 
-def reputation(outcomes: DataFrame) -> DataFrame:
-    """``outcomes``: host and good (0, 1, or null where not labelled), one row a
-    page.  Returns a row for each host: good, n, a, b, ``mean`` and ``upper``."""
-    count = (F.coalesce(F.sum("good"), F.lit(0)).cast("double").alias("good"), F.count("good").cast("double").alias("n"))
-    hosts = outcomes.groupBy("host").agg(*count).withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host")), "whole": F.lit(0)})
+def reputation(outcomes: DataFrame, two_label: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> DataFrame:
+    """``outcomes``: host, good (0, 1, or null where not labelled) and, if it is there,
+    ``pages``, how many pages the row stands for (else one).  Returns a row for each
+    host: good, n, a, b, ``mean`` and ``upper``."""
+    pages = F.col("pages") if "pages" in outcomes.columns else F.lit(1)
+    count = (F.coalesce(F.sum(F.col("good") * pages), F.lit(0)).cast("double").alias("good"), F.coalesce(F.sum(F.when(F.col("good").isNotNull(), pages)), F.lit(0)).cast("double").alias("n"))
+    hosts = outcomes.groupBy("host").agg(*count).withColumns({"domain": domain_of(F.col("host"), two_label), "suffix": suffix_of(F.col("host"), two_label), "whole": F.lit(0)})
     hosts = common.written(hosts, "hosts")
     again = (F.sum("good").alias("good"), F.sum("n").alias("n"))
     domains = hosts.groupBy("domain", "suffix", "whole").agg(*again)
@@ -140,9 +143,9 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     return by_host.select("host", "good", "n", "a", "b", mean, F.least(F.lit(1.0), F.col("a") / total + BOUND_Z * spread).alias("upper"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = THRESHOLD) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = THRESHOLD, two_label: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule`` and ``verdict``."""
-    bad = common.persist_cut(reputation(outcomes).where(F.col("upper") < threshold).select(F.col("host").alias("__host"), F.lit(True).alias("__bad")))
+    bad = common.persist_cut(reputation(outcomes, two_label).where(F.col("upper") < threshold).select(F.col("host").alias("__host"), F.lit(True).alias("__bad")))
     if bad.count() <= BROADCAST_HOSTS:
         bad = F.broadcast(bad)
     own = pages.withColumns({"__host": host_of(F.col("url")), "__path": path_of(F.col("url"))})
@@ -152,11 +155,16 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple[Rule, ...] = RULES
 
 
 def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """``host`` and ``good`` of each page.  The last part of a path names the
-    document that the page shows; its labels are the page's outcome."""
+    """``host``, ``good`` and ``pages``.  The last part of a path names the document
+    that the page shows; its labels are the page's outcome.  Pages of one host and
+    document are counted before they meet the labels, so the join's keys are as rare
+    as documents on hosts; pages that name no document, on the web nearly all, meet
+    nothing and leave one unlabelled row for their host."""
     page = pages.select(host_of(F.col("url")).alias("host"), F.expr("try_cast(regexp_extract(url, '^.*?://[^/?#]*[^?#]*?/([0-9]{1,18})(?:[.]html|/)?(?:[?#].*)?$', 1) as bigint)").alias("doc_id"))
     known = labels.where("quality is not null and doc_id is not null").select("doc_id", ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int").alias("good"))
-    return page.join(known, "doc_id", "left").select("host", "good")
+    shown = page.where("doc_id is not null").groupBy("host", "doc_id").agg(F.count("*").alias("pages"))
+    hosts = page.select("host").distinct().select("host", F.lit(None).cast("int").alias("good"), F.lit(1).cast("long").alias("pages"))
+    return shown.join(known, "doc_id").select("host", "good", "pages").unionByName(hosts)
 
 
 def op1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,3 +83,25 @@ def test_empty(spark):
     pages = spark.createDataFrame([("http://a.org/en/7.html?x=8",), ("http://a.org/8/",), ("http://a.org/x",), (None,)], "url string")
     got = sorted((r["host"], r["good"]) for r in urls.page_outcomes(pages, labels).where(F.col("host") == "a.org").collect() if r["good"] is not None)
     assert got == [("a.org", 0), ("a.org", 1)]
+
+
+def test_pages_are_counted_before_they_meet_labels(spark):
+    """As a row for each page: documents that many pages show, labels given twice,
+    documents without labels, pages that name none."""
+    labels = spark.createDataFrame([(7, 1, 0), (8, 0, 1), (8, 1, 0), (9, None, 0)], "doc_id long, quality int, toxic int")
+    shown = [("a.org", 7)] * 40 + [("a.org", 8)] * 3 + [("a.org", 9)] * 2 + [("b.org", 7)] + [("c.org", None)] * 30
+    pages = spark.createDataFrame([(f"http://{h}/x/{'' if d is None else d}",) for h, d in shown], "url string")
+    counted = urls.page_outcomes(pages, labels)
+    assert counted.count() == 7  # three on a.org are labelled, one on b.org, and a row for each host
+    goods = {7: [1], 8: [0, 1], 9: [None], None: [None]}
+    plain = outcomes(spark, [(h, g) for h, d in shown for g in goods[d]])
+    rows = [{r["host"]: r.asDict() for r in urls.reputation(x).collect()} for x in (counted, plain)]
+    assert rows[0].keys() == rows[1].keys() == {"a.org", "b.org", "c.org"}
+    for h, r in rows[0].items():
+        assert all(abs(r[k] - rows[1][h][k]) < 1e-9 for k in ("good", "n", "a", "b", "mean", "upper"))
+
+
+def test_suffixes_are_a_parameter(spark):
+    df = spark.createDataFrame([("x.y.github.io",), ("a.b.co.uk",)], "h string")
+    got = [tuple(r) for r in df.select(urls.domain_of(F.col("h"), ("github.io",)), urls.suffix_of(F.col("h"), ("github.io",)), urls.domain_of(F.col("h")), urls.suffix_of(F.col("h"))).collect()]
+    assert got == [("y.github.io", "github.io", "github.io", "io"), ("co.uk", "uk", "b.co.uk", "co.uk")]
