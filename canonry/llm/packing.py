@@ -237,14 +237,16 @@ def slots(p: Plan, capacity: int) -> dict[int, tuple[np.ndarray, ...]]:
 
 def ranked(df: DataFrame) -> DataFrame:
     """``rank`` from 0 within each length.  A hot length is dealt over many
-    tasks; the rows before each share are counted, never moved."""
+    tasks, equal rows too, by their numbers in ``df``, which must be a checkpoint or
+    a table; the rows before each share are counted, never moved."""
     total = df.count()
     shares = max(8, total // RANK_ROWS)
-    salted = df.withColumn("share", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shares)))
+    numbered = df.withColumn("row", F.monotonically_increasing_id())
+    salted = numbered.withColumn("share", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "row"), F.lit(shares)))
     before = salted.groupBy("length", "share").agg(F.count("*").alias("n"))
     before = before.select("length", "share", (F.sum("n").over(Window.partitionBy("length").orderBy("share")) - F.col("n")).alias("before"))
-    local = salted.withColumn("local", F.row_number().over(Window.partitionBy("length", "share").orderBy("doc_id", "start")))
-    return local.join(before, ["length", "share"]).withColumn("rank", F.col("before") + F.col("local") - 1).drop("before", "local", "share")
+    local = salted.withColumn("local", F.row_number().over(Window.partitionBy("length", "share").orderBy("doc_id", "start", "row")))
+    return local.join(before, ["length", "share"]).withColumn("rank", F.col("before") + F.col("local") - 1).drop("before", "local", "share", "row")
 
 
 def pack(df: DataFrame, capacity: int = CAPACITY, closing: int = 0, vocabulary: str | None = None) -> DataFrame:

@@ -68,6 +68,15 @@ def test_pieces_cover_all_documents(spark):
     assert packing.pack(df.where(F.lit(False)), 256).count() == 0
 
 
+def test_equal_rows_are_ranked_in_many_tasks(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(packing, "RANK_ROWS", 50)
+    row = (None, 0, 7, 1, 7)
+    spark.createDataFrame([row] * 2000 + [(1, 0, 9, 2, 9)], packing.PIECES).write.parquet(str(tmp_path / "pieces"))
+    made = packing.ranked(spark.read.parquet(str(tmp_path / "pieces")))
+    assert "row" not in made.columns
+    assert sorted((r["length"], r["rank"]) for r in made.collect()) == [(7, k) for k in range(2000)] + [(9, 0)]
+
+
 def test_as_few_sequences_as_can_be():
     """Best fit of the longest first, piece by piece, is never better, and what the
     linear program allows at least is reached."""
