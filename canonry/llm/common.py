@@ -113,6 +113,16 @@ def discard(*written_: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def remove_work(spark: SparkSession) -> None:
+    """Delete all that this application has written or checkpointed in the shared
+    folder, once its results are stored elsewhere; DataFrames that still read from
+    it fail afterwards.  Other applications have folders of their own."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(checkpoint_dir(spark))
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(path, True)
+    files.mkdirs(path)
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

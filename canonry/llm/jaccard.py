@@ -39,7 +39,7 @@ only if no member has an id (then it is null); an empty table gives no rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,8 +54,9 @@ WIDTH = 4
 PERCENT = 85
 #: l as a share of a set's size.
 EXTRA = 0.05
-#: Documents whose shingles set the order, and the least count of a frequent one.
-SAMPLE_ROWS, FREQUENT = 10_000, 4
+#: Documents whose shingles set the order, the least count of a frequent one, and how
+#: many are kept at most, the most frequent.  Any order gives the same links.
+SAMPLE_ROWS, FREQUENT, FREQUENT_SHINGLES = 10_000, 4, 500_000
 #: Members, and shingles, of a region that are joined in one task.
 REGION, SHINGLES = 1000, 2_000_000
 #: Pivots that divide a larger one, how often one is divided, and how many of the
@@ -93,8 +94,8 @@ def prefix(s: np.ndarray, common_: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _frequent(docs: DataFrame, width: int) -> np.ndarray:
-    """Shingles that occur in ``FREQUENT`` documents of a bounded sample; at most
-    the sample's shingles divided by that many."""
+    """Shingles that occur in ``FREQUENT`` documents of a bounded sample, however long
+    its texts are at most ``FREQUENT_SHINGLES`` (4 MB)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -102,7 +103,7 @@ def _frequent(docs: DataFrame, width: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], ["h"])
 
     some = common.sampled(docs, SAMPLE_ROWS, "id", "text").select("text")
-    often = some.mapInArrow(common.task(run), "h long").groupBy("h").count().where(F.col("count") >= FREQUENT).select("h").toPandas()
+    often = some.mapInArrow(common.task(run), "h long").groupBy("h").count().where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "h").limit(FREQUENT_SHINGLES).select("h").toPandas()
     return np.sort(often["h"].to_numpy(np.int64).view(np.uint64))
 
 
@@ -316,12 +317,12 @@ def _divided(large: DataFrame, percent: int, limit: int) -> DataFrame:
     return together.mapInArrow(common.task(run), "key string, c long, label long, linked array<long>, to array<int>, s array<long>")
 
 
-def _blocks(large: DataFrame, limit: int) -> DataFrame:
+def _blocks(large: DataFrame, limit: int, written: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """Members of regions by pairs of blocks.  Blocks of members of the commonest
     label only meet those of others, all others meet all."""
     label = large.where("label <> 0").groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("most"))
     kind = F.when(F.col("label") == F.col("most"), 0).otherwise(1)
-    kinds = common.written(large.join(label, "key", "left").select("key", "c", "label", "s", kind.alias("kind")), "kinds")
+    kinds = written(large.join(label, "key", "left").select("key", "c", "label", "s", kind.alias("kind")), "kinds")
     need = F.greatest(F.ceil(F.count("*") / (limit / 2)), F.ceil(F.sum(F.size("s")) / (SHINGLES / 2))).cast("int")
     table = kinds.groupBy("key", "kind").agg(need.alias("k")).groupBy("key").agg(F.coalesce(F.max(F.when(F.col("kind") == 0, F.col("k"))), F.lit(0)).alias("k0"), F.coalesce(F.max(F.when(F.col("kind") == 1, F.col("k"))), F.lit(0)).alias("k1"))
     placed = kinds.join(table, "key").withColumn("i", F.pmod(F.xxhash64("c"), F.when(F.col("kind") == 0, F.col("k0")).otherwise(F.col("k1"))).cast("int"))
@@ -338,38 +339,44 @@ def _blocks(large: DataFrame, limit: int) -> DataFrame:
     return placed.withColumn("key", F.explode(F.when(F.col("kind") == 0, inner).otherwise(outer))).select("key", "c", "label", "s")
 
 
-def _sorted_out(regions: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+def _sorted_out(regions: DataFrame, limit: int, written: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Regions that fit a task, and those that don't; those whose members are all
     linked to one pivot are done."""
     sizes = regions.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.size("s")).alias("w"), F.min("label").alias("a"), F.max("label").alias("z")).where("m > 1 and not (a = z and a <> 0)")
     fits = (F.col("m") <= limit) & (F.col("w") <= SHINGLES)
-    both = common.written(sizes.select("key", fits.alias("fits")), "sizes")
+    both = written(sizes.select("key", fits.alias("fits")), "sizes")
     return regions.join(both.where("fits"), "key").drop("fits"), regions.join(both.where("not fits"), "key").drop("fits")
 
 
-def _region_links(placed: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, limit: int) -> DataFrame:
-    """Links of all members of all regions; ``placed``: p, c."""
+def _region_links(placed: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, limit: int, kept: list[DataFrame]) -> DataFrame:
+    """Links of all members of all regions; ``placed``: p, c.  What was written for them
+    is added to ``kept``, to be deleted once the links are read."""
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        kept.append(common.written(df, name))
+        return kept[-1]
+
     sizes = placed.join(classes.select("c", "n"), "c").groupBy("p").agg(F.count("*").alias("m"), F.sum("n").alias("w")).where("m > 1")
-    both = common.written(sizes.select("p", ((F.col("m") <= limit) & (F.col("w") <= SHINGLES)).alias("fits")), "sizes")
+    both = written(sizes.select("p", ((F.col("m") <= limit) & (F.col("w") <= SHINGLES)).alias("fits")), "sizes")
     region = (F.col("p").cast("string").alias("key"), "c", F.lit(0).cast("long").alias("label"), "s")
     links = _links(placed.join(both.where("fits"), "p").join(sets, "c").select(*region), percent)
     large = both.where("not fits")
     if large.isEmpty():
         return links
-    left = common.written(placed.join(large, "p").join(sets, "c").select(*region), "large")
+    left = written(placed.join(large, "p").join(sets, "c").select(*region), "large")
     for _ in range(ROUNDS):
-        cut = common.written(_divided(left, percent, limit), "divided")
+        cut = written(_divided(left, percent, limit), "divided")
         links = links.unionByName(cut.select(F.col("c").alias("a"), F.explode("linked").alias("b")))
-        spread = common.written(cut.groupBy("key").agg((F.sum(F.size("to")) <= COPIES * F.count("*")).alias("helps")), "spread")
+        spread = written(cut.groupBy("key").agg((F.sum(F.size("to")) <= COPIES * F.count("*")).alias("helps")), "spread")
         stuck = _relabelled(cut.join(spread.where("not helps").select("key"), "key"))
-        links = links.unionByName(_links(_blocks(stuck, limit), percent))
+        links = links.unionByName(_links(_blocks(stuck, limit, written), percent))
         parts = cut.join(spread.where("helps").select("key"), "key").withColumn("to", F.explode("to"))
-        small, left = _sorted_out(parts.select(F.concat_ws("/", "key", "to").alias("key"), "c", "label", "s"), limit)
+        small, left = _sorted_out(parts.select(F.concat_ws("/", "key", "to").alias("key"), "c", "label", "s"), limit, written)
         links = links.unionByName(_links(small, percent))
-        left = common.written(left, "large")
+        left = written(left, "large")
         if left.isEmpty():
             return links
-    return links.unionByName(_links(_blocks(left, limit), percent))
+    return links.unionByName(_links(_blocks(left, limit, written), percent))
 
 
 def _relabelled(cut: DataFrame) -> DataFrame:
@@ -403,7 +410,7 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, limit: int
     left = shared.groupBy("c").agg(F.count("*").alias("have")).join(classes.select("c", _need(F.col("n"), percent).alias("need")), "c").where("have >= need")
     left = common.written(left.select("c", "need"), "left")
     kept = common.written(shared.join(left, "c").select("c", "h", "need"), "kept")
-    common.discard(met, shared, left)
+    common.discard(met, shared)
     pivots = common.written(kept.groupBy("h").agg(*elect).where("p <> q").select("h", "p"), "pivots")
     # Each side may leave its least pivots out while they lead fewer than half of
     # the shingles that it must share: two that link keep one in common.
@@ -412,13 +419,16 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, limit: int
     placed = led.withColumn("dropped", F.sum("m").over(small_first)).where(2 * F.col("dropped") > F.col("need") - 1).select("p", "c")
     placed = common.written(placed, "regions")
     # Pivots are members too: where they left their own region out, they come back.
-    placed = common.written(placed.unionByName(placed.select("p", F.col("p").alias("c"))).distinct(), "placed")
-    common.discard(kept, pivots)
+    regions, placed = placed, common.written(placed.unionByName(placed.select("p", F.col("p").alias("c"))).distinct(), "placed")
+    common.discard(kept, pivots, regions, left)
     key = (F.coalesce(F.col("speaker.id"), F.lit(0)).alias("k"), F.col("speaker.d1").alias("d1"), F.col("speaker.d2").alias("d2"))
     members = common.written(classes.join(placed.select("c").distinct(), "c").select("c", *key), "members")
     wanted = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
     sets = common.written(_members(own.withColumn("k", F.coalesce("id", F.lit(0))).join(wanted, ["k", "d1", "d2"]), width), "sets")
-    roots = graph.components(_region_links(placed, classes, sets, percent, limit))
+    done = [placed, members, sets]
+    # The links are cut from what they were made of there.
+    roots = graph.components(_region_links(placed, classes, sets, percent, limit, done))
+    common.discard(*done)
     known = classes.select("c", "least").join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = known.groupBy("root").agg(F.min("least").alias("component"))
     named = known.join(least, "root").select("c", "root", "component")

@@ -1,3 +1,4 @@
+import os
 import random
 from itertools import combinations
 
@@ -5,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from canonry.llm import graph, jaccard
+from canonry.llm import common, graph, jaccard
 
 
 def sets_of(text, width):
@@ -118,6 +119,23 @@ def test_many_texts_under_one_id(spark):
     assert sorted((tuple(r) for r in jaccard.join(df).collect()), key=str) == brute(rows, 4, 85)
 
 
+def test_few_frequent_shingles_and_what_stays_behind(spark, monkeypatch):
+    """The order of shingles changes no link; of the tables on the way only those that
+    the result reads stay."""
+    rows = corpus(3)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    made = []
+    plain = common.written
+    monkeypatch.setattr(common, "written", lambda df, name: made.append(plain(df, name)) or made[-1])
+    monkeypatch.setattr(jaccard, "FREQUENT_SHINGLES", 1)
+    got = jaccard.join(df, limit=8)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows, 4, 85)
+    assert len(made) > 8 and sum(os.path.exists(x._written.removeprefix("file:")) for x in made) == 2
+    common.remove_work(spark)
+    assert not any(os.path.exists(x._written.removeprefix("file:")) for x in made)
+    assert jaccard.join(df.limit(3)).count() == 3
+
+
 def test_division_covers_every_link():
     """Whatever links has a region in common."""
     rng = np.random.default_rng(4)
