@@ -161,8 +161,6 @@ def build(
         if told.get("history") is not None:
             report.ids = {r["event"]: r["count"] for r in told["history"].groupBy("event").count().collect()}
             feeds.keep(told["history"].withColumn("at", F.lit(time.time_ns())), f"{path}/ids")
-        catalog = artifact.Catalog(spark, path)
-        artifact.nested(catalog.table("canonical_hotels"), catalog.table("canonical_rooms"), catalog.table("near_misses")).write.mode("overwrite").json(f"{path}/documents")
         report.seconds["total"] = time.monotonic() - began
         _status.update(state="completed")
         return report

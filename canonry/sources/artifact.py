@@ -41,8 +41,8 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def write(path: str, tables: dict[str, DataFrame]) -> dict[str, int]:
-    """All tables, in a folder of their own; of raw rows that share a key the last
-    one stays.  One row, written last, publishes them all at once, and readers of an
+    """All tables and the nested documents, in a folder of their own; of raw rows that
+    share a key the last one stays.  One row, written last, publishes them all at once, and readers of an
     earlier build go on with that.  Returns how many rows each of ``TABLES`` has, as
     counted while they were written."""
     spark = tables["canonical_hotels"].sparkSession
@@ -59,7 +59,8 @@ def write(path: str, tables: dict[str, DataFrame]) -> dict[str, int]:
         if name.startswith("raw_"):
             df = merge.last_by_key(df, ["supplier", "id" if name == "raw_hotels" else "room_id"], "line").drop("line")
         keep(name, df)
-    hotels = spark.read.parquet(f"{path}/{build}/canonical_hotels")
+    hotels, rooms, near = (spark.read.parquet(f"{path}/{build}/{name}") for name in ("canonical_hotels", "canonical_rooms", "near_misses"))
+    nested(hotels, rooms, near).write.json(f"{path}/{build}/documents")
     keep("search_lengths", search.index_lengths(hotels, "id"))
     # In order of terms, so that a search reads few row groups.
     keep("search_terms", search.index_terms(hotels, "id", search.COLUMNS).sort("term"))
@@ -158,6 +159,10 @@ class Catalog:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")
 
+    def documents(self) -> DataFrame:
+        """The nested documents, read from JSON."""
+        return self.spark.read.json(f"{self.path}/documents")
+
     def search(self, query: str = "", limit: int = 20, offset: int = 0, status: str | None = None) -> dict:
         hotels = self.table("canonical_hotels")
         try:

@@ -50,7 +50,7 @@ def test_catalog(spark, built):
             catalog.search(**bad)
     with pytest.raises(artifact.ArtifactMissing):
         artifact.Catalog(spark, built[1] + "x")
-    nested = spark.read.json(f"{built[1]}/documents").orderBy("id").collect()
+    nested = artifact.Catalog(spark, built[1]).documents().orderBy("id").collect()
     assert len(nested) == 2 and len(nested[0]["rooms"]) == 2 and nested[1]["near_misses"] == []
 
 
