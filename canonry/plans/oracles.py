@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+from html.entities import html5
+
 from canonry.config import DEFAULT as C
 from canonry.functions import text as X
 from canonry.operators import adjudicate as A
@@ -196,13 +199,40 @@ _ALIKE = f"confidence >= {C.room_accept} and not coalesce(conflict, false)"
 _ROOM_MATCHED = f"""{_ROOM_PAIRS}, room_pairs as (select canonical_id, {_PAIR}, confidence from both_ where {_ALIKE}),
       {_matching("room_pairs", "concat_ws('::', canonical_id, supplier_a, a_id)", "concat_ws('::', canonical_id, supplier_b, b_id)", "_rooms")}"""
 
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _mapped(pairs: dict) -> str:
+    """A map of texts; codes of one are written as numbers, which no engine reads amiss."""
+    text = lambda x: "concat(" + ", ".join(f"chr({ord(c)})" for c in x) + ")" if x else "''"
+    return f"map([{', '.join(_quoted(str(k)) for k in pairs)}], [{', '.join(text(v) for v in pairs.values())}])"
+
+
+#: Numbers that are references to something else than their code point.
+_CODES = {n: html.unescape(f"&#{n};") for n in [*range(160), *range(0xFDD0, 0xFDF0), *(p << 16 | x for p in range(17) for x in (0xFFFE, 0xFFFF))] if html.unescape(f"&#{n};") != chr(n)}
+#: What is cut from both ends of a title.
+_BLANKS = "concat(" + ", ".join(f"chr({n})" for n in range(0x3001) if chr(n).isspace()) + ")"
+#: Titles in one pass: a reference by name is the longest name that it begins with (of two
+#: letters at least), a semicolon may be missing.
+_TITLES = rf"""with names as materialized (select {_mapped(html5)} as name, {_mapped(_CODES)} as code),
+titles as (select page_id, regexp_extract(html, '<title>([^\n\r\x{{85}}\x{{2028}}\x{{2029}}]*?)</title>', 1) as t from pages),
+parts as (select page_id, unnest(regexp_extract_all(t, '&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{{1,32}};?)|[^&]+|&')) as x, generate_subscripts(regexp_extract_all(t, '&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{{1,32}};?)|[^&]+|&'), 1) as i from titles),
+named as (select page_id, i, x, case when regexp_matches(x, '^&#[0-9]') then ltrim(regexp_extract(x, '[0-9]+'), '0') end as dec, case when regexp_matches(x, '^&#[xX]') then ltrim(regexp_extract(x, '^&#[xX]([0-9a-fA-F]+)', 1), '0') end as hex,
+  case when regexp_matches(x, '^&[^#]') then coalesce(list_max(list_filter(range(2, length(x)), lambda n: map_contains(name, substr(x, 2, n)))), 0) end as n, name, code from parts, names),
+numbered as (select *, case when length(coalesce(dec, hex)) > 7 then 1114112 when coalesce(dec, hex) = '' then 0 when dec is not null then dec::bigint else ('0x' || hex)::bigint end as c from named),
+plain as (select page_id, i, case when c > 1114111 or c between 55296 and 57343 then chr(65533) when c is not null then coalesce(code[c::varchar], chr(c::int)) when n > 0 then concat(name[substr(x, 2, n)], substr(x, n + 2)) else x end as x from numbered)
+select page_id, case when t is not null then trim(coalesce(string_agg(x, '' order by i), ''), {_BLANKS}) end as title from titles left join plain using (page_id) group by page_id, t"""
+
 ORACLES = {
     "feed_union": f"{WITH_FEEDS} select supplier, id, name, address, round(lat, 6) as lat, round(lon, 6) as lon, stars from feeds",
     "name_normalize": f"{WITH_FEEDS} select id, {_NORMAL} as normal from feeds",
     "property_numbers": rf"{WITH_FEEDS} select id, array_to_string(list_filter(regexp_extract_all(name, '\b\d{{2,6}}\b'), lambda t, i: list_position(regexp_extract_all(name, '\b\d{{2,6}}\b'), t) = i), ',') as numbers from feeds",
     "pipe_list_dedupe": f"{_ROOM} select room_id, array_to_string(amenities, '|') as amenities from listed",
     "numeric_coerce_drop": "select p_partkey, p_size + 0.5e0 as value from part where p_partkey % 5 <> 0 and p_partkey % 7 <> 0",
-    "html_unescape_titles": "select page_id, trim(replace(replace(replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')) as title from pages",
+    "html_unescape_titles": _TITLES,
     "room_attributes": f"""{_ROOM} select room_id, {_case("t", X.BEDS)} as bed_type, {_case("t", X.MEALS, f"'{X.NO_MEAL}'")} as meal_plan, {_case("t", X.VIEWS)} as view,
       case when regexp_matches(t, '{X.NOT_SMOKING}') then false when regexp_matches(t, '{X.SMOKING}') then true end as is_smoking from whole""",
     "room_occupancy": f"""{_ROOM} select room_id, case when {_FOUND} is null then {_case("t", X.OCCUPANCY)} when {_FOUND}::int = 1 then 'Single' when {_FOUND}::int = 2 then 'Double' when {_FOUND}::int = 3 then 'Triple' else 'Family' end as occupancy from whole""",
