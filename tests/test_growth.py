@@ -3,7 +3,8 @@
 import random
 
 import pyarrow as pa
-from canonry.operators import names, nearby
+
+from canonry.operators import candidates, names, nearby
 
 
 def test_records_of_equal_names_are_left_at_a_full_heap():
@@ -17,3 +18,13 @@ def test_records_of_equal_names_are_left_at_a_full_heap():
         want = sorted((v for v in range(n) if km[v] <= 0.6), key=lambda v: (-2.0 * (1 + (u % 5 == v % 5)) / 4, "ab"[v % 2], v))[:5]
         rows = best.u == u
         assert best.held.take(pa.array(best.v[rows])).column("id").to_pylist() == [f"{v:05d}" for v in want]
+
+
+def test_half_of_the_cells_around_hold_every_pair(spark):
+    rng = random.Random(8)
+    rows = [(f"{i:03d}", rng.choice((0.0, 50.0, -33.0)) + rng.uniform(-0.02, 0.02), rng.uniform(-0.02, 0.02)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id string, lat double, lon double")
+    both = {(r["u_id"], r["v_id"]): r["dist_km"] for r in candidates.within(df, 0.7).collect()}
+    once = candidates.within(df, 0.7, once=True).collect()
+    assert len(once) * 2 == len(both) - len(rows) > 200
+    assert {(min(r["u_id"], r["v_id"]), max(r["u_id"], r["v_id"])): r["dist_km"] for r in once} == {k: x for k, x in both.items() if k[0] < k[1]}
