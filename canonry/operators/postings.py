@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from canonry.functions.text import once
 from canonry.operators import merge, search
 from canonry.session import persist_cut
 
@@ -112,9 +113,11 @@ def total(blocks: DataFrame, phrases: list[list[str]]) -> int:
 
 
 def _grams(text: Column) -> Column:
-    low = F.lower(text)
-    starts = F.sequence(F.lit(1), F.greatest(F.length(low) - (GRAM - 1), F.lit(1)))
-    return F.array_distinct(F.transform(starts, lambda i: F.substr(low, i, F.lit(GRAM))))
+    def cut(low: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(low) - (GRAM - 1), F.lit(1)))
+        return F.transform(starts, lambda i: F.substr(low, i, F.lit(GRAM)))
+
+    return F.array_distinct(once(F.lower(text), cut))
 
 
 def gram_blocks(docs: DataFrame, numbered: DataFrame, key: str, columns: tuple[str, ...] = ("name", "address"), size: int = RANGE) -> DataFrame:

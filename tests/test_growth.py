@@ -1,8 +1,12 @@
 """What may not grow faster than its input."""
 
+import math
 import random
+from collections import Counter
 
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 from canonry.operators import candidates, names, nearby
 
@@ -28,3 +32,23 @@ def test_half_of_the_cells_around_hold_every_pair(spark):
     once = candidates.within(df, 0.7, once=True).collect()
     assert len(once) * 2 == len(both) - len(rows) > 200
     assert {(min(r["u_id"], r["v_id"]), max(r["u_id"], r["v_id"])): r["dist_km"] for r in once} == {k: x for k, x in both.items() if k[0] < k[1]}
+
+
+def test_names_are_cleaned_once_for_all_of_their_grams(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def clean(x):
+        calls.add(1)
+        return x or ""
+
+    df = spark.createDataFrame([("royal plaza inn",)] * 50 + [("grand",), (None,)], "name string").coalesce(1)
+    made = {r["g"]: r["idf"] for r in names.fit_weights(df, clean).collect()}
+    assert calls.value <= 2 * 3
+    want = Counter()
+    for r in df.select(F.array_distinct(names.gram_bins(F.coalesce("name", F.lit("")))).alias("g")).collect():
+        want.update(r["g"])
+    assert made == pytest.approx({g: math.log((1 + 52) / (1 + n)) + 1 for g, n in want.items()})
+    # A plan names what is cleaned once, whatever is cut from it.
+    plan = df.select(names.gram_bins(F.upper("name")).alias("g"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("upper(name") == 1
