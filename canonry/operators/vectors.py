@@ -34,9 +34,14 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int, within: str, bloc
         ids = given["vec_id"].to_numpy(np.int64)
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
-        scores = np.round(units(asked) @ units(given)[order].T, 6)
-        top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({"query_id": np.repeat(asked["vec_id"].to_numpy(np.int64), top.shape[1]), "vec_id": ids[top].ravel(), "similarity": np.take_along_axis(scores, top, axis=1).ravel()})
+        scores, n = units(asked) @ units(given)[order].T, min(k, len(ids))
+        # Whatever rounds to one of the k best is no further below the k-th than that.
+        i, j = np.nonzero(scores >= np.partition(scores, len(ids) - n, axis=1)[:, [len(ids) - n]] - 2e-6)
+        like = np.round(scores[i, j], 6)
+        by = np.lexsort((j, -like, i))
+        i, j, like = i[by], j[by], like[by]
+        top = np.arange(len(i)) - np.searchsorted(i, i) < n
+        return pd.DataFrame({"query_id": asked["vec_id"].to_numpy(np.int64)[i[top]], "vec_id": ids[j[top]], "similarity": like[top]})
 
     keys = [within, "q", "c"]
     pairs = dealt(queries, "q", "c", n, m).groupBy(*keys).cogroup(dealt(candidates, "c", "q", m, n).groupBy(*keys)).applyInPandas(best, "query_id long, vec_id long, similarity double")

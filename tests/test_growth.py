@@ -4,11 +4,13 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from canonry.operators import candidates, names, nearby
+from canonry.operators import candidates, names, nearby, vectors
 
 
 def test_records_of_equal_names_are_left_at_a_full_heap():
@@ -52,3 +54,31 @@ def test_names_are_cleaned_once_for_all_of_their_grams(spark):
     # A plan names what is cleaned once, whatever is cut from it.
     plan = df.select(names.gram_bins(F.upper("name")).alias("g"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("upper(name") == 1
+
+
+def test_only_what_may_be_among_the_best_vectors_is_sorted(spark, monkeypatch):
+    rng, sorted_, sort = random.Random(6), [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda a, *rest, **how: sorted_.append(np.ndim(a)) or sort(a, *rest, **how))
+    # Copies, and ones that differ behind the sixth place.
+    rows = [(v, [float(rng.randrange(3)), 1.0 + v % 4 * 1e-7], v % 2) for v in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, side int")
+    seen = {}
+
+    class Cogrouped:
+        def cogroup(self, other):
+            return self
+
+        def applyInPandas(self, best, schema):
+            seen["best"] = best
+            return df.selectExpr("vec_id as query_id", "vec_id", "0.0 as similarity").limit(0)
+
+    monkeypatch.setattr(type(df), "groupBy", lambda self, *keys: Cogrouped())
+    vectors.nearest(df, df, 5, "side")
+    given = pd.DataFrame(rows, columns=["vec_id", "embedding", "side"])
+    got = seen["best"](given.head(40), given)
+    unit = np.array([np.array(r[1]) / math.hypot(*r[1]) for r in rows])
+    like = np.round(unit[:40] @ unit.T, 6)
+    want = [(u, v, like[u, v]) for u in range(40) for v in sorted(range(300), key=lambda v: (-like[u, v], v))[:5]]
+    assert list(got.itertuples(index=False, name=None)) == want
+    # Ids alone, never the whole matrix.
+    assert set(sorted_) == {1}
