@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canonry.functions.text import once
+from canonry.functions.text import once, search_terms
 from canonry.operators import merge, search
 from canonry.session import persist_cut
 
@@ -27,7 +27,8 @@ GRAM = 3
 
 def numbers(docs: DataFrame, key: str, columns: tuple[str, ...] = search.COLUMNS) -> DataFrame:
     """``key``, its number ``doc`` in order of keys, and ``len``, its terms."""
-    own = search.index_lengths(docs, key, columns)
+    # Cut, for sorting looks at its rows twice.
+    own = persist_cut(search.index_lengths(docs, key, columns))
     return merge.numbered(own, [F.col("key")], "n").select("key", (F.col("n") - 1).alias("doc"), "len")
 
 
@@ -37,15 +38,18 @@ def _range(doc: Column, size: int) -> list[Column]:
 
 def term_blocks(docs: DataFrame, numbered: DataFrame, key: str, columns: tuple[str, ...] = search.COLUMNS, size: int = RANGE) -> DataFrame:
     """``term``, ``range``, ``places``, ``counts``, ``lens`` and ``most``, the greatest share
-    f / (f + k) in the block; in order of terms, so that a search reads few row groups."""
+    f / (f + k) in the block; each task's in order of terms.  Texts are sent to the task of
+    their range, which counts and gathers; no single posting leaves it."""
     mean = numbered.agg(F.avg("len")).first()[0] or 1.0
-    found = search.index_terms(docs, key, columns).groupBy("key", "term").agg(F.count("*").cast("int").alias("f"))
-    each = found.join(numbered, "key").select("term", *_range(F.col("doc"), size), "f", F.col("len").cast("int").alias("len"))
+    own = docs.select(F.col(key).alias("key"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(columns))).join(numbered, "key")
+    placed = own.select(*_range(F.col("doc"), size), F.col("len").cast("int").alias("len"), *(f"c{i}" for i in range(len(columns)))).repartition("range")
+    terms = F.concat(*(search_terms(F.col(f"c{i}")) for i in range(len(columns))))
+    each = placed.select("range", "place", "len", F.explode(terms).alias("term")).groupBy("range", "term", "place", "len").agg(F.count("*").cast("int").alias("f"))
     part = F.col("f") / (F.col("f") + search.K1 * (1 - search.B + search.B * F.col("len") / mean))
     rows = F.array_sort(F.collect_list(F.struct("place", "f", "len")))
-    made = each.groupBy("term", "range").agg(rows.alias("rows"), F.max(part).alias("most"))
+    made = each.groupBy("range", "term").agg(rows.alias("rows"), F.max(part).alias("most"))
     pick = lambda c: F.transform("rows", lambda x: x[c])
-    return made.select("term", "range", pick("place").alias("places"), pick("f").alias("counts"), pick("len").alias("lens"), "most").sort("term", "range")
+    return made.select("term", "range", pick("place").alias("places"), pick("f").alias("counts"), pick("len").alias("lens"), "most").sortWithinPartitions("term", "range")
 
 
 @dataclass

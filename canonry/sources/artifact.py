@@ -65,7 +65,7 @@ def write(path: str, tables: dict[str, DataFrame]) -> dict[str, int]:
     # In order of terms, so that a search reads few row groups.
     keep("search_terms", search.index_terms(hotels, "id", search.COLUMNS).sort("term"))
     numbered = keep("search_numbers", postings.numbers(hotels, "id"))
-    keep("search_blocks", postings.term_blocks(hotels, numbered, "id"))
+    keep("search_blocks", postings.term_blocks(hotels, numbered, "id").sort("term", "range"))
     keep("search_grams", postings.gram_blocks(hotels, numbered, "id"))
     spark.createDataFrame([(time.time_ns(), build)], PUBLISHED).coalesce(1).write.mode("append").json(f"{path}/published")
     return {name: counts[name].get["rows"] for name in TABLES}

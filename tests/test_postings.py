@@ -3,7 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from canonry.functions.text import fold
 from canonry.operators import postings, search
 
 WORDS = "the theme often crystal castle lake of it's road rOad ñandú".split()
@@ -59,3 +61,13 @@ def test_substrings_by_trigrams(indexed, query):
     total, page = search.like_total(docs, query, 200)
     total_too, page_too = search.like_total(docs, query, 200, among=among)
     assert (total, [r["id"] for r in page.collect()]) == (total_too, [r["id"] for r in page_too.collect()])
+
+
+def test_postings_never_leave_the_task_of_their_range(spark):
+    docs = spark.createDataFrame(documents(2, 50), SCHEMA)
+    blocks = postings.term_blocks(docs, postings.numbers(docs, "id"), "id", size=16)
+    plan = blocks._jdf.queryExecution().executedPlan().toString()
+    above, below = plan.split("Generate", 1)
+    assert "Exchange" not in above and "Exchange" in below
+    # Nor is a text of plain letters looked up letter by letter.
+    assert spark.sql("select 'ABC', 'Äb'").select(*(fold(F.col(c)) for c in ("ABC", "Äb"))).first()[:] == ("abc", "ab")
